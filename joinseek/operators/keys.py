@@ -94,6 +94,7 @@ def foreign_keys(
     on: Sequence[tuple[str, str]],
     key_side: str = "left",
     stage: str = "S3",
+    max_columns: int = 3,
 ) -> DataFrame:
     """Candidates that assign to each key column another column of its category.
 
@@ -104,9 +105,8 @@ def foreign_keys(
     key_fields = [k for k, _ in on]
     other = catalog.select(*(F.col(c).alias(k) for k, c in on), F.col("column").alias("option"), F.col("category"))
     grown = keys.select(*key_fields, "columns", F.array().cast("array<string>").alias("chosen"))
-    longest = 3
     done = []
-    for i in range(longest):
+    for i in range(max_columns):
         wanted = grown.where(F.size("columns") > i).withColumn("category", F.get("columns", F.lit(i))["category"])
         grown = (
             wanted.join(other, [*key_fields, "category"])

@@ -1,2 +1,169 @@
-class Discovery: pass
-def discover_joins(): pass
+"""The whole search: four stages, each for the table pairs still without a join."""
+
+from __future__ import annotations
+
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from joinseek.operators.candidates import (
+    PAIR,
+    column_combinations,
+    hier_discard,
+    hier_parents,
+    without_known,
+)
+from joinseek.operators.contribution import join_contribution
+from joinseek.operators.counters import counter_columns, useful_columns
+from joinseek.operators.keys import foreign_keys, unique_keys
+from joinseek.operators.names import common_columns, same_category_pairs, similar_columns
+from joinseek.operators.overlap import CANDIDATE, measure_overlap, rank
+from joinseek.operators.profile import add_distinct, column_stats, union_all
+from joinseek.operators.prune import prune_category, prune_length, prune_missing
+from joinseek.operators.semantic import Taxonomy
+from joinseek.params import Params
+from joinseek.session import checkpoint, local_table, settle
+
+
+@dataclass
+class Discovery:
+    """What a search found; every part is a DataFrame."""
+
+    catalog: DataFrame
+    dropped: DataFrame
+    report: DataFrame
+    mergeable: DataFrame
+    counters: DataFrame
+    contribution: DataFrame
+
+
+def table_pairs(tables: Mapping[str, DataFrame], pairs: Sequence[tuple[str, str]] | None) -> list[tuple[str, str]]:
+    """The given pairs, or every pair of tables in the order of the mapping."""
+    names = list(tables)
+    if pairs is None:
+        return [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    unknown = {t for pair in pairs for t in pair} - set(names)
+    if unknown:
+        raise ValueError(f"unknown tables: {sorted(unknown)}")
+    return list(pairs)
+
+
+def pair_table(spark, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    return local_table(
+        spark,
+        {"left_table": [a for a, _ in pairs], "right_table": [b for _, b in pairs]},
+        {"left_table": pa.string(), "right_table": pa.string()},
+    )
+
+
+@dataclass
+class _Search:
+    tables: Mapping[str, DataFrame]
+    params: Params
+    taxonomy: Taxonomy | None
+    catalog: DataFrame
+    pairs: DataFrame
+    reports: list[DataFrame] = field(default_factory=list)
+
+    def measure(self, candidates: DataFrame) -> DataFrame:
+        """Score candidates and add them to the reports."""
+        p = self.params
+        report = checkpoint(
+            measure_overlap(self.tables, candidates, self.catalog, p.min_join, p.eval_method, p.score_method)
+        )
+        self.reports.append(report)
+        return report
+
+    def known(self) -> DataFrame:
+        return union_all(self.reports)
+
+    def parents(self) -> DataFrame:
+        return hier_parents(self.known(), self.params.hier_max_matches)
+
+    def close_pairs(self) -> bool:
+        """Drop table pairs that have a join now; true if any is left."""
+        merged = self.known().where("mergeable").select(*PAIR).distinct()
+        self.pairs = settle(self.pairs.join(merged, PAIR, "left_anti"))
+        return not self.pairs.isEmpty()
+
+    def same_names(self) -> None:
+        common = common_columns(self.catalog, self.pairs)
+        self.measure(common)
+        combined = column_combinations(common, self.params.combination_sizes)
+        self.measure(hier_discard(combined, self.parents()))
+
+    def similar_names(self) -> None:
+        similar = similar_columns(self.catalog, self.pairs, self.params.name_methods, self.taxonomy)
+        similar = without_known(similar, self.known())
+        self.measure(similar)
+        both = similar.unionAll(common_columns(self.catalog, self.pairs, stage="S2"))
+        combined = without_known(column_combinations(both, self.params.combination_sizes), self.known())
+        self.measure(hier_discard(combined, self.parents()))
+
+    def key_references(self) -> None:
+        p = self.params
+        used = self.pairs.select(F.col("left_table").alias("table")).unionAll(self.pairs.select("right_table"))
+        still = settle(self.catalog.join(used.distinct(), "table", "left_semi"))
+        counted = settle(add_distinct(still, self.tables))
+        self.catalog = counted
+        sided, _ = prune_category(counted, self.pairs)
+        keys = unique_keys(self.tables, sided, p.min_key_ratio, p.max_key_columns, scope=[*PAIR, "side", "table"])
+        found = []
+        for side, other in (("left", "right"), ("right", "left")):
+            found.append(
+                foreign_keys(
+                    keys.where(F.col("side") == side),
+                    sided.where(F.col("side") == other),
+                    on=[(c, c) for c in PAIR],
+                    key_side=side,
+                    max_columns=p.max_key_columns,
+                )
+            )
+        candidates = found[0].unionAll(found[1]).dropDuplicates(CANDIDATE)
+        self.measure(without_known(candidates, self.known()))
+
+    def same_categories(self) -> None:
+        self.measure(without_known(same_category_pairs(self.catalog, self.pairs), self.known()))
+
+
+def discover_joins(
+    tables: Mapping[str, DataFrame],
+    pairs: Sequence[tuple[str, str]] | None = None,
+    params: Params = Params(),
+    taxonomy: Taxonomy | None = None,
+) -> Discovery:
+    """On which columns can these tables be joined, how well, and to what gain?
+
+    The stages are S1 equal names, S2 similar names, S3 unique key to foreign
+    key, S4 any columns of equal category. A table pair leaves the search at the
+    first stage that finds a mergeable candidate. All pairs of a stage share its
+    jobs; between jobs the driver only reads column names and small counts.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    catalog = settle(column_stats(tables)).withColumn("distinct", F.lit(None).cast("bigint"))
+    kept, sparse = prune_missing(catalog, params.max_missing)
+    kept, long = prune_length(kept, params.max_avg_chars, params.length_scope)
+    search = _Search(
+        tables, params, taxonomy, settle(kept), pair_table(spark, table_pairs(tables, pairs))
+    )
+    for stage in (search.same_names, search.similar_names, search.key_references, search.same_categories):
+        stage()
+        if not search.close_pairs():
+            break
+    report = search.known()
+    mergeable = report.where("mergeable")
+    used = useful_columns(report)
+    tested = settle(kept.join(used.select("table", "column").distinct(), ["table", "column"], "left_semi"))
+    counted = settle(add_distinct(tested, tables))
+    tests = counter_columns(tables, counted, used, params.counter_min_uniqueness, params.counter_max_miss)
+    return Discovery(
+        catalog=kept,
+        dropped=sparse.drop("missing").unionAll(long),
+        report=report,
+        mergeable=rank(mergeable),
+        counters=used.join(tests, ["table", "column"]).where("is_counter").select(*PAIR, "side", "column"),
+        contribution=join_contribution(tables, mergeable),
+    )
