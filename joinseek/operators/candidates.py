@@ -89,3 +89,16 @@ def split_by_parents(candidates: DataFrame, parents: DataFrame) -> DataFrame:
 def hier_discard(candidates: DataFrame, parents: DataFrame) -> DataFrame:
     """Candidates that contain no failed single pair."""
     return split_by_parents(candidates, parents).where("NOT is_child").select(candidates.columns)
+
+
+def hier_singles(singles: DataFrame, parents: DataFrame) -> DataFrame:
+    """Single pairs that may enter combinations: all but the failed ones.
+
+    Leaving a failed pair out beforehand gives the same combinations as
+    ``hier_discard`` on all of them, without building the others.
+    """
+    failed = parents.select(*PAIR, F.explode("parents").alias("pair"))
+    condition = [singles[c] == failed[c] for c in PAIR]
+    condition.append(F.get(singles["left"], F.lit(0)) == failed["pair.left"])
+    condition.append(F.get(singles["right"], F.lit(0)) == failed["pair.right"])
+    return singles.join(failed, condition, "left_anti")

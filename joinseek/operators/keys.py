@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from joinseek.operators.keyrows import key_counts
 from joinseek.operators.overlap import INFO_TYPE
 from joinseek.operators.profile import union_all
-from joinseek.session import checkpoint
+from joinseek.session import settle
 
 KEY_TYPE = "array<struct<name:string,category:string>>"
 
@@ -58,7 +58,7 @@ def unique_keys(
             )
         possible = level.where(F.col("bound") >= F.col("rows") * min_ratio)
         counted = _with_key_counts(tables, possible, group, number)
-        hits = checkpoint(
+        hits = settle(
             counted.withColumn("percentage", F.col("keys") / F.col("rows"))
             .where(F.col("percentage") >= min_ratio)
             .select(

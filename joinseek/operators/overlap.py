@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from joinseek.operators.keyrows import pair_counts
+from joinseek.session import settle
 
 CANDIDATE = ["left_table", "right_table", "left", "right"]
 INFO_TYPE = "array<struct<score:double,method:string>>"
@@ -27,7 +28,7 @@ def two_decimals(value: Column) -> Column:
     ``format_string`` rounds the shortest decimal form half up instead, which
     differs at the hundred values x.xx5, so those come from a list.
     """
-    ties = F.array(*(F.lit(f"{(10 * i + 5) / 1000:.2f}") for i in range(100)))
+    ties = F.split(F.lit(" ".join(f"{(10 * i + 5) / 1000:.2f}" for i in range(100))), " ")
     cent = F.least(F.floor(value * 100).cast("int"), F.lit(99))
     tie = (cent * 10 + 5) / F.lit(1000.0)
     return F.when(value == tie, F.get(ties, cent)).otherwise(F.format_string("%.2f", value))
@@ -117,7 +118,7 @@ def measure_overlap(
         raise ValueError(f"eval_method must be one of {EVAL_METHODS}, not {eval_method!r}")
     if score_method not in SCORE_METHODS:
         raise ValueError(f"score_method must be one of {SCORE_METHODS}, not {score_method!r}")
-    checked = check_candidates(candidates, catalog, score_method, min_join)
+    checked = settle(check_candidates(candidates, catalog, score_method, min_join))
     counted = _counted(tables, checked)
     reason = (
         F.when(F.col("reason").isNotNull(), F.col("reason"))

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from joinseek.operators.candidates import (
     PAIR,
     column_combinations,
-    hier_discard,
     hier_parents,
+    hier_singles,
     without_known,
 )
 from joinseek.operators.contribution import join_contribution
@@ -25,7 +25,7 @@ from joinseek.operators.profile import add_distinct, column_stats, union_all
 from joinseek.operators.prune import prune_category, prune_length, prune_missing
 from joinseek.operators.semantic import Taxonomy
 from joinseek.params import Params
-from joinseek.session import checkpoint, local_table, settle
+from joinseek.session import local_table, settle
 
 
 @dataclass
@@ -71,7 +71,7 @@ class _Search:
     def measure(self, candidates: DataFrame) -> DataFrame:
         """Score candidates and add them to the reports."""
         p = self.params
-        report = checkpoint(
+        report = settle(
             measure_overlap(self.tables, candidates, self.catalog, p.min_join, p.eval_method, p.score_method)
         )
         self.reports.append(report)
@@ -80,28 +80,31 @@ class _Search:
     def known(self) -> DataFrame:
         return union_all(self.reports)
 
-    def parents(self) -> DataFrame:
-        return hier_parents(self.known(), self.params.hier_max_matches)
-
     def close_pairs(self) -> bool:
         """Drop table pairs that have a join now; true if any is left."""
         merged = self.known().where("mergeable").select(*PAIR).distinct()
         self.pairs = settle(self.pairs.join(merged, PAIR, "left_anti"))
         return not self.pairs.isEmpty()
 
+    def measure_combined(self, singles: DataFrame, stage: str) -> None:
+        """Score combinations of single pairs, unless they contain a failed one."""
+        known = self.known()
+        parents = hier_parents(known, self.params.hier_max_matches)
+        usable = settle(hier_singles(singles, parents))
+        if usable.count() >= min(self.params.combination_sizes):
+            combined = column_combinations(usable, self.params.combination_sizes, stage)
+            self.measure(without_known(combined, known))
+
     def same_names(self) -> None:
         common = common_columns(self.catalog, self.pairs)
         self.measure(common)
-        combined = column_combinations(common, self.params.combination_sizes)
-        self.measure(hier_discard(combined, self.parents()))
+        self.measure_combined(common, "S1")
 
     def similar_names(self) -> None:
         similar = similar_columns(self.catalog, self.pairs, self.params.name_methods, self.taxonomy)
-        similar = without_known(similar, self.known())
+        similar = settle(without_known(similar, self.known()))
         self.measure(similar)
-        both = similar.unionAll(common_columns(self.catalog, self.pairs, stage="S2"))
-        combined = without_known(column_combinations(both, self.params.combination_sizes), self.known())
-        self.measure(hier_discard(combined, self.parents()))
+        self.measure_combined(similar.unionAll(common_columns(self.catalog, self.pairs)), "S2")
 
     def key_references(self) -> None:
         p = self.params

@@ -14,13 +14,12 @@ def column(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder for written intermediate data.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a
-    local session without that setting gets a folder of its own.
+    It is the one the cluster names in ``spark.checkpoint.dir``. Only a local
+    session without that setting gets a folder of its own.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -29,6 +28,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="joinseek-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the checkpoint folder and go on from there."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -41,7 +46,9 @@ def local_table(spark: SparkSession, columns: dict[str, list], types: dict[str,
 def settle(df: DataFrame) -> DataFrame:
     """Run ``df`` and keep its rows as a local relation.
 
-    Only for column catalogues: one row per column of the input tables, which
-    the driver knows by name already. Later plans see the exact size of it.
+    Only for rows about columns (catalogue, candidates, reports), whose number
+    depends on the schemas and not on the data. The driver must read the column
+    names in them anyway to build the next scan; later plans then see their exact
+    size and do not run the scans behind them again.
     """
     return df.sparkSession.createDataFrame(df.toArrow())
