@@ -2,25 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 # The date shapes that count, each with an optional time of day.
 TIME = r"([ T]([01]?\d|2[0-3]):[0-5]\d(:[0-5]\d(\.\d+)?)?(Z|[+-]\d\d:?\d\d)?)?"
 YEAR_FIRST = r"^\s*\d{4}([-/.])\d{1,2}\1\d{1,2}" + TIME + r"\s*$"
 YEAR_LAST = r"^\s*\d{1,2}([-/.])\d{1,2}\1\d{4}" + TIME + r"\s*$"
 
 
-def _valid(value: Column, shape: str, fmt: str) -> Column:
-    day = F.substring_index(F.translate(F.trim(value), "T/.", " --"), " ", 1)
-    return F.when(F.rlike(value, F.lit(shape)), F.try_to_timestamp(day, F.lit(fmt))).isNotNull()
-
-
-def is_date(value: Column, dayfirst: bool) -> Column:
-    """True if the string is a calendar date under the given day/month order.
+def is_date(value: str, dayfirst: bool) -> str:
+    """SQL text: is this string a calendar date under the day/month order?
 
     ISO (year-first) dates are valid under both. The regular expression rejects
     other text before anything is parsed.
     """
+    day = f"substring_index(translate(trim({value}), 'T/.', ' --'), ' ', 1)"
     ordered = "d-M-yyyy" if dayfirst else "M-d-yyyy"
-    return _valid(value, YEAR_FIRST, "yyyy-M-d") | _valid(value, YEAR_LAST, ordered)
+    return (
+        f"(CASE WHEN rlike({value}, r'{YEAR_FIRST}') THEN try_to_timestamp({day}, 'yyyy-M-d') "
+        f"WHEN rlike({value}, r'{YEAR_LAST}') THEN try_to_timestamp({day}, '{ordered}') END IS NOT NULL)"
+    )

@@ -1,59 +1,49 @@
-"""String similarity as column expressions, each between 0 and 1."""
+"""String similarity between 0 and 1, as SQL text over two SQL expressions."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-USED = "\x00"
 
+def equality(a: str, b: str) -> str:
+    return f"CAST({a} = {b} AS DOUBLE)"
 
-def equality(a: Column, b: Column) -> Column:
-    return (a == b).cast("double")
 
-
-def levenshtein(a: Column, b: Column) -> Column:
+def levenshtein(a: str, b: str) -> str:
     """1 - edit distance over the longer length; two empty strings are equal."""
-    longest = F.greatest(F.length(a), F.length(b), F.lit(1))
-    return 1 - F.levenshtein(a, b) / longest
+    return f"(1 - levenshtein({a}, {b}) / greatest(length({a}), length({b}), 1))"
 
 
-def jaro(a: Column, b: Column) -> Column:
+def jaro(a: str, b: str) -> str:
     """Plain Jaro similarity.
 
     One fold over the characters of ``a`` takes the first unused equal character
     of ``b`` within the match window and marks it used; the marks then give the
     matched characters of ``b`` in order, and so the transpositions.
     """
-    la, lb = F.length(a), F.length(b)
-    reach = F.greatest(F.floor(F.greatest(la, lb) / 2).cast("int") - 1, F.lit(0))
-
-    def step(state: Column, i: Column) -> Column:
-        char = F.substring(a, i, F.lit(1))
-        at = F.call_function("locate", char, state["rest"], F.greatest(i - reach, F.lit(1)))
-        hit = (at > 0) & (at <= i + reach)
-        return F.struct(
-            F.when(hit, F.overlay(state["rest"], F.lit(USED), at, F.lit(1))).otherwise(state["rest"]).alias("rest"),
-            F.when(hit, F.concat(state["taken"], char)).otherwise(state["taken"]).alias("taken"),
-        )
-
-    start = F.struct(b.alias("rest"), F.lit("").alias("taken"))
-
-    def finish(state: Column) -> Column:
-        m = F.length(state["taken"])
-        marked = F.filter(F.sequence(F.lit(1), lb), lambda j: F.substring(state["rest"], j, F.lit(1)) == USED)
-        swapped = F.filter(
-            F.sequence(F.lit(1), m),
-            lambda k: F.substring(state["taken"], k, F.lit(1)) != F.substring(b, F.get(marked, k - 1), F.lit(1)),
-        )
-        half = F.floor(F.size(swapped) / 2)
-        return F.when(m == 0, F.lit(0.0)).otherwise((m / la + m / lb + (m - half) / m) / 3)
-
-    scored = F.aggregate(F.sequence(F.lit(1), la), start, step, finish)
+    reach = f"greatest(CAST(floor(greatest(length({a}), length({b})) / 2) AS INT) - 1, 0)"
+    char = f"substring({a}, jaro_i, 1)"
+    at = f"locate({char}, jaro_s.rest, greatest(jaro_i - {reach}, 1))"
+    hit = f"{at} > 0 AND {at} <= jaro_i + {reach}"
+    step = (
+        f"named_struct('rest', CASE WHEN {hit} THEN overlay(jaro_s.rest, chr(0), {at}, 1) ELSE jaro_s.rest END, "
+        f"'taken', CASE WHEN {hit} THEN concat(jaro_s.taken, {char}) ELSE jaro_s.taken END)"
+    )
+    marked = f"filter(sequence(1, length({b})), jaro_j -> substring(jaro_s.rest, jaro_j, 1) = chr(0))"
+    swapped = (
+        "filter(sequence(1, length(jaro_s.taken)), jaro_k -> "
+        f"substring(jaro_s.taken, jaro_k, 1) != substring({b}, get({marked}, jaro_k - 1), 1))"
+    )
+    m = "length(jaro_s.taken)"
+    finish = (
+        f"CASE WHEN {m} = 0 THEN 0.0D ELSE ({m} / length({a}) + {m} / length({b}) "
+        f"+ ({m} - floor(size({swapped}) / 2)) / {m}) / 3 END"
+    )
     return (
-        F.when(a.isNull() | b.isNull(), F.lit(None).cast("double"))
-        .when((la == 0) | (lb == 0), F.lit(0.0))
-        .otherwise(scored)
+        f"CASE WHEN {a} IS NULL OR {b} IS NULL THEN NULL WHEN length({a}) = 0 OR length({b}) = 0 THEN 0.0D "
+        f"ELSE aggregate(sequence(1, length({a})), named_struct('rest', {b}, 'taken', ''), "
+        f"(jaro_s, jaro_i) -> {step}, jaro_s -> {finish}) END"
     )
 
 
@@ -62,8 +52,12 @@ def jaro(a: Column, b: Column) -> Column:
 METHODS = {"Equality": equality, "Levenshtein": levenshtein, "Jaro": jaro}
 
 
-def string_similarity(a: Column, b: Column, method: str = "Equality") -> Column:
-    """``struct<score, method>`` for two string columns, case-sensitive."""
+def similarity_struct(a: str, b: str, method: str) -> str:
     if method not in METHODS:
         raise ValueError(f"unknown similarity method {method!r}; choose from {sorted(METHODS)}")
-    return F.struct(METHODS[method](a, b).alias("score"), F.lit(method).alias("method"))
+    return f"named_struct('score', {METHODS[method](a, b)}, 'method', '{method}')"
+
+
+def string_similarity(a: str, b: str, method: str = "Equality") -> Column:
+    """``struct<score, method>`` for two string columns, case-sensitive."""
+    return F.expr(similarity_struct(a, b, method))

@@ -1,63 +1,59 @@
-"""Column values as join keys: what is missing, and when two values are equal."""
+"""Column values as join keys, as SQL text: what is missing, what is equal."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from joinseek.session import column
+from joinseek.session import quoted
 
 FRACTIONAL = (T.FloatType, T.DoubleType)
 TEMPORAL = (T.DateType, T.TimestampType, T.TimestampNTZType)
-BIGINT_LIMIT = float(2**63)
 
 
-def is_missing(name: str, dtype: T.DataType) -> Column:
+def is_missing(name: str, dtype: T.DataType) -> str:
     """Null, or NaN in a floating-point column."""
-    value = column(name)
+    value = quoted(name)
     if isinstance(dtype, FRACTIONAL):
-        return value.isNull() | F.isnan(value)
-    return value.isNull()
+        return f"({value} IS NULL OR isnan({value}))"
+    return f"({value} IS NULL)"
 
 
-def _double_key(value: Column) -> Column:
-    whole = (F.floor(value).cast("double") == value) & (F.abs(value) < BIGINT_LIMIT)
+def _double_key(value: str) -> str:
+    whole = f"rint({value}) = {value} AND abs({value}) < 9.2E18D"
     return (
-        F.when(F.isnan(value), F.lit(None).cast("string"))
-        .when(whole, value.try_cast("bigint").cast("string"))
-        .otherwise(value.cast("string"))
+        f"CASE WHEN isnan({value}) THEN NULL WHEN {whole} THEN CAST(try_cast({value} AS BIGINT) AS STRING) "
+        f"ELSE CAST({value} AS STRING) END"
     )
 
 
-def _decimal_key(value: Column, dtype: T.DecimalType) -> Column:
-    as_double = value.cast("double")
-    whole = value.try_cast("bigint")
+def _decimal_key(value: str, dtype: T.DecimalType) -> str:
+    own, as_double = dtype.simpleString(), f"CAST({value} AS DOUBLE)"
+    whole = f"try_cast({value} AS BIGINT)"
     return (
-        F.when(whole.cast(dtype) == value, whole.cast("string"))
-        .when(as_double.try_cast(dtype) == value, _double_key(as_double))
-        .otherwise(F.rtrim(value.cast("string"), F.lit("0")))
+        f"CASE WHEN try_cast({whole} AS {own}) = {value} THEN CAST({whole} AS STRING) "
+        f"WHEN try_cast({as_double} AS {own}) = {value} THEN {_double_key(as_double)} "
+        f"ELSE rtrim('0', CAST({value} AS STRING)) END"
     )
 
 
-def join_key(name: str, dtype: T.DataType) -> Column:
+def join_key(name: str, dtype: T.DataType) -> str:
     """The value as a string such that equal values give equal strings.
 
     Numbers compare by value across all numeric types (3, 3.0 and -0.0 = 0).
     Strings stay raw, so dates given as strings compare as written; a native
     timestamp at midnight equals its date. Missing values give null.
     """
-    value = column(name)
+    value = quoted(name)
     if isinstance(dtype, T.StringType):
         return value
     if isinstance(dtype, FRACTIONAL):
-        return _double_key(value.cast("double"))
+        return _double_key(f"CAST({value} AS DOUBLE)")
     if isinstance(dtype, T.DecimalType) and dtype.scale > 0:
         return _decimal_key(value, dtype)
     if isinstance(dtype, TEMPORAL):
-        return F.regexp_replace(value.cast("string"), " 00:00:00$", "")
+        return f"regexp_replace(CAST({value} AS STRING), ' 00:00:00$', '')"
     if isinstance(dtype, T.BinaryType):
-        return F.base64(value)
+        return f"base64({value})"
     if isinstance(dtype, (T.ArrayType, T.MapType, T.StructType)):
-        return F.to_json(value)
-    return value.cast("string")
+        return f"to_json({value})"
+    return f"CAST({value} AS STRING)"

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from joinseek.operators.overlap import INFO_TYPE
+from joinseek.operators.profile import union_all
+from joinseek.session import text
 
 PAIR = ["left_table", "right_table"]
+SINGLE = "named_struct('left', left[0], 'right', right[0])"
 
 
 def column_combinations(candidates: DataFrame, sizes: Sequence[int] = (2, 3), stage: str | None = None) -> DataFrame:
@@ -18,31 +21,25 @@ def column_combinations(candidates: DataFrame, sizes: Sequence[int] = (2, 3), st
     Every left and every right column occurs once per combination, and pairs
     stay in name order, so each combination appears once.
     """
-    pair = F.struct(F.get("left", F.lit(0)).alias("left"), F.get("right", F.lit(0)).alias("right"))
-    label = F.lit(stage) if stage is not None else F.col("stage")
-    singles = candidates.where(F.size("left") == 1).select(*PAIR, label.alias("stage"), pair.alias("last")).distinct()
-    grown = singles.select(*PAIR, "stage", F.array("last").alias("members"))
+    label = f"{text(stage)} AS stage" if stage is not None else "stage"
+    singles = candidates.where("size(left) = 1").selectExpr(*PAIR, label, f"{SINGLE} AS last").distinct()
+    grown = singles.selectExpr(*PAIR, "stage", "array(last) AS members")
     found = []
     for size in range(2, max(sizes) + 1):
-        following = singles.select(*PAIR, F.col("last"))
         grown = (
-            grown.join(following, PAIR)
-            .where(F.col("last") > F.get("members", F.size("members") - 1))
-            .where(~F.array_contains(F.col("members.left"), F.col("last.left")))
-            .where(~F.array_contains(F.col("members.right"), F.col("last.right")))
-            .select(*PAIR, "stage", F.concat("members", F.array("last")).alias("members"))
+            grown.join(singles.select(*PAIR, "last"), PAIR)
+            .where("last > element_at(members, -1)")
+            .where("NOT array_contains(members.left, last.left) AND NOT array_contains(members.right, last.right)")
+            .selectExpr(*PAIR, "stage", "concat(members, array(last)) AS members")
         )
         if size in sizes:
             found.append(grown)
-    result = found[0]
-    for more in found[1:]:
-        result = result.unionAll(more)
-    return result.select(
+    return union_all(found).selectExpr(
         "stage",
         *PAIR,
-        F.col("members.left").alias("left"),
-        F.col("members.right").alias("right"),
-        F.array().cast(INFO_TYPE).alias("similarity_info"),
+        "members.left AS left",
+        "members.right AS right",
+        f"CAST(array() AS {INFO_TYPE}) AS similarity_info",
     )
 
 
@@ -51,26 +48,16 @@ def without_known(candidates: DataFrame, known: DataFrame) -> DataFrame:
 
     Sorted copies are compared; left[i] keeps facing right[i].
     """
-    old = known.select(
-        *PAIR, F.array_sort("left").alias("sorted_left"), F.array_sort("right").alias("sorted_right")
-    ).distinct()
-    keyed = candidates.select(
-        "*", F.array_sort("left").alias("sorted_left"), F.array_sort("right").alias("sorted_right")
-    )
+    order = ["array_sort(left) AS sorted_left", "array_sort(right) AS sorted_right"]
+    old = known.selectExpr(*PAIR, *order).distinct()
+    keyed = candidates.selectExpr("*", *order)
     return keyed.join(old, [*PAIR, "sorted_left", "sorted_right"], "left_anti").select(candidates.columns)
 
 
 def hier_parents(report: DataFrame, max_matches: int = 1) -> DataFrame:
     """Per table pair the single pairs that failed with at most ``max_matches``."""
-    failed = report.where(~F.col("mergeable") & (F.col("matches") <= max_matches) & (F.size("left") == 1))
-    pair = F.struct(F.get("left", F.lit(0)).alias("left"), F.get("right", F.lit(0)).alias("right"))
-    return failed.groupBy(*PAIR).agg(F.collect_set(pair).alias("parents"))
-
-
-def _members() -> Column:
-    return F.transform(
-        F.arrays_zip("left", "right"), lambda p: F.struct(p["left"].alias("left"), p["right"].alias("right"))
-    )
+    failed = report.where(f"NOT mergeable AND matches <= {max_matches} AND size(left) = 1")
+    return failed.groupBy(*PAIR).agg(F.expr(f"collect_set({SINGLE}) AS parents"))
 
 
 def split_by_parents(candidates: DataFrame, parents: DataFrame) -> DataFrame:
@@ -78,12 +65,11 @@ def split_by_parents(candidates: DataFrame, parents: DataFrame) -> DataFrame:
 
     A child contains a failed single pair; ``remaining`` are its other pairs.
     """
-    joined = candidates.join(parents, PAIR, "left").withColumn("members", _members())
-    left_over = F.when(F.col("parents").isNull(), F.col("members")).otherwise(F.array_except("members", "parents"))
-    child = F.size(left_over) < F.size("members")
-    return joined.select(
-        *candidates.columns, (child & (F.size("left") > 1)).alias("is_child"), left_over.alias("remaining")
-    )
+    members = "transform(arrays_zip(left, right), p -> named_struct('left', p.left, 'right', p.right))"
+    joined = candidates.join(parents, PAIR, "left").selectExpr("*", f"{members} AS members")
+    rest = joined.selectExpr("*", "IF(parents IS NULL, members, array_except(members, parents)) AS remaining")
+    child = "(size(remaining) < size(members) AND size(left) > 1) AS is_child"
+    return rest.selectExpr(*candidates.columns, child, "remaining")
 
 
 def hier_discard(candidates: DataFrame, parents: DataFrame) -> DataFrame:
@@ -97,8 +83,6 @@ def hier_singles(singles: DataFrame, parents: DataFrame) -> DataFrame:
     Leaving a failed pair out beforehand gives the same combinations as
     ``hier_discard`` on all of them, without building the others.
     """
-    failed = parents.select(*PAIR, F.explode("parents").alias("pair"))
-    condition = [singles[c] == failed[c] for c in PAIR]
-    condition.append(F.get(singles["left"], F.lit(0)) == failed["pair.left"])
-    condition.append(F.get(singles["right"], F.lit(0)) == failed["pair.right"])
-    return singles.join(failed, condition, "left_anti")
+    failed = parents.selectExpr(*PAIR, "explode(parents) AS failed")
+    keyed = singles.selectExpr("*", f"{SINGLE} AS failed")
+    return keyed.join(failed, [*PAIR, "failed"], "left_anti").drop("failed")

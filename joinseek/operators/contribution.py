@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from joinseek.functions.values import is_missing, join_key
@@ -17,24 +17,20 @@ from joinseek.session import column, local_table
 BIG = "decimal(38,0)"
 
 
-def _any_value(df: DataFrame, keys: Sequence[str]) -> Column:
+def _any_value(df: DataFrame, keys: Sequence[str]) -> str:
     """True if a column outside the key has a value."""
-    result = F.lit(False)
-    for field in df.schema.fields:
-        if field.name not in keys:
-            result = result | ~is_missing(field.name, field.dataType)
-    return result
+    tests = [f"NOT {is_missing(f.name, f.dataType)}" for f in df.schema.fields if f.name not in keys]
+    return " OR ".join(tests) or "false"
 
 
 def _side_rows(df: DataFrame, mine: Sequence[tuple[int, Sequence[str]]], width: int, right: bool) -> DataFrame:
-    one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
     structs = []
     for number, keys in mine:
-        filled = F.when(_any_value(df, keys), one).otherwise(zero)
-        counts = [zero, zero, one, filled] if right else [one, filled, zero, zero]
-        named = [c.alias(n) for c, n in zip(counts, ("nl", "el", "nr", "er"), strict=True)]
-        structs.append(key_struct(df, keys, width, [F.lit(number).alias("id"), *named]))
-    return df.select(F.inline(F.array(*structs)))
+        filled = f"IF({_any_value(df, keys)}, 1L, 0L)"
+        counts = ["0L", "0L", "1L", filled] if right else ["1L", filled, "0L", "0L"]
+        named = ", ".join(f"'{n}', {c}" for n, c in zip(("nl", "el", "nr", "er"), counts, strict=True))
+        structs.append(key_struct(df, keys, width, f"'id', {number}, {named}"))
+    return df.selectExpr(f"inline(array({', '.join(structs)}))")
 
 
 def join_contribution(tables: Mapping[str, DataFrame], candidates: DataFrame) -> DataFrame:
@@ -73,17 +69,13 @@ def join_contribution(tables: Mapping[str, DataFrame], candidates: DataFrame) ->
     sums = _sums(tables, rows) if rows else described.select("id", *(F.lit(0).alias(c) for c in SUMS)).limit(0)
     joined = described.join(sums, "id", "left").na.fill(0, list(SUMS))
 
-    def percent(own: str, other: str, filled: str, rows_own: str) -> Column:
-        free = F.col(f"cols_{other}") - F.size(other)
-        cells = F.col(rows_own).cast("double") * F.col(f"cols_{own}")
-        gained = free * F.col(filled).cast("double") * 100
-        return F.coalesce(F.try_divide(gained, cells), F.lit(0.0))
-
-    return joined.select(
-        *CANDIDATE,
-        F.col("joined_rows").cast(BIG).alias("joined_rows"),
-        percent("left", "right", "right_filled", "rows_left").alias("right_adds"),
-        percent("right", "left", "left_filled", "rows_right").alias("left_adds"),
+    def percent(own: str, other: str) -> str:
+        gained = f"(cols_{other} - size({other})) * CAST({other}_filled AS DOUBLE) * 100"
+        cells = f"CAST(rows_{own} AS DOUBLE) * cols_{own}"
+        return f"coalesce(try_divide({gained}, {cells}), 0.0D) AS {other}_adds"
+
+    return joined.selectExpr(
+        *CANDIDATE, f"CAST(joined_rows AS {BIG}) AS joined_rows", percent("left", "right"), percent("right", "left")
     )
 
 
@@ -104,16 +96,11 @@ def _sums(tables: Mapping[str, DataFrame], rows: Sequence) -> DataFrame:
         .agg(*(F.sum(c).alias(c) for c in ("nl", "el", "nr", "er")))
     )
 
-    def product(a: str, b: str) -> Column:
-        return F.sum(F.col(a).cast("decimal(19,0)") * F.col(b).cast("decimal(19,0)"))
+    def product(a: str, b: str) -> str:
+        return f"sum(CAST({a} AS DECIMAL(19,0)) * CAST({b} AS DECIMAL(19,0)))"
 
-    return per_key.groupBy("id").agg(
-        F.sum("nl").alias("rows_left"),
-        F.sum("nr").alias("rows_right"),
-        product("nl", "nr").alias("joined_rows"),
-        product("nl", "er").alias("right_filled"),
-        product("el", "nr").alias("left_filled"),
-    )
+    measures = ["sum(nl)", "sum(nr)", product("nl", "nr"), product("nl", "er"), product("el", "nr")]
+    return per_key.groupBy("id").agg(*(F.expr(f"{m} AS {n}") for m, n in zip(measures, SUMS, strict=True)))
 
 
 def join_on(left: DataFrame, right: DataFrame, left_on: Sequence[str], right_on: Sequence[str]) -> DataFrame:
@@ -125,7 +112,7 @@ def join_on(left: DataFrame, right: DataFrame, left_on: Sequence[str], right_on:
     clash = set(left.columns) & set(right.columns)
 
     def renamed(df: DataFrame, suffix: str, keys: Sequence[str], prefix: str) -> DataFrame:
-        parts = [join_key(k, df.schema[k].dataType).alias(f"{prefix}{i}") for i, k in enumerate(keys)]
+        parts = [F.expr(join_key(k, df.schema[k].dataType)).alias(f"{prefix}{i}") for i, k in enumerate(keys)]
         return df.select(*(column(c).alias(c + suffix if c in clash else c) for c in df.columns), *parts)
 
     a, b = renamed(left, "_left", left_on, "__l"), renamed(right, "_right", right_on, "__r")

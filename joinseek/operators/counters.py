@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from joinseek.functions.values import is_missing
 from joinseek.operators.profile import union_all
-from joinseek.session import column
+from joinseek.session import quoted, text
 
 ROWS_PER_BUCKET = 2_000_000
 MAX_BUCKETS = 1024
@@ -48,7 +48,8 @@ def _buckets(df: DataFrame, names: Sequence[str], rows: int, buckets: int | None
     wanted = buckets or max(1, min(MAX_BUCKETS, rows // ROWS_PER_BUCKET + 1))
     prepared = df
     for i, name in enumerate(names):
-        value = F.when(~is_missing(name, df.schema[name].dataType), column(name).cast("double"))
+        missing = is_missing(name, df.schema[name].dataType)
+        value = F.expr(f"CASE WHEN NOT {missing} THEN CAST({quoted(name)} AS DOUBLE) END")
         prepared = prepared.withColumn(f"x{i}", value)
     inputs = [f"x{i}" for i in range(len(names))]
     if wanted == 1:
@@ -81,28 +82,22 @@ def _misses(df: DataFrame, names: Sequence[str], rows: int, buckets: int | None)
         ]
         if not chosen:
             continue
-        entries = [
-            F.struct(
-                F.lit(n).alias("column"),
-                F.col(f"b{i}").cast("int").alias("bucket"),
-                F.when(F.col(f"x{i}").isNotNull(), column(n).cast(kind)).alias("x"),
-            )
+        entries = ", ".join(
+            f"named_struct('column', {text(n)}, 'bucket', CAST(b{i} AS INT), "
+            f"'x', IF(x{i} IS NOT NULL, CAST({quoted(n)} AS {kind}), NULL))"
             for i, n in chosen
-        ]
+        )
         values = (
-            bucketed.select(F.inline(F.array(*entries)))
+            bucketed.selectExpr(f"inline(array({entries}))")
             .where("x IS NOT NULL")
             .groupBy("column", "bucket", "x")
-            .agg(F.count(F.lit(1)).alias("n"))
+            .agg(F.expr("count(1) AS n"))
         )
         before = F.lag("x").over(Window.partitionBy("column", "bucket").orderBy("x"))
         lagged = values.select("column", "x", "n", before.alias("before"))
-        link = F.struct(
-            F.try_subtract("x", "before").alias("step"),
-            F.when(F.col("before").isNotNull(), 1).otherwise(0).cast("bigint").alias("times"),
-        )
-        repeats = F.struct(F.lit(0).cast(kind).alias("step"), (F.col("n") - 1).alias("times"))
-        inner = lagged.select("column", F.inline(F.array(link, repeats)))
+        link = "named_struct('step', try_subtract(x, before), 'times', IF(before IS NOT NULL, 1L, 0L))"
+        repeats = f"named_struct('step', CAST(0 AS {kind}), 'times', n - 1)"
+        inner = lagged.selectExpr("column", f"inline(array({link}, {repeats}))")
         edges = values.groupBy("column", "bucket").agg(F.min("x").alias("low"), F.max("x").alias("high"))
         # One row per bucket, so this window is small whatever the data size.
         high = F.lag("high").over(Window.partitionBy("column").orderBy("bucket"))

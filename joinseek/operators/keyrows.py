@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from joinseek.functions.values import join_key
@@ -30,27 +30,22 @@ def key_names(width: int) -> list[str]:
     return [f"k{i}" for i in range(width)]
 
 
-def key_struct(df: DataFrame, columns: Sequence[str], width: int, extra: Sequence[Column]) -> Column:
+def key_struct(df: DataFrame, columns: Sequence[str], width: int, extra: str) -> str:
     """One key tuple, padded with nulls up to ``width``, after ``extra`` fields."""
     values = [join_key(c, df.schema[c].dataType) for c in columns]
-    values += [F.lit(None).cast("string")] * (width - len(values))
-    named = [v.alias(k) for v, k in zip(values, key_names(width), strict=True)]
-    return F.struct(*extra, F.lit(len(columns)).cast("tinyint").alias("arity"), *named)
+    values += ["CAST(NULL AS STRING)"] * (width - len(values))
+    named = ", ".join(f"'{k}', {v}" for k, v in zip(key_names(width), values, strict=True))
+    return f"named_struct({extra}, 'arity', {len(columns)}Y, {named})"
 
 
-def has_null(width: int) -> Column:
+def has_null(width: int) -> str:
     """True if one of the first ``arity`` parts of the key is missing."""
-    tests = [(F.col("arity") > i) & F.col(k).isNull() for i, k in enumerate(key_names(width))]
-    result = tests[0]
-    for test in tests[1:]:
-        result = result | test
-    return result
+    return " OR ".join(f"(arity > {i} AND {k} IS NULL)" for i, k in enumerate(key_names(width)))
 
 
-def _masks(index: int, words: int) -> list[Column]:
-    return [
-        F.lit(1 << (index % BITS) if index // BITS == w else 0).cast("bigint").alias(f"w{w}") for w in range(words)
-    ]
+def _masks(index: int, words: int) -> str:
+    masks = [1 << (index % BITS) if index // BITS == w else 0 for w in range(words)]
+    return ", ".join(f"'w{w}', {mask}L" for w, mask in enumerate(masks))
 
 
 def key_masks(tables: Mapping[str, DataFrame], sets: Sequence[ColumnSet]) -> DataFrame:
@@ -59,24 +54,20 @@ def key_masks(tables: Mapping[str, DataFrame], sets: Sequence[ColumnSet]) -> Dat
     width = max(len(cols) for _, cols in sets)
     frames = []
     for name, df in tables.items():
-        mine = [(i, cols) for i, (table, cols) in enumerate(sets) if table == name]
-        if mine:
-            structs = [key_struct(df, cols, width, _masks(i, words)) for i, cols in mine]
-            frames.append(df.select(F.inline(F.array(*structs))))
+        structs = [
+            key_struct(df, cols, width, _masks(i, words)) for i, (table, cols) in enumerate(sets) if table == name
+        ]
+        if structs:
+            frames.append(df.selectExpr(f"inline(array({', '.join(structs)}))"))
     masks = [F.bit_or(f"w{w}").alias(f"w{w}") for w in range(words)]
     return union_all(frames).groupBy("arity", *key_names(width)).agg(*masks)
 
 
-def _members(words: int, total: int) -> Column:
+def _members(words: int, total: int) -> str:
     """The numbers of the column sets whose bits are set."""
-    every = F.sequence(F.lit(0), F.lit(total - 1))
-    mask = F.array(*(F.col(f"w{w}") for w in range(words)))
-
-    def is_set(i: Column) -> Column:
-        word = F.get(mask, F.floor(i / BITS).cast("int"))
-        return F.call_function("shiftright", word, i % BITS).bitwiseAND(F.lit(1).cast("bigint")) == 1
-
-    return F.filter(every, is_set)
+    mask = f"array({', '.join(f'w{w}' for w in range(words))})"
+    word = f"get({mask}, CAST(floor(i / {BITS}) AS INT))"
+    return f"filter(sequence(0, {total - 1}), i -> (shiftright({word}, i % {BITS}) & 1L) = 1L)"
 
 
 def _count(tables: Mapping[str, DataFrame], sets: Sequence[ColumnSet], wanted: DataFrame) -> DataFrame:
@@ -90,15 +81,15 @@ def _count(tables: Mapping[str, DataFrame], sets: Sequence[ColumnSet], wanted: D
     names = [f"w{w}" for w in range(words)]
     per_mask = (
         key_masks(tables, sets)
-        .groupBy(*names, has_null(width).alias("has_null"))
-        .agg(F.count(F.lit(1)).alias("keys"))
+        .groupBy(*names, F.expr(has_null(width)).alias("has_null"))
+        .agg(F.expr("count(1) AS keys"))
     )
-    members = per_mask.select("has_null", "keys", _members(words, len(sets)).alias("members"))
-    held = members.select("*", F.explode("members").alias("first")).join(wanted, "first")
+    members = per_mask.selectExpr("has_null", "keys", f"{_members(words, len(sets))} AS members")
+    held = members.selectExpr("*", "explode(members) AS first").join(wanted, "first")
     return (
-        held.where(F.array_contains("members", F.col("second")))
+        held.where("array_contains(members, second)")
         .groupBy("id", "role")
-        .agg(F.sum("keys").alias("keys"), F.sum(F.when(F.col("has_null"), 0).otherwise(F.col("keys"))).alias("full_keys"))
+        .agg(F.expr("sum(keys) AS keys"), F.expr("sum(IF(has_null, 0, keys)) AS full_keys"))
     )
 
 
@@ -160,19 +151,9 @@ def pair_counts(
             },
         )
 
-        def total(role: int, measure: str, name: str) -> Column:
-            return F.coalesce(F.sum(F.when(F.col("role") == role, F.col(measure))), F.lit(0)).alias(name)
-
-        counts = (
-            _count(tables, sets, wanted)
-            .groupBy("id")
-            .agg(
-                total(0, "keys", "n_left"),
-                total(1, "keys", "n_right"),
-                total(2, "keys", "common"),
-                total(2, "full_keys", "full_common"),
-            )
-        )
+        measures = [(0, "keys", "n_left"), (1, "keys", "n_right"), (2, "keys", "common"), (2, "full_keys", "full_common")]
+        sums = [F.expr(f"sum(IF(role = {role}, {measure}, 0)) AS {name}") for role, measure, name in measures]
+        counts = _count(tables, sets, wanted).groupBy("id").agg(*sums)
         joined = names.join(counts, "id", "left").drop("id")
         frames.append(joined.na.fill(0, ["n_left", "n_right", "common", "full_common"]))
     return union_all(frames)

@@ -4,20 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from joinseek.operators.keyrows import key_counts
 from joinseek.operators.overlap import INFO_TYPE
 from joinseek.operators.profile import union_all
-from joinseek.session import settle
-
-KEY_TYPE = "array<struct<name:string,category:string>>"
-
-
-def _key_count() -> Column:
-    """Distinct values of one column, counting a missing value as a value."""
-    return F.col("distinct") + F.when(F.col("missing") > 0, 1).otherwise(0)
+from joinseek.session import settle, text
 
 
 def unique_keys(
@@ -36,38 +29,28 @@ def unique_keys(
     columns may be listed in ``scope`` if the catalogue limits columns per scope.
     """
     group = [*scope] if "table" in scope else [*scope, "table"]
-    single = catalog.where("rows > 0").select(
+    single = catalog.where("rows > 0").selectExpr(
         *group,
         "rows",
-        F.struct("position", F.col("column").alias("name"), "category").alias("last"),
-        _key_count().cast("double").alias("size"),
+        "struct(position, column AS name, category) AS last",
+        # A missing value counts as a value.
+        "CAST(distinct + IF(missing > 0, 1, 0) AS DOUBLE) AS size",
     )
-    level = single.select(*group, "rows", F.array("last").alias("members"), F.col("size").alias("bound"))
+    level = single.selectExpr(*group, "rows", "array(last) AS members", "size AS bound")
     found = []
     for number in range(1, max_columns + 1):
         if number > 1:
             level = (
                 level.join(single.drop("rows"), group)
-                .where(F.col("last.position") > F.get("members", F.size("members") - 1)["position"])
-                .select(
-                    *group,
-                    "rows",
-                    F.concat("members", F.array("last")).alias("members"),
-                    (F.col("bound") * F.col("size")).alias("bound"),
-                )
+                .where("last.position > element_at(members, -1).position")
+                .selectExpr(*group, "rows", "concat(members, array(last)) AS members", "bound * size AS bound")
             )
         possible = level.where(F.col("bound") >= F.col("rows") * min_ratio)
         counted = _with_key_counts(tables, possible, group, number)
+        names = "transform(members, m -> named_struct('name', m.name, 'category', m.category)) AS columns"
         hits = settle(
-            counted.withColumn("percentage", F.col("keys") / F.col("rows"))
-            .where(F.col("percentage") >= min_ratio)
-            .select(
-                *group,
-                F.lit(number).alias("number"),
-                F.transform("members", lambda m: F.struct(m["name"].alias("name"), m["category"].alias("category")))
-                .cast(KEY_TYPE)
-                .alias("columns"),
-                "percentage",
+            counted.selectExpr(*group, f"{number} AS number", names, "keys / rows AS percentage").where(
+                f"percentage >= {min_ratio}D"
             )
         )
         found.append(hits)
@@ -80,7 +63,7 @@ def unique_keys(
 def _with_key_counts(tables: Mapping[str, DataFrame], level: DataFrame, group: list[str], number: int) -> DataFrame:
     if number == 1:
         return level.withColumn("keys", F.col("bound"))
-    level = level.withColumn("names", F.col("members.name"))
+    level = level.selectExpr("*", "members.name AS names")
     sets = sorted({(r.table, tuple(r.names)) for r in level.select("table", "names").distinct().collect()})
     if not sets:
         return level.withColumn("keys", F.lit(None).cast("double"))
@@ -102,25 +85,23 @@ def foreign_keys(
     columns of the other table; ``on`` names the fields both agree on. No column
     serves twice in a candidate.
     """
-    key_fields = [k for k, _ in on]
-    other = catalog.select(*(F.col(c).alias(k) for k, c in on), F.col("column").alias("option"), F.col("category"))
-    grown = keys.select(*key_fields, "columns", F.array().cast("array<string>").alias("chosen"))
+    fields = [k for k, _ in on]
+    other = catalog.selectExpr(*(f"{c} AS {k}" for k, c in on), "column AS option", "category")
+    grown = keys.selectExpr(*fields, "columns", "CAST(array() AS ARRAY<STRING>) AS chosen")
     done = []
     for i in range(max_columns):
-        wanted = grown.where(F.size("columns") > i).withColumn("category", F.get("columns", F.lit(i))["category"])
+        wanted = grown.where(f"size(columns) > {i}").selectExpr("*", f"columns[{i}].category AS category")
         grown = (
-            wanted.join(other, [*key_fields, "category"])
-            .where(~F.array_contains("chosen", F.col("option")))
-            .withColumn("chosen", F.concat("chosen", F.array("option")))
-            .select(*key_fields, "columns", "chosen")
+            wanted.join(other, [*fields, "category"])
+            .where("NOT array_contains(chosen, option)")
+            .selectExpr(*fields, "columns", "concat(chosen, array(option)) AS chosen")
         )
-        done.append(grown.where(F.size("columns") == i + 1))
-    names, chosen = F.col("columns.name"), F.col("chosen")
-    left, right = (names, chosen) if key_side == "left" else (chosen, names)
-    return union_all(done).select(
-        F.lit(stage).alias("stage"),
-        *key_fields,
-        left.alias("left"),
-        right.alias("right"),
-        F.array().cast(INFO_TYPE).alias("similarity_info"),
+        done.append(grown.where(f"size(columns) = {i + 1}"))
+    left, right = ("columns.name", "chosen") if key_side == "left" else ("chosen", "columns.name")
+    return union_all(done).selectExpr(
+        f"{text(stage)} AS stage",
+        *fields,
+        f"{left} AS left",
+        f"{right} AS right",
+        f"CAST(array() AS {INFO_TYPE}) AS similarity_info",
     )

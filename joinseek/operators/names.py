@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from joinseek.functions.strings import METHODS, string_similarity
+from joinseek.functions.strings import METHODS, similarity_struct
 from joinseek.operators.overlap import INFO_TYPE
 from joinseek.operators.semantic import Taxonomy, semantic_similarity
+from joinseek.session import text
 
 
 def column_pairs(catalog: DataFrame, pairs: DataFrame, on: str | None = None) -> DataFrame:
@@ -17,9 +17,9 @@ def column_pairs(catalog: DataFrame, pairs: DataFrame, on: str | None = None) ->
 
     ``on`` asks for equality of one catalogue field, as part of the join.
     """
-    fields = ["table", "column", "position", "category", "distinct", "missing", "rows"]
-    left = catalog.select(*(F.col(c).alias(f"left_{c}") for c in fields))
-    right = catalog.select(*(F.col(c).alias(f"right_{c}") for c in fields))
+    fields = ["table", "column", "category"]
+    left = catalog.selectExpr(*(f"{c} AS left_{c}" for c in fields))
+    right = catalog.selectExpr(*(f"{c} AS right_{c}" for c in fields))
     sided = pairs.join(left, "left_table")
     condition = sided["right_table"] == right["right_table"]
     if on is not None:
@@ -28,21 +28,21 @@ def column_pairs(catalog: DataFrame, pairs: DataFrame, on: str | None = None) ->
 
 
 def _as_candidates(found: DataFrame, stage: str) -> DataFrame:
-    return found.select(
-        F.lit(stage).alias("stage"),
+    return found.selectExpr(
+        f"{text(stage)} AS stage",
         "left_table",
         "right_table",
-        F.array("left_column").alias("left"),
-        F.array("right_column").alias("right"),
-        F.col("similarity_info").cast(INFO_TYPE).alias("similarity_info"),
+        "array(left_column) AS left",
+        "array(right_column) AS right",
+        f"CAST(similarity_info AS {INFO_TYPE}) AS similarity_info",
     )
 
 
 def common_columns(catalog: DataFrame, pairs: DataFrame, stage: str = "S1") -> DataFrame:
     """Column pairs with the same name."""
     found = column_pairs(catalog, pairs, on="column")
-    info = F.array(F.struct(F.lit(1.0).alias("score"), F.lit("Equality").alias("method")))
-    return _as_candidates(found.withColumn("similarity_info", info), stage)
+    equal = "array(named_struct('score', 1.0D, 'method', 'Equality')) AS similarity_info"
+    return _as_candidates(found.selectExpr("*", equal), stage)
 
 
 def similar_columns(
@@ -70,18 +70,18 @@ def similar_columns(
             words = beside.select("left_column", "right_column").distinct()
             scored = semantic_similarity(words, taxonomy, "left_column", "right_column", "semantic")
             beside = beside.join(scored, ["left_column", "right_column"])
-            info = F.struct(F.col("semantic").alias("score"), F.lit("Semantic").alias("method"))
+            info = "named_struct('score', semantic, 'method', 'Semantic')"
         else:
-            info = string_similarity(F.col("left_column"), F.col("right_column"), method)
-        scores.append(F.struct(info["score"].alias("score"), info["method"].alias("method"), F.lit(minimum).alias("min")))
+            info = similarity_struct("left_column", "right_column", method)
+        scores.append(f"named_struct('info', {info}, 'least', {minimum}D)")
     if not scores:
         return common_columns(catalog, pairs, stage).limit(0)
-    reached = F.filter(F.array(*scores), lambda s: s["score"] >= s["min"])
-    info = F.transform(reached, lambda s: F.struct(s["score"].alias("score"), s["method"].alias("method")))
-    return _as_candidates(beside.withColumn("similarity_info", info).where(F.size("similarity_info") > 0), stage)
+    scored = beside.selectExpr("*", f"array({', '.join(scores)}) AS scores")
+    reached = scored.selectExpr("*", "filter(scores, s -> s.info.score >= s.least).info AS similarity_info")
+    return _as_candidates(reached.where("size(similarity_info) > 0"), stage)
 
 
 def same_category_pairs(catalog: DataFrame, pairs: DataFrame, stage: str = "S4") -> DataFrame:
     """Every column pair of equal category."""
     found = column_pairs(catalog, pairs, on="category")
-    return _as_candidates(found.withColumn("similarity_info", F.array()), stage)
+    return _as_candidates(found.selectExpr("*", "array() AS similarity_info"), stage)

@@ -4,23 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from joinseek.functions.values import is_missing, join_key
-from joinseek.session import checkpoint, column
+from joinseek.session import checkpoint, quoted
 
 ROW_BITS = 33  # monotonically_increasing_id keeps the row number in these bits
 
 
-def sort_key(name: str, left: T.DataType, right: T.DataType) -> Column:
+def sort_key(name: str, own: T.DataType, other: T.DataType) -> str:
     """The value in a type both sides can be sorted by."""
-    if isinstance(left, T.IntegralType) and isinstance(right, T.IntegralType):
-        return column(name).cast("bigint")
-    if isinstance(left, T.NumericType) and isinstance(right, T.NumericType):
-        return column(name).cast("double") + F.lit(0.0)
-    return join_key(name, left)
+    if isinstance(own, T.IntegralType) and isinstance(other, T.IntegralType):
+        return f"CAST({quoted(name)} AS BIGINT)"
+    if isinstance(own, T.NumericType) and isinstance(other, T.NumericType):
+        return f"CAST({quoted(name)} AS DOUBLE) + 0.0D"
+    return join_key(name, own)
 
 
 def global_rank(keys: DataFrame, key: str, partitions: int | None = None) -> DataFrame:
@@ -73,8 +73,8 @@ def sorted_neighbourhood(
     def distinct_tuples(df: DataFrame, names: Sequence[str], other: T.DataType, side: str) -> DataFrame:
         own = df.schema[names[0]].dataType
         keys = [sort_key(names[0], own, other), *(join_key(n, df.schema[n].dataType) for n in names[1:])]
-        present = df.where(~is_missing(names[0], own))
-        return present.select(*(k.alias(f"{side}_{i}") for i, k in enumerate(keys))).distinct()
+        present = df.where(f"NOT {is_missing(names[0], own)}")
+        return present.selectExpr(*(f"{k} AS {side}_{i}" for i, k in enumerate(keys))).distinct()
 
     a = distinct_tuples(left, left_on, right.schema[right_on[0]].dataType, "left")
     b = distinct_tuples(right, right_on, left.schema[left_on[0]].dataType, "right")

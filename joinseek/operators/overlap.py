@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from joinseek.operators.keyrows import pair_counts
@@ -22,46 +22,39 @@ EMPTY_INPUT = "empty input"
 DONE = {"SortedNeighborhood": "Sorted Neighbourhood", "Merge": "Merge"}
 
 
-def two_decimals(value: Column) -> Column:
+def two_decimals(value: str) -> str:
     """A share in [0, 1] with two decimals, rounded on its exact binary value.
 
     ``format_string`` rounds the shortest decimal form half up instead, which
     differs at the hundred values x.xx5, so those come from a list.
     """
-    ties = F.split(F.lit(" ".join(f"{(10 * i + 5) / 1000:.2f}" for i in range(100))), " ")
-    cent = F.least(F.floor(value * 100).cast("int"), F.lit(99))
-    tie = (cent * 10 + 5) / F.lit(1000.0)
-    return F.when(value == tie, F.get(ties, cent)).otherwise(F.format_string("%.2f", value))
+    ties = " ".join(f"{(10 * i + 5) / 1000:.2f}" for i in range(100))
+    cent = f"CAST(least(floor({value} * 100), 99) AS INT)"
+    return (
+        f"CASE WHEN {value} = ({cent} * 10 + 5) / 1000.0D THEN get(split('{ties}', ' '), {cent}) "
+        f"ELSE format_string('%.2f', {value}) END"
+    )
 
 
 def _side_maps(catalog: DataFrame, side: str) -> DataFrame:
     """Per table a map from column name to its category and known key count."""
-    known = F.col("distinct") + F.when(F.col("missing") > 0, 1).otherwise(0)
-    entry = F.struct("column", F.struct("category", known.alias("known")))
+    known = "distinct + IF(missing > 0, 1, 0)"
+    entry = f"struct(column, named_struct('category', category, 'known', {known}))"
     return catalog.groupBy(F.col("table").alias(f"{side}_table")).agg(
-        F.map_from_entries(F.collect_list(entry)).alias(f"{side}_map")
+        F.expr(f"map_from_entries(collect_list({entry})) AS {side}_map")
     )
 
 
-def _looked_up(side: str) -> Column:
-    info = F.col(f"{side}_map")
-    empty = F.array().cast("array<struct<category:string,known:bigint>>")
-    return F.when(info.isNull(), F.transform(F.col(side), lambda c: F.get(empty, F.lit(0)))).otherwise(
-        F.transform(F.col(side), lambda c: F.try_element_at(info, c))
-    )
-
-
-def upper_bound(n_left: Column, n_right: Column, score_method: str) -> Column:
+def upper_bound(n_left: str, n_right: str, score_method: str) -> str:
     """The best score two sets of these sizes can reach."""
-    low, high = F.least(n_left, n_right), F.greatest(n_left, n_right)
+    low, high = f"least({n_left}, {n_right})", f"greatest({n_left}, {n_right})"
     if score_method == "jaccard":
-        return F.try_divide(low, high)
-    return F.try_divide(low, F.sqrt(n_left.cast("double") * n_right))
+        return f"try_divide({low}, {high})"
+    return f"try_divide({low}, sqrt(CAST({n_left} AS DOUBLE) * {n_right}))"
 
 
-def _pruned(n_left: Column, n_right: Column, score_method: str, min_join: float) -> Column:
-    bound = upper_bound(n_left, n_right, score_method)
-    return F.when(bound < min_join, F.concat(F.lit("Pruned SN ("), two_decimals(bound), F.lit(")")))
+def _pruned(bound: str, min_join: float) -> str:
+    return f"CASE WHEN {bound} < {min_join}D THEN concat('Pruned SN (', {two_decimals(bound)}, ')') END"
 
 
 def check_candidates(candidates: DataFrame, catalog: DataFrame, score_method: str, min_join: float) -> DataFrame:
@@ -73,19 +66,26 @@ def check_candidates(candidates: DataFrame, catalog: DataFrame, score_method: st
     joined = candidates
     for side in ("left", "right"):
         joined = joined.join(_side_maps(catalog, side), f"{side}_table", "left")
-    joined = joined.select("*", _looked_up("left").alias("l"), _looked_up("right").alias("r"))
-    unequal = F.filter(F.arrays_zip("l", "r"), lambda x: x["l"]["category"] != x["r"]["category"])
-    first = F.get(unequal, F.lit(0))
-    mismatch = F.concat(F.lit("Category mismatch: "), first["l"]["category"], F.lit("-"), first["r"]["category"])
-    single = F.when(F.size("left") == 1, F.get("l", F.lit(0))["known"])
-    other = F.when(F.size("right") == 1, F.get("r", F.lit(0))["known"])
-    reason = (
-        F.when(F.size("left") != F.size("right"), F.lit(LENGTH_MISMATCH))
-        .when(F.exists("l", lambda x: x.isNull()) | F.exists("r", lambda x: x.isNull()), F.lit(WRONG_NAMES))
-        .when(F.size(unequal) > 0, mismatch)
-        .otherwise(_pruned(single, other, score_method, min_join))
+    info = "struct<category:string,known:bigint>"
+    looked_up = joined.selectExpr(
+        *candidates.columns,
+        *(
+            f"transform({side}, c -> CAST(try_element_at({side}_map, c) AS {info})) AS {short}"
+            for side, short in (("left", "l"), ("right", "r"))
+        ),
+    )
+    tested = looked_up.selectExpr(
+        "*",
+        "get(filter(arrays_zip(l, r), x -> x.l.category != x.r.category), 0) AS unequal",
+        f"""CASE WHEN size(left) = 1 AND size(right) = 1
+          THEN {upper_bound('l[0].known', 'r[0].known', score_method)} END AS bound""",
     )
-    return joined.withColumn("reason", reason).drop("l", "r", "left_map", "right_map")
+    reason = f"""CASE WHEN size(left) != size(right) THEN '{LENGTH_MISMATCH}'
+      WHEN exists(l, x -> x IS NULL) OR exists(r, x -> x IS NULL) THEN '{WRONG_NAMES}'
+      WHEN unequal IS NOT NULL
+        THEN concat('Category mismatch: ', unequal.l.category, '-', unequal.r.category)
+      ELSE {_pruned('bound', min_join)} END AS reason"""
+    return tested.selectExpr(*candidates.columns, reason)
 
 
 def _counted(tables: Mapping[str, DataFrame], checked: DataFrame) -> DataFrame:
@@ -95,8 +95,8 @@ def _counted(tables: Mapping[str, DataFrame], checked: DataFrame) -> DataFrame:
     """
     rows = checked.where("reason IS NULL").select(*CANDIDATE).distinct().collect()
     if not rows:
-        zeros = (F.lit(None).cast("bigint").alias(c) for c in ("n_left", "n_right", "common", "full_common"))
-        return checked.select("*", *zeros)
+        unknown = (f"CAST(NULL AS BIGINT) AS {c}" for c in ("n_left", "n_right", "common", "full_common"))
+        return checked.selectExpr("*", *unknown)
     pairs = [((r.left_table, tuple(r.left)), (r.right_table, tuple(r.right))) for r in rows]
     return checked.join(pair_counts(checked.sparkSession, tables, pairs), CANDIDATE, "left")
 
@@ -119,32 +119,32 @@ def measure_overlap(
     if score_method not in SCORE_METHODS:
         raise ValueError(f"score_method must be one of {SCORE_METHODS}, not {score_method!r}")
     checked = settle(check_candidates(candidates, catalog, score_method, min_join))
-    counted = _counted(tables, checked)
-    reason = (
-        F.when(F.col("reason").isNotNull(), F.col("reason"))
-        .when((F.col("n_left") == 0) | (F.col("n_right") == 0), F.lit(EMPTY_INPUT))
-        .otherwise(_pruned(F.col("n_left"), F.col("n_right"), score_method, min_join))
-    )
-    matches = F.when(F.lit(eval_method == "Merge"), F.col("common")).otherwise(F.col("full_common"))
-    decided = counted.withColumn("reason", reason).withColumn(
-        "matches", F.when(F.col("reason").isNull(), matches).otherwise(F.lit(0).cast("bigint"))
-    )
+    bounded = _counted(tables, checked).withColumn("bound", F.expr(upper_bound("n_left", "n_right", score_method)))
+    matches = "common" if eval_method == "Merge" else "full_common"
+    decided = bounded.selectExpr(
+        *checked.columns[:-1],
+        "n_left",
+        "n_right",
+        f"""CASE WHEN reason IS NOT NULL THEN reason WHEN n_left = 0 OR n_right = 0 THEN '{EMPTY_INPUT}'
+          ELSE {_pruned('bound', min_join)} END AS reason""",
+        f"{matches} AS found",
+    ).selectExpr("*", "IF(reason IS NULL, found, 0L) AS matches")
     if score_method == "jaccard":
-        total = (F.col("n_left") + F.col("n_right") - F.col("matches")).cast("double")
+        total = "CAST(n_left + n_right - matches AS DOUBLE)"
     else:
-        total = F.sqrt(F.col("n_left").cast("double") * F.col("n_right"))
-    scored = decided.withColumn("total", F.when(F.col("reason").isNull(), total).otherwise(F.lit(0.0))).withColumn(
-        "join_score", F.coalesce(F.try_divide(F.col("matches").cast("double"), F.col("total")), F.lit(0.0))
+        total = "sqrt(CAST(n_left AS DOUBLE) * n_right)"
+    scored = decided.selectExpr("*", f"IF(reason IS NULL, {total}, 0.0D) AS total").selectExpr(
+        "*", "coalesce(try_divide(CAST(matches AS DOUBLE), total), 0.0D) AS join_score"
     )
-    return scored.select(
+    return scored.selectExpr(
         "stage",
         *CANDIDATE,
         "similarity_info",
         "join_score",
         "matches",
         "total",
-        (F.col("reason").isNull() & (F.col("join_score") >= min_join)).alias("mergeable"),
-        F.coalesce("reason", F.lit(DONE[eval_method])).alias("description"),
+        f"(reason IS NULL AND join_score >= {min_join}D) AS mergeable",
+        f"coalesce(reason, '{DONE[eval_method]}') AS description",
     )
 
 
@@ -160,16 +160,7 @@ def rank(report: DataFrame) -> DataFrame:
 
 def listing(report: DataFrame) -> DataFrame:
     """One line of text per candidate: columns, score in percent, counts, reason."""
-    total = F.when(F.col("total") == F.floor("total"), F.col("total").cast("bigint").cast("string")).otherwise(
-        F.col("total").cast("string")
-    )
-    line = F.format_string(
-        "Left: %s Right: %s Join score: %.2f (%s / %s) %s",
-        F.array_join("left", ", "),
-        F.array_join("right", ", "),
-        F.col("join_score") * 100,
-        F.col("matches"),
-        total,
-        F.col("description"),
-    )
-    return rank(report).select("stage", "left_table", "right_table", line.alias("line"))
+    line = """format_string('Left: %s Right: %s Join score: %.2f (%s / %s) %s', array_join(left, ', '),
+      array_join(right, ', '), join_score * 100, matches,
+      IF(total = rint(total), CAST(CAST(total AS BIGINT) AS STRING), CAST(total AS STRING)), description) AS line"""
+    return rank(report).selectExpr("stage", "left_table", "right_table", line)

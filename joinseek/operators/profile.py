@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from joinseek.functions.dates import is_date
 from joinseek.functions.values import FRACTIONAL, TEMPORAL, is_missing, join_key
-from joinseek.session import column, settle
+from joinseek.session import local_table, quoted, settle, text
 
 DATE_SHARE = 0.5
 
@@ -20,47 +21,39 @@ def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionAll, frames)
 
 
-def _column_stats(field: T.StructField, position: int) -> Column:
+def _fixed_category(dtype: T.DataType) -> str:
+    if isinstance(dtype, T.BooleanType):
+        return "'Boolean'"
+    return "'Numerical'" if isinstance(dtype, T.NumericType) else "CAST(NULL AS STRING)"
+
+
+def _column_stats(field: T.StructField, position: int) -> str:
     """The aggregates of one column, as one struct.
 
     ``valid`` counts values that read as dates, under the better of the
     day-first and month-first orders.
     """
-    value, zero = column(field.name), F.lit(0).cast("bigint")
-    average = F.lit(None).cast("double")
-    valid = zero
+    value, average, valid = quoted(field.name), "CAST(NULL AS DOUBLE)", "0L"
     if isinstance(field.dataType, T.StringType):
-        average = F.avg(F.length(value))
-        valid = F.greatest(F.count_if(is_date(value, True)), F.count_if(is_date(value, False)))
+        average = f"avg(length({value}))"
+        valid = f"greatest(count_if({is_date(value, True)}), count_if({is_date(value, False)}))"
     elif isinstance(field.dataType, TEMPORAL):
-        valid = F.count(value)
-    return F.struct(
-        F.lit(field.name).alias("column"),
-        F.lit(position).alias("position"),
-        F.lit(field.dataType.simpleString()).alias("type"),
-        F.lit(_fixed_category(field.dataType)).alias("fixed"),
-        F.count_if(is_missing(field.name, field.dataType)).alias("missing"),
-        valid.alias("valid"),
-        average.alias("avg_length"),
+        valid = f"count({value})"
+    return (
+        f"named_struct('column', {text(field.name)}, 'position', {position}, "
+        f"'type', {text(field.dataType.simpleString())}, 'fixed', {_fixed_category(field.dataType)}, "
+        f"'missing', count_if({is_missing(field.name, field.dataType)}), 'valid', {valid}, 'avg_length', {average})"
     )
 
 
-def _fixed_category(dtype: T.DataType) -> str | None:
-    if isinstance(dtype, T.BooleanType):
-        return "Boolean"
-    return "Numerical" if isinstance(dtype, T.NumericType) else None
-
-
 def _table_stats(table: str, df: DataFrame) -> DataFrame:
-    stats = [_column_stats(field, i) for i, field in enumerate(df.schema.fields)]
-    one_row = df.agg(F.count(F.lit(1)).alias("rows"), F.array(*stats).alias("stats"))
-    return one_row.select(F.lit(table).alias("table"), "rows", F.inline("stats"))
+    stats = ", ".join(_column_stats(field, i) for i, field in enumerate(df.schema.fields))
+    one_row = df.agg(F.expr("count(1) AS rows"), F.expr(f"array({stats}) AS stats"))
+    return one_row.selectExpr(f"{text(table)} AS table", "rows", "inline(stats)")
 
 
-def category_of() -> Column:
-    """Boolean and Numerical by type; Date if over half of all rows are dates."""
-    is_dates = F.col("valid") > F.col("rows") * DATE_SHARE
-    return F.coalesce("fixed", F.when(is_dates, "Date").otherwise("Text"))
+# Boolean and Numerical by type; Date if over half of all rows are dates.
+CATEGORY = f"coalesce(fixed, CASE WHEN valid > rows * {DATE_SHARE} THEN 'Date' ELSE 'Text' END)"
 
 
 def column_stats(tables: Mapping[str, DataFrame]) -> DataFrame:
@@ -70,36 +63,26 @@ def column_stats(tables: Mapping[str, DataFrame]) -> DataFrame:
     tables run in the same job.
     """
     stats = union_all([_table_stats(name, df) for name, df in tables.items()])
-    category = category_of()
-    return stats.select(
-        "table",
-        "column",
-        "position",
-        "type",
-        category.alias("category"),
-        "rows",
-        "missing",
-        "avg_length",
-        F.when(category == "Text", F.col("avg_length")).alias("avg_chars"),
-    )
+    kept = ["table", "column", "position", "type", "category", "rows", "missing", "avg_length"]
+    categorised = stats.withColumn("category", F.expr(CATEGORY))
+    return categorised.selectExpr(*kept, "CASE WHEN category = 'Text' THEN avg_length END AS avg_chars")
 
 
 def _slot_values(fields: Sequence[T.StructField], slots: Sequence[int], df: DataFrame) -> DataFrame:
     """Every value of the given columns as a narrow row (slot, typed value)."""
-    none = {kind: F.lit(None).cast(kind) for kind in ("bigint", "double", "string")}
     entries = []
     for field, slot in zip(fields, slots, strict=True):
-        value = column(field.name)
-        typed = dict(none)
+        typed = {kind: f"CAST(NULL AS {kind})" for kind in ("BIGINT", "DOUBLE", "STRING")}
         if isinstance(field.dataType, T.IntegralType):
-            typed["bigint"] = value.cast("bigint")
+            typed["BIGINT"] = f"CAST({quoted(field.name)} AS BIGINT)"
         elif isinstance(field.dataType, FRACTIONAL):
-            typed["double"] = F.when(~F.isnan(value), value.cast("double"))
+            typed["DOUBLE"] = f"CAST(nullif({quoted(field.name)}, double('NaN')) AS DOUBLE)"
         else:
-            typed["string"] = join_key(field.name, field.dataType)
-        entries.append(F.struct(F.lit(slot).alias("slot"), *(typed[k].alias(k) for k in none)))
-    exploded = df.select(F.inline(F.array(*entries)))
-    return exploded.where(F.col("bigint").isNotNull() | F.col("double").isNotNull() | F.col("string").isNotNull())
+            typed["STRING"] = join_key(field.name, field.dataType)
+        values = ", ".join(f"'{kind.lower()}_value', {value}" for kind, value in typed.items())
+        entries.append(f"named_struct('slot', {slot}, {values})")
+    exploded = df.selectExpr(f"inline(array({', '.join(entries)}))")
+    return exploded.where("bigint_value IS NOT NULL OR double_value IS NOT NULL OR string_value IS NOT NULL")
 
 
 def distinct_counts(tables: Mapping[str, DataFrame], columns: Sequence[tuple[str, str]] | None = None) -> DataFrame:
@@ -119,11 +102,12 @@ def distinct_counts(tables: Mapping[str, DataFrame], columns: Sequence[tuple[str
         if mine:
             frames.append(_slot_values([f for _, f in mine], [s for s, _ in mine], df))
     counts = union_all(frames).distinct().groupBy("slot").agg(F.count(F.lit(1)).alias("distinct"))
-    names = F.array(*(F.struct(F.lit(t).alias("table"), F.lit(f.name).alias("column")) for t, f in wanted))
-    slots = counts.sparkSession.range(1).select(F.posexplode(names).alias("slot", "name"))
-    return slots.join(F.broadcast(counts), "slot", "left").select(
-        "name.table", "name.column", F.coalesce("distinct", F.lit(0).cast("bigint")).alias("distinct")
+    names = local_table(
+        counts.sparkSession,
+        {"slot": list(range(len(wanted))), "table": [t for t, _ in wanted], "column": [f.name for _, f in wanted]},
+        {"slot": pa.int32(), "table": pa.string(), "column": pa.string()},
     )
+    return names.join(counts, "slot", "left").selectExpr("table", "column", "coalesce(distinct, 0L) AS distinct")
 
 
 def profile(tables: Mapping[str, DataFrame], distinct: bool = True) -> DataFrame:
@@ -146,8 +130,9 @@ def add_distinct(catalog: DataFrame, tables: Mapping[str, DataFrame]) -> DataFra
 
 def group_by_category(catalog: DataFrame) -> DataFrame:
     """Columns of each category per table, in table order."""
-    ordered = F.array_sort(F.collect_list(F.struct("position", "column")))
-    return catalog.groupBy("table", "category").agg(F.transform(ordered, lambda x: x["column"]).alias("columns"))
+    return catalog.groupBy("table", "category").agg(
+        F.expr("array_sort(collect_list(struct(position, column))).column AS columns")
+    )
 
 
 def shape(tables: Mapping[str, DataFrame]) -> DataFrame:

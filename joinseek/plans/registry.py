@@ -59,22 +59,21 @@ def candidates(spark: SparkSession, rows: Sequence[tuple[str, str, list[str], li
     return table.select(F.lit("given").alias("stage"), "*", F.array().cast(INFO_TYPE).alias("similarity_info"))
 
 
-def joined(name: str) -> Column:
-    return F.array_join(name, ",").alias(f"{name}_columns")
+COLUMNS = ["array_join(left, ',') AS left_columns", "array_join(right, ',') AS right_columns"]
+REPORT = [
+    "left_table",
+    "right_table",
+    *COLUMNS,
+    "round(join_score, 6) AS join_score",
+    "matches",
+    "round(total, 6) AS total",
+    "CAST(mergeable AS INT) AS mergeable",
+    "description",
+]
 
 
 def report_rows(report: DataFrame) -> DataFrame:
-    return report.select(
-        "left_table",
-        "right_table",
-        joined("left"),
-        joined("right"),
-        F.round("join_score", 6).alias("join_score"),
-        "matches",
-        F.round("total", 6).alias("total"),
-        F.col("mergeable").cast("int").alias("mergeable"),
-        "description",
-    )
+    return report.selectExpr(*REPORT)
 
 
 def profile_rows(catalog: DataFrame) -> DataFrame:
@@ -175,7 +174,7 @@ def text_similarity(method: str) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, folder: str) -> DataFrame:
         t = load(spark, folder, "orders", "customer")
         rows = t["orders"].join(t["customer"], F.col("o_custkey") == F.col("c_custkey"))
-        info = string_similarity(F.col("o_orderpriority"), F.col("c_mktsegment"), method)
+        info = string_similarity("o_orderpriority", "c_mktsegment", method)
         return rows.select("o_orderkey", F.round(info["score"], 6).alias("score"), info["method"].alias("method"))
 
     return query
@@ -240,11 +239,15 @@ def similar_names(spark: SparkSession, folder: str) -> DataFrame:
     t = load(spark, folder, "orders", "customer", "lineitem", "part", "supplier")
     catalog = settle(profile(t, distinct=False))
     found = similar_columns(catalog, pair_table(spark, SIMILAR), NAME_METHODS)
-    methods = F.array_join(F.transform("similarity_info", lambda i: i["method"]), ",").alias("methods")
-    best = F.round(F.array_max(F.transform("similarity_info", lambda i: i["score"])), 6).alias("name_score")
     report = measure_overlap(t, found, catalog)
-    return report.select(
-        "left_table", "right_table", joined("left"), joined("right"), methods, best, "matches", "description"
+    return report.selectExpr(
+        "left_table",
+        "right_table",
+        *COLUMNS,
+        "array_join(similarity_info.method, ',') AS methods",
+        "round(array_max(similarity_info.score), 6) AS name_score",
+        "matches",
+        "description",
     )
 
 
@@ -279,10 +282,8 @@ def hierarchical_rest(spark: SparkSession, folder: str) -> DataFrame:
     singles = common_columns(catalog, pair_table(spark, [("returned", "kept")]))
     parents = hier_parents(measure_overlap(t, singles, catalog, min_join=0.001), 1)
     split = split_by_parents(column_combinations(singles), parents)
-    return split.select(
-        joined("left"),
-        F.col("is_child").cast("int").alias("is_child"),
-        F.array_join("remaining.left", ",").alias("remaining"),
+    return split.selectExpr(
+        COLUMNS[0], "CAST(is_child AS INT) AS is_child", "array_join(remaining.left, ',') AS remaining"
     )
 
 
@@ -435,14 +436,9 @@ def contributions(spark: SparkSession, folder: str) -> DataFrame:
         ("derived", "orders", ["priority"], ["o_orderpriority"]),
         ("orders", "derived", ["o_orderkey", "o_orderpriority"], ["o_orderkey", "priority"]),
     ]
-    return join_contribution(t, candidates(spark, rows)).select(
-        "left_table",
-        "right_table",
-        joined("left"),
-        joined("right"),
-        F.col("joined_rows").cast("bigint").alias("joined_rows"),
-        F.round("right_adds", 6).alias("right_adds"),
-        F.round("left_adds", 6).alias("left_adds"),
+    rounded = [f"round({c}, 6) AS {c}" for c in ("right_adds", "left_adds")]
+    return join_contribution(t, candidates(spark, rows)).selectExpr(
+        "left_table", "right_table", *COLUMNS, "CAST(joined_rows AS BIGINT) AS joined_rows", *rounded
     )
 
 
@@ -483,32 +479,15 @@ def searched(*pairs: tuple[str, str], what: str = "report", **options) -> Callab
         t = load(spark, folder, *sorted({name for pair in pairs for name in pair}))
         found = discover_joins(t, pairs, Params(name_methods=NAME_METHODS, **options))
         if what == "contribution":
-            return found.contribution.select(
-                "left_table",
-                "right_table",
-                joined("left"),
-                joined("right"),
-                F.round("right_adds", 6).alias("right_adds"),
-                F.round("left_adds", 6).alias("left_adds"),
-            )
+            rounded = [f"round({c}, 6) AS {c}" for c in ("right_adds", "left_adds")]
+            return found.contribution.selectExpr("left_table", "right_table", *COLUMNS, *rounded)
         if what == "counters":
             return found.counters.select("left_table", "right_table", "side", F.col("column").alias("column_name"))
         if what == "useful":
             used = useful_columns(found.report)
             return used.select("left_table", "right_table", "side", F.col("column").alias("column_name"))
         kept = found.report if what == "report" else found.mergeable
-        return kept.select(
-            "stage",
-            "left_table",
-            "right_table",
-            joined("left"),
-            joined("right"),
-            F.round("join_score", 6).alias("join_score"),
-            "matches",
-            F.round("total", 6).alias("total"),
-            F.col("mergeable").cast("int").alias("mergeable"),
-            "description",
-        )
+        return kept.selectExpr("stage", *REPORT)
 
     return query
 

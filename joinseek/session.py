@@ -9,9 +9,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def quoted(name: str) -> str:
+    """A column name as SQL text, dots and backticks included."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def text(value: str) -> str:
+    """A string as an SQL literal."""
+    escaped = value.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
+
+
 def column(name: str) -> Column:
-    """The column of exactly this name, dots and backticks included."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    """The column of exactly this name."""
+    return F.col(quoted(name))
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
