@@ -57,3 +57,32 @@ def join_key(name: str, dtype: T.DataType) -> str:
     if isinstance(dtype, (T.ArrayType, T.MapType, T.StructType)):
         return f"to_json({value})"
     return f"CAST({value} AS STRING)"
+
+
+# The parts a key value may use, with their types. Whole numbers go in ``l`` even
+# if their column is fractional, so numbers meet across types without a cast to
+# text; everything else is text in ``s``.
+PARTS = {"l": "BIGINT", "d": "DOUBLE", "s": "STRING"}
+
+
+def needs_text(dtype: T.DataType) -> bool:
+    """True for numbers that neither a bigint nor a double holds exactly."""
+    return isinstance(dtype, T.DecimalType) and (dtype.scale > 0 or dtype.precision > 18)
+
+
+def key_parts(name: str, dtype: T.DataType, as_text: bool = False) -> dict[str, str]:
+    """The value as one or two typed parts of which at most one is not null.
+
+    Two columns of equal category have equal parts exactly for equal values, if
+    both or neither are taken ``as_text``. All parts are null if it is missing.
+    """
+    value = quoted(name)
+    if isinstance(dtype, T.NumericType) and not as_text and not needs_text(dtype):
+        if not isinstance(dtype, FRACTIONAL):
+            return {"l": f"CAST({value} AS BIGINT)"}
+        whole = f"(rint({value}) = {value} AND abs({value}) < 9.2E18D)"
+        return {
+            "l": f"IF({whole}, try_cast({value} AS BIGINT), NULL)",
+            "d": f"IF({whole} OR isnan({value}), NULL, CAST({value} AS DOUBLE))",
+        }
+    return {"s": join_key(name, dtype)}

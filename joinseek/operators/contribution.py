@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from joinseek.functions.values import is_missing, join_key
-from joinseek.operators.keyrows import key_names, key_struct
+from joinseek.operators.keyrows import KeyLayout
 from joinseek.operators.overlap import CANDIDATE
 from joinseek.operators.profile import union_all
 from joinseek.session import column, local_table
@@ -23,16 +23,6 @@ def _any_value(df: DataFrame, keys: Sequence[str]) -> str:
     return " OR ".join(tests) or "false"
 
 
-def _side_rows(df: DataFrame, mine: Sequence[tuple[int, Sequence[str]]], width: int, right: bool) -> DataFrame:
-    structs = []
-    for number, keys in mine:
-        filled = f"IF({_any_value(df, keys)}, 1L, 0L)"
-        counts = ["0L", "0L", "1L", filled] if right else ["1L", filled, "0L", "0L"]
-        named = ", ".join(f"'{n}', {c}" for n, c in zip(("nl", "el", "nr", "er"), counts, strict=True))
-        structs.append(key_struct(df, keys, width, f"'id', {number}, {named}"))
-    return df.selectExpr(f"inline(array({', '.join(structs)}))")
-
-
 def join_contribution(tables: Mapping[str, DataFrame], candidates: DataFrame) -> DataFrame:
     """Percentage of information each side gains from the join on a candidate.
 
@@ -83,16 +73,26 @@ SUMS = ("rows_left", "rows_right", "joined_rows", "right_filled", "left_filled")
 
 
 def _sums(tables: Mapping[str, DataFrame], rows: Sequence) -> DataFrame:
-    width = max(len(r.left) for r in rows)
+    sides = [
+        (i, side, (r[f"{side}_table"], tuple(r[side]))) for i, r in enumerate(rows) for side in ("left", "right")
+    ]
+    layout = KeyLayout(tables, [column_set for _, _, column_set in sides])
     frames = []
     for name, df in tables.items():
-        for side in ("left", "right"):
-            mine = [(i, list(r[side])) for i, r in enumerate(rows) if r[f"{side}_table"] == name]
-            if mine:
-                frames.append(_side_rows(df, mine, width, side == "right"))
+        keys, flags = [], {}
+        for number, side, column_set in sides:
+            if column_set[0] != name:
+                continue
+            flag = f"f{len(flags)}"
+            flags[flag] = f"IF({_any_value(df, column_set[1])}, 1L, 0L)"
+            counts = ["1L", flag, "0L", "0L"] if side == "left" else ["0L", "0L", "1L", flag]
+            named = ", ".join(f"'{n}', {c}" for n, c in zip(("nl", "el", "nr", "er"), counts, strict=True))
+            keys.append((column_set, f"'id', {number}, {named}"))
+        if keys:
+            frames.append(layout.rows(df, keys, flags))
     per_key = (
         union_all(frames)
-        .groupBy("id", "arity", *key_names(width))
+        .groupBy("id", "arity", *layout.names)
         .agg(*(F.sum(c).alias(c) for c in ("nl", "el", "nr", "er")))
     )
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import types as T
 
 from joinseek.functions.values import is_missing
 from joinseek.operators.profile import union_all
-from joinseek.session import quoted, text
+from joinseek.session import local_table, quoted
 
 ROWS_PER_BUCKET = 2_000_000
 MAX_BUCKETS = 1024
@@ -64,51 +65,42 @@ def _buckets(df: DataFrame, names: Sequence[str], rows: int, buckets: int | None
     return bucketizer.transform(prepared)
 
 
-def _misses(df: DataFrame, names: Sequence[str], rows: int, buckets: int | None) -> DataFrame:
-    """(column, miss): share of sorted-order steps other than the usual one.
+def _values(df: DataFrame, names: Sequence[str], slots: Sequence[int], rows: int, buckets: int | None) -> dict[str, DataFrame]:
+    """(slot, bucket, x) rows of the present values, whole and fractional apart."""
+    bucketed = _buckets(df, names, rows, buckets)
+    frames = {}
+    for kind in ("BIGINT", "DOUBLE"):
+        entries = [
+            f"named_struct('slot', {slot}, 'bucket', CAST(b{i} AS INT), "
+            f"'x', IF(x{i} IS NOT NULL, CAST({quoted(n)} AS {kind}), NULL))"
+            for i, (n, slot) in enumerate(zip(names, slots, strict=True))
+            if isinstance(df.schema[n].dataType, T.IntegralType) == (kind == "BIGINT")
+        ]
+        if entries:
+            frames[kind] = bucketed.selectExpr(f"inline(array({', '.join(entries)}))").where("x IS NOT NULL")
+    return frames
+
+
+def _misses(values: DataFrame, kind: str) -> DataFrame:
+    """(slot, miss): share of sorted-order steps other than the usual one.
 
     Values are counted first: equal neighbours differ by 0, the others by one lag
     inside each range bucket, plus the seam from a bucket to the next non-empty
-    one. Whole and fractional columns go apart to keep whole numbers exact; a
-    step too long for a bigint counts as unknown.
+    one. A step too long for a bigint counts as unknown.
     """
-    frames = []
-    bucketed = _buckets(df, names, rows, buckets)
-    for kind in ("bigint", "double"):
-        chosen = [
-            (i, n)
-            for i, n in enumerate(names)
-            if isinstance(df.schema[n].dataType, T.IntegralType) == (kind == "bigint")
-        ]
-        if not chosen:
-            continue
-        entries = ", ".join(
-            f"named_struct('column', {text(n)}, 'bucket', CAST(b{i} AS INT), "
-            f"'x', IF(x{i} IS NOT NULL, CAST({quoted(n)} AS {kind}), NULL))"
-            for i, n in chosen
-        )
-        values = (
-            bucketed.selectExpr(f"inline(array({entries}))")
-            .where("x IS NOT NULL")
-            .groupBy("column", "bucket", "x")
-            .agg(F.expr("count(1) AS n"))
-        )
-        before = F.lag("x").over(Window.partitionBy("column", "bucket").orderBy("x"))
-        lagged = values.select("column", "x", "n", before.alias("before"))
-        link = "named_struct('step', try_subtract(x, before), 'times', IF(before IS NOT NULL, 1L, 0L))"
-        repeats = f"named_struct('step', CAST(0 AS {kind}), 'times', n - 1)"
-        inner = lagged.selectExpr("column", f"inline(array({link}, {repeats}))")
-        edges = values.groupBy("column", "bucket").agg(F.min("x").alias("low"), F.max("x").alias("high"))
-        # One row per bucket, so this window is small whatever the data size.
-        high = F.lag("high").over(Window.partitionBy("column").orderBy("bucket"))
-        seams = edges.select("column", "low", high.alias("before")).where("before IS NOT NULL")
-        steps = inner.where("times > 0").unionAll(
-            seams.select("column", F.try_subtract("low", "before"), F.lit(1).cast("bigint"))
-        )
-        per_step = steps.groupBy("column", "step").agg(F.sum("times").alias("times"))
-        miss = 1 - F.max("times") / F.sum("times").cast("double")
-        frames.append(per_step.groupBy("column").agg(miss.alias("miss")))
-    return union_all(frames)
+    counted = values.groupBy("slot", "bucket", "x").agg(F.expr("count(1) AS n"))
+    before = F.lag("x").over(Window.partitionBy("slot", "bucket").orderBy("x"))
+    lagged = counted.select("slot", "x", "n", before.alias("before"))
+    link = "named_struct('step', try_subtract(x, before), 'times', IF(before IS NOT NULL, 1L, 0L))"
+    repeats = f"named_struct('step', CAST(0 AS {kind}), 'times', n - 1)"
+    inner = lagged.selectExpr("slot", f"inline(array({link}, {repeats}))").where("times > 0")
+    edges = counted.groupBy("slot", "bucket").agg(F.min("x").alias("low"), F.max("x").alias("high"))
+    # One row per bucket, so this window is small whatever the data size.
+    high = F.lag("high").over(Window.partitionBy("slot").orderBy("bucket"))
+    seams = edges.select("slot", "low", high.alias("before")).where("before IS NOT NULL")
+    steps = inner.unionAll(seams.selectExpr("slot", "try_subtract(low, before)", "1L"))
+    per_step = steps.groupBy("slot", "step").agg(F.sum("times").alias("times"))
+    return per_step.groupBy("slot").agg(F.expr("1 - max(times) / CAST(sum(times) AS DOUBLE) AS miss"))
 
 
 def counter_columns(
@@ -126,25 +118,28 @@ def counter_columns(
     the most frequent one, null where it was not needed.
     """
     asked = catalog if columns is None else catalog.join(columns.select("table", "column").distinct(), ["table", "column"])
-    uniqueness = F.coalesce(F.try_divide(F.col("distinct").cast("double"), F.col("rows").cast("double")), F.lit(0.0))
-    tested = asked.select(
-        "table",
-        "column",
-        "rows",
-        uniqueness.alias("uniqueness"),
-        ((F.col("category") == "Numerical") & (uniqueness >= min_uniqueness)).alias("sorted"),
-    )
-    chosen: dict[str, tuple[int, list[str]]] = {}
-    for row in tested.where("sorted").select("table", "column", "rows").collect():
-        chosen.setdefault(row.table, (row.rows, []))[1].append(row.column)
-    base = tested.drop("rows", "sorted")
+    uniqueness = "coalesce(try_divide(CAST(distinct AS DOUBLE), rows), 0.0D)"
+    tested = asked.selectExpr("table", "column", "rows", "category", f"{uniqueness} AS uniqueness")
+    chosen = tested.where(f"category = 'Numerical' AND uniqueness >= {min_uniqueness}D").collect()
+    chosen = sorted((r.table, r.column, r.rows) for r in chosen)
+    base = tested.select("table", "column", "uniqueness")
     if not chosen:
-        return base.select("*", F.lit(None).cast("double").alias("miss"), F.lit(False).alias("is_counter"))
-    misses = union_all(
-        [
-            _misses(tables[name], sorted(names), rows, buckets).select(F.lit(name).alias("table"), "column", "miss")
-            for name, (rows, names) in chosen.items()
-        ]
+        return base.selectExpr("*", "CAST(NULL AS DOUBLE) AS miss", "false AS is_counter")
+    frames: dict[str, list[DataFrame]] = {}
+    for name in sorted({t for t, _, _ in chosen}):
+        mine = [(slot, c, rows) for slot, (t, c, rows) in enumerate(chosen) if t == name]
+        found = _values(tables[name], [c for _, c, _ in mine], [s for s, _, _ in mine], mine[0][2], buckets)
+        for kind, frame in found.items():
+            frames.setdefault(kind, []).append(frame)
+    misses = union_all([_misses(union_all(parts), kind) for kind, parts in frames.items()])
+    names = local_table(
+        misses.sparkSession,
+        {
+            "slot": list(range(len(chosen))),
+            "table": [t for t, _, _ in chosen],
+            "column": [c for _, c, _ in chosen],
+        },
+        {"slot": pa.int32(), "table": pa.string(), "column": pa.string()},
     )
-    joined = base.join(misses, ["table", "column"], "left")
-    return joined.withColumn("is_counter", F.coalesce(F.col("miss") <= max_miss, F.lit(False)))
+    joined = base.join(names.join(misses, "slot").drop("slot"), ["table", "column"], "left")
+    return joined.selectExpr("*", f"coalesce(miss <= {max_miss}D, false) AS is_counter")

@@ -16,9 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from joinseek.functions.values import join_key
+from joinseek.functions.values import PARTS, key_parts, needs_text
 from joinseek.operators.profile import union_all
-from joinseek.session import local_table
+from joinseek.session import estimated_size, local_table, spread
 
 ColumnSet = tuple[str, tuple[str, ...]]
 
@@ -26,21 +26,67 @@ BITS = 63
 SETS_PER_PASS = 8 * BITS
 
 
-def key_names(width: int) -> list[str]:
-    return [f"k{i}" for i in range(width)]
+class KeyLayout:
+    """The typed columns that hold the keys of some column sets.
 
+    Position i of a key has the columns ``l{i}``, ``d{i}``, ``s{i}`` as far as a
+    column at that position needs them; shorter keys are padded with nulls.
+    """
 
-def key_struct(df: DataFrame, columns: Sequence[str], width: int, extra: str) -> str:
-    """One key tuple, padded with nulls up to ``width``, after ``extra`` fields."""
-    values = [join_key(c, df.schema[c].dataType) for c in columns]
-    values += ["CAST(NULL AS STRING)"] * (width - len(values))
-    named = ", ".join(f"'{k}', {v}" for k, v in zip(key_names(width), values, strict=True))
-    return f"named_struct({extra}, 'arity', {len(columns)}Y, {named})"
-
+    def __init__(self, tables: Mapping[str, DataFrame], sets: Sequence[ColumnSet]):
+        self.schemas = {name: tables[name].schema for name, _ in sets}
+        self.width = max(len(columns) for _, columns in sets)
+        types = [
+            [self.schemas[name][columns[i]].dataType for name, columns in sets if len(columns) > i]
+            for i in range(self.width)
+        ]
+        self.as_text = [any(needs_text(t) for t in at) for at in types]
+        self.parts: list[list[str]] = [
+            [p for p in PARTS if any(p in key_parts("x", t, text) for t in at)]
+            for at, text in zip(types, self.as_text, strict=True)
+        ]
 
-def has_null(width: int) -> str:
-    """True if one of the first ``arity`` parts of the key is missing."""
-    return " OR ".join(f"(arity > {i} AND {k} IS NULL)" for i, k in enumerate(key_names(width)))
+    @property
+    def names(self) -> list[str]:
+        return [f"{p}{i}" for i, parts in enumerate(self.parts) for p in parts]
+
+    def has_null(self) -> str:
+        """True if one of the first ``arity`` values of the key is missing."""
+        tests = []
+        for i, parts in enumerate(self.parts):
+            absent = " AND ".join(f"{p}{i} IS NULL" for p in parts)
+            tests.append(f"(arity > {i} AND {absent})")
+        return " OR ".join(tests)
+
+    def rows(self, df: DataFrame, keys: Sequence[tuple[ColumnSet, str]], flags: Mapping[str, str] | None = None) -> DataFrame:
+        """One row per input row and key: the extra fields, arity and key columns.
+
+        ``keys`` are column sets of this table with extra fields as SQL text;
+        ``flags`` are further expressions the extra fields may name. Each column
+        is converted once per row, whatever the number of sets it is in.
+        """
+        prepared: dict[str, str] = {}
+        structs = []
+        for (name, columns), extra in keys:
+            fields = [extra, f"'arity', {len(columns)}Y"]
+            for i, parts in enumerate(self.parts):
+                values = {}
+                if i < len(columns):
+                    dtype = self.schemas[name][columns[i]].dataType
+                    values = key_parts(columns[i], dtype, self.as_text[i])
+                for p in parts:
+                    held = f"CAST(NULL AS {PARTS[p]})"
+                    if p in values:
+                        held = prepared.setdefault(values[p], f"v{len(prepared)}")
+                    fields.append(f"'{p}{i}', {held}")
+            structs.append(f"named_struct({', '.join(fields)})")
+        converted = df.selectExpr(
+            *(f"{value} AS {alias}" for value, alias in prepared.items()),
+            *(f"{value} AS {alias}" for alias, value in (flags or {}).items()),
+        )
+        if len(structs) > 2:
+            converted = spread(converted, estimated_size(df))
+        return converted.selectExpr(f"inline(array({', '.join(structs)}))")
 
 
 def _masks(index: int, words: int) -> str:
@@ -48,19 +94,16 @@ def _masks(index: int, words: int) -> str:
     return ", ".join(f"'w{w}', {mask}L" for w, mask in enumerate(masks))
 
 
-def key_masks(tables: Mapping[str, DataFrame], sets: Sequence[ColumnSet]) -> DataFrame:
+def key_masks(tables: Mapping[str, DataFrame], sets: Sequence[ColumnSet], layout: KeyLayout) -> DataFrame:
     """One row per distinct key with the or-ed masks of its column sets."""
     words = (len(sets) + BITS - 1) // BITS
-    width = max(len(cols) for _, cols in sets)
     frames = []
     for name, df in tables.items():
-        structs = [
-            key_struct(df, cols, width, _masks(i, words)) for i, (table, cols) in enumerate(sets) if table == name
-        ]
-        if structs:
-            frames.append(df.selectExpr(f"inline(array({', '.join(structs)}))"))
+        mine = [(s, _masks(i, words)) for i, s in enumerate(sets) if s[0] == name]
+        if mine:
+            frames.append(layout.rows(df, mine))
     masks = [F.bit_or(f"w{w}").alias(f"w{w}") for w in range(words)]
-    return union_all(frames).groupBy("arity", *key_names(width)).agg(*masks)
+    return union_all(frames).groupBy("arity", *layout.names).agg(*masks)
 
 
 def _members(words: int, total: int) -> str:
@@ -70,27 +113,21 @@ def _members(words: int, total: int) -> str:
     return f"filter(sequence(0, {total - 1}), i -> (shiftright({word}, i % {BITS}) & 1L) = 1L)"
 
 
-def _count(tables: Mapping[str, DataFrame], sets: Sequence[ColumnSet], wanted: DataFrame) -> DataFrame:
-    """Keys held by both column sets ``first`` and ``second`` of each wanted row.
+def _held(tables: Mapping[str, DataFrame], sets: Sequence[ColumnSet], wanted: DataFrame) -> DataFrame:
+    """Key counts of every mask, once per wanted row whose sets are both in it.
 
-    ``wanted`` has (id, role, first, second); the result (id, role, keys,
-    full_keys), where full keys have no missing part.
+    ``wanted`` has (id, role, first, second), with column sets by number.
     """
     words = (len(sets) + BITS - 1) // BITS
-    width = max(len(cols) for _, cols in sets)
-    names = [f"w{w}" for w in range(words)]
+    layout = KeyLayout(tables, sets)
     per_mask = (
-        key_masks(tables, sets)
-        .groupBy(*names, F.expr(has_null(width)).alias("has_null"))
+        key_masks(tables, sets, layout)
+        .groupBy(*(f"w{w}" for w in range(words)), F.expr(layout.has_null()).alias("has_null"))
         .agg(F.expr("count(1) AS keys"))
     )
     members = per_mask.selectExpr("has_null", "keys", f"{_members(words, len(sets))} AS members")
     held = members.selectExpr("*", "explode(members) AS first").join(wanted, "first")
-    return (
-        held.where("array_contains(members, second)")
-        .groupBy("id", "role")
-        .agg(F.expr("sum(keys) AS keys"), F.expr("sum(IF(has_null, 0, keys)) AS full_keys"))
-    )
+    return held.where("array_contains(members, second)")
 
 
 WANTED = {"id": pa.int32(), "role": pa.int32(), "first": pa.int32(), "second": pa.int32()}
@@ -108,7 +145,7 @@ def key_counts(spark: SparkSession, tables: Mapping[str, DataFrame], sets: Seque
             {"id": numbers, "table": [t for t, _ in mine], "columns": [list(c) for _, c in mine]},
             {"id": pa.int32(), "table": pa.string(), "columns": pa.list_(pa.string())},
         )
-        counts = _count(tables, mine, wanted).select("id", "keys")
+        counts = _held(tables, mine, wanted).groupBy("id").agg(F.sum("keys").alias("keys"))
         frames.append(names.join(counts, "id", "left").drop("id").na.fill(0, ["keys"]))
     return union_all(frames)
 
@@ -151,9 +188,16 @@ def pair_counts(
             },
         )
 
-        measures = [(0, "keys", "n_left"), (1, "keys", "n_right"), (2, "keys", "common"), (2, "full_keys", "full_common")]
-        sums = [F.expr(f"sum(IF(role = {role}, {measure}, 0)) AS {name}") for role, measure, name in measures]
-        counts = _count(tables, sets, wanted).groupBy("id").agg(*sums)
+        counts = (
+            _held(tables, sets, wanted)
+            .groupBy("id")
+            .agg(
+                F.expr("sum(IF(role = 0, keys, 0)) AS n_left"),
+                F.expr("sum(IF(role = 1, keys, 0)) AS n_right"),
+                F.expr("sum(IF(role = 2, keys, 0)) AS common"),
+                F.expr("sum(IF(role = 2 AND NOT has_null, keys, 0)) AS full_common"),
+            )
+        )
         joined = names.join(counts, "id", "left").drop("id")
         frames.append(joined.na.fill(0, ["n_left", "n_right", "common", "full_common"]))
     return union_all(frames)

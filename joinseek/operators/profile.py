@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from joinseek.functions.dates import is_date
-from joinseek.functions.values import FRACTIONAL, TEMPORAL, is_missing, join_key
-from joinseek.session import local_table, quoted, settle, text
+from joinseek.functions.values import PARTS, TEMPORAL, is_missing, key_parts
+from joinseek.session import estimated_size, local_table, quoted, settle, spread, text
 
 DATE_SHARE = 0.5
 
@@ -69,20 +69,18 @@ def column_stats(tables: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def _slot_values(fields: Sequence[T.StructField], slots: Sequence[int], df: DataFrame) -> DataFrame:
-    """Every value of the given columns as a narrow row (slot, typed value)."""
-    entries = []
+    """Every present value of the given columns as a narrow row (slot, l, d, s)."""
+    entries, prepared = [], []
     for field, slot in zip(fields, slots, strict=True):
-        typed = {kind: f"CAST(NULL AS {kind})" for kind in ("BIGINT", "DOUBLE", "STRING")}
-        if isinstance(field.dataType, T.IntegralType):
-            typed["BIGINT"] = f"CAST({quoted(field.name)} AS BIGINT)"
-        elif isinstance(field.dataType, FRACTIONAL):
-            typed["DOUBLE"] = f"CAST(nullif({quoted(field.name)}, double('NaN')) AS DOUBLE)"
-        else:
-            typed["STRING"] = join_key(field.name, field.dataType)
-        values = ", ".join(f"'{kind.lower()}_value', {value}" for kind, value in typed.items())
-        entries.append(f"named_struct('slot', {slot}, {values})")
-    exploded = df.selectExpr(f"inline(array({', '.join(entries)}))")
-    return exploded.where("bigint_value IS NOT NULL OR double_value IS NOT NULL OR string_value IS NOT NULL")
+        parts = key_parts(field.name, field.dataType)
+        prepared += [f"{value} AS {p}{slot}" for p, value in parts.items()]
+        values = (f"'{p}', {f'{p}{slot}' if p in parts else f'CAST(NULL AS {kind})'}" for p, kind in PARTS.items())
+        entries.append(f"named_struct('slot', {slot}, {', '.join(values)})")
+    converted = df.selectExpr(*prepared)
+    if len(entries) > 2:
+        converted = spread(converted, estimated_size(df))
+    exploded = converted.selectExpr(f"inline(array({', '.join(entries)}))")
+    return exploded.where("l IS NOT NULL OR d IS NOT NULL OR s IS NOT NULL")
 
 
 def distinct_counts(tables: Mapping[str, DataFrame], columns: Sequence[tuple[str, str]] | None = None) -> DataFrame:

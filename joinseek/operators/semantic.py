@@ -7,7 +7,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from joinseek.operators.profile import union_all
 from joinseek.session import checkpoint
 
 
@@ -19,25 +18,21 @@ class Taxonomy:
     isa: DataFrame
 
 
-def ancestors(starts: DataFrame, isa: DataFrame) -> DataFrame:
+def ancestors(isa: DataFrame) -> DataFrame:
     """(sense, ancestor, steps): every ancestor with its fewest steps up.
 
-    ``starts`` has the column ``sense``. One join per level of the taxonomy; a
-    level keeps only ancestors not reached before, so cycles end as well.
+    Known paths are joined end to end, so their length doubles each round and a
+    taxonomy of depth 20 takes five. The round that finds no path as long as it
+    could ends the search, which cycles do not prevent.
     """
-    edges = isa.select(F.col("child").alias("ancestor"), F.col("parent")).distinct()
-    level = starts.select("sense", F.col("sense").alias("ancestor"), F.lit(0).alias("steps")).distinct()
-    level = checkpoint(level)
-    reached = [level]
-    while not level.isEmpty():
-        climbed = (
-            level.join(edges, "ancestor")
-            .select("sense", F.col("parent").alias("ancestor"), (F.col("steps") + 1).alias("steps"))
-            .distinct()
-        )
-        level = checkpoint(climbed.join(union_all(reached), ["sense", "ancestor"], "left_anti"))
-        reached.append(level)
-    return union_all(reached)
+    paths = isa.selectExpr("child AS sense", "parent AS ancestor", "1 AS steps").where("child != parent").distinct()
+    paths, reach = checkpoint(paths), 1
+    while (paths.agg(F.max("steps")).first()[0] or 0) == reach:
+        upper = paths.selectExpr("sense AS ancestor", "ancestor AS higher", "steps AS more")
+        longer = paths.join(upper, "ancestor").selectExpr("sense", "higher AS ancestor", "steps + more AS steps")
+        every = paths.unionAll(longer.where("sense != ancestor"))
+        paths, reach = checkpoint(every.groupBy("sense", "ancestor").agg(F.min("steps").alias("steps"))), 2 * reach
+    return paths
 
 
 def semantic_similarity(
@@ -52,15 +47,13 @@ def semantic_similarity(
     """
     senses = taxonomy.senses.select(F.lower("word").alias("word"), "sense").distinct()
     words = pairs.select(first, second).distinct()
+    closure = ancestors(taxonomy.isa).join(senses, "sense").select("word", "ancestor", "steps")
+    own = senses.selectExpr("word", "sense AS ancestor", "0 AS steps")
+    nearest = closure.unionAll(own).groupBy("word", "ancestor").agg(F.min("steps").alias("steps"))
     sides = {}
-    used = union_all([words.select(F.lower(c).alias("word")) for c in (first, second)]).distinct()
-    closure = ancestors(senses.join(used, "word").select("sense"), taxonomy.isa)
-    nearest = senses.join(closure, "sense").groupBy("word", "ancestor").agg(F.min("steps").alias("steps"))
     for name in (first, second):
-        sides[name] = words.join(
-            nearest.select(F.col("word"), "ancestor", F.col("steps").alias(f"{name}_steps")),
-            F.lower(F.col(name)) == F.col("word"),
-        ).drop("word")
+        reached = nearest.select(F.col("word"), "ancestor", F.col("steps").alias(f"{name}_steps"))
+        sides[name] = words.join(reached, F.lower(F.col(name)) == F.col("word")).drop("word")
     path = F.min(F.col(f"{first}_steps") + F.col(f"{second}_steps"))
     best = sides[first].join(sides[second], [first, second, "ancestor"]).groupBy(first, second).agg(path.alias("path"))
     similarity = F.coalesce(1.0 / (1 + F.col("path")), F.lit(0.0))
