@@ -126,7 +126,8 @@ def _held(tables: Mapping[str, DataFrame], sets: Sequence[ColumnSet], wanted: Da
         .agg(F.expr("count(1) AS keys"))
     )
     members = per_mask.selectExpr("has_null", "keys", f"{_members(words, len(sets))} AS members")
-    held = members.selectExpr("*", "explode(members) AS first").join(wanted, "first")
+    # The outer form, lest Spark tests the array of every key before counting.
+    held = members.selectExpr("*", "explode_outer(members) AS first").join(wanted, "first")
     return held.where("array_contains(members, second)")
 
 
@@ -146,7 +147,8 @@ def key_counts(spark: SparkSession, tables: Mapping[str, DataFrame], sets: Seque
             {"id": pa.int32(), "table": pa.string(), "columns": pa.list_(pa.string())},
         )
         counts = _held(tables, mine, wanted).groupBy("id").agg(F.sum("keys").alias("keys"))
-        frames.append(names.join(counts, "id", "left").drop("id").na.fill(0, ["keys"]))
+        # One row per column set, so no larger than the list the driver holds.
+        frames.append(names.join(F.broadcast(counts), "id", "left").drop("id").na.fill(0, ["keys"]))
     return union_all(frames)
 
 
@@ -198,7 +200,8 @@ def pair_counts(
                 F.expr("sum(IF(role = 2 AND NOT has_null, keys, 0)) AS full_common"),
             )
         )
-        joined = names.join(counts, "id", "left").drop("id")
+        # One row per pair, so no larger than the list the driver holds.
+        joined = names.join(F.broadcast(counts), "id", "left").drop("id")
         frames.append(joined.na.fill(0, ["n_left", "n_right", "common", "full_common"]))
     return union_all(frames)
 

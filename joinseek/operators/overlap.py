@@ -98,7 +98,8 @@ def _counted(tables: Mapping[str, DataFrame], checked: DataFrame) -> DataFrame:
         unknown = (f"CAST(NULL AS BIGINT) AS {c}" for c in ("n_left", "n_right", "common", "full_common"))
         return checked.selectExpr("*", *unknown)
     pairs = [((r.left_table, tuple(r.left)), (r.right_table, tuple(r.right))) for r in rows]
-    return checked.join(pair_counts(checked.sparkSession, tables, pairs), CANDIDATE, "left")
+    counts = pair_counts(checked.sparkSession, tables, pairs)
+    return checked.join(F.broadcast(counts), CANDIDATE, "left")  # one row per candidate
 
 
 def measure_overlap(
@@ -111,6 +112,8 @@ def measure_overlap(
 ) -> DataFrame:
     """Score every candidate: the report, one row per candidate.
 
+    ``left_keys`` and ``right_keys`` are the distinct keys of each side, missing
+    values included, where the data was read.
     Method ``SortedNeighborhood`` never matches missing values, since its exact
     comparison keeps equal values only; ``Merge`` matches them with each other.
     """
@@ -143,6 +146,8 @@ def measure_overlap(
         "join_score",
         "matches",
         "total",
+        "n_left AS left_keys",
+        "n_right AS right_keys",
         f"(reason IS NULL AND join_score >= {min_join}D) AS mergeable",
         f"coalesce(reason, '{DONE[eval_method]}') AS description",
     )

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from joinseek.functions.dates import is_date
+from joinseek.functions.dates import DAY_FIRST, MONTH_FIRST, date_reading
 from joinseek.functions.values import PARTS, TEMPORAL, is_missing, key_parts
 from joinseek.session import estimated_size, local_table, quoted, settle, spread, text
 
@@ -36,7 +36,8 @@ def _column_stats(field: T.StructField, position: int) -> str:
     value, average, valid = quoted(field.name), "CAST(NULL AS DOUBLE)", "0L"
     if isinstance(field.dataType, T.StringType):
         average = f"avg(length({value}))"
-        valid = f"greatest(count_if({is_date(value, True)}), count_if({is_date(value, False)}))"
+        orders = (f"count_if(date_reading{position} & {order} > 0)" for order in (DAY_FIRST, MONTH_FIRST))
+        valid = f"greatest({', '.join(orders)})"
     elif isinstance(field.dataType, TEMPORAL):
         valid = f"count({value})"
     return (
@@ -48,7 +49,14 @@ def _column_stats(field: T.StructField, position: int) -> str:
 
 def _table_stats(table: str, df: DataFrame) -> DataFrame:
     stats = ", ".join(_column_stats(field, i) for i, field in enumerate(df.schema.fields))
-    one_row = df.agg(F.expr("count(1) AS rows"), F.expr(f"array({stats}) AS stats"))
+    readings = [
+        f"{date_reading(quoted(field.name))} AS date_reading{i}"
+        for i, field in enumerate(df.schema.fields)
+        if isinstance(field.dataType, T.StringType)
+    ]
+    one_row = df.selectExpr(*map(quoted, df.columns), *readings).agg(
+        F.expr("count(1) AS rows"), F.expr(f"array({stats}) AS stats")
+    )
     return one_row.selectExpr(f"{text(table)} AS table", "rows", "inline(stats)")
 
 
@@ -105,7 +113,8 @@ def distinct_counts(tables: Mapping[str, DataFrame], columns: Sequence[tuple[str
         {"slot": list(range(len(wanted))), "table": [t for t, _ in wanted], "column": [f.name for _, f in wanted]},
         {"slot": pa.int32(), "table": pa.string(), "column": pa.string()},
     )
-    return names.join(counts, "slot", "left").selectExpr("table", "column", "coalesce(distinct, 0L) AS distinct")
+    # One row per column on both sides.
+    return names.join(F.broadcast(counts), "slot", "left").selectExpr("table", "column", "coalesce(distinct, 0L) AS distinct")
 
 
 def profile(tables: Mapping[str, DataFrame], distinct: bool = True) -> DataFrame:

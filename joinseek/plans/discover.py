@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,14 +31,54 @@ from joinseek.session import local_table, settle
 
 @dataclass
 class Discovery:
-    """What a search found; every part is a DataFrame."""
+    """What a search found; every part is a DataFrame.
 
+    The report is complete when the search returns. Counters and contributions
+    read the data again and do so only when asked for.
+    """
+
+    tables: Mapping[str, DataFrame]
+    params: Params
     catalog: DataFrame
     dropped: DataFrame
     report: DataFrame
-    mergeable: DataFrame
-    counters: DataFrame
-    contribution: DataFrame
+
+    @property
+    def mergeable(self) -> DataFrame:
+        """The candidates that join well enough, best first."""
+        return rank(self.report.where("mergeable"))
+
+    @cached_property
+    def counters(self) -> DataFrame:
+        """Columns of mergeable candidates that may be mere counters."""
+        used = useful_columns(self.report)
+        counted = self._with_distinct(used.select("table", "column").distinct())
+        limits = (self.params.counter_min_uniqueness, self.params.counter_max_miss)
+        tests = counter_columns(self.tables, counted, used, *limits)
+        return used.join(tests, ["table", "column"]).where("is_counter").select(*PAIR, "side", "column")
+
+    @cached_property
+    def contribution(self) -> DataFrame:
+        """What each mergeable candidate adds to either side."""
+        return join_contribution(self.tables, self.report.where("mergeable"))
+
+    def _with_distinct(self, columns: DataFrame) -> DataFrame:
+        """Catalogue rows of these columns; only unknown distinct counts are read."""
+        measured = union_all(
+            [
+                self.report.where(f"size({side}) = 1 AND {side}_keys IS NOT NULL").selectExpr(
+                    f"{side}_table AS table", f"{side}[0] AS column", f"{side}_keys AS keys"
+                )
+                for side in ("left", "right")
+            ]
+        )
+        keys = measured.groupBy("table", "column").agg(F.max("keys").alias("keys"))
+        asked = self.catalog.join(columns, ["table", "column"], "left_semi").join(keys, ["table", "column"], "left")
+        known = settle(
+            asked.withColumn("distinct", F.expr("coalesce(distinct, keys - IF(missing > 0, 1, 0))")).drop("keys")
+        )
+        unread = add_distinct(known.where("distinct IS NULL AND category = 'Numerical'"), self.tables)
+        return known.where("distinct IS NOT NULL").unionByName(unread)
 
 
 def table_pairs(tables: Mapping[str, DataFrame], pairs: Sequence[tuple[str, str]] | None) -> list[tuple[str, str]]:
@@ -80,6 +121,13 @@ class _Search:
     def known(self) -> DataFrame:
         return union_all(self.reports)
 
+    def with_known_distinct(self, catalog: DataFrame) -> DataFrame:
+        """The catalogue with the distinct counts the search has come to know."""
+        if self.catalog is catalog:
+            return catalog
+        known = self.catalog.select("table", "column", "distinct")
+        return catalog.drop("distinct").join(known, ["table", "column"], "left")
+
     def close_pairs(self) -> bool:
         """Drop table pairs that have a join now; true if any is left."""
         merged = self.known().where("mergeable").select(*PAIR).distinct()
@@ -149,24 +197,16 @@ def discover_joins(
     catalog = settle(column_stats(tables)).withColumn("distinct", F.lit(None).cast("bigint"))
     kept, sparse = prune_missing(catalog, params.max_missing)
     kept, long = prune_length(kept, params.max_avg_chars, params.length_scope)
-    search = _Search(
-        tables, params, taxonomy, settle(kept), pair_table(spark, table_pairs(tables, pairs))
-    )
+    kept = settle(kept)
+    search = _Search(tables, params, taxonomy, kept, pair_table(spark, table_pairs(tables, pairs)))
     for stage in (search.same_names, search.similar_names, search.key_references, search.same_categories):
         stage()
         if not search.close_pairs():
             break
-    report = search.known()
-    mergeable = report.where("mergeable")
-    used = useful_columns(report)
-    tested = settle(kept.join(used.select("table", "column").distinct(), ["table", "column"], "left_semi"))
-    counted = settle(add_distinct(tested, tables))
-    tests = counter_columns(tables, counted, used, params.counter_min_uniqueness, params.counter_max_miss)
     return Discovery(
-        catalog=kept,
+        tables=tables,
+        params=params,
+        catalog=search.with_known_distinct(kept),
         dropped=sparse.drop("missing").unionAll(long),
-        report=report,
-        mergeable=rank(mergeable),
-        counters=used.join(tests, ["table", "column"]).where("is_counter").select(*PAIR, "side", "column"),
-        contribution=join_contribution(tables, mergeable),
+        report=search.known(),
     )
