@@ -24,11 +24,12 @@ def jaro(a: str, b: str) -> str:
     """
     reach = f"greatest(CAST(floor(greatest(length({a}), length({b})) / 2) AS INT) - 1, 0)"
     char = f"substring({a}, jaro_i, 1)"
-    at = f"locate({char}, jaro_s.rest, greatest(jaro_i - {reach}, 1))"
-    hit = f"{at} > 0 AND {at} <= jaro_i + {reach}"
+    low = f"greatest(jaro_i - {reach}, 1)"
+    near = f"substring(jaro_s.rest, {low}, jaro_i + {reach} - {low} + 1)"
     step = (
-        f"named_struct('rest', CASE WHEN {hit} THEN overlay(jaro_s.rest, chr(0), {at}, 1) ELSE jaro_s.rest END, "
-        f"'taken', CASE WHEN {hit} THEN concat(jaro_s.taken, {char}) ELSE jaro_s.taken END)"
+        f"CASE WHEN contains({near}, {char}) THEN named_struct("
+        f"'rest', overlay(jaro_s.rest, chr(0), locate({char}, jaro_s.rest, {low}), 1), "
+        f"'taken', concat(jaro_s.taken, {char})) ELSE jaro_s END"
     )
     marked = f"filter(sequence(1, length({b})), jaro_j -> substring(jaro_s.rest, jaro_j, 1) = chr(0))"
     swapped = (

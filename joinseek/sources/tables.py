@@ -26,11 +26,20 @@ def _number(value: Column) -> Column:
     return spelled.try_cast("double")
 
 
+def has_open_quote(spark: SparkSession, path: str) -> bool:
+    """True if a line has an odd number of quotes.
+
+    Without such a line no field goes on to the next line.
+    """
+    quotes = "length(value) - length(replace(value, '\"', ''))"
+    return not spark.read.text(path).where(f"({quotes}) % 2 = 1").isEmpty()
+
+
 def read_csv(
     spark: SparkSession,
     path: str,
     schema: T.StructType | None = None,
-    multiline: bool = True,
+    multiline: bool | None = None,
     na_values: Sequence[str] = NA_VALUES,
 ) -> DataFrame:
     """A CSV file with a header; types come from all its values.
@@ -38,9 +47,13 @@ def read_csv(
     A column is whole, fractional or boolean if every present value is; a boolean
     column with missing values stays a string, a column without values is
     fractional. Quotes are doubled inside quoted fields and leading blanks stay.
-    ``multiline=False`` lets Spark split large files if no field holds a line
-    break; a given ``schema`` saves the inference pass.
+
+    Spark can split a large file only if no field holds a line break, which is
+    looked up unless ``multiline`` says so. A given ``schema`` saves the pass over
+    the values.
     """
+    if multiline is None:
+        multiline = has_open_quote(spark, path)
     reader = spark.read.options(header=True, quote='"', escape='"', multiLine=multiline, inferSchema=False)
     if schema is not None:
         return nan_to_null(reader.schema(schema).csv(path))
