@@ -374,7 +374,25 @@ def lake_search() -> str:
     triple = "SELECT 'lineitem', 'orders', 'l_linestatus,l_orderkey,l_partkey', 'o_orderstatus,o_orderkey,o_custkey'"
     first = report(singles(*tables), names, select="'S2' AS stage,", tail="WHERE mergeable = 1")
     second = report(sets, f"{combos} UNION ALL {triple}", select="'S2' AS stage,", tail="WHERE mergeable = 1")
-    return f"({first}) UNION ALL ({second})"
+    return f"({first}) UNION ALL ({second}) UNION ALL ({late_stages('events', 'customer', first)})"
+
+
+def late_stages(left: str, right: str, earlier: str) -> str:
+    """Pairs of equal category, for two tables without a join so far.
+
+    Pairs with a key column come first (S3), the others only if those fail (S4).
+    """
+    rows = report(
+        singles(left, right),
+        named_pairs([(left, right)], f"lcat = rcat AND NOT {SIMILAR_NAMES}"),
+        tail="WHERE mergeable = 1",
+    )
+    return f"""SELECT * FROM (SELECT CASE WHEN EXISTS (SELECT 1 FROM {profile(left, right)} p
+  WHERE p.distinct_values / p.rows >= 0.95 AND ((p.table_name = left_table AND p.column_name = left_columns)
+    OR (p.table_name = right_table AND p.column_name = right_columns))) THEN 'S3' ELSE 'S4' END AS stage, r.*
+  FROM ({rows}) r WHERE NOT EXISTS (SELECT 1 FROM ({earlier}) e
+    WHERE e.left_table = r.left_table AND e.right_table = r.right_table))
+  QUALIFY stage = min(stage) OVER ()"""
 
 
 USEFUL = [("lineitem", "orders"), ("customer", "nation")]
