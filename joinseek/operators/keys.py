@@ -45,11 +45,11 @@ def unique_keys(
                 .where("last.position > element_at(members, -1).position")
                 .selectExpr(*group, "rows", "concat(members, array(last)) AS members", "bound * size AS bound")
             )
-        possible = level.where(F.col("bound") >= F.col("rows") * min_ratio)
-        counted = _with_key_counts(tables, possible, group, number)
+        # Counted sets go on with their exact count, a closer bound for the next size.
+        level = _with_key_counts(tables, level, min_ratio, group, number)
         names = "transform(members, m -> named_struct('name', m.name, 'category', m.category)) AS columns"
         hits = settle(
-            counted.selectExpr(*group, f"{number} AS number", names, "keys / rows AS percentage").where(
+            level.selectExpr(*group, f"{number} AS number", names, "keys / rows AS percentage").where(
                 f"percentage >= {min_ratio}D"
             )
         )
@@ -60,15 +60,20 @@ def unique_keys(
     return union_all(found)
 
 
-def _with_key_counts(tables: Mapping[str, DataFrame], level: DataFrame, group: list[str], number: int) -> DataFrame:
+def _with_key_counts(
+    tables: Mapping[str, DataFrame], level: DataFrame, min_ratio: float, group: list[str], number: int
+) -> DataFrame:
+    """The sets of one size with ``keys`` where their bound can reach the ratio."""
     if number == 1:
         return level.withColumn("keys", F.col("bound"))
     level = level.selectExpr("*", "members.name AS names")
-    sets = sorted({(r.table, tuple(r.names)) for r in level.select("table", "names").distinct().collect()})
+    possible = level.where(f"bound >= rows * {min_ratio}D").select("table", "names").distinct()
+    sets = sorted({(r.table, tuple(r.names)) for r in possible.collect()})
     if not sets:
-        return level.withColumn("keys", F.lit(None).cast("double"))
-    counts = key_counts(level.sparkSession, tables, sets).withColumnRenamed("columns", "names")
-    return level.join(counts, ["table", "names"])
+        return level.selectExpr("*", "CAST(NULL AS DOUBLE) AS keys").drop("names")
+    counts = settle(key_counts(level.sparkSession, tables, sets).withColumnRenamed("columns", "names"))
+    counted = level.join(counts, ["table", "names"], "left")
+    return counted.selectExpr(*group, "rows", "members", "CAST(coalesce(keys, bound) AS DOUBLE) AS bound", "keys")
 
 
 def foreign_keys(

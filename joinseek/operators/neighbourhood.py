@@ -61,9 +61,10 @@ def sorted_neighbourhood(
     the sorted distinct values of both sides; the other columns must be equal.
     Result: ``left_0.., right_0..`` and ``exact``, true if all columns are equal.
 
-    Each left tuple is repeated once per place of the window and joined on place
-    and block columns, so a tuple has at most ``window`` partners, however many
-    rows or blocks share a value.
+    Places are cut into bands as wide as the window; a left tuple goes to the one
+    or two bands its neighbours can be in, and the join is on band and block
+    columns. A band holds at most one tuple per place and block on either side,
+    so no group grows with the data, however many rows share a value.
     """
     if window < 1 or window % 2 == 0:
         raise ValueError("the window must be an odd number")
@@ -80,10 +81,10 @@ def sorted_neighbourhood(
     b = distinct_tuples(right, right_on, left.schema[left_on[0]].dataType, "right")
     keys = a.select(F.col("left_0").alias("key")).unionAll(b.select(F.col("right_0").alias("key"))).distinct()
     ranks = global_rank(keys, "key", partitions)
-    offsets = F.sequence(F.col("rank") - reach, F.col("rank") + reach)
-    placed = a.join(ranks, a["left_0"] == ranks["key"]).select(*a.columns, F.explode(offsets).alias("place"))
-    facing = b.join(ranks, b["right_0"] == ranks["key"]).select(*b.columns, "rank")
-    condition = F.col("place") == F.col("rank")
+    bands = f"array_distinct(array((rank - {reach}) div {window}, (rank + {reach}) div {window}))"
+    placed = a.join(ranks, a["left_0"] == ranks["key"]).selectExpr(*a.columns, "rank AS place", f"explode({bands}) AS band")
+    facing = b.join(ranks, b["right_0"] == ranks["key"]).selectExpr(*b.columns, "rank", f"rank div {window} AS own_band")
+    condition = (F.col("band") == F.col("own_band")) & (F.abs(F.col("place") - F.col("rank")) <= reach)
     for i in range(1, width):
         condition = condition & F.col(f"left_{i}").eqNullSafe(F.col(f"right_{i}"))
     exact = F.lit(True)
