@@ -41,20 +41,18 @@ def mode_count(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
 
 
 def _buckets(df: DataFrame, names: Sequence[str], rows: int, buckets: int | None) -> DataFrame:
-    """Adds for column i the range bucket ``b{i}`` of its value, as an integer.
+    """For column i its value ``v{i}``, as a double ``x{i}``, and its bucket ``b{i}``.
 
     Cut points are approximate quantiles, so buckets hold about as many rows
     each; a bucket is a function of the value alone and keeps the order.
     """
     wanted = buckets or max(1, min(MAX_BUCKETS, rows // ROWS_PER_BUCKET + 1))
-    prepared = df
-    for i, name in enumerate(names):
-        missing = is_missing(name, df.schema[name].dataType)
-        value = F.expr(f"CASE WHEN NOT {missing} THEN CAST({quoted(name)} AS DOUBLE) END")
-        prepared = prepared.withColumn(f"x{i}", value)
+    present = [f"IF({is_missing(n, df.schema[n].dataType)}, NULL, {quoted(n)}) AS v{i}" for i, n in enumerate(names)]
+    prepared = df.selectExpr(*present)
+    prepared = prepared.selectExpr("*", *(f"CAST(v{i} AS DOUBLE) AS x{i}" for i in range(len(names))))
     inputs = [f"x{i}" for i in range(len(names))]
     if wanted == 1:
-        return prepared.select("*", *(F.lit(0).alias(f"b{i}") for i in range(len(names))))
+        return prepared.selectExpr("*", *(f"0 AS b{i}" for i in range(len(names))))
     shares = [b / wanted for b in range(1, wanted)]
     quantiles = prepared.approxQuantile(inputs, shares, 1 / (4 * wanted))
     infinity = float("inf")
@@ -71,8 +69,7 @@ def _values(df: DataFrame, names: Sequence[str], slots: Sequence[int], rows: int
     frames = {}
     for kind in ("BIGINT", "DOUBLE"):
         entries = [
-            f"named_struct('slot', {slot}, 'bucket', CAST(b{i} AS INT), "
-            f"'x', IF(x{i} IS NOT NULL, CAST({quoted(n)} AS {kind}), NULL))"
+            f"named_struct('slot', {slot}, 'bucket', CAST(b{i} AS INT), 'x', CAST(v{i} AS {kind}))"
             for i, (n, slot) in enumerate(zip(names, slots, strict=True))
             if isinstance(df.schema[n].dataType, T.IntegralType) == (kind == "BIGINT")
         ]

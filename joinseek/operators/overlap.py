@@ -93,11 +93,11 @@ def _counted(tables: Mapping[str, DataFrame], checked: DataFrame) -> DataFrame:
 
     The driver reads the column names of those candidates to build the scan.
     """
-    rows = checked.where("reason IS NULL").select(*CANDIDATE).distinct().collect()
+    rows = checked.where("reason IS NULL").select(*CANDIDATE).collect()
     if not rows:
         unknown = (f"CAST(NULL AS BIGINT) AS {c}" for c in ("n_left", "n_right", "common", "full_common"))
         return checked.selectExpr("*", *unknown)
-    pairs = [((r.left_table, tuple(r.left)), (r.right_table, tuple(r.right))) for r in rows]
+    pairs = sorted({((r.left_table, tuple(r.left)), (r.right_table, tuple(r.right))) for r in rows})
     counts = pair_counts(checked.sparkSession, tables, pairs)
     return checked.join(F.broadcast(counts), CANDIDATE, "left")  # one row per candidate
 

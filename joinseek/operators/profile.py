@@ -36,7 +36,7 @@ def _column_stats(field: T.StructField, position: int) -> str:
     value, average, valid = quoted(field.name), "CAST(NULL AS DOUBLE)", "0L"
     if isinstance(field.dataType, T.StringType):
         average = f"avg(length({value}))"
-        orders = (f"count_if(date_reading{position} & {order} > 0)" for order in (DAY_FIRST, MONTH_FIRST))
+        orders = (f"count_if(__date_reading{position} & {order} > 0)" for order in (DAY_FIRST, MONTH_FIRST))
         valid = f"greatest({', '.join(orders)})"
     elif isinstance(field.dataType, TEMPORAL):
         valid = f"count({value})"
@@ -50,7 +50,7 @@ def _column_stats(field: T.StructField, position: int) -> str:
 def _table_stats(table: str, df: DataFrame) -> DataFrame:
     stats = ", ".join(_column_stats(field, i) for i, field in enumerate(df.schema.fields))
     readings = [
-        f"{date_reading(quoted(field.name))} AS date_reading{i}"
+        f"{date_reading(quoted(field.name))} AS __date_reading{i}"
         for i, field in enumerate(df.schema.fields)
         if isinstance(field.dataType, T.StringType)
     ]

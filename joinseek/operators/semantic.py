@@ -41,20 +41,18 @@ def semantic_similarity(
     """Best ``1 / (1 + shortest path)`` over the senses of two words, else 0.
 
     The path leads over a common ancestor. A similarity never exceeds that of a
-    word with itself, which is at most 1, so it needs no further scaling. Work is
-    keyed by word pair and ancestor: the root of the taxonomy is one key per
-    pair, not one group of all words.
+    word with itself, which is at most 1, so it needs no further scaling. Each
+    pair climbs from its first word and meets the second by word and ancestor, so
+    the root of the taxonomy never gathers all words in one group.
     """
     senses = taxonomy.senses.select(F.lower("word").alias("word"), "sense").distinct()
     words = pairs.select(first, second).distinct()
     closure = ancestors(taxonomy.isa).join(senses, "sense").select("word", "ancestor", "steps")
     own = senses.selectExpr("word", "sense AS ancestor", "0 AS steps")
     nearest = closure.unionAll(own).groupBy("word", "ancestor").agg(F.min("steps").alias("steps"))
-    sides = {}
-    for name in (first, second):
-        reached = nearest.select(F.col("word"), "ancestor", F.col("steps").alias(f"{name}_steps"))
-        sides[name] = words.join(reached, F.lower(F.col(name)) == F.col("word")).drop("word")
-    path = F.min(F.col(f"{first}_steps") + F.col(f"{second}_steps"))
-    best = sides[first].join(sides[second], [first, second, "ancestor"]).groupBy(first, second).agg(path.alias("path"))
-    similarity = F.coalesce(1.0 / (1 + F.col("path")), F.lit(0.0))
-    return words.join(best, [first, second], "left").select(first, second, similarity.alias(score))
+    one = nearest.selectExpr("word AS one", "ancestor AS shared", "steps AS up")
+    two = nearest.selectExpr("word AS two", "ancestor", "steps AS down")
+    climbed = words.join(one, F.lower(first) == one["one"], "left")
+    met = climbed.join(two, (F.lower(second) == two["two"]) & (climbed["shared"] == two["ancestor"]), "left")
+    path = F.min(F.expr("up + down"))
+    return met.groupBy(first, second).agg(F.coalesce(1.0 / (1 + path), F.lit(0.0)).alias(score))

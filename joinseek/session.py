@@ -66,6 +66,7 @@ def settle(df: DataFrame) -> DataFrame:
 
 
 SMALL_TABLE = 256 * 1024 * 1024
+SMALL_PART = 1024 * 1024
 
 
 def spread(df: DataFrame, size: int) -> DataFrame:
@@ -74,9 +75,10 @@ def spread(df: DataFrame, size: int) -> DataFrame:
     A table of a few row groups would keep all the work in a few tasks. Larger
     inputs have enough splits of their own and are not shuffled.
     """
-    if size >= SMALL_TABLE:
+    parts = min(df.sparkSession.sparkContext.defaultParallelism, size // SMALL_PART + 1)
+    if size >= SMALL_TABLE or parts == 1:
         return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(parts)
 
 
 def estimated_size(df: DataFrame) -> int:

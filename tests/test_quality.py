@@ -131,3 +131,14 @@ def test_useful_columns_are_distinct(spark):
     report = candidates(spark, rows).selectExpr("*", "left[0] = 'x' AS mergeable")
     found = {(r.side, r.table, r.column) for r in useful_columns(report).collect()}
     assert found == {("left", "a", "x"), ("left", "a", "y"), ("right", "b", "u"), ("right", "b", "v")}
+
+
+def test_column_names_do_not_clash_with_ours(spark):
+    names = ["x0", "b0", "v0", "slot", "__date_reading1"]
+    df = spark.range(20).selectExpr(*(f"id * {i + 1} AS `{n}`" for i, n in enumerate(names)), "CAST(id AS STRING) AS x1")
+    catalog = settle(profile({"t": df}))
+    assert {r.column for r in counter_columns({"t": df}, catalog, buckets=3).where("is_counter").collect()} == set(names)
+    tables = {"t": df, "u": df.selectExpr("x0 AS arity", "x1 AS k0")}
+    rows = [("t", "u", ["x0", "x1"], ["arity", "k0"]), ("t", "u", ["x1"], ["k0"]), ("t", "u", ["b0"], ["arity"])]
+    found = join_contribution(tables, candidates(spark, rows)).collect()
+    assert {(tuple(r.left), int(r.joined_rows)) for r in found} == {(("x0", "x1"), 20), (("x1",), 20), (("b0",), 10)}
