@@ -86,13 +86,13 @@ def _sums(tables: Mapping[str, DataFrame], rows: Sequence) -> DataFrame:
             flag = f"f{len(flags)}"
             flags[flag] = f"IF({_any_value(df, column_set[1])}, 1L, 0L)"
             counts = ["1L", flag, "0L", "0L"] if side == "left" else ["0L", "0L", "1L", flag]
-            named = ", ".join(f"'{n}', {c}" for n, c in zip(("nl", "el", "nr", "er"), counts, strict=True))
-            keys.append((column_set, f"'id', {number}, {named}"))
+            named = dict(zip(("nl", "el", "nr", "er"), counts, strict=True))
+            keys.append((column_set, {"id": str(number), **named}))
         if keys:
             frames.append(layout.rows(df, keys, flags))
     per_key = (
         union_all(frames)
-        .groupBy("id", "arity", *layout.names)
+        .groupBy("id", *layout.names)
         .agg(*(F.sum(c).alias(c) for c in ("nl", "el", "nr", "er")))
     )
 

@@ -48,27 +48,36 @@ class KeyLayout:
 
     @property
     def names(self) -> list[str]:
-        return [f"{p}{i}" for i, parts in enumerate(self.parts) for p in parts]
+        """The columns to group keys by; keys of several widths differ by arity."""
+        parts = [f"{p}{i}" for i, at in enumerate(self.parts) for p in at]
+        return parts if self.width == 1 else ["arity", *parts]
 
     def has_null(self) -> str:
-        """True if one of the first ``arity`` values of the key is missing."""
+        """True if a value of the key is missing, padding aside."""
         tests = []
         for i, parts in enumerate(self.parts):
             absent = " AND ".join(f"{p}{i} IS NULL" for p in parts)
-            tests.append(f"(arity > {i} AND {absent})")
+            tests.append(f"({absent})" if self.width == 1 else f"(arity > {i} AND {absent})")
         return " OR ".join(tests)
 
-    def rows(self, df: DataFrame, keys: Sequence[tuple[ColumnSet, str]], flags: Mapping[str, str] | None = None) -> DataFrame:
-        """One row per input row and key: the extra fields, arity and key columns.
+    def rows(
+        self,
+        df: DataFrame,
+        keys: Sequence[tuple[ColumnSet, Mapping[str, str]]],
+        flags: Mapping[str, str] | None = None,
+    ) -> DataFrame:
+        """One row per input row and key: the extra fields and the key columns.
 
         ``keys`` are column sets of this table with extra fields as SQL text;
         ``flags`` are further expressions the extra fields may name. Each column
         is converted once per row, whatever the number of sets it is in.
         """
         prepared: dict[str, str] = {}
-        structs = []
+        rows = []
         for (name, columns), extra in keys:
-            fields = [extra, f"'arity', {len(columns)}Y"]
+            fields = dict(extra)
+            if self.width > 1:
+                fields["arity"] = f"{len(columns)}Y"
             for i, parts in enumerate(self.parts):
                 values = {}
                 if i < len(columns):
@@ -78,20 +87,22 @@ class KeyLayout:
                     held = f"CAST(NULL AS {PARTS[p]})"
                     if p in values:
                         held = prepared.setdefault(values[p], f"v{len(prepared)}")
-                    fields.append(f"'{p}{i}', {held}")
-            structs.append(f"named_struct({', '.join(fields)})")
+                    fields[f"{p}{i}"] = held
+            rows.append(fields)
         converted = df.selectExpr(
             *(f"{value} AS {alias}" for value, alias in prepared.items()),
             *(f"{value} AS {alias}" for alias, value in (flags or {}).items()),
         )
-        if len(structs) > 2:
+        if len(rows) == 1:
+            return converted.selectExpr(*(f"{value} AS {field}" for field, value in rows[0].items()))
+        if len(rows) > 2:
             converted = spread(converted, estimated_size(df))
+        structs = (f"named_struct({', '.join(f"'{field}', {value}" for field, value in r.items())})" for r in rows)
         return converted.selectExpr(f"inline(array({', '.join(structs)}))")
 
 
-def _masks(index: int, words: int) -> str:
-    masks = [1 << (index % BITS) if index // BITS == w else 0 for w in range(words)]
-    return ", ".join(f"'w{w}', {mask}L" for w, mask in enumerate(masks))
+def _masks(index: int, words: int) -> dict[str, str]:
+    return {f"w{w}": f"{1 << (index % BITS) if index // BITS == w else 0}L" for w in range(words)}
 
 
 def key_masks(tables: Mapping[str, DataFrame], sets: Sequence[ColumnSet], layout: KeyLayout) -> DataFrame:
@@ -103,7 +114,7 @@ def key_masks(tables: Mapping[str, DataFrame], sets: Sequence[ColumnSet], layout
         if mine:
             frames.append(layout.rows(df, mine))
     masks = [F.bit_or(f"w{w}").alias(f"w{w}") for w in range(words)]
-    return union_all(frames).groupBy("arity", *layout.names).agg(*masks)
+    return union_all(frames).groupBy(*layout.names).agg(*masks)
 
 
 def _members(words: int, total: int) -> str:
