@@ -18,10 +18,14 @@ def is_missing(name: str, dtype: T.DataType) -> str:
     return f"({value} IS NULL)"
 
 
+def _is_whole(value: str) -> str:
+    """True if a double is a whole number a bigint holds."""
+    return f"(rint({value}) = {value} AND {value} >= -9223372036854775808D AND {value} < 9223372036854775808D)"
+
+
 def _double_key(value: str) -> str:
-    whole = f"rint({value}) = {value} AND abs({value}) < 9.2E18D"
     return (
-        f"CASE WHEN isnan({value}) THEN NULL WHEN {whole} THEN CAST(try_cast({value} AS BIGINT) AS STRING) "
+        f"CASE WHEN isnan({value}) THEN NULL WHEN {_is_whole(value)} THEN CAST(try_cast({value} AS BIGINT) AS STRING) "
         f"ELSE CAST({value} AS STRING) END"
     )
 
@@ -50,8 +54,10 @@ def join_key(name: str, dtype: T.DataType) -> str:
         return _double_key(f"CAST({value} AS DOUBLE)")
     if isinstance(dtype, T.DecimalType) and dtype.scale > 0:
         return _decimal_key(value, dtype)
-    if isinstance(dtype, TEMPORAL):
-        return f"regexp_replace(CAST({value} AS STRING), ' 00:00:00$', '')"
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        day = f"CAST({value} AS DATE)"
+        midnight = f"CAST({day} AS {dtype.simpleString()})"
+        return f"IF({midnight} = {value}, CAST({day} AS STRING), CAST({value} AS STRING))"
     if isinstance(dtype, T.BinaryType):
         return f"base64({value})"
     if isinstance(dtype, (T.ArrayType, T.MapType, T.StructType)):
@@ -80,9 +86,10 @@ def key_parts(name: str, dtype: T.DataType, as_text: bool = False) -> dict[str,
     if isinstance(dtype, T.NumericType) and not as_text and not needs_text(dtype):
         if not isinstance(dtype, FRACTIONAL):
             return {"l": f"CAST({value} AS BIGINT)"}
-        whole = f"(rint({value}) = {value} AND abs({value}) < 9.2E18D)"
+        number = f"CAST({value} AS DOUBLE)"
+        whole = _is_whole(number)
         return {
-            "l": f"IF({whole}, try_cast({value} AS BIGINT), NULL)",
-            "d": f"IF({whole} OR isnan({value}), NULL, CAST({value} AS DOUBLE))",
+            "l": f"IF({whole}, try_cast({number} AS BIGINT), NULL)",
+            "d": f"IF({whole} OR isnan({number}), NULL, {number})",
         }
     return {"s": join_key(name, dtype)}

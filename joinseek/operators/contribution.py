@@ -17,13 +17,20 @@ from joinseek.session import column, local_table
 BIG = "decimal(38,0)"
 
 
-def _any_value(df: DataFrame, keys: Sequence[str]) -> str:
-    """True if a column outside the key has a value."""
-    tests = [f"NOT {is_missing(f.name, f.dataType)}" for f in df.schema.fields if f.name not in keys]
-    return " OR ".join(tests) or "false"
+def _any_value(df: DataFrame, keys: Sequence[str], complete: set[str]) -> str:
+    """True if a column outside the key has a value.
+
+    One complete column there settles it, and no other has to be read.
+    """
+    free = [f for f in df.schema.fields if f.name not in keys]
+    if any(f.name in complete for f in free):
+        return "true"
+    return " OR ".join(f"NOT {is_missing(f.name, f.dataType)}" for f in free) or "false"
 
 
-def join_contribution(tables: Mapping[str, DataFrame], candidates: DataFrame) -> DataFrame:
+def join_contribution(
+    tables: Mapping[str, DataFrame], candidates: DataFrame, catalog: DataFrame | None = None
+) -> DataFrame:
     """Percentage of information each side gains from the join on a candidate.
 
     The right side adds (its non-key columns) x (joined rows in which one of them
@@ -32,8 +39,13 @@ def join_contribution(tables: Mapping[str, DataFrame], candidates: DataFrame) ->
 
     The join is never built: rows are counted per key, before the shuffle already,
     and the counts of both sides multiplied. A key with a third of all rows is one
-    row per task.
+    row per task. With a ``catalog`` that knows columns without missing values,
+    only the key columns are read.
     """
+    complete: dict[str, set[str]] = {name: set() for name in tables}
+    if catalog is not None:
+        for row in catalog.where("missing = 0").select("table", "column").collect():
+            complete[row.table].add(row.column)
     rows = candidates.select(*CANDIDATE).distinct().collect()
     rows = sorted(rows, key=lambda r: (r.left_table, r.right_table, r.left, r.right))
     spark = candidates.sparkSession
@@ -56,7 +68,7 @@ def join_contribution(tables: Mapping[str, DataFrame], candidates: DataFrame) ->
         },
         types,
     )
-    sums = _sums(tables, rows) if rows else described.select("id", *(F.lit(0).alias(c) for c in SUMS)).limit(0)
+    sums = _sums(tables, rows, complete) if rows else described.select("id", *(F.lit(0).alias(c) for c in SUMS)).limit(0)
     joined = described.join(sums, "id", "left").na.fill(0, list(SUMS))
 
     def percent(own: str, other: str) -> str:
@@ -72,7 +84,7 @@ def join_contribution(tables: Mapping[str, DataFrame], candidates: DataFrame) ->
 SUMS = ("rows_left", "rows_right", "joined_rows", "right_filled", "left_filled")
 
 
-def _sums(tables: Mapping[str, DataFrame], rows: Sequence) -> DataFrame:
+def _sums(tables: Mapping[str, DataFrame], rows: Sequence, complete: Mapping[str, set[str]]) -> DataFrame:
     sides = [
         (i, side, (r[f"{side}_table"], tuple(r[side]))) for i, r in enumerate(rows) for side in ("left", "right")
     ]
@@ -84,7 +96,7 @@ def _sums(tables: Mapping[str, DataFrame], rows: Sequence) -> DataFrame:
             if column_set[0] != name:
                 continue
             flag = f"f{len(flags)}"
-            flags[flag] = f"IF({_any_value(df, column_set[1])}, 1L, 0L)"
+            flags[flag] = f"IF({_any_value(df, column_set[1], complete[name])}, 1L, 0L)"
             counts = ["1L", flag, "0L", "0L"] if side == "left" else ["0L", "0L", "1L", flag]
             named = dict(zip(("nl", "el", "nr", "er"), counts, strict=True))
             keys.append((column_set, {"id": str(number), **named}))

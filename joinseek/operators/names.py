@@ -12,6 +12,13 @@ from joinseek.operators.semantic import Taxonomy, semantic_similarity
 from joinseek.session import text
 
 
+# The least ratio of lengths with which a name pair can reach a score: an edit
+# distance is no less than the difference in length, and Jaro at most a mean of
+# the ratio and two ones.
+LENGTH_BOUND = {"Levenshtein": lambda score: score, "Jaro": lambda score: 3 * score - 2}
+SLACK = 1e-9
+
+
 def column_pairs(catalog: DataFrame, pairs: DataFrame, on: str | None = None) -> DataFrame:
     """Columns of the left table beside those of the right one, per table pair.
 
@@ -61,6 +68,7 @@ def similar_columns(
     for method, _ in methods:
         if method not in known:
             raise ValueError(f"unknown similarity method {method!r}; choose from {sorted(known)}")
+    shortest, longest = (f"{f}(length(left_column), length(right_column))" for f in ("least", "greatest"))
     beside = column_pairs(catalog, pairs)
     scores = []
     for method, minimum in methods:
@@ -73,6 +81,8 @@ def similar_columns(
             info = "named_struct('score', semantic, 'method', 'Semantic')"
         else:
             info = similarity_struct("left_column", "right_column", method)
+            if method in LENGTH_BOUND:
+                info = f"IF({shortest} >= {LENGTH_BOUND[method](minimum) - SLACK}D * {longest}, {info}, NULL)"
         scores.append(f"named_struct('info', {info}, 'least', {minimum}D)")
     if not scores:
         return common_columns(catalog, pairs, stage).limit(0)

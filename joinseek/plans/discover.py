@@ -33,12 +33,13 @@ from joinseek.session import local_table, settle
 class Discovery:
     """What a search found; every part is a DataFrame.
 
-    The report is complete when the search returns. Counters and contributions
+    ``columns`` profiles all columns, ``catalog`` those not ``dropped``. The report is complete when the search returns. Counters and contributions
     read the data again and do so only when asked for.
     """
 
     tables: Mapping[str, DataFrame]
     params: Params
+    columns: DataFrame
     catalog: DataFrame
     dropped: DataFrame
     report: DataFrame
@@ -60,7 +61,7 @@ class Discovery:
     @cached_property
     def contribution(self) -> DataFrame:
         """What each mergeable candidate adds to either side."""
-        return join_contribution(self.tables, self.report.where("mergeable"))
+        return join_contribution(self.tables, self.report.where("mergeable"), self.columns)
 
     def _with_distinct(self, columns: DataFrame) -> DataFrame:
         """Catalogue rows of these columns; only unknown distinct counts are read."""
@@ -206,6 +207,7 @@ def discover_joins(
     return Discovery(
         tables=tables,
         params=params,
+        columns=catalog,
         catalog=search.with_known_distinct(kept),
         dropped=sparse.drop("missing").unionAll(long),
         report=search.known(),

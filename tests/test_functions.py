@@ -28,6 +28,9 @@ def key_of(spark, value, kind):
         ((Decimal("12345678901234567890.12"), "decimal(30,2)"), (Decimal("12345678901234567890.1200"), "decimal(34,4)")),
         ((date(2020, 1, 2), "date"), (datetime(2020, 1, 2), "timestamp_ntz")),
         ((date(2020, 1, 2), "date"), ("2020-01-02", "string")),
+        ((datetime(2020, 1, 2, 3, 4, 5, 600), "timestamp"), (datetime(2020, 1, 2, 3, 4, 5, 600), "timestamp_ntz")),
+        ((-(2**63), "bigint"), (-(2.0**63), "double")),
+        ((2**63 - 1024, "bigint"), (2.0**63 - 1024, "double")),
     ],
 )
 def test_equal_values_give_equal_keys(spark, one, other):
@@ -44,7 +47,7 @@ def test_unequal_values_give_unequal_keys(spark):
     assert len({key_of(spark, v, "decimal(30,2)") for v in long_ones}) == 2
 
 
-@pytest.mark.parametrize("value", [0.0, -0.0, 1.5, -2.0, 1e300, float("inf"), float("nan"), None, 2.0**60])
+@pytest.mark.parametrize("value", [0.0, -0.0, 1.5, -2.0, 1e300, float("inf"), float("nan"), None, 2.0**60, 2.0**63, -(2.0**63)])
 def test_at_most_one_part_holds_a_number(spark, value):
     df = spark.createDataFrame([(value,)], "x double")
     parts = key_parts("x", df.schema["x"].dataType)

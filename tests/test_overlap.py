@@ -1,6 +1,7 @@
 import math
 import random
 
+import duckdb
 import pytest
 
 import joinseek.operators.keyrows as keyrows
@@ -189,3 +190,23 @@ def test_report_keeps_key_counts(spark):
     catalog = settle(profile(tables, distinct=False))
     row = measure_overlap(tables, candidates(spark, [("a", "b", ["id"], ["id"])]), catalog).first()
     assert (row.left_keys, row.right_keys) == (4, 5)
+
+
+def test_similar_names_agree_with_all_pairs(spark):
+    rng = random.Random(11)
+    words = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(1, 8))) for _ in range(120)})
+    left, right = words[::2][:30], words[1::2][:30]
+    catalog = names_catalog(spark, a=left, b=right)
+    methods = [("Levenshtein", 0.5), ("Jaro", 0.8)]
+    found = similar_columns(catalog, pair_table(spark, [("a", "b")]), methods).collect()
+    sql = "SELECT 1 - levenshtein(?, ?) / greatest(length(?), length(?)), jaro_similarity(?, ?)"
+    expected = {}
+    for a in left:
+        for b in right:
+            scores = duckdb.execute(sql, [a, b] * 3).fetchone()
+            reached = {m: s for (m, t), s in zip(methods, scores, strict=True) if s >= t}
+            if reached:
+                expected[a, b] = reached
+    assert {(r.left[0], r.right[0]) for r in found} == set(expected)
+    for r in found:
+        assert {i.method: i.score for i in r.similarity_info} == pytest.approx(expected[r.left[0], r.right[0]])

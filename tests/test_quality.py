@@ -51,6 +51,19 @@ def test_contribution_equals_the_direct_join(spark, seed):
         assert (r.right_adds, r.left_adds) == (pytest.approx(right_adds), pytest.approx(left_adds))
 
 
+def test_known_complete_columns_save_reading(spark, tmp_path):
+    wide = spark.range(30).selectExpr("id % 7 AS k", "id AS full", "IF(id > 3, id, NULL) AS part")
+    wide.write.parquet(str(tmp_path / "wide"))
+    tables = {"l": spark.read.parquet(str(tmp_path / "wide")), "r": wide.select("k", "part")}
+    rows = candidates(spark, [("l", "r", ["k"], ["k"]), ("l", "r", ["full"], ["k"])])
+    plain = join_contribution(tables, rows)
+    known = join_contribution(tables, rows, settle(profile(tables, distinct=False)))
+    assert sorted(map(str, plain.collect())) == sorted(map(str, known.collect()))
+    single = join_contribution(tables, rows.where("left[0] = 'k'"), settle(profile(tables, distinct=False)))
+    plan = single._jdf.queryExecution().toString()
+    assert "ReadSchema: struct<k:bigint>" in plan and "full:bigint" not in plan.split("ReadSchema")[1]
+
+
 def test_contribution_without_rows_or_candidates(spark):
     tables = {"l": spark.range(0).selectExpr("id", "id AS x"), "r": spark.range(3)}
     row = join_contribution(tables, candidates(spark, [("l", "r", ["id"], ["id"])])).first()
