@@ -30,9 +30,9 @@ FIXED = {"i": "Numerical", "d": "Numerical", "b": "Boolean"}
 
 DERIVED = """(SELECT o_orderkey, o_custkey,
   CASE WHEN o_orderstatus <> 'F' THEN o_orderpriority END AS priority,
-  CASE WHEN o_orderkey % 10 < 8 THEN o_totalprice END AS price,
+  CASE WHEN o_totalprice < 400000 THEN o_totalprice END AS price,
   strftime(o_orderdate, '%d/%m/%Y') AS day_text,
-  CASE WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS rare_day,
+  CASE WHEN o_orderpriority = '1-URGENT' THEN strftime(o_orderdate, '%Y-%m-%d') END AS rare_day,
   o_orderstatus = 'O' AS is_open FROM orders) AS derived"""
 SOURCES = {
     "derived": DERIVED,
@@ -285,10 +285,9 @@ SELECT round(l.k, 2) AS s_acctbal, round(r.k, 2) AS c_acctbal, l.b AS nation,
 FROM l JOIN places a ON a.k = l.k JOIN r ON r.b IS NOT DISTINCT FROM l.b JOIN places c ON c.k = r.k
 WHERE abs(a.place - c.place) <= 4"""
 
-PARTS = """evens AS (SELECT o_custkey, CASE WHEN o_orderstatus <> 'F' THEN o_orderpriority END AS priority
-  FROM orders WHERE o_orderkey % 2 = 0),
-thirds AS (SELECT o_custkey, CASE WHEN o_orderstatus <> 'F' THEN o_orderpriority END AS priority
-  FROM orders WHERE o_orderkey % 3 = 0)"""
+VIEWS = """not_final AS (SELECT o_custkey, CASE WHEN o_orderstatus <> 'F' THEN o_orderpriority END AS priority
+  FROM orders),
+not_open AS (SELECT o_custkey, CASE WHEN o_orderstatus <> 'O' THEN o_orderpriority END AS priority FROM orders)"""
 
 
 def null_overlap(method: str, equal: str) -> str:
@@ -296,12 +295,12 @@ def null_overlap(method: str, equal: str) -> str:
     for names in ("o_custkey,priority", "priority"):
         condition = " AND ".join(f"l.{n} {equal} r.{n}" for n in names.split(","))
         rows.append(
-            f"SELECT '{names}' AS cols, (SELECT count(*) FROM (SELECT DISTINCT {names} FROM evens)) AS nl, "
-            f"(SELECT count(*) FROM (SELECT DISTINCT {names} FROM thirds)) AS nr, (SELECT count(*) FROM "
-            f"(SELECT DISTINCT {names} FROM evens) l JOIN (SELECT DISTINCT {names} FROM thirds) r ON {condition}) AS m"
+            f"SELECT '{names}' AS cols, (SELECT count(*) FROM (SELECT DISTINCT {names} FROM not_final)) AS nl, "
+            f"(SELECT count(*) FROM (SELECT DISTINCT {names} FROM not_open)) AS nr, (SELECT count(*) FROM "
+            f"(SELECT DISTINCT {names} FROM not_final) l JOIN (SELECT DISTINCT {names} FROM not_open) r ON {condition}) AS m"
         )
-    return f"""WITH {PARTS}, c AS ({' UNION ALL '.join(rows)})
-SELECT 'evens' AS left_table, 'thirds' AS right_table, cols AS left_columns, cols AS right_columns,
+    return f"""WITH {VIEWS}, c AS ({' UNION ALL '.join(rows)})
+SELECT 'not_final' AS left_table, 'not_open' AS right_table, cols AS left_columns, cols AS right_columns,
   round(m / (nl + nr - m), 6) AS join_score, m AS matches, CAST(nl + nr - m AS DOUBLE) AS total,
   CASE WHEN m / (nl + nr - m) >= 0.2 THEN 1 ELSE 0 END AS mergeable, '{method}' AS description FROM c"""
 
@@ -459,6 +458,7 @@ FROM (VALUES {', '.join(f"('{c}')" for c in COMBOS)}) AS g(lc), shared""",
         f"""SELECT 'lineitem' AS lt, 'events' AS rt, key_columns AS lc, o.rc AS rc
   FROM ({key_ratio('lineitem', ['l_orderkey', 'l_partkey', 'l_linenumber'], 3)}),
   (VALUES ('event_id,user_id'), ('user_id,event_id')) AS o(rc)""",
+        0.1,
     ),
     "same_category_pairs": report(singles("supplier", "customer"), named_pairs([("supplier", "customer")], "lcat = rcat")),
     "overlap_jaccard": report(sets_of(*JACCARD), given(*JACCARD), tail=f"UNION ALL {FAILED_ROWS}"),
