@@ -76,6 +76,19 @@ def needs_text(dtype: T.DataType) -> bool:
     return isinstance(dtype, T.DecimalType) and (dtype.scale > 0 or dtype.precision > 18)
 
 
+LONG_BYTES = 64
+
+
+def _compact(value: str) -> str:
+    """Long text as its SHA-256 and length, which no short text can equal.
+
+    The digest covers the whole text, so equal keys still mean equal values,
+    while documents do not travel through the shuffle.
+    """
+    digest = f"concat(sha2({value}, 256), ':', length({value}))"
+    return f"IF(octet_length({value}) <= {LONG_BYTES}, {value}, {digest})"
+
+
 def key_parts(name: str, dtype: T.DataType, as_text: bool = False) -> dict[str, str]:
     """The value as one or two typed parts of which at most one is not null.
 
@@ -92,4 +105,6 @@ def key_parts(name: str, dtype: T.DataType, as_text: bool = False) -> dict[str,
             "l": f"IF({whole}, try_cast({number} AS BIGINT), NULL)",
             "d": f"IF({whole} OR isnan({number}), NULL, {number})",
         }
-    return {"s": join_key(name, dtype)}
+    key = join_key(name, dtype)
+    free_text = isinstance(dtype, (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType))
+    return {"s": _compact(key) if free_text else key}

@@ -210,3 +210,16 @@ def test_similar_names_agree_with_all_pairs(spark):
     assert {(r.left[0], r.right[0]) for r in found} == set(expected)
     for r in found:
         assert {i.method: i.score for i in r.similarity_info} == pytest.approx(expected[r.left[0], r.right[0]])
+
+
+def test_long_texts_differ_by_their_last_character(spark):
+    base = "é" * 400
+    left = [base + "a", base + "b", "x" * 64, "x" * 65, None, base + "a"]
+    right = [base + "b", base + "c", "x" * 64, "x" * 65 + " ", None]
+    tables = {n: spark.createDataFrame([(v,) for v in rows], "t string") for n, rows in (("a", left), ("b", right))}
+    catalog = settle(profile(tables))
+    assert {r.table: r.distinct for r in catalog.collect()} == {"a": 4, "b": 4}
+    rows = candidates(spark, [("a", "b", ["t"], ["t"])])
+    report = measure_overlap(tables, rows, catalog, 0.1).first()
+    assert (report.matches, report.left_keys, report.right_keys) == (2, 5, 5)
+    assert measure_overlap(tables, rows, catalog, 0.1, "Merge").first().matches == 3
