@@ -63,7 +63,9 @@ def _buckets(df: DataFrame, names: Sequence[str], rows: int, buckets: int | None
     return bucketizer.transform(prepared)
 
 
-def _values(df: DataFrame, names: Sequence[str], slots: Sequence[int], rows: int, buckets: int | None) -> dict[str, DataFrame]:
+def _values(
+    df: DataFrame, names: Sequence[str], slots: Sequence[int], rows: int, buckets: int | None
+) -> dict[str, DataFrame]:
     """(slot, bucket, x) rows of the present values, whole and fractional apart."""
     bucketed = _buckets(df, names, rows, buckets)
     frames = {}

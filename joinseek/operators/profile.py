@@ -91,7 +91,9 @@ def _slot_values(fields: Sequence[T.StructField], slots: Sequence[int], df: Data
     return exploded.where("l IS NOT NULL OR d IS NOT NULL OR s IS NOT NULL")
 
 
-def distinct_counts(tables: Mapping[str, DataFrame], columns: Sequence[tuple[str, str]] | None = None) -> DataFrame:
+def distinct_counts(
+    tables: Mapping[str, DataFrame], columns: Sequence[tuple[str, str]] | None = None
+) -> DataFrame:
     """Distinct non-missing values per column: (table, column, distinct).
 
     All columns of all tables share one shuffle of narrow rows, de-duplicated

@@ -33,8 +33,9 @@ from joinseek.session import local_table, settle
 class Discovery:
     """What a search found; every part is a DataFrame.
 
-    ``columns`` profiles all columns, ``catalog`` those not ``dropped``. The report is complete when the search returns. Counters and contributions
-    read the data again and do so only when asked for.
+    ``columns`` profiles all columns, ``catalog`` those not ``dropped``. The
+    report is complete when the search returns; counters and contributions read
+    the data again and do so only when asked for.
     """
 
     tables: Mapping[str, DataFrame]

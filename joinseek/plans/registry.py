@@ -116,7 +116,7 @@ def profile_texts(spark: SparkSession, folder: str) -> DataFrame:
 
 def table_shapes(spark: SparkSession, folder: str) -> DataFrame:
     counted = shape(load(spark, folder, "lineitem", "orders", "events", "documents", "labels"))
-    return counted.select(F.col("table").alias("table_name"), F.col("rows").alias("n_rows"), F.col("columns").alias("n_columns"))
+    return counted.selectExpr("table AS table_name", "rows AS n_rows", "columns AS n_columns")
 
 
 def csv_scan(spark: SparkSession, folder: str) -> DataFrame:
@@ -154,7 +154,7 @@ def pruned_catalog(spark: SparkSession, folder: str) -> DataFrame:
 def uniqueness_pruned(spark: SparkSession, folder: str) -> DataFrame:
     catalog = settle(profile(load(spark, folder, "lineitem", "orders")))
     kept, _ = prune_uniqueness(catalog, 1, 0.2)
-    return kept.select(F.col("table").alias("table_name"), F.col("column").alias("column_name"), F.col("distinct").alias("distinct_values"))
+    return kept.selectExpr("table AS table_name", "column AS column_name", "distinct AS distinct_values")
 
 
 def category_pruned(spark: SparkSession, folder: str) -> DataFrame:
