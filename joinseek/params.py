@@ -31,4 +31,3 @@ class Params:
     counter_min_uniqueness: float = 0.99
     counter_max_miss: float = 0.1
     length_scope: str = "string"
-    window: int = 9

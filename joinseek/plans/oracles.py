@@ -411,6 +411,8 @@ ORACLES: dict[str, str] = {
     f"FROM {profile('derived')} WHERE NOT missing / rows < 0.3",
     "prune_length": "SELECT table_name, column_name, round(avg_length, 6) AS avg_chars "
     f"FROM {profile('documents', 'pages', 'conversations', 'customer')} WHERE NOT avg_length < 70",
+    "prune_length_text": "SELECT table_name, column_name, round(avg_length, 6) AS avg_chars "
+    f"FROM {profile('customer', 'derived')} WHERE category = 'Text' AND NOT avg_length < 9",
     "prune_uniqueness": "SELECT table_name, column_name, distinct_values "
     f"FROM {profile('lineitem', 'orders')} WHERE distinct_values > greatest(1, 0.2 * rows)",
     "prune_category": f"""WITH p AS {profile('orders', 'region', 'customer')},
@@ -474,6 +476,14 @@ FROM (VALUES {', '.join(f"('{c}')" for c in COMBOS)}) AS g(lc), shared""",
     "overlap_merge": null_overlap("Merge", "IS NOT DISTINCT FROM"),
     "overlap_exact_nulls": null_overlap("Sorted Neighbourhood", "="),
     "result_listing": listing_rows(),
+    "rank_by_score": "SELECT CAST(row_number() OVER (ORDER BY join_score DESC, left_columns, right_columns) AS INTEGER) "
+    "AS place, left_columns, right_columns, join_score FROM ("
+    + report(
+        singles("lineitem", "orders"),
+        named_pairs([("lineitem", "orders")], "lcat = rcat"),
+        tail="WHERE mergeable = 1",
+    )
+    + ")",
     "sorted_neighbourhood": NEAR_BALANCES,
     "sorted_neighbourhood_exact": "SELECT DISTINCT l_orderkey, o_orderkey FROM lineitem JOIN orders "
     "ON l_orderkey = o_orderkey",

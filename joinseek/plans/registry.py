@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from joinseek.functions.strings import string_similarity
@@ -22,7 +22,7 @@ from joinseek.operators.counters import counter_columns, mode_count, useful_colu
 from joinseek.operators.keys import foreign_keys, unique_keys
 from joinseek.operators.names import common_columns, same_category_pairs, similar_columns
 from joinseek.operators.neighbourhood import global_rank, sorted_neighbourhood
-from joinseek.operators.overlap import INFO_TYPE, listing, measure_overlap
+from joinseek.operators.overlap import CANDIDATE, INFO_TYPE, listing, measure_overlap, rank, useful
 from joinseek.operators.profile import group_by_category, profile, shape
 from joinseek.operators.prune import (
     cardinality_discards,
@@ -145,6 +145,14 @@ def length_pruned(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def text_length_pruned(spark: SparkSession, folder: str) -> DataFrame:
+    """The rule for the category Text only: dates as text stay."""
+    t = load(spark, folder, "customer", "orders")
+    catalog = settle(profile({"customer": t["customer"], "derived": with_nulls(t["orders"])}, distinct=False))
+    _, dropped = prune_length(catalog, 9, scope="text")
+    return dropped.selectExpr("table AS table_name", "column AS column_name", "round(value, 6) AS avg_chars")
+
+
 def pruned_catalog(spark: SparkSession, folder: str) -> DataFrame:
     catalog = settle(profile({"derived": with_nulls(load(spark, folder, "orders")["orders"])}))
     _, sparse = prune_missing(catalog, 0.3)
@@ -404,6 +412,17 @@ def result_listing(spark: SparkSession, folder: str) -> DataFrame:
     return listing(measure_overlap(t, candidates(spark, JACCARD), catalog)).select("left_table", "right_table", "line")
 
 
+def ranked_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Mergeable candidates of equal category with their place by score."""
+    t = load(spark, folder, "lineitem", "orders")
+    catalog = settle(profile(t, distinct=False))
+    found = same_category_pairs(catalog, pair_table(spark, [("lineitem", "orders")]))
+    merged, _ = useful(measure_overlap(t, found, catalog))
+    # One row per candidate, so this window is small whatever the data size.
+    place = F.row_number().over(Window.orderBy(F.desc("join_score"), *CANDIDATE)).alias("place")
+    return rank(merged).select(place, "*").selectExpr("place", *COLUMNS, "round(join_score, 6) AS join_score")
+
+
 def near_balances(spark: SparkSession, folder: str) -> DataFrame:
     t = load(spark, folder, "supplier", "customer")
     pairs = sorted_neighbourhood(
@@ -502,6 +521,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "category_groups": category_groups,
     "prune_missing": missing_pruned,
     "prune_length": length_pruned,
+    "prune_length_text": text_length_pruned,
     "prune_uniqueness": uniqueness_pruned,
     "prune_category": category_pruned,
     "pruned_catalog": pruned_catalog,
@@ -527,6 +547,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "overlap_merge": merged_nulls("Merge"),
     "overlap_exact_nulls": merged_nulls("SortedNeighborhood"),
     "result_listing": result_listing,
+    "rank_by_score": ranked_report,
     "sorted_neighbourhood": near_balances,
     "sorted_neighbourhood_exact": near_order_keys,
     "global_rank": ranked_prices,
