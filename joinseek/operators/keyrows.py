@@ -89,14 +89,14 @@ class KeyLayout:
                         held = prepared.setdefault(values[p], f"v{len(prepared)}")
                     fields[f"{p}{i}"] = held
             rows.append(fields)
+        if len(rows) > 2:
+            df = spread(df, estimated_size(df))
         converted = df.selectExpr(
             *(f"{value} AS {alias}" for value, alias in prepared.items()),
             *(f"{value} AS {alias}" for alias, value in (flags or {}).items()),
         )
         if len(rows) == 1:
             return converted.selectExpr(*(f"{value} AS {field}" for field, value in rows[0].items()))
-        if len(rows) > 2:
-            converted = spread(converted, estimated_size(df))
         structs = (f"named_struct({', '.join(f"'{field}', {value}" for field, value in r.items())})" for r in rows)
         return converted.selectExpr(f"inline(array({', '.join(structs)}))")
 

@@ -84,10 +84,9 @@ def _slot_values(fields: Sequence[T.StructField], slots: Sequence[int], df: Data
         prepared += [f"{value} AS {p}{slot}" for p, value in parts.items()]
         values = (f"'{p}', {f'{p}{slot}' if p in parts else f'CAST(NULL AS {kind})'}" for p, kind in PARTS.items())
         entries.append(f"named_struct('slot', {slot}, {', '.join(values)})")
-    converted = df.selectExpr(*prepared)
     if len(entries) > 2:
-        converted = spread(converted, estimated_size(df))
-    exploded = converted.selectExpr(f"inline(array({', '.join(entries)}))")
+        df = spread(df, estimated_size(df))
+    exploded = df.selectExpr(*prepared).selectExpr(f"inline(array({', '.join(entries)}))")
     return exploded.where("l IS NOT NULL OR d IS NOT NULL OR s IS NOT NULL")
 
 
