@@ -44,7 +44,7 @@ INNER = {
     "phone": r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])",
 }
 
-#: Score of a confirmed span without context, words that raise it and words that lower it.
+#: Score of a confirmed span without context, words near it that raise it and words before it that lower it.
 SCORES = {
     "email": (0.9, "mail|contact|kontakt|correo", "example of"),
     "ip": (0.6, "ip|host|server|address|login", "version|release|section"),
@@ -113,12 +113,11 @@ VALID = {
 def _scored(kind: str, spans: str, base: bool, text: str) -> str:
     """Spans with a score from their kind and the words around them."""
     start, more, less = SCORES[kind]
-    around = (
-        f"lower(concat(substring({text}, greatest(x.start - {CONTEXT_CHARS - 1}, 1), least(x.start, {CONTEXT_CHARS})),"
-        f" ' ', substring({text}, x.stop + 1, {CONTEXT_CHARS})))"
-    )
-    near = f"IF({around} RLIKE '(?:^|[^a-z])(?:{{}})(?:[^a-z]|$)', {CONTEXT_STEP}D, 0D)"
-    score = f"round(least(1D, {start}D + {near.format(more)} - {near.format(less)}), 3)"
+    before = f"lower(substring({text}, greatest(x.start - {CONTEXT_CHARS - 1}, 1), least(x.start, {CONTEXT_CHARS})))"
+    after = f"lower(substring({text}, x.stop + 1, {CONTEXT_CHARS}))"
+    near = "IF({} RLIKE '(?:^|[^a-z])(?:{})(?:[^a-z]|$)', {}D, 0D)"
+    raised = near.format(f"concat({before}, ' ', {after})", more, CONTEXT_STEP)
+    score = f"round(least(1D, {start}D + {raised} - {near.format(before, less, CONTEXT_STEP)}), 3)"
     return (
         f"transform({spans}, x -> named_struct('kind', '{kind}', 'start', x.start, 'stop', x.stop,"
         f" 'base', {str(base).lower()}, 'score', {score}))"
