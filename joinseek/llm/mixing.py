@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from joinseek.llm.text import kept_table, words
@@ -26,9 +26,9 @@ class MixParams:
     """``weights`` per level by name; names not listed weigh ``other``.
 
     ``domain_rule`` is SQL text over the documents. ``budget`` is a number of
-    tokens, or a share of all tokens if it is below 1. ``bucket_digits``
-    hexadecimal digits of the order key form a bucket: sixteen times as many
-    buckets for each more, and only one bucket of a leaf is ever sorted.
+    tokens, or a share of all tokens if it is below 1. The place where the budget
+    of a leaf ends is searched in ``steps`` steps, each of which tells 256 parts
+    of the order apart; only the last part of a leaf is sorted.
     """
 
     weights: Mapping[str, Mapping[str, float]] = field(default_factory=dict)
@@ -37,7 +37,7 @@ class MixParams:
     budget: float = 0.5
     max_epochs: int = 3
     seed: str = "mix"
-    bucket_digits: int = 4
+    steps: int = 2
 
 
 def _weight(level: str, params: MixParams) -> str:
@@ -85,68 +85,93 @@ def leaf_budgets(leaves: DataFrame, params: MixParams) -> DataFrame:
     )
 
 
-def _sized(docs: DataFrame, params: MixParams, key: str, body: str) -> DataFrame:
-    return docs.select(
-        F.col(quoted(key)).alias("__key"),
+def _leaf_columns(params: MixParams) -> list[Column]:
+    return [
         F.expr(f"coalesce({params.domain_rule}, '')").alias("domain"),
         F.coalesce(F.col("lang"), F.lit("")).alias("lang"),
         F.coalesce(F.col("source"), F.lit("")).alias("source"),
-        F.size(words(F.col(quoted(body)))).cast("long").alias("n_tokens"),
+    ]
+
+
+def _order(key: str, params: MixParams) -> str:
+    """The place of a key in the epoch that its leaf does not finish."""
+    return f"md5(concat_ws(':', {text(params.seed)}, CAST(full AS STRING), CAST({key} AS STRING)))"
+
+
+def _ends(sized: DataFrame, params: MixParams) -> tuple[DataFrame, DataFrame]:
+    """Where every leaf's budget ends, and the documents of the part in which it does.
+
+    The first table has (domain, lang, source, full, rest, part, before) per
+    leaf: so many whole epochs and the rest of the budget, the part of the next
+    epoch's order in which it ends and the tokens before that part. The second has
+    (domain, lang, source, key, took) for the documents of that part which begin
+    within the rest.
+    """
+    leaves = sized.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"))
+    ends = leaf_budgets(leaves, params).selectExpr(
+        *LEVELS,
+        "CAST(budget div greatest(tokens, 1L) AS INT) AS full",
+        "budget % greatest(tokens, 1L) AS rest",
+        "'' AS part",
+        "0L AS before",
     )
+    ends = kept_table(ends, "leaves")
+    leaf = ", ".join(LEVELS)
+    state = [*LEVELS, "full", "rest"]
+    for step in range(1, params.steps + 1):
+        within = sized.join(ends.where("rest > 0"), list(LEVELS)).selectExpr("*", f"{_order('key', params)} AS place")
+        parts = within.where("startswith(place, part)").groupBy(*state, "before", F.substring("place", 1, 2 * step).alias("part"))
+        upto = f"before + sum(t) OVER (PARTITION BY {leaf} ORDER BY part)"
+        passed = parts.agg(F.sum("n_tokens").alias("t")).selectExpr(*state, "part", f"{upto} AS upto", "t").where("upto > rest")
+        last = passed.groupBy(*state).agg(F.min(F.struct("part", F.expr("upto - t AS before"))).alias("end"))
+        ends = kept_table(last.select(*state, "end.*").unionAll(ends.where("rest = 0")), "ends")
+    within = sized.join(ends.where("rest > 0"), list(LEVELS)).selectExpr("*", f"{_order('key', params)} AS place")
+    inside = within.where("startswith(place, part)").groupBy(*LEVELS, "rest", "before", "place", "key")
+    since = f"before + sum(t) OVER (PARTITION BY {leaf} ORDER BY place, key ROWS UNBOUNDED PRECEDING) - t"
+    taken = inside.agg(F.sum("n_tokens").alias("t")).selectExpr(*LEVELS, "key", "rest", "t", f"{since} AS since")
+    taken = taken.where("since < rest").selectExpr(*LEVELS, "key", "least(t, rest - since) AS took")
+    return ends, kept_table(taken, "taken")
+
+
+def _copied(rows: DataFrame, ends: DataFrame, taken: DataFrame, params: MixParams) -> DataFrame:
+    """``rows`` (…, __key, __domain, __lang, __source, __tokens) once per copy, with __epoch and __taken.
+
+    Both tables are as small as the tree of sources, so the rows stay where they
+    are; with very many sources Spark shuffles instead.
+    """
+    names = [f"__{level}" for level in LEVELS]
+    ends = ends.selectExpr(*(f"{level} AS e_{level}" for level in LEVELS), "full", "rest", "part")
+    taken = taken.selectExpr(*(f"{level} AS t_{level}" for level in LEVELS), "key AS t_key", "took")
+    placed = rows.join(ends, [F.col(n) == F.col(f"e_{level}") for n, level in zip(names, LEVELS, strict=True)])
+    placed = placed.selectExpr("*", f"substring({_order('__key', params)}, 1, {2 * params.steps}) AS mine")
+    same = [F.col(n) == F.col(f"t_{level}") for n, level in zip(names, LEVELS, strict=True)]
+    placed = placed.join(taken, [*same, F.col("__key").eqNullSafe(F.col("t_key"))], "left")
+    copies = placed.selectExpr("*", "full + IF(rest > 0 AND (mine < part OR took IS NOT NULL), 1, 0) AS copies")
+    copies = copies.where("copies > 0").selectExpr("*", "explode(sequence(0, copies - 1)) AS __epoch")
+    paid = "IF(__epoch = full, least(__tokens, coalesce(took, __tokens)), __tokens) AS __taken"
+    return copies.selectExpr(*(quoted(c) for c in rows.columns), "__epoch", paid)
 
 
-def _order_key(params: MixParams) -> str:
-    return f"md5(concat_ws(':', {text(params.seed)}, CAST(full AS STRING), CAST(__key AS STRING)))"
+def _sized(docs: DataFrame, params: MixParams, key: str, body: str) -> DataFrame:
+    tokens = F.size(words(F.col(quoted(body)))).cast("long").alias("n_tokens")
+    return docs.select(F.col(quoted(key)).alias("key"), *_leaf_columns(params), tokens)
 
 
 def selection(docs: DataFrame, params: MixParams, key: str = "doc_id", body: str = "text") -> DataFrame:
-    """(doc_id, domain, lang, source, n_tokens, epoch), one row per copy chosen.
+    """(doc_id, domain, lang, source, n_tokens, n_taken, epoch), one row per copy chosen.
 
     Tokens are words. A leaf with a budget of so many whole epochs takes every
     document that often; of the next epoch it takes, in the order of a seeded
     digest, the documents that begin within the rest; ``n_taken`` is how many words
     of a copy are paid for. Documents of one leaf that share a key are taken or
-    left together. A null language or
-    source is the empty name; null texts have no tokens and cost nothing.
+    left together. A null language or source is the empty name; null texts have
+    no tokens and cost nothing.
     """
     sized = kept_table(_sized(docs, params, key, body), "sized")
-    leaves = sized.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"))
-    plan = leaf_budgets(leaves, params).selectExpr(
-        *LEVELS,
-        "CAST(budget div greatest(tokens, 1L) AS INT) AS full",
-        "budget % greatest(tokens, 1L) AS rest",
-    )
-    plan = kept_table(plan, "leaves")
-    digits = params.bucket_digits
-    ordered = sized.join(plan, list(LEVELS)).selectExpr("*", f"{_order_key(params)} AS __order")
-    ordered = ordered.selectExpr("*", f"substring(__order, 1, {digits}) AS __bucket")
-
-    buckets = ordered.groupBy(*LEVELS, "rest", "__bucket").agg(F.sum("n_tokens").alias("t"))
-    leaf = ", ".join(LEVELS)
-    upto = f"sum(t) OVER (PARTITION BY {leaf} ORDER BY __bucket)"
-    crossed = buckets.selectExpr(*LEVELS, "rest", "__bucket", f"{upto} AS upto", "t").where("upto > rest")
-    edge = crossed.groupBy(*LEVELS).agg(F.min(F.struct("__bucket", F.expr("upto - t AS before"))).alias("edge"))
-    edge = kept_table(edge.select(*LEVELS, "edge.*").withColumnRenamed("__bucket", "__edge"), "edges")
-
-    placed = ordered.join(edge, list(LEVELS), "left")
-    inside = placed.where("__bucket = __edge")
-    inside = inside.groupBy(*LEVELS, "rest", "before", "__order", "__key").agg(F.sum("n_tokens").alias("t"))
-    so_far = f"before + sum(t) OVER (PARTITION BY {leaf} ORDER BY __order, __key ROWS UNBOUNDED PRECEDING) - t"
-    taken = inside.selectExpr(*LEVELS, "__key AS __taken", "rest", "t", f"{so_far} AS since").where("since < rest")
-    taken = kept_table(taken.selectExpr(*LEVELS, "__taken", "least(t, rest - since) AS __took"), "taken")
-
-    same = [placed[c] == taken[c] for c in LEVELS] + [placed["__key"].eqNullSafe(taken["__taken"])]
-    chosen = placed.join(taken, same, "left")
-    part = "(rest > 0 AND (__edge IS NULL OR __bucket < __edge OR __took IS NOT NULL))"
-    columns = [placed["__key"], *(placed[c] for c in LEVELS), "n_tokens", "full", "__took"]
-    rows = chosen.select(*columns, F.expr(f"full + IF({part}, 1, 0)").alias("copies")).where("copies > 0")
-    rows = rows.selectExpr("*", "explode(sequence(0, copies - 1)) AS epoch")
-    return rows.selectExpr(
-        f"__key AS {quoted(key)}",
-        *LEVELS,
-        "n_tokens",
-        "IF(epoch = full, least(n_tokens, coalesce(__took, n_tokens)), n_tokens) AS n_taken",
-        "epoch",
+    ends, taken = _ends(sized, params)
+    rows = sized.selectExpr("key AS __key", *(f"{level} AS __{level}" for level in LEVELS), "n_tokens AS __tokens")
+    return _copied(rows, ends, taken, params).selectExpr(
+        f"__key AS {quoted(key)}", *(f"__{level} AS {level}" for level in LEVELS), "__tokens AS n_tokens", "__taken AS n_taken", "__epoch AS epoch"
     )
 
 
@@ -155,15 +180,11 @@ def mixed(docs: DataFrame, params: MixParams) -> DataFrame:
 
     ``n_taken`` is the number of leading words that the budget pays for; it is
     less than all only for the last document of a leaf. The columns of ``docs``
-    stay; those called as the two new ones are replaced.
+    stay; those called as the two new ones are replaced. Texts are not shuffled.
     """
-    chosen = selection(docs, params).drop("domain", "n_tokens")
-    names = {"doc_id": "__doc", "lang": "__lang", "source": "__source", "n_taken": "__taken", "epoch": "__epoch"}
-    chosen = kept_table(chosen.selectExpr(*(f"{old} AS {new}" for old, new in names.items())).distinct(), "chosen")
-    same = (
-        docs["doc_id"].eqNullSafe(chosen["__doc"])
-        & (F.coalesce(docs["lang"], F.lit("")) == chosen["__lang"])
-        & (F.coalesce(docs["source"], F.lit("")) == chosen["__source"])
-    )
+    sized = _sized(docs, params, "doc_id", "text")
+    ends, taken = _ends(kept_table(sized, "sized"), params)
     rest = [quoted(c) for c in docs.columns if c not in ("epoch", "n_taken")]
-    return docs.join(chosen, same).selectExpr(*rest, "__epoch AS epoch", "__taken AS n_taken")
+    leaf = [c.alias(f"__{level}") for c, level in zip(_leaf_columns(params), LEVELS, strict=True)]
+    rows = docs.select(*rest, F.col("doc_id").alias("__key"), *leaf, F.size(words(F.col("text"))).cast("long").alias("__tokens"))
+    return _copied(rows, ends, taken, params).selectExpr(*rest, "__epoch AS epoch", "__taken AS n_taken")
