@@ -146,28 +146,33 @@ def fit(docs: DataFrame, labels: DataFrame, params: ToxicityParams | None = None
             )
 
     rows = sample.mapInArrow(present, "label int, found array<int>").toPandas()
-    matrix = np.zeros((len(rows), len(features)), np.float32)
+    # The last column is the bias.
+    matrix = np.zeros((len(rows), len(features) + 1), np.float32)
+    matrix[:, -1] = 1
     for i, found in enumerate(rows["found"]):
         matrix[i, found] = ratio[found]
     label = rows["label"].to_numpy(dtype=np.float32)
     weight = np.where(label == 1, toxic / t, other / c)
-    weights, bias = _logistic(matrix, label, weight / weight.sum(), params)
+    weights, bias = _logistic(matrix, label, (weight / weight.sum()).astype(np.float32), params)
     return ToxicityModel(features, weights * ratio, bias, params)
 
 
 def _logistic(matrix: np.ndarray, label: np.ndarray, weight: np.ndarray, params: ToxicityParams) -> tuple[np.ndarray, float]:
-    """Accelerated gradient descent on the weighted log loss with a squared penalty."""
-    columns = np.hstack([matrix, np.ones((len(matrix), 1), np.float32)])
-    step = 1.0 / (0.25 * float((weight * (columns**2).sum(axis=1)).sum()) + params.penalty)
-    keep = np.full(columns.shape[1], params.penalty)
+    """Accelerated gradient descent on the weighted log loss with a squared penalty.
+
+    All of it in single precision, so that no step copies the matrix.
+    """
+    norms = np.einsum("ij,ij->i", matrix, matrix)
+    step = np.float32(1.0 / (0.25 * float((weight * norms).sum()) + params.penalty))
+    keep = np.full(matrix.shape[1], params.penalty, np.float32)
     keep[-1] = 0.0
-    now = ahead = np.zeros(columns.shape[1])
+    now = ahead = np.zeros(matrix.shape[1], np.float32)
     for k in range(params.rounds):
-        error = 1 / (1 + np.exp(-np.clip(columns @ ahead, -50, 50))) - label
-        after = ahead - step * (columns.T @ (weight * error) + keep * ahead)
-        ahead = after + k / (k + 3) * (after - now)
+        error = 1 / (1 + np.exp(-np.clip(matrix @ ahead, -50, 50))) - label
+        after = ahead - step * ((weight * error) @ matrix + keep * ahead)
+        ahead = after + np.float32(k / (k + 3)) * (after - now)
         now = after
-    return now[:-1], float(now[-1])
+    return now[:-1].astype(np.float64), float(now[-1])
 
 
 def _lookup(features: np.ndarray, params: ToxicityParams) -> np.ndarray:
