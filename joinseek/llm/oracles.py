@@ -1 +1,126 @@
-ORACLES: dict[str, str] = {}
+"""The same results as the registered queries in DuckDB SQL, where SQL can express them."""
+
+from __future__ import annotations
+
+from joinseek.llm.queries import MIX
+from joinseek.llm.repeated_lines import LineParams
+from joinseek.llm.warc import BASE32
+
+WORD = r"[^\x20\x09-\x0D]+"
+
+
+def _mix() -> str:
+    domain = (
+        "CASE WHEN regexp_matches(source, '^src[0-9]$') THEN 'web'"
+        " WHEN regexp_matches(source, '^src1[0-4]$') THEN 'books' ELSE 'code' END"
+    )
+    levels = ["domain", "lang", "source"]
+    steps = []
+    for depth, level in enumerate(levels):
+        path = ", ".join(levels[: depth + 1])
+        parent = levels[:depth]
+        listed = MIX.weights.get(level, {})
+        cases = " ".join(f"WHEN {level} = '{name}' THEN {weight}" for name, weight in listed.items())
+        weight = f"CASE {cases} ELSE {MIX.other} END" if cases else f"{MIX.other}"
+        budget = f"above{depth - 1}.budget" if depth else f"{MIX.budget} * (SELECT sum(tokens) FROM leaf)"
+        joined = f" JOIN above{depth - 1} USING ({', '.join(parent)})" if depth else ""
+        group = ", ".join(parent) or "1"
+        order = f"PARTITION BY {group} ORDER BY capacity / weight, {level}"
+        steps.append(f"""
+        nodes{depth} AS (SELECT {path}, n.capacity, CAST({weight} AS DOUBLE) AS weight, {budget} AS total
+            FROM (SELECT {path}, sum(capacity) AS capacity FROM leaf GROUP BY {path}) AS n{joined}),
+        rates{depth} AS (SELECT *, (total - coalesce(sum(capacity) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / sum(weight) OVER ({order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rate FROM nodes{depth}),
+        above{depth} AS (SELECT {path}, least(capacity, greatest(0, max(rate) OVER (PARTITION BY {group}) * weight)) AS budget
+            FROM rates{depth})""")
+    return rf"""
+    WITH sized AS (SELECT doc_id, {domain} AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+            CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS n_tokens FROM documents),
+        leaf AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS tokens,
+            CAST(sum(n_tokens) * {MIX.max_epochs} AS DOUBLE) AS capacity FROM sized GROUP BY ALL),
+        {','.join(steps)},
+        plan AS (SELECT domain, lang, source, greatest(tokens, 1) AS tokens, CAST(floor(budget + 0.000001) AS BIGINT) AS budget
+            FROM leaf JOIN above2 USING (domain, lang, source)),
+        placed AS (SELECT sized.*, budget // tokens AS whole, budget % tokens AS rest,
+            md5('{MIX.seed}:' || (budget // tokens) || ':' || doc_id) AS place
+            FROM sized JOIN plan USING (domain, lang, source)),
+        since AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY place, doc_id
+            ROWS UNBOUNDED PRECEDING) - n_tokens AS since FROM placed),
+        copies AS (SELECT *, whole + CASE WHEN since < rest THEN 1 ELSE 0 END AS copies FROM since),
+        each AS (SELECT *, unnest(range(copies)) AS epoch FROM copies)
+    SELECT doc_id, domain, lang, source, n_tokens,
+        CAST(CASE WHEN epoch = whole THEN least(n_tokens, rest - since) ELSE n_tokens END AS BIGINT) AS n_taken,
+        CAST(epoch AS INTEGER) AS epoch
+    FROM each"""
+
+
+URL_FILTER = r"""
+WITH captured AS (
+    SELECT page_id, url, DATE '2024-01-01' + CAST((page_id * 37) % 365 AS INTEGER) AS fetched_on,
+        nullif(rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '.'), '') AS host,
+        string_split(rtrim(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'), '/') AS steps
+    FROM pages),
+hosts AS (SELECT DISTINCT host, md5(host) AS h, array_to_string(string_split(host, '.')[-2:], '.') AS parent FROM captured WHERE host IS NOT NULL),
+drawn AS (SELECT host, parent, substr(h, 1, 1) AS a, CAST('0x' || substr(h, 2, 2) AS INTEGER) AS n, md5(parent) AS p FROM hosts),
+entries AS (
+    SELECT host AS pattern, 'block' AS action, n AS day FROM drawn WHERE a < '8'
+    UNION SELECT host, 'remove', n + 40 FROM drawn WHERE a < '4'
+    UNION SELECT host, 'block', n + 90 FROM drawn WHERE a < '2'
+    UNION SELECT host || '/en', 'allow', n // 2 FROM drawn WHERE a < '6'
+    UNION SELECT parent, 'block', 200 + CAST('0x' || substr(p, 2, 2) AS INTEGER) // 2 FROM drawn WHERE substr(p, 1, 1) < '4'),
+daily AS (SELECT pattern, day, max(action) AS action FROM entries GROUP BY ALL),
+spans AS (SELECT pattern, action, DATE '2024-01-01' + CAST(day AS INTEGER) AS since,
+    DATE '2024-01-01' + CAST(lead(day) OVER (PARTITION BY pattern ORDER BY day) AS INTEGER) AS until FROM daily),
+keys AS (
+    SELECT page_id, fetched_on, host || array_to_string(steps[1:len(steps) - k], '/') AS pattern, k AS rank
+    FROM (SELECT *, unnest(range(len(steps))) AS k FROM captured WHERE host IS NOT NULL)
+    UNION ALL
+    SELECT page_id, fetched_on, array_to_string(string_split(host, '.')[k:], '.'), len(steps) + k
+    FROM (SELECT *, unnest(range(2, len(string_split(host, '.')))) AS k FROM captured WHERE host IS NOT NULL)),
+hits AS (
+    SELECT page_id, pattern, action, since, row_number() OVER (PARTITION BY page_id ORDER BY rank, action DESC, since, pattern) AS r
+    FROM keys JOIN spans USING (pattern)
+    WHERE action <> 'remove' AND fetched_on >= since AND (until IS NULL OR fetched_on < until))
+SELECT c.page_id, c.url, c.fetched_on, coalesce(h.action = 'block', false) AS blocked, h.pattern AS matched_pattern,
+    CASE WHEN h.pattern IS NOT NULL THEN 'derived' END AS matched_list, h.since AS listed_on
+FROM captured AS c LEFT JOIN (SELECT * FROM hits WHERE r = 1) AS h USING (page_id)
+"""
+
+
+def _warc() -> str:
+    chars = [
+        f"substr('{BASE32}', ((CAST('0x' || substr(h, {5 * part + 1}, 5) AS INTEGER) >> {shift}) & 31) + 1, 1)"
+        for part in range(8)
+        for shift in (15, 10, 5, 0)
+    ]
+    return f"""
+    WITH facts AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
+        firsts AS (SELECT *, min(page_id) OVER (PARTITION BY body) AS f FROM facts)
+    SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, {' || '.join(chars)} AS payload_digest,
+        CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type,
+        CASE WHEN page_id <> f THEN f END AS refers_to, true AS verified
+    FROM firsts"""
+
+
+def _lines() -> str:
+    return rf"""
+    WITH units AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+            generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS unit FROM documents),
+        normal AS (SELECT *, lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'))) AS form,
+            sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY unit) - length(line) - 1 AS start FROM units),
+        ranked AS (SELECT *, form <> '' AND len(string_split(form, ' ')) >= {LineParams().min_words} AS long,
+            row_number() OVER (PARTITION BY form ORDER BY doc_id, unit) AS r,
+            first_value(doc_id) OVER (PARTITION BY form ORDER BY doc_id, unit) AS kept_in FROM normal)
+    SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY unit) FILTER (NOT (long AND r > 1)), '') AS text,
+        CAST(count(*) FILTER (long AND r > 1) AS INTEGER) AS n_removed,
+        coalesce(string_agg(CAST(start AS BIGINT) || ':' || CAST(start + length(line) AS BIGINT) || ':' || kept_in, ',' ORDER BY unit)
+            FILTER (long AND r > 1), '') AS removed
+    FROM ranked GROUP BY doc_id"""
+
+
+ORACLES: dict[str, str] = {
+    "op1_mix_sources": _mix(),
+    "op2_url_filter": URL_FILTER,
+    "op4_warc_archive": _warc(),
+    "op10_repeated_lines": _lines(),
+}
