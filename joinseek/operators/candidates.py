@@ -44,14 +44,15 @@ def column_combinations(candidates: DataFrame, sizes: Sequence[int] = (2, 3), st
 
 
 def without_known(candidates: DataFrame, known: DataFrame) -> DataFrame:
-    """Candidates not yet in ``known``, whatever the order of their columns.
+    """Candidates not yet in ``known``, whatever the order of their column pairs.
 
-    Sorted copies are compared; left[i] keeps facing right[i].
+    Pairs are sorted as pairs: (x, y) to (u, v) and (x, y) to (v, u) are two
+    candidates, of which the reference program would score the first only.
     """
-    order = ["array_sort(left) AS sorted_left", "array_sort(right) AS sorted_right"]
-    old = known.selectExpr(*PAIR, *order).distinct()
-    keyed = candidates.selectExpr("*", *order)
-    return keyed.join(old, [*PAIR, "sorted_left", "sorted_right"], "left_anti").select(candidates.columns)
+    order = "array_sort(arrays_zip(left, right)) AS sorted_pairs"
+    old = known.selectExpr(*PAIR, order).distinct()
+    keyed = candidates.selectExpr("*", order)
+    return keyed.join(old, [*PAIR, "sorted_pairs"], "left_anti").select(candidates.columns)
 
 
 def hier_parents(report: DataFrame, max_matches: int = 1) -> DataFrame:

@@ -7,12 +7,13 @@ from collections.abc import Mapping, Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from joinseek.functions.values import is_missing, join_key
+from joinseek.functions.values import FRACTIONAL, is_missing, join_key
 from joinseek.operators.keyrows import KeyLayout
 from joinseek.operators.overlap import CANDIDATE
 from joinseek.operators.profile import union_all
-from joinseek.session import column, local_table
+from joinseek.session import column, local_table, quoted
 
 BIG = "decimal(38,0)"
 
@@ -115,16 +116,34 @@ def _sums(tables: Mapping[str, DataFrame], rows: Sequence, complete: Mapping[str
     return per_key.groupBy("id").agg(*(F.expr(f"{m} AS {n}") for m, n in zip(measures, SUMS, strict=True)))
 
 
+def _native_key(name: str, own: T.DataType, left: T.DataType, right: T.DataType) -> str | None:
+    """The key in a type both sides have, or null if they must meet as text."""
+    if isinstance(left, T.IntegralType) and isinstance(right, T.IntegralType):
+        return quoted(name) if left == right else f"CAST({quoted(name)} AS BIGINT)"
+    if left != right or isinstance(own, (T.MapType, T.ArrayType, T.StructType)):
+        return None
+    if isinstance(own, FRACTIONAL):
+        return f"IF(isnan({quoted(name)}), NULL, {quoted(name)})"
+    return quoted(name)
+
+
 def join_on(left: DataFrame, right: DataFrame, left_on: Sequence[str], right_on: Sequence[str]) -> DataFrame:
     """The inner join on a candidate; names both sides use get ``_left``/``_right``.
 
-    Missing key values join with each other. The sort-merge join lets adaptive
-    execution split a skewed key.
+    Missing key values join with each other, so k rows without a key on either
+    side give k x k rows; filter them out before where that is not wanted. Keys of
+    one type are compared as they are and only the others as text. The sort-merge
+    join lets adaptive execution split a skewed key.
     """
     clash = set(left.columns) & set(right.columns)
+    pairs = [(left.schema[a].dataType, right.schema[b].dataType) for a, b in zip(left_on, right_on, strict=True)]
 
     def renamed(df: DataFrame, suffix: str, keys: Sequence[str], prefix: str) -> DataFrame:
-        parts = [F.expr(join_key(k, df.schema[k].dataType)).alias(f"{prefix}{i}") for i, k in enumerate(keys)]
+        own = [df.schema[k].dataType for k in keys]
+        parts = [
+            F.expr(_native_key(k, dtype, *both) or join_key(k, dtype)).alias(f"{prefix}{i}")
+            for i, (k, dtype, both) in enumerate(zip(keys, own, pairs, strict=True))
+        ]
         return df.select(*(column(c).alias(c + suffix if c in clash else c) for c in df.columns), *parts)
 
     a, b = renamed(left, "_left", left_on, "__l"), renamed(right, "_right", right_on, "__r")

@@ -5,18 +5,15 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 import pyarrow as pa
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from joinseek.functions.values import is_missing
+from joinseek.operators.neighbourhood import global_rank
 from joinseek.operators.profile import union_all
 from joinseek.session import local_table, quoted
 
-ROWS_PER_BUCKET = 2_000_000
-MAX_BUCKETS = 1024
-
 
 def useful_columns(report: DataFrame) -> DataFrame:
     """The columns that take part in a mergeable candidate, per side."""
@@ -35,69 +32,47 @@ def useful_columns(report: DataFrame) -> DataFrame:
 
 
 def mode_count(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """Occurrences of the most frequent value, 0 if there is none."""
+    """Occurrences of the most frequent value, 0 if there is none; NaN counts as null."""
+    if isinstance(df.schema[value].dataType, (T.FloatType, T.DoubleType)):
+        df = df.withColumn(value, F.expr(f"IF(isnan({quoted(value)}), NULL, {quoted(value)})"))
     counts = df.groupBy(*by, value).count()
     return counts.groupBy(*by).agg(F.coalesce(F.max("count"), F.lit(0).cast("bigint")).alias("mode_count"))
 
 
-def _buckets(df: DataFrame, names: Sequence[str], rows: int, buckets: int | None) -> DataFrame:
-    """For column i its value ``v{i}``, as a double ``x{i}``, and its bucket ``b{i}``.
-
-    Cut points are approximate quantiles, so buckets hold about as many rows
-    each; a bucket is a function of the value alone and keeps the order.
-    """
-    wanted = buckets or max(1, min(MAX_BUCKETS, rows // ROWS_PER_BUCKET + 1))
-    present = [f"IF({is_missing(n, df.schema[n].dataType)}, NULL, {quoted(n)}) AS v{i}" for i, n in enumerate(names)]
-    prepared = df.selectExpr(*present)
-    prepared = prepared.selectExpr("*", *(f"CAST(v{i} AS DOUBLE) AS x{i}" for i in range(len(names))))
-    inputs = [f"x{i}" for i in range(len(names))]
-    if wanted == 1:
-        return prepared.selectExpr("*", *(f"0 AS b{i}" for i in range(len(names))))
-    shares = [b / wanted for b in range(1, wanted)]
-    quantiles = prepared.approxQuantile(inputs, shares, 1 / (4 * wanted))
-    infinity = float("inf")
-    splits = [[-infinity, *sorted({q for q in cuts if abs(q) < infinity} or {0.0}), infinity] for cuts in quantiles]
-    bucketizer = Bucketizer(
-        inputCols=inputs, outputCols=[f"b{i}" for i in range(len(names))], splitsArray=splits, handleInvalid="keep"
-    )
-    return bucketizer.transform(prepared)
+def _kind(dtype: T.DataType) -> str:
+    """The type in which values of a column are subtracted without loss."""
+    if isinstance(dtype, T.DecimalType):
+        return dtype.simpleString()
+    return "bigint" if isinstance(dtype, T.IntegralType) else "double"
 
 
-def _values(
-    df: DataFrame, names: Sequence[str], slots: Sequence[int], rows: int, buckets: int | None
-) -> dict[str, DataFrame]:
-    """(slot, bucket, x) rows of the present values, whole and fractional apart."""
-    bucketed = _buckets(df, names, rows, buckets)
+def _values(df: DataFrame, names: Sequence[str], slots: Sequence[int]) -> dict[str, DataFrame]:
+    """(slot, x) rows of the present values, by kind."""
     frames = {}
-    for kind in ("BIGINT", "DOUBLE"):
+    kinds = [_kind(df.schema[n].dataType) for n in names]
+    for kind in sorted(set(kinds)):
         entries = [
-            f"named_struct('slot', {slot}, 'bucket', CAST(b{i} AS INT), 'x', CAST(v{i} AS {kind}))"
-            for i, (n, slot) in enumerate(zip(names, slots, strict=True))
-            if isinstance(df.schema[n].dataType, T.IntegralType) == (kind == "BIGINT")
+            f"named_struct('slot', {slot}, 'x', IF({is_missing(n, df.schema[n].dataType)}, NULL, CAST({quoted(n)} AS {kind})))"
+            for n, slot, own in zip(names, slots, kinds, strict=True)
+            if own == kind
         ]
-        if entries:
-            frames[kind] = bucketed.selectExpr(f"inline(array({', '.join(entries)}))").where("x IS NOT NULL")
+        frames[kind] = df.selectExpr(f"inline(array({', '.join(entries)}))").where("x IS NOT NULL")
     return frames
 
 
-def _misses(values: DataFrame, kind: str) -> DataFrame:
+def _misses(values: DataFrame, kind: str, partitions: int | None) -> DataFrame:
     """(slot, miss): share of sorted-order steps other than the usual one.
 
-    Values are counted first: equal neighbours differ by 0, the others by one lag
-    inside each range bucket, plus the seam from a bucket to the next non-empty
-    one. A step too long for a bigint counts as unknown.
+    Values are counted first: equal neighbours differ by 0. The distinct values of
+    all columns are ranked together, in tasks of equal size, and each meets the
+    one of the next rank. A step too long for its type counts as unknown.
     """
-    counted = values.groupBy("slot", "bucket", "x").agg(F.expr("count(1) AS n"))
-    before = F.lag("x").over(Window.partitionBy("slot", "bucket").orderBy("x"))
-    lagged = counted.select("slot", "x", "n", before.alias("before"))
-    link = "named_struct('step', try_subtract(x, before), 'times', IF(before IS NOT NULL, 1L, 0L))"
-    repeats = f"named_struct('step', CAST(0 AS {kind}), 'times', n - 1)"
-    inner = lagged.selectExpr("slot", f"inline(array({link}, {repeats}))").where("times > 0")
-    edges = counted.groupBy("slot", "bucket").agg(F.min("x").alias("low"), F.max("x").alias("high"))
-    # One row per bucket, so this window is small whatever the data size.
-    high = F.lag("high").over(Window.partitionBy("slot").orderBy("bucket"))
-    seams = edges.select("slot", "low", high.alias("before")).where("before IS NOT NULL")
-    steps = inner.unionAll(seams.selectExpr("slot", "try_subtract(low, before)", "1L"))
+    counted = values.groupBy("slot", "x").agg(F.expr("count(1) AS n"))
+    ranked = global_rank(counted, ["slot", "x"], partitions)
+    after = ranked.selectExpr("slot AS own_slot", "x AS next_x", "rank - 1 AS before")
+    beside = ranked.join(after, (F.col("rank") == F.col("before")) & (F.col("slot") == F.col("own_slot")))
+    repeats = ranked.where("n > 1").selectExpr("slot", f"CAST(0 AS {kind}) AS step", "n - 1 AS times")
+    steps = beside.selectExpr("slot", "try_subtract(next_x, x) AS step", "1L AS times").unionAll(repeats)
     per_step = steps.groupBy("slot", "step").agg(F.sum("times").alias("times"))
     return per_step.groupBy("slot").agg(F.expr("1 - max(times) / CAST(sum(times) AS DOUBLE) AS miss"))
 
@@ -108,35 +83,36 @@ def counter_columns(
     columns: DataFrame | None = None,
     min_uniqueness: float = 0.99,
     max_miss: float = 0.1,
-    buckets: int | None = None,
+    partitions: int | None = None,
 ) -> DataFrame:
     """(table, column, uniqueness, miss, is_counter) for the given columns.
 
     ``catalog`` must hold distinct counts. Only numerical columns that pass the
     uniqueness test are sorted; ``miss`` is the share of steps that differ from
-    the most frequent one, null where it was not needed.
+    the most frequent one, null where it was not needed. ``partitions`` is the
+    number of tasks that sort, by default that of shuffles.
     """
     asked = catalog if columns is None else catalog.join(columns.select("table", "column").distinct(), ["table", "column"])
     uniqueness = "coalesce(try_divide(CAST(distinct AS DOUBLE), rows), 0.0D)"
-    tested = asked.selectExpr("table", "column", "rows", "category", f"{uniqueness} AS uniqueness")
+    tested = asked.selectExpr("table", "column", "category", f"{uniqueness} AS uniqueness")
     chosen = tested.where(f"category = 'Numerical' AND uniqueness >= {min_uniqueness}D").collect()
-    chosen = sorted((r.table, r.column, r.rows) for r in chosen)
+    chosen = sorted((r.table, r.column) for r in chosen)
     base = tested.select("table", "column", "uniqueness")
     if not chosen:
         return base.selectExpr("*", "CAST(NULL AS DOUBLE) AS miss", "false AS is_counter")
     frames: dict[str, list[DataFrame]] = {}
-    for name in sorted({t for t, _, _ in chosen}):
-        mine = [(slot, c, rows) for slot, (t, c, rows) in enumerate(chosen) if t == name]
-        found = _values(tables[name], [c for _, c, _ in mine], [s for s, _, _ in mine], mine[0][2], buckets)
+    for name in sorted({t for t, _ in chosen}):
+        mine = [(slot, c) for slot, (t, c) in enumerate(chosen) if t == name]
+        found = _values(tables[name], [c for _, c in mine], [s for s, _ in mine])
         for kind, frame in found.items():
             frames.setdefault(kind, []).append(frame)
-    misses = union_all([_misses(union_all(parts), kind) for kind, parts in frames.items()])
+    misses = union_all([_misses(union_all(parts), kind, partitions) for kind, parts in frames.items()])
     names = local_table(
         misses.sparkSession,
         {
             "slot": list(range(len(chosen))),
-            "table": [t for t, _, _ in chosen],
-            "column": [c for _, c, _ in chosen],
+            "table": [t for t, _ in chosen],
+            "column": [c for _, c in chosen],
         },
         {"slot": pa.int32(), "table": pa.string(), "column": pa.string()},
     )

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from joinseek.functions.values import PARTS, key_parts, needs_text
 from joinseek.operators.profile import union_all
-from joinseek.session import estimated_size, local_table, spread
+from joinseek.session import local_table
 
 ColumnSet = tuple[str, tuple[str, ...]]
 
@@ -89,8 +89,6 @@ class KeyLayout:
                         held = prepared.setdefault(values[p], f"v{len(prepared)}")
                     fields[f"{p}{i}"] = held
             rows.append(fields)
-        if len(rows) > 2:
-            df = spread(df, estimated_size(df))
         converted = df.selectExpr(
             *(f"{value} AS {alias}" for value, alias in prepared.items()),
             *(f"{value} AS {alias}" for alias, value in (flags or {}).items()),
@@ -145,22 +143,48 @@ def _held(tables: Mapping[str, DataFrame], sets: Sequence[ColumnSet], wanted: Da
 WANTED = {"id": pa.int32(), "role": pa.int32(), "first": pa.int32(), "second": pa.int32()}
 
 
+def _numbered_keys(df: DataFrame, first: int, sets: Sequence[tuple[str, ...]], width: int) -> DataFrame:
+    """One row per input row and column set: the number of the set and its key.
+
+    A set is a number whose digits, to the base of the number of columns plus
+    one, name its columns; all of them are one constant array, so the plan has the
+    same size for ten sets and for ten thousand.
+    """
+    used = sorted({c for columns in sets for c in columns})
+    place = {c: i + 1 for i, c in enumerate(used)}
+    base = len(used) + 1
+    values = []
+    for name in used:
+        parts = key_parts(name, df.schema[name].dataType)
+        fields = (f"'{p}', {parts.get(p, f'CAST(NULL AS {kind})')}" for p, kind in PARTS.items())
+        values.append(f"named_struct({', '.join(fields)})")
+    codes = (f"{sum(place[c] * base**i for i, c in enumerate(columns))}L" for columns in sets)
+    rows = df.selectExpr(f"array({', '.join(values)}) AS held").selectExpr("held", f"posexplode(array({', '.join(codes)})) AS (at, code)")
+    digits = (f"CAST(code div {base**i} % {base} AS INT) - 1" for i in range(width))
+    parts = [f"get(held, {digit}).{p} AS {p}{i}" for i, digit in enumerate(digits) for p in PARTS]
+    return rows.selectExpr(f"at + {first} AS id", *parts)
+
+
 def key_counts(spark: SparkSession, tables: Mapping[str, DataFrame], sets: Sequence[ColumnSet]) -> DataFrame:
-    """Distinct keys per column set, missing values included: (table, columns, keys)."""
+    """Distinct keys per column set, missing values included: (table, columns, keys).
+
+    One scan per table and one shuffle, before which keys are de-duplicated. Sets
+    of different tables do not meet, so their values need no common type.
+    """
+    ordered = sorted(sets)
+    width = max(len(columns) for _, columns in ordered)
     frames = []
-    for part in _passes([(s, s) for s in sets]):
-        mine = [s for s, _ in part]
-        numbers = list(range(len(mine)))
-        wanted = local_table(spark, {"id": numbers, "role": [0] * len(mine), "first": numbers, "second": numbers}, WANTED)
-        names = local_table(
-            spark,
-            {"id": numbers, "table": [t for t, _ in mine], "columns": [list(c) for _, c in mine]},
-            {"id": pa.int32(), "table": pa.string(), "columns": pa.list_(pa.string())},
-        )
-        counts = _held(tables, mine, wanted).groupBy("id").agg(F.sum("keys").alias("keys"))
-        # One row per column set, so no larger than the list the driver holds.
-        frames.append(names.join(F.broadcast(counts), "id", "left").drop("id").na.fill(0, ["keys"]))
-    return union_all(frames)
+    for name, df in tables.items():
+        mine = [i for i, (t, _) in enumerate(ordered) if t == name]
+        if mine:
+            frames.append(_numbered_keys(df, mine[0], [ordered[i][1] for i in mine], width))
+    counts = union_all(frames).distinct().groupBy("id").agg(F.expr("count(1) AS keys"))
+    names = local_table(
+        spark,
+        {"id": list(range(len(ordered))), "table": [t for t, _ in ordered], "columns": [list(c) for _, c in ordered]},
+        {"id": pa.int32(), "table": pa.string(), "columns": pa.list_(pa.string())},
+    )
+    return names.join(counts, "id", "left").drop("id").na.fill(0, ["keys"])
 
 
 def pair_counts(
@@ -170,8 +194,8 @@ def pair_counts(
 
     ``common`` lets a missing value equal a missing value, ``full_common`` counts
     keys without missing values only. All pairs share one scan of each table and
-    one shuffle by key; passes are cut, between table pairs, only to keep the
-    masks a few words wide.
+    one shuffle by key; a pass holds at most ``SETS_PER_PASS`` column sets, so
+    that a mask is a few words wide however many pairs there are.
     """
     frames = []
     for part in _passes(pairs):
@@ -211,24 +235,19 @@ def pair_counts(
                 F.expr("sum(IF(role = 2 AND NOT has_null, keys, 0)) AS full_common"),
             )
         )
-        # One row per pair, so no larger than the list the driver holds.
-        joined = names.join(F.broadcast(counts), "id", "left").drop("id")
+        joined = names.join(counts, "id", "left").drop("id")
         frames.append(joined.na.fill(0, ["n_left", "n_right", "common", "full_common"]))
     return union_all(frames)
 
 
 def _passes(pairs: Sequence[tuple[ColumnSet, ColumnSet]]) -> list[list[tuple[ColumnSet, ColumnSet]]]:
-    """Pairs in table order, cut where the column sets of a pass get too many."""
-    groups: dict[tuple[str, str], list[tuple[ColumnSet, ColumnSet]]] = {}
-    for a, b in sorted(pairs):
-        groups.setdefault((a[0], b[0]), []).append((a, b))
+    """Pairs in table order, cut where a pass would hold too many column sets."""
     passes: list[list[tuple[ColumnSet, ColumnSet]]] = [[]]
     seen: set[ColumnSet] = set()
-    for members in groups.values():
-        new = {s for pair in members for s in pair}
-        if passes[-1] and len(seen | new) > SETS_PER_PASS:
+    for pair in sorted(pairs, key=lambda p: (p[0][0], p[1][0], p)):
+        if len(seen | set(pair)) > SETS_PER_PASS:
             passes.append([])
             seen = set()
-        passes[-1].extend(members)
-        seen |= new
+        passes[-1].append(pair)
+        seen |= set(pair)
     return passes

@@ -70,25 +70,33 @@ def similar_columns(
             raise ValueError(f"unknown similarity method {method!r}; choose from {sorted(known)}")
     shortest, longest = (f"{f}(length(left_column), length(right_column))" for f in ("least", "greatest"))
     beside = column_pairs(catalog, pairs)
+    # Each pair of names is scored once, in however many table pairs it occurs.
+    named = beside.select("left_column", "right_column").distinct()
+    bounds = []
     scores = []
     for method, minimum in methods:
         if method == "Semantic":
             if taxonomy is None:
                 continue
-            words = beside.select("left_column", "right_column").distinct()
-            scored = semantic_similarity(words, taxonomy, "left_column", "right_column", "semantic")
-            beside = beside.join(scored, ["left_column", "right_column"])
+            scored = semantic_similarity(named, taxonomy, "left_column", "right_column", "semantic")
+            named = named.join(scored, ["left_column", "right_column"])
             info = "named_struct('score', semantic, 'method', 'Semantic')"
+            bounds.append("true")
         else:
             info = similarity_struct("left_column", "right_column", method)
+            bound = "true"
             if method in LENGTH_BOUND:
-                info = f"IF({shortest} >= {LENGTH_BOUND[method](minimum) - SLACK}D * {longest}, {info}, NULL)"
+                bound = f"{shortest} >= {LENGTH_BOUND[method](minimum) - SLACK}D * {longest}"
+                info = f"IF({bound}, {info}, NULL)"
+            bounds.append(bound)
         scores.append(f"named_struct('info', {info}, 'least', {minimum}D)")
     if not scores:
         return common_columns(catalog, pairs, stage).limit(0)
-    scored = beside.selectExpr("*", f"array({', '.join(scores)}) AS scores")
-    reached = scored.selectExpr("*", "filter(scores, s -> s.info.score >= s.least).info AS similarity_info")
-    return _as_candidates(reached.where("size(similarity_info) > 0"), stage)
+    near = named.where(" OR ".join(f"({b})" for b in bounds))
+    scored = near.selectExpr("left_column", "right_column", f"array({', '.join(scores)}) AS scores")
+    reached = scored.selectExpr("*", "filter(scores, s -> s.info.score >= s.least).info AS similarity_info").drop("scores")
+    found = beside.join(reached, ["left_column", "right_column"]).where("size(similarity_info) > 0")
+    return _as_candidates(found, stage)
 
 
 def same_category_pairs(catalog: DataFrame, pairs: DataFrame, stage: str = "S4") -> DataFrame:

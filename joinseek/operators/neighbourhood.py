@@ -23,19 +23,20 @@ def sort_key(name: str, own: T.DataType, other: T.DataType) -> str:
     return join_key(name, own)
 
 
-def global_rank(keys: DataFrame, key: str, partitions: int | None = None) -> DataFrame:
-    """``key`` with its ``rank`` 1, 2, 3 ... over all rows of distinct keys.
+def global_rank(keys: DataFrame, key: str | Sequence[str], partitions: int | None = None) -> DataFrame:
+    """``keys`` with their ``rank`` 1, 2, 3 ... in the order of the distinct ``key`` columns.
 
     Rows are range-partitioned and sorted inside partitions, never in one task.
     The row number within the partition is then shifted by the row count of the
     partitions before it, one small row per partition.
     """
     spark = keys.sparkSession
+    order = [key] if isinstance(key, str) else list(key)
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     numbered = checkpoint(
-        keys.repartitionByRange(parts, key).sortWithinPartitions(key).withColumn("id", F.monotonically_increasing_id())
+        keys.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("id", F.monotonically_increasing_id())
     ).select(
-        key,
+        *keys.columns,
         F.shiftright("id", ROW_BITS).alias("part"),
         F.col("id").bitwiseAND(F.lit((1 << ROW_BITS) - 1)).alias("row"),
     )
@@ -44,7 +45,7 @@ def global_rank(keys: DataFrame, key: str, partitions: int | None = None) -> Dat
     sizes = numbered.groupBy("part").count()
     offsets = sizes.select("part", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("offset"))
     ranked = numbered.join(F.broadcast(offsets), "part")
-    return ranked.select(key, (F.col("offset") + F.col("row") + 1).alias("rank"))
+    return ranked.select(*keys.columns, (F.col("offset") + F.col("row") + 1).alias("rank"))
 
 
 def sorted_neighbourhood(

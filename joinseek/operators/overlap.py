@@ -23,17 +23,20 @@ DONE = {"SortedNeighborhood": "Sorted Neighbourhood", "Merge": "Merge"}
 
 
 def two_decimals(value: str) -> str:
-    """A share in [0, 1] with two decimals, rounded on its exact binary value.
+    """A number from 0 up with two decimals, rounded on its exact binary value.
 
-    ``format_string`` rounds the shortest decimal form half up instead, which
-    differs at the hundred values x.xx5, so those come from a list.
+    ``format_string`` rounds the shortest decimal form half up instead. Here the
+    fraction is a whole number of 2^-60, which holds all its bits wherever the
+    second decimal is in doubt, and is rounded as such, half to even.
     """
-    ties = " ".join(f"{(10 * i + 5) / 1000:.2f}" for i in range(100))
-    cent = f"CAST(least(floor({value} * 100), 99) AS INT)"
-    return (
-        f"CASE WHEN {value} = ({cent} * 10 + 5) / 1000.0D THEN get(split('{ties}', ' '), {cent}) "
-        f"ELSE format_string('%.2f', {value}) END"
-    )
+    one = 1 << 60
+    parts = f"named_struct('w', floor(v), 'h', CAST(CAST((v - floor(v)) * {one}D AS BIGINT) AS DECIMAL(20, 0)) * 100)"
+    cents = f"x.h div {one}"
+    rest = f"2 * (x.h % {one})"
+    up = f"IF({rest} > {one} OR ({rest} = {one} AND ({cents}) % 2 = 1), 1, 0)"
+    shown = "concat(c div 100, '.', lpad(c % 100, 2, '0'))"
+    rounded = f"transform(array({parts}), x -> x.w * 100 + {cents} + {up})"
+    return f"transform(array({value}), v -> transform({rounded}, c -> {shown})[0])[0]"
 
 
 def _side_maps(catalog: DataFrame, side: str) -> DataFrame:
@@ -99,7 +102,7 @@ def _counted(tables: Mapping[str, DataFrame], checked: DataFrame) -> DataFrame:
         return checked.selectExpr("*", *unknown)
     pairs = sorted({((r.left_table, tuple(r.left)), (r.right_table, tuple(r.right))) for r in rows})
     counts = pair_counts(checked.sparkSession, tables, pairs)
-    return checked.join(F.broadcast(counts), CANDIDATE, "left")  # one row per candidate
+    return checked.join(counts, CANDIDATE, "left")
 
 
 def measure_overlap(
@@ -163,9 +166,13 @@ def rank(report: DataFrame) -> DataFrame:
     return report.orderBy(F.desc("join_score"), *CANDIDATE)
 
 
+# Fixed value: the wording of a line of the listing.
+LINE = "Left: %s Right: %s Join score: %s (%s / %s) %s"
+
+
 def listing(report: DataFrame) -> DataFrame:
     """One line of text per candidate: columns, score in percent, counts, reason."""
-    line = """format_string('Left: %s Right: %s Join score: %.2f (%s / %s) %s', array_join(left, ', '),
-      array_join(right, ', '), join_score * 100, matches,
+    line = f"""format_string('{LINE}', array_join(left, ', '), array_join(right, ', '),
+      {two_decimals('join_score * 100')}, matches,
       IF(total = rint(total), CAST(CAST(total AS BIGINT) AS STRING), CAST(total AS STRING)), description) AS line"""
     return rank(report).selectExpr("stage", "left_table", "right_table", line)

@@ -66,23 +66,27 @@ class Discovery:
 
     def _with_distinct(self, columns: DataFrame) -> DataFrame:
         """Catalogue rows of these columns; only unknown distinct counts are read."""
-        measured = union_all(
-            [
-                self.report.where(f"size({side}) = 1 AND {side}_keys IS NOT NULL").selectExpr(
-                    f"{side}_table AS table", f"{side}[0] AS column", f"{side}_keys AS keys"
-                )
-                for side in ("left", "right")
-            ]
-        )
-        keys = measured.groupBy("table", "column").agg(F.max("keys").alias("keys"))
-        asked = self.catalog.join(columns, ["table", "column"], "left_semi").join(keys, ["table", "column"], "left")
-        known = settle(
-            asked.withColumn("distinct", F.expr("coalesce(distinct, keys - IF(missing > 0, 1, 0))")).drop("keys")
-        )
+        asked = self.catalog.join(columns, ["table", "column"], "left_semi")
+        known = settle(with_measured(asked, self.report))
         unread = add_distinct(known.where("distinct IS NULL AND category = 'Numerical'"), self.tables)
         return known.where("distinct IS NOT NULL").unionByName(unread)
 
 
+def with_measured(catalog: DataFrame, report: DataFrame) -> DataFrame:
+    """The catalogue with the distinct counts that scoring single pairs has shown."""
+    measured = union_all(
+        [
+            report.where(f"size({side}) = 1 AND {side}_keys IS NOT NULL").selectExpr(
+                f"{side}_table AS table", f"{side}[0] AS column", f"{side}_keys AS keys"
+            )
+            for side in ("left", "right")
+        ]
+    )
+    keys = measured.groupBy("table", "column").agg(F.max("keys").alias("keys"))
+    joined = catalog.join(keys, ["table", "column"], "left")
+    return joined.withColumn("distinct", F.expr("coalesce(distinct, keys - IF(missing > 0, 1, 0))")).drop("keys")
+
+
 def table_pairs(tables: Mapping[str, DataFrame], pairs: Sequence[tuple[str, str]] | None) -> list[tuple[str, str]]:
     """The given pairs, or every pair of tables in the order of the mapping."""
     names = list(tables)
@@ -159,8 +163,11 @@ class _Search:
     def key_references(self) -> None:
         p = self.params
         used = self.pairs.select(F.col("left_table").alias("table")).unionAll(self.pairs.select("right_table"))
-        still = settle(self.catalog.join(used.distinct(), "table", "left_semi"))
-        counted = settle(add_distinct(still, self.tables))
+        still = self.catalog.join(used.distinct(), "table", "left_semi")
+        known = settle(with_measured(still, self.known()))
+        # Only columns that no stage has counted are read.
+        unread = add_distinct(known.where("distinct IS NULL"), self.tables)
+        counted = settle(known.where("distinct IS NOT NULL").unionByName(unread))
         self.catalog = counted
         sided, _ = prune_category(counted, self.pairs)
         keys = unique_keys(self.tables, sided, p.min_key_ratio, p.max_key_columns, scope=[*PAIR, "side", "table"])

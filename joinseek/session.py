@@ -63,24 +63,3 @@ def settle(df: DataFrame) -> DataFrame:
     size and do not run the scans behind them again.
     """
     return df.sparkSession.createDataFrame(df.toArrow())
-
-
-SMALL_TABLE = 256 * 1024 * 1024
-SMALL_PART = 1024 * 1024
-
-
-def spread(df: DataFrame, size: int) -> DataFrame:
-    """Rows of a small input dealt to all cores before each is multiplied.
-
-    A table of a few row groups would keep all the work in a few tasks. Larger
-    inputs have enough splits of their own and are not shuffled.
-    """
-    parts = min(df.sparkSession.sparkContext.defaultParallelism, size // SMALL_PART + 1)
-    if size >= SMALL_TABLE or parts == 1:
-        return df
-    return df.repartition(parts)
-
-
-def estimated_size(df: DataFrame) -> int:
-    """Catalyst's estimate of the bytes behind ``df``."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -1,4 +1,5 @@
 import random
+import time
 from itertools import combinations
 
 import pytest
@@ -77,3 +78,16 @@ def test_foreign_keys_assign_every_column_once(spark, side):
     assert all(r[own] == ["x", "y", "z"] for r in found)
     expected = {(a, b, "s") for a in "pqr" for b in "pqr" if a != b}
     assert {tuple(r[chosen]) for r in found} == expected and len(found) == len(expected)
+
+
+def test_a_wide_table_is_one_job_of_any_number_of_sets(spark):
+    rng = random.Random(1)
+    names = [f"c{i}" for i in range(40)]
+    rows = [tuple(rng.randint(0, 11) for _ in names) for _ in range(1000)]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} int" for n in names))
+    start = time.perf_counter()
+    found = keys_of({"t": df}, min_ratio=0.95)
+    assert time.perf_counter() - start < 120
+    assert found == {}
+    found = keys_of({"t": df}, min_ratio=0.74)
+    assert {k: v for (_, k), v in found.items()} == pytest.approx(brute_keys(rows, names, 0.74, 3)) and found

@@ -90,8 +90,8 @@ def pandas_miss(values):
     return 1 - steps.value_counts().max() / len(steps)
 
 
-@pytest.mark.parametrize("buckets", [None, 2, 5, 40])
-def test_counters_do_not_depend_on_buckets(spark, buckets):
+@pytest.mark.parametrize("partitions", [None, 1, 5, 40])
+def test_counters_do_not_depend_on_partitions(spark, partitions):
     rng = random.Random(3)
     serial = [10 + 3 * i for i in range(200)]
     noisy = rng.sample(range(10_000), 200)
@@ -101,7 +101,7 @@ def test_counters_do_not_depend_on_buckets(spark, buckets):
     rows = list(zip(serial, noisy, repeated, halves, hot, strict=True))
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "serial bigint, noisy int, repeated int, halves double, hot int")
-    found = {r.column: r for r in counter_columns({"t": df}, settle(profile({"t": df})), min_uniqueness=0.3, buckets=buckets).collect()}
+    found = {r.column: r for r in counter_columns({"t": df}, settle(profile({"t": df})), min_uniqueness=0.3, partitions=partitions).collect()}
     for i, name in enumerate(df.columns):
         assert found[name].miss == pytest.approx(pandas_miss([r[i] for r in rows])), name
     assert found["serial"].is_counter and not found["noisy"].is_counter
@@ -129,7 +129,7 @@ def test_counter_steps_beyond_bigint(spark):
 def test_counter_reads_infinity_and_nan(spark):
     values = [float(i) for i in range(30)] + [float("inf"), float("nan")]
     df = spark.createDataFrame([(v,) for v in values], "a double")
-    row = counter_columns({"t": df}, settle(profile({"t": df})), min_uniqueness=0.9, buckets=4).first()
+    row = counter_columns({"t": df}, settle(profile({"t": df})), min_uniqueness=0.9, partitions=4).first()
     assert row.miss == pytest.approx(1 / 30)
 
 
@@ -150,8 +150,28 @@ def test_column_names_do_not_clash_with_ours(spark):
     names = ["x0", "b0", "v0", "slot", "__date_reading1"]
     df = spark.range(20).selectExpr(*(f"id * {i + 1} AS `{n}`" for i, n in enumerate(names)), "CAST(id AS STRING) AS x1")
     catalog = settle(profile({"t": df}))
-    assert {r.column for r in counter_columns({"t": df}, catalog, buckets=3).where("is_counter").collect()} == set(names)
+    assert {r.column for r in counter_columns({"t": df}, catalog, partitions=3).where("is_counter").collect()} == set(names)
     tables = {"t": df, "u": df.selectExpr("x0 AS arity", "x1 AS k0")}
     rows = [("t", "u", ["x0", "x1"], ["arity", "k0"]), ("t", "u", ["x1"], ["k0"]), ("t", "u", ["b0"], ["arity"])]
     found = join_contribution(tables, candidates(spark, rows)).collect()
     assert {(tuple(r.left), int(r.joined_rows)) for r in found} == {(("x0", "x1"), 20), (("x1",), 20), (("b0",), 10)}
+
+
+def test_counter_of_decimals_beyond_doubles(spark):
+    df = spark.range(100).selectExpr(
+        "CAST(id + 9007199254740992 AS DECIMAL(20, 0)) AS whole",
+        "CAST(id AS DECIMAL(30, 2)) * CAST(0.25 AS DECIMAL(3, 2)) AS quarter",
+        "CAST(IF(id = 7, NULL, id * id) AS DECIMAL(38, 0)) AS square",
+    )
+    found = {r.column: r for r in counter_columns({"t": df}, settle(profile({"t": df}))).collect()}
+    assert found["whole"].miss == found["quarter"].miss == 0.0 and found["whole"].is_counter
+    assert not found["square"].is_counter
+
+
+def test_join_keys_of_one_type_stay_as_they_are(spark):
+    left = spark.createDataFrame([(1, 0.5, "a"), (2, float("nan"), "b")], "k bigint, d double, s string")
+    right = spark.createDataFrame([(1, 0.5, "a"), (2, float("nan"), "b")], "q int, e double, t string")
+    for a, b in (("k", "q"), ("d", "e"), ("s", "t")):
+        assert join_on(left, right, [a], [b]).count() == 2
+    plan = join_on(left, right.withColumn("q", right.q.cast("bigint")), ["k"], ["q"])._jdf.queryExecution().toString()
+    assert "as string)" not in plan.lower()
