@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
+from itertools import combinations, permutations
+
+TIES = (1, 3, 67, 201, 333, 402, 1005, 2001, 2675, 3999)
 
 # Columns of the test tables in table order, by kind: i whole number, d
 # fractional number, s string, t timestamp.
@@ -23,8 +25,10 @@ SCHEMAS = {
     "labels": "doc_id:i quality:i toxic:i",
     "conversations": "conv_id:i turn:i role:s text:s",
     "derived": "o_orderkey:i o_custkey:i priority:s price:d day_text:s rare_day:s is_open:b",
-    "returned": "l_orderkey:i l_partkey:i l_suppkey:i l_linenumber:i l_returnflag:s",
-    "kept": "l_orderkey:i l_partkey:i l_suppkey:i l_linenumber:i l_returnflag:s",
+    "finished": "o_orderkey:i o_custkey:i o_orderstatus:s o_totalprice:d o_orderdate:t o_orderpriority:s",
+    "unfinished": "o_orderkey:i o_custkey:i o_orderstatus:s o_totalprice:d o_orderdate:t o_orderpriority:s",
+    "residues": "k:i",
+    "parts": " ".join(f"m{m}:i" for m in TIES),
 }
 FIXED = {"i": "Numerical", "d": "Numerical", "b": "Boolean"}
 
@@ -36,8 +40,10 @@ DERIVED = """(SELECT o_orderkey, o_custkey,
   o_orderstatus = 'O' AS is_open FROM orders) AS derived"""
 SOURCES = {
     "derived": DERIVED,
-    "returned": "(SELECT * FROM lineitem WHERE l_returnflag = 'R') AS returned",
-    "kept": "(SELECT * FROM lineitem WHERE l_returnflag <> 'R') AS kept",
+    "finished": "(SELECT * FROM orders WHERE o_orderstatus = 'F') AS finished",
+    "unfinished": "(SELECT * FROM orders WHERE o_orderstatus <> 'F') AS unfinished",
+    "residues": "(SELECT o_orderkey % 4000 AS k FROM orders) AS residues",
+    "parts": f"(SELECT {', '.join(f'o_orderkey % {m} AS m{m}' for m in TIES)} FROM orders) AS parts",
 }
 
 
@@ -175,7 +181,8 @@ def sets_of(*rows: tuple[str, str, str, str]) -> list[tuple[str, list[str]]]:
 
 COMMON_PAIRS = [("labels", "documents"), ("conversations", "documents"), ("benchmark", "documents")]
 SIMILAR_PAIRS = [("orders", "customer"), ("lineitem", "orders"), ("lineitem", "part"), ("lineitem", "supplier")]
-HALF = ["l_linenumber", "l_orderkey", "l_partkey", "l_returnflag", "l_suppkey"]
+HALVES = ("finished", "unfinished")
+HALF = sorted(n for n, _ in columns("finished"))
 COMBOS = [",".join(c) for k in (2, 3) for c in combinations(HALF, k)]
 JACCARD = [
     ("lineitem", "orders", "l_orderkey", "o_orderkey"),
@@ -192,11 +199,27 @@ FAILED = [
 FAILED_ROWS = " UNION ALL ".join(
     f"SELECT '{a}', '{b}', '{c}', '{d}', 0.0, 0, 0.0, 0, '{e}'" for a, b, c, d, e in FAILED
 )
-HALF_SETS = [(t, c.split(",")) for t in ("returned", "kept") for c in COMBOS]
+HALF_SETS = [(t, c.split(",")) for t in HALVES for c in COMBOS]
+
+
+def half_singles(min_join: float, select: str = "") -> str:
+    """Every column of the halves with itself."""
+    return report(singles(*HALVES), given(*((*HALVES, c, c) for c in HALF)), min_join, select=select)
+
+
+def half_failed(min_join: float) -> str:
+    """Columns of the halves that fail with at most one match."""
+    return f"SELECT left_columns AS c FROM ({half_singles(min_join)}) WHERE mergeable = 0 AND matches <= 1"
+
+
+def half_combinations(min_join: float) -> str:
+    """Candidates of two and three columns without a failed one."""
+    return f"""SELECT * FROM ({given(*((*HALVES, c, c) for c in COMBOS))}) AS g WHERE NOT EXISTS (
+  SELECT 1 FROM ({half_failed(min_join)}) AS f WHERE list_contains(string_split(g.lc, ','), f.c))"""
 
 
-def key_ratio(table: str, names: Sequence[str], smallest: int) -> str:
-    """Keys of one table: the smallest size with a hit at 0.95, all its hits."""
+def key_ratio(table: str, names: Sequence[str], smallest: int, least: float = 0.95) -> str:
+    """Keys of one table: the smallest size with a hit at the least ratio, all its hits."""
     parts = []
     for size in range(1, smallest + 1):
         for combo in combinations(names, size):
@@ -206,7 +229,7 @@ def key_ratio(table: str, names: Sequence[str], smallest: int) -> str:
                 f"(SELECT count(*) FROM {table}) AS ratio"
             )
     return f"""SELECT table_name, n_columns, key_columns, round(ratio, 6) AS percentage FROM (
-  SELECT *, min(n_columns) OVER () AS least_columns FROM ({' UNION ALL '.join(parts)}) WHERE ratio >= 0.95)
+  SELECT *, min(n_columns) OVER () AS least_columns FROM ({' UNION ALL '.join(parts)}) WHERE ratio >= {least})
   WHERE n_columns = least_columns"""
 
 
@@ -251,6 +274,10 @@ def names_of(table: str) -> list[str]:
     return [n for n, _ in columns(table)]
 
 
+def categories(table: str) -> str:
+    return ", ".join(f"('{n}', '{dict(s='Text', t='Date').get(k) or FIXED[k]}')" for n, k in columns(table))
+
+
 def score_rows(expression: str, method: str) -> str:
     return f"""SELECT o_orderkey, round({expression}, 6) AS score, '{method}' AS method FROM
   (SELECT o_orderkey, o_orderpriority AS a, c_mktsegment AS b FROM orders JOIN customer ON o_custkey = c_custkey)"""
@@ -305,8 +332,7 @@ SELECT 'not_final' AS left_table, 'not_open' AS right_table, cols AS left_column
   CASE WHEN m / (nl + nr - m) >= 0.2 THEN 1 ELSE 0 END AS mergeable, '{method}' AS description FROM c"""
 
 
-def listing_rows() -> str:
-    rows = report(sets_of(*JACCARD), given(*JACCARD), tail=f"UNION ALL {FAILED_ROWS}")
+def listing_rows(rows: str) -> str:
     return f"""SELECT left_table, right_table, 'Left: ' || replace(left_columns, ',', ', ') || ' Right: '
   || replace(right_columns, ',', ', ') || ' Join score: ' || printf('%.2f', join_score * 100) || ' (' || matches
   || ' / ' || CAST(total AS BIGINT) || ') ' || description AS line FROM ({rows})"""
@@ -436,30 +462,30 @@ WHERE least(l.distinct_values, r.distinct_values) < greatest(l.distinct_values,
   round(greatest(CASE WHEN {LEVENSHTEIN} >= 0.5 THEN {LEVENSHTEIN} END, CASE WHEN {JARO} >= 0.8 THEN {JARO} END), 6)
     AS name_score, matches, description FROM (SELECT *, left_columns AS a, right_columns AS b FROM
   ({report(singles('orders', 'customer', 'lineitem', 'part', 'supplier'), named_pairs(SIMILAR_PAIRS, SIMILAR_NAMES))}))""",
-    "column_combinations": report(HALF_SETS, given(*(("returned", "kept", c, c) for c in COMBOS)), 0.0),
-    "hier_discard": report(
-        HALF_SETS, given(*(("returned", "kept", c, c) for c in COMBOS if "l_returnflag" not in c)), 0.001
-    ),
-    "hier_remaining": f"""WITH shared AS (SELECT count(*) AS n FROM (SELECT l_returnflag FROM {SOURCES['returned']}
-  INTERSECT SELECT l_returnflag FROM {SOURCES['kept']}))
-SELECT lc AS left_columns, CASE WHEN n <= 1 AND contains(lc, 'l_returnflag') THEN 1 ELSE 0 END AS is_child,
-  array_to_string(list_filter(string_split(lc, ','), lambda x : n > 1 OR x <> 'l_returnflag'), ',') AS remaining
-FROM (VALUES {', '.join(f"('{c}')" for c in COMBOS)}) AS g(lc), shared""",
+    "column_combinations": report(HALF_SETS, given(*((*HALVES, c, c) for c in COMBOS)), 0.0),
+    "hier_discard": report(HALF_SETS, half_combinations(0.001), 0.001),
+    "hier_remaining": f"""WITH failed AS (SELECT coalesce(list(c), CAST([] AS VARCHAR[])) AS f FROM ({half_failed(0.001)}))
+SELECT lc AS left_columns, CASE WHEN list_has_any(string_split(lc, ','), f) THEN 1 ELSE 0 END AS is_child,
+  array_to_string(list_filter(string_split(lc, ','), lambda x : NOT list_contains(f, x)), ',') AS remaining
+FROM (VALUES {', '.join(f"('{c}')" for c in COMBOS)}) AS g(lc), failed""",
     "already_discarded": report(
         singles("lineitem", "supplier"), named_pairs([("lineitem", "supplier")], f"lcat = rcat AND NOT {SIMILAR_NAMES}")
     ),
     "unique_keys": " UNION ALL ".join(f"({key_ratio(t, names_of(t), 1)})" for t in ("lineitem", "orders", "customer")),
-    "unique_keys_composite": key_ratio("lineitem", ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"], 3),
+    "unique_keys_composite": key_ratio("lineitem", names_of("lineitem"), 3, 1),
     "foreign_keys": report(
         singles("orders", "customer"),
         f"""SELECT n.* FROM ({named_pairs([('orders', 'customer')], 'lcat = rcat')}) n
   JOIN {profile('customer')} p ON p.column_name = n.rc AND p.distinct_values / p.rows >= 0.95""",
     ),
     "foreign_keys_composite": report(
-        [("lineitem", ["l_orderkey", "l_partkey"]), ("events", ["event_id", "user_id"]), ("events", ["user_id", "event_id"])],
-        f"""SELECT 'lineitem' AS lt, 'events' AS rt, key_columns AS lc, o.rc AS rc
-  FROM ({key_ratio('lineitem', ['l_orderkey', 'l_partkey', 'l_linenumber'], 3)}),
-  (VALUES ('event_id,user_id'), ('user_id,event_id')) AS o(rc)""",
+        [("lineitem", c) for c in combinations(names_of("lineitem"), 2)]
+        + [("events", c) for c in permutations(names_of("events"), 2)],
+        f"""WITH l(n, cat) AS (VALUES {categories('lineitem')}), e(n, cat) AS (VALUES {categories('events')})
+  SELECT 'lineitem' AS lt, 'events' AS rt, key_columns AS lc, a.n || ',' || b.n AS rc
+  FROM ({key_ratio('lineitem', names_of('lineitem'), 2, 1)}) AS k
+  JOIN l AS x ON x.n = split_part(key_columns, ',', 1) JOIN l AS y ON y.n = split_part(key_columns, ',', 2)
+  JOIN e AS a ON a.cat = x.cat JOIN e AS b ON b.cat = y.cat AND b.n <> a.n""",
         0.1,
     ),
     "same_category_pairs": report(singles("supplier", "customer"), named_pairs([("supplier", "customer")], "lcat = rcat")),
@@ -475,7 +501,10 @@ FROM (VALUES {', '.join(f"('{c}')" for c in COMBOS)}) AS g(lc), shared""",
     ),
     "overlap_merge": null_overlap("Merge", "IS NOT DISTINCT FROM"),
     "overlap_exact_nulls": null_overlap("Sorted Neighbourhood", "="),
-    "result_listing": listing_rows(),
+    "result_listing": listing_rows(report(sets_of(*JACCARD), given(*JACCARD), tail=f"UNION ALL {FAILED_ROWS}")),
+    "listing_ties": listing_rows(
+        report(singles("residues", "parts"), given(*(("residues", "parts", "k", f"m{m}") for m in TIES)), 0.0)
+    ),
     "rank_by_score": "SELECT CAST(row_number() OVER (ORDER BY join_score DESC, left_columns, right_columns) AS INTEGER) "
     "AS place, left_columns, right_columns, join_score FROM ("
     + report(
@@ -494,15 +523,14 @@ FROM (VALUES {', '.join(f"('{c}')" for c in COMBOS)}) AS g(lc), shared""",
             contribution("customer", "orders", [("c_custkey", "o_custkey")], names_of("customer"), names_of("orders")),
             contribution(
                 "lineitem", "derived", [("l_orderkey", "o_orderkey")], names_of("lineitem"),
-                ["o_orderkey", "priority", "rare_day"],
+                names_of("derived"),
             ),
             contribution(
-                "derived", "orders", [("priority", "o_orderpriority")], ["o_orderkey", "priority", "rare_day"],
-                names_of("orders"),
+                "derived", "orders", [("priority", "o_orderpriority")], names_of("derived"), names_of("orders"),
             ),
             contribution(
                 "orders", "derived", [("o_orderkey", "o_orderkey"), ("o_orderpriority", "priority")],
-                names_of("orders"), ["o_orderkey", "priority", "rare_day"],
+                names_of("orders"), names_of("derived"),
             ),
         ]
     ),
@@ -515,10 +543,26 @@ FROM (VALUES {', '.join(f"('{c}')" for c in COMBOS)}) AS g(lc), shared""",
         for n, k in columns(t)
         if k in "id"
     ),
+    "counter_decimals": " UNION ALL ".join(
+        f"SELECT '{n}' AS column_name, round({misses(f'(SELECT {value} AS {n} FROM orders)', n)}, 6) AS miss"
+        for n, value in (
+            ("big_key", "CAST(o_orderkey + 9007199254740992 AS DECIMAL(20, 0))"),
+            ("customer", "CAST(o_custkey AS DECIMAL(12, 2))"),
+        )
+    ),
     "mode_count": "SELECT l_returnflag, l_linestatus, max(n) AS mode_count FROM (SELECT l_returnflag, l_linestatus, "
     "l_quantity, count(*) AS n FROM lineitem GROUP BY ALL) GROUP BY l_returnflag, l_linestatus",
     "discover_orders_customer": similar_report([("orders", "customer")], ""),
     "discover_labels_documents": labels_search(),
+    "discover_cosine": report(LABEL_SETS, named_pairs(LABELS, "a = b"), score="cosine", select="'S1' AS stage,"),
+    "discover_merge": report(
+        singles("orders", "customer"), named_pairs([("orders", "customer")], SIMILAR_NAMES), nulls=True,
+        select="'S2' AS stage,",
+    ),
+    "discover_common_names": f"""({half_singles(0.45, "'S1' AS stage,")}) UNION ALL
+({report(HALF_SETS, half_combinations(0.45), select="'S1' AS stage,")})""",
+    "discover_dropped": "SELECT table_name, column_name, round(avg_length, 6) AS avg_chars "
+    f"FROM {profile('labels', 'documents')} WHERE NOT avg_length < 70",
     "discover_useful_columns": used_columns(similar_report(USEFUL, "WHERE mergeable = 1")),
     "discover_contribution": "SELECT * EXCLUDE (joined_rows) FROM ("
     + contribution("orders", "customer", [("o_custkey", "c_custkey")], names_of("orders"), names_of("customer"))

@@ -181,9 +181,14 @@ def cardinality_discarded(spark: SparkSession, folder: str) -> DataFrame:
 def text_similarity(method: str) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, folder: str) -> DataFrame:
         t = load(spark, folder, "orders", "customer")
-        rows = t["orders"].join(t["customer"], F.col("o_custkey") == F.col("c_custkey"))
-        info = string_similarity("o_orderpriority", "c_mktsegment", method)
-        return rows.select("o_orderkey", F.round(info["score"], 6).alias("score"), info["method"].alias("method"))
+        words = ["o_orderpriority", "c_mktsegment"]
+        rows = t["orders"].join(t["customer"], F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", *words)
+        # Each pair of words is compared once.
+        info = string_similarity(*words, method)
+        scored = rows.select(*words).distinct().select(*words, info.alias("info"))
+        return rows.join(scored, words).select(
+            "o_orderkey", F.round("info.score", 6).alias("score"), F.col("info.method").alias("method")
+        )
 
     return query
 
@@ -259,35 +264,36 @@ def similar_names(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def line_halves(spark: SparkSession, folder: str) -> Tables:
-    """Line items split by return flag, so that some column pairs fail."""
-    line = load(spark, folder, "lineitem")["lineitem"].select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag"
-    )
-    returned = F.col("l_returnflag") == "R"
-    return {"returned": line.where(returned), "kept": line.where(~returned)}
+HALVES = ("finished", "unfinished")
+
+
+def order_halves(spark: SparkSession, folder: str) -> Tables:
+    """Orders split by status, so that some column pairs fail."""
+    orders = load(spark, folder, "orders")["orders"]
+    finished = F.col("o_orderstatus") == "F"
+    return dict(zip(HALVES, (orders.where(finished), orders.where(~finished)), strict=True))
 
 
 def combined_columns(spark: SparkSession, folder: str) -> DataFrame:
-    t = line_halves(spark, folder)
+    t = order_halves(spark, folder)
     catalog = settle(profile(t, distinct=False))
-    singles = common_columns(catalog, pair_table(spark, [("returned", "kept")]))
+    singles = common_columns(catalog, pair_table(spark, [HALVES]))
     return report_rows(measure_overlap(t, column_combinations(singles), catalog, min_join=0.0))
 
 
 def hierarchical_discard(spark: SparkSession, folder: str) -> DataFrame:
-    t = line_halves(spark, folder)
+    t = order_halves(spark, folder)
     catalog = settle(profile(t, distinct=False))
-    singles = common_columns(catalog, pair_table(spark, [("returned", "kept")]))
+    singles = common_columns(catalog, pair_table(spark, [HALVES]))
     parents = hier_parents(measure_overlap(t, singles, catalog, min_join=0.001), 1)
     kept = hier_discard(column_combinations(singles), parents)
     return report_rows(measure_overlap(t, kept, catalog, min_join=0.001))
 
 
 def hierarchical_rest(spark: SparkSession, folder: str) -> DataFrame:
-    t = line_halves(spark, folder)
+    t = order_halves(spark, folder)
     catalog = settle(profile(t, distinct=False))
-    singles = common_columns(catalog, pair_table(spark, [("returned", "kept")]))
+    singles = common_columns(catalog, pair_table(spark, [HALVES]))
     parents = hier_parents(measure_overlap(t, singles, catalog, min_join=0.001), 1)
     split = split_by_parents(column_combinations(singles), parents)
     return split.selectExpr(
@@ -301,9 +307,9 @@ def single_keys(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def composite_keys(spark: SparkSession, folder: str) -> DataFrame:
-    line = load(spark, folder, "lineitem")["lineitem"].select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
-    t = {"lineitem": line}
-    return key_rows(unique_keys(t, settle(profile(t)), 0.95))
+    """At ratio 1 no single column is a key."""
+    t = load(spark, folder, "lineitem")
+    return key_rows(unique_keys(t, settle(profile(t)), 1))
 
 
 def key_rows(keys: DataFrame) -> DataFrame:
@@ -316,13 +322,13 @@ def key_rows(keys: DataFrame) -> DataFrame:
 
 
 def key_references(
-    spark: SparkSession, keys_of: str, other: str, side: str, t: Tables, min_join: float = 0.45
+    spark: SparkSession, keys_of: str, other: str, side: str, t: Tables, min_join: float = 0.45, min_ratio: float = 0.95
 ) -> DataFrame:
     catalog = settle(profile(t))
     pair = (keys_of, other) if side == "left" else (other, keys_of)
     both = pair_columns(catalog, pair_table(spark, [pair]))
     scope = ["left_table", "right_table", "table"]
-    keys = unique_keys(t, both.where(F.col("table") == keys_of), 0.95, scope=scope)
+    keys = unique_keys(t, both.where(F.col("table") == keys_of), min_ratio, scope=scope)
     same = [(c, c) for c in ("left_table", "right_table")]
     found = foreign_keys(keys, both.where(F.col("table") == other), same, side)
     return report_rows(measure_overlap(t, found, catalog, min_join))
@@ -335,11 +341,7 @@ def single_references(spark: SparkSession, folder: str) -> DataFrame:
 
 def composite_references(spark: SparkSession, folder: str) -> DataFrame:
     t = load(spark, folder, "lineitem", "events")
-    t = {
-        "lineitem": t["lineitem"].select("l_orderkey", "l_partkey", "l_linenumber"),
-        "events": t["events"].select("event_id", "user_id", "event_type"),
-    }
-    return key_references(spark, "lineitem", "events", "left", t, min_join=0.1)
+    return key_references(spark, "lineitem", "events", "left", t, min_join=0.1, min_ratio=1)
 
 
 def category_pairs(spark: SparkSession, folder: str) -> DataFrame:
@@ -412,6 +414,22 @@ def result_listing(spark: SparkSession, folder: str) -> DataFrame:
     return listing(measure_overlap(t, candidates(spark, JACCARD), catalog)).select("left_table", "right_table", "line")
 
 
+TIES = (1, 3, 67, 201, 333, 402, 1005, 2001, 2675, 3999)
+
+
+def listing_ties(spark: SparkSession, folder: str) -> DataFrame:
+    """Shares of 4,000 in percent: many end in a five at the third decimal."""
+    orders = load(spark, folder, "orders")["orders"]
+    t = {
+        "residues": orders.selectExpr("o_orderkey % 4000 AS k"),
+        "parts": orders.selectExpr(*(f"o_orderkey % {m} AS m{m}" for m in TIES)),
+    }
+    catalog = settle(profile(t, distinct=False))
+    rows = [("residues", "parts", ["k"], [f"m{m}"]) for m in TIES]
+    report = measure_overlap(t, candidates(spark, rows), catalog, 0.0)
+    return listing(report).select("left_table", "right_table", "line")
+
+
 def ranked_report(spark: SparkSession, folder: str) -> DataFrame:
     """Mergeable candidates of equal category with their place by score."""
     t = load(spark, folder, "lineitem", "orders")
@@ -449,7 +467,7 @@ def ranked_prices(spark: SparkSession, folder: str) -> DataFrame:
 
 def contributions(spark: SparkSession, folder: str) -> DataFrame:
     t = load(spark, folder, "customer", "orders", "lineitem")
-    t["derived"] = with_nulls(t["orders"]).select("o_orderkey", "priority", "rare_day")
+    t["derived"] = with_nulls(t["orders"])
     rows = [
         ("customer", "orders", ["c_custkey"], ["o_custkey"]),
         ("lineitem", "derived", ["l_orderkey"], ["o_orderkey"]),
@@ -479,10 +497,21 @@ def counters(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def bucketed_counters(spark: SparkSession, folder: str) -> DataFrame:
-    """The same test with many range buckets: their seams must not show."""
+def all_counters(spark: SparkSession, folder: str) -> DataFrame:
+    """The same test for every number, whole and fractional, however often it repeats."""
     t = load(spark, folder, "orders", "customer")
-    found = counter_columns(t, settle(profile(t)), min_uniqueness=0.0, buckets=7)
+    return tested_misses(t)
+
+
+def decimal_counters(spark: SparkSession, folder: str) -> DataFrame:
+    """Order keys beyond the whole numbers of a double, as decimals."""
+    orders = load(spark, folder, "orders")["orders"]
+    big = "CAST(o_orderkey + 9007199254740992 AS DECIMAL(20, 0)) AS big_key"
+    return tested_misses({"decimals": orders.selectExpr(big, "CAST(o_custkey AS DECIMAL(12, 2)) AS customer")})
+
+
+def tested_misses(t: Tables) -> DataFrame:
+    found = counter_columns(t, settle(profile(t)), min_uniqueness=0.0)
     return found.where("miss IS NOT NULL").select(
         F.col("column").alias("column_name"), F.round("miss", 6).alias("miss")
     )
@@ -506,12 +535,21 @@ def searched(*pairs: tuple[str, str], what: str = "report", **options) -> Callab
         if what == "useful":
             used = useful_columns(found.report)
             return used.select("left_table", "right_table", "side", F.col("column").alias("column_name"))
+        if what == "dropped":
+            lengths = F.round("value", 6).alias("avg_chars")
+            return found.dropped.select(F.col("table").alias("table_name"), F.col("column").alias("column_name"), lengths)
         kept = found.report if what == "report" else found.mergeable
         return kept.selectExpr("stage", *REPORT)
 
     return query
 
 
+def halves_search(spark: SparkSession, folder: str) -> DataFrame:
+    """Tables with equal names: the search ends in its first stage, combinations included."""
+    found = discover_joins(order_halves(spark, folder), [HALVES], Params(name_methods=NAME_METHODS))
+    return found.report.selectExpr("stage", *REPORT)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "table_shapes": table_shapes,
     "csv_scan": csv_scan,
@@ -547,6 +585,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "overlap_merge": merged_nulls("Merge"),
     "overlap_exact_nulls": merged_nulls("SortedNeighborhood"),
     "result_listing": result_listing,
+    "listing_ties": listing_ties,
     "rank_by_score": ranked_report,
     "sorted_neighbourhood": near_balances,
     "sorted_neighbourhood_exact": near_order_keys,
@@ -554,10 +593,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "join_contribution": contributions,
     "renamed_join": renamed_join,
     "counter_columns": counters,
-    "counter_buckets": bucketed_counters,
+    "counter_buckets": all_counters,
+    "counter_decimals": decimal_counters,
     "mode_count": modes,
     "discover_orders_customer": searched(("orders", "customer")),
     "discover_labels_documents": searched(("labels", "documents")),
+    "discover_cosine": searched(("labels", "documents"), score_method="cosine"),
+    "discover_merge": searched(("orders", "customer"), eval_method="Merge"),
+    "discover_common_names": halves_search,
+    "discover_dropped": searched(("labels", "documents"), what="dropped"),
     "discover_useful_columns": searched(("lineitem", "orders"), ("customer", "nation"), what="useful"),
     "discover_contribution": searched(("orders", "customer"), what="contribution"),
     "discover_counters": searched(("orders", "customer"), ("part", "lineitem"), what="counters"),
