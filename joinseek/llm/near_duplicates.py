@@ -46,7 +46,7 @@ class SimHashParams:
     max_bits: int = 4
     slices: int = 3
     shard: int = 512
-    sample: int = 65_536
+    sample: int = 8_192
     max_depth: int = 14
     split: int = 20_000
 
