@@ -34,8 +34,9 @@ class QualityParams:
 
 def shape_words(text: Column) -> Column:
     """The words of a text with their letters and digits reduced to classes."""
-    shape = F.regexp_replace(F.coalesce(text, F.lit("")), r"\p{Ll}+", "a")
-    shape = F.regexp_replace(shape, r"\p{Lu}+", "A")
+    # The plain ranges are part of the classes, but quicker to test.
+    shape = F.regexp_replace(F.coalesce(text, F.lit("")), r"[a-z\p{Ll}]+", "a")
+    shape = F.regexp_replace(shape, r"[A-Z\p{Lu}]+", "A")
     return words(F.regexp_replace(shape, r"[0-9]+", "9"))
 
 
@@ -52,7 +53,8 @@ def ngram_counts(docs: DataFrame, trusted: DataFrame, text: str, key: str, param
     """
     marked = trusted.select(F.col(key).alias("__key")).distinct().withColumn("__trusted", F.lit(1))
     shapes = docs.select(F.col(quoted(key)).alias("__key"), F.array_join(shape_words(F.col(quoted(text))), " ").alias("__s"))
-    shapes = shapes.join(marked, "__key", "left").selectExpr("__trusted", "split(__s, ' ') AS __w", "__s = '' AS __empty")
+    # Else the shapes would be made a second time, by the test for empty texts.
+    shapes = computed_once(shapes, "__s").join(marked, "__key", "left").selectExpr("__trusted", "split(__s, ' ') AS __w", "__s = '' AS __empty")
     grams = shapes.where("NOT __empty").selectExpr("__trusted", "__w", "posexplode(__w) AS (__i, __a)")
     both = grams.selectExpr(
         "__trusted",
