@@ -125,7 +125,7 @@ def _members(words: int, total: int) -> str:
 def _held(tables: Mapping[str, DataFrame], sets: Sequence[ColumnSet], wanted: DataFrame) -> DataFrame:
     """Key counts of every mask, once per wanted row whose sets are both in it.
 
-    ``wanted`` has (id, role, first, second), with column sets by number.
+    ``wanted`` has first and second, numbers of column sets, and more.
     """
     words = (len(sets) + BITS - 1) // BITS
     layout = KeyLayout(tables, sets)
@@ -140,9 +140,6 @@ def _held(tables: Mapping[str, DataFrame], sets: Sequence[ColumnSet], wanted: Da
     return held.where("array_contains(members, second)")
 
 
-WANTED = {"id": pa.int32(), "role": pa.int32(), "first": pa.int32(), "second": pa.int32()}
-
-
 def _numbered_keys(df: DataFrame, first: int, sets: Sequence[tuple[str, ...]], width: int) -> DataFrame:
     """One row per input row and column set: the number of the set and its key.
 
@@ -187,67 +184,56 @@ def key_counts(spark: SparkSession, tables: Mapping[str, DataFrame], sets: Seque
     return names.join(counts, "id", "left").drop("id").na.fill(0, ["keys"])
 
 
-def pair_counts(
-    spark: SparkSession, tables: Mapping[str, DataFrame], pairs: Sequence[tuple[ColumnSet, ColumnSet]]
-) -> DataFrame:
-    """Distinct keys of both sides and in common, per pair of column sets.
+SUMS = {
+    "n_left": "sum(IF(role = 0, keys, 0))",
+    "n_right": "sum(IF(role = 1, keys, 0))",
+    "common": "sum(IF(role = 2, keys, 0))",
+    "full_common": "sum(IF(role = 2 AND NOT has_null, keys, 0))",
+}
+
 
-    ``common`` lets a missing value equal a missing value, ``full_common`` counts
-    keys without missing values only. All pairs share one scan of each table and
-    one shuffle by key; a pass holds at most ``SETS_PER_PASS`` column sets, so
-    that a mask is a few words wide however many pairs there are.
+def pair_counts(tables: Mapping[str, DataFrame], pairs: DataFrame) -> DataFrame:
+    """``pairs`` (left_table, right_table, left, right) with their key counts.
+
+    ``n_left`` and ``n_right`` are the distinct keys of either side, ``common``
+    those of both, a missing value equal to a missing value, and ``full_common``
+    those without missing values.
+
+    The driver reads the distinct column sets to build the scans; pairs meet their
+    counts by number of the set. All pairs share one scan of each table and one
+    shuffle by key; a pass holds at most ``SETS_PER_PASS`` column sets, so that a
+    mask is a few words wide however many pairs there are.
     """
-    frames = []
-    for part in _passes(pairs):
-        sets = sorted({s for pair in part for s in pair})
-        number = {s: i for i, s in enumerate(sets)}
-        rows = [
-            (i, role, number[first], number[second])
-            for i, (a, b) in enumerate(part)
-            for role, (first, second) in enumerate([(a, a), (b, b), (a, b)])
-        ]
-        wanted = local_table(spark, dict(zip(WANTED, map(list, zip(*rows, strict=True)), strict=True)), WANTED)
-        names = local_table(
-            spark,
-            {
-                "id": list(range(len(part))),
-                "left_table": [a[0] for a, _ in part],
-                "right_table": [b[0] for _, b in part],
-                "left": [list(a[1]) for a, _ in part],
-                "right": [list(b[1]) for _, b in part],
-            },
-            {
-                "id": pa.int32(),
-                "left_table": pa.string(),
-                "right_table": pa.string(),
-                "left": pa.list_(pa.string()),
-                "right": pa.list_(pa.string()),
-            },
-        )
+    sides = [pairs.selectExpr(f"{side}_table AS table", f"{side} AS columns") for side in ("left", "right")]
+    sets = sorted((r.table, tuple(r.columns)) for r in sides[0].unionAll(sides[1]).distinct().collect())
+    numbers = local_table(
+        pairs.sparkSession,
+        {"number": list(range(len(sets))), "table": [t for t, _ in sets], "columns": [list(c) for _, c in sets]},
+        {"number": pa.int32(), "table": pa.string(), "columns": pa.list_(pa.string())},
+    )
+    numbered = pairs
+    for side, name in (("left", "first"), ("right", "second")):
+        own = numbers.selectExpr(f"table AS {side}_table", f"columns AS {side}", f"number AS {name}")
+        numbered = numbered.join(own, [f"{side}_table", side])
+    block = len(sets) if len(sets) <= SETS_PER_PASS else SETS_PER_PASS // 2
+    numbered = numbered.selectExpr("*", *(f"CAST({n} div {block} AS INT) AS {n}_block" for n in ("first", "second")))
+    passes = [(0, 0)]
+    if block < len(sets):
+        both = numbered.selectExpr("least(first_block, second_block) AS a", "greatest(first_block, second_block) AS b")
+        passes = sorted((r.a, r.b) for r in both.distinct().collect())
 
-        counts = (
-            _held(tables, sets, wanted)
-            .groupBy("id")
-            .agg(
-                F.expr("sum(IF(role = 0, keys, 0)) AS n_left"),
-                F.expr("sum(IF(role = 1, keys, 0)) AS n_right"),
-                F.expr("sum(IF(role = 2, keys, 0)) AS common"),
-                F.expr("sum(IF(role = 2 AND NOT has_null, keys, 0)) AS full_common"),
-            )
+    frames = []
+    for a, b in passes:
+        mine = sets[a * block : (a + 1) * block] + (sets[b * block : (b + 1) * block] if b > a else [])
+        local = (f"{n} - IF({n}_block = {a}, {a * block}, {(b - 1) * block}) AS {n}" for n in ("first", "second"))
+        part = numbered.where(f"least(first_block, second_block) = {a} AND greatest(first_block, second_block) = {b}")
+        part = part.selectExpr(*pairs.columns, *local)
+        roles = ", ".join(
+            f"named_struct('role', {role}, 'first', {x}, 'second', {y})"
+            for role, (x, y) in enumerate([("l", "l"), ("r", "r"), ("l", "r")])
         )
-        joined = names.join(counts, "id", "left").drop("id")
-        frames.append(joined.na.fill(0, ["n_left", "n_right", "common", "full_common"]))
+        wanted = part.selectExpr("first AS l", "second AS r").distinct().selectExpr("l", "r", f"inline(array({roles}))")
+        sums = _held(tables, mine, wanted).groupBy("l", "r").agg(*(F.expr(s).alias(n) for n, s in SUMS.items()))
+        joined = part.join(sums, (F.col("first") == F.col("l")) & (F.col("second") == F.col("r")), "left")
+        frames.append(joined.select(*pairs.columns, *SUMS).na.fill(0, list(SUMS)))
     return union_all(frames)
-
-
-def _passes(pairs: Sequence[tuple[ColumnSet, ColumnSet]]) -> list[list[tuple[ColumnSet, ColumnSet]]]:
-    """Pairs in table order, cut where a pass would hold too many column sets."""
-    passes: list[list[tuple[ColumnSet, ColumnSet]]] = [[]]
-    seen: set[ColumnSet] = set()
-    for pair in sorted(pairs, key=lambda p: (p[0][0], p[1][0], p)):
-        if len(seen | set(pair)) > SETS_PER_PASS:
-            passes.append([])
-            seen = set()
-        passes[-1].append(pair)
-        seen |= set(pair)
-    return passes

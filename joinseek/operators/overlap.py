@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from joinseek.operators.keyrows import pair_counts
-from joinseek.session import settle
+from joinseek.session import written
 
 CANDIDATE = ["left_table", "right_table", "left", "right"]
 INFO_TYPE = "array<struct<score:double,method:string>>"
@@ -92,17 +92,12 @@ def check_candidates(candidates: DataFrame, catalog: DataFrame, score_method: st
 
 
 def _counted(tables: Mapping[str, DataFrame], checked: DataFrame) -> DataFrame:
-    """The checked candidates with key counts wherever the data must decide.
-
-    The driver reads the column names of those candidates to build the scan.
-    """
-    rows = checked.where("reason IS NULL").select(*CANDIDATE).collect()
-    if not rows:
+    """The checked candidates with key counts wherever the data must decide."""
+    undecided = checked.where("reason IS NULL").select(*CANDIDATE).distinct()
+    if undecided.isEmpty():
         unknown = (f"CAST(NULL AS BIGINT) AS {c}" for c in ("n_left", "n_right", "common", "full_common"))
         return checked.selectExpr("*", *unknown)
-    pairs = sorted({((r.left_table, tuple(r.left)), (r.right_table, tuple(r.right))) for r in rows})
-    counts = pair_counts(checked.sparkSession, tables, pairs)
-    return checked.join(counts, CANDIDATE, "left")
+    return checked.join(pair_counts(tables, undecided), CANDIDATE, "left")
 
 
 def measure_overlap(
@@ -124,7 +119,7 @@ def measure_overlap(
         raise ValueError(f"eval_method must be one of {EVAL_METHODS}, not {eval_method!r}")
     if score_method not in SCORE_METHODS:
         raise ValueError(f"score_method must be one of {SCORE_METHODS}, not {score_method!r}")
-    checked = settle(check_candidates(candidates, catalog, score_method, min_join))
+    checked = written(check_candidates(candidates, catalog, score_method, min_join))
     bounded = _counted(tables, checked).withColumn("bound", F.expr(upper_bound("n_left", "n_right", score_method)))
     matches = "common" if eval_method == "Merge" else "full_common"
     decided = bounded.selectExpr(

@@ -26,7 +26,7 @@ from joinseek.operators.profile import add_distinct, column_stats, union_all
 from joinseek.operators.prune import prune_category, prune_length, prune_missing
 from joinseek.operators.semantic import Taxonomy
 from joinseek.params import Params
-from joinseek.session import local_table, settle
+from joinseek.session import local_table, settle, written
 
 
 @dataclass
@@ -118,7 +118,7 @@ class _Search:
     def measure(self, candidates: DataFrame) -> DataFrame:
         """Score candidates and add them to the reports."""
         p = self.params
-        report = settle(
+        report = written(
             measure_overlap(self.tables, candidates, self.catalog, p.min_join, p.eval_method, p.score_method)
         )
         self.reports.append(report)
@@ -144,7 +144,7 @@ class _Search:
         """Score combinations of single pairs, unless they contain a failed one."""
         known = self.known()
         parents = hier_parents(known, self.params.hier_max_matches)
-        usable = settle(hier_singles(singles, parents))
+        usable = written(hier_singles(singles, parents))
         if usable.count() >= min(self.params.combination_sizes):
             combined = column_combinations(usable, self.params.combination_sizes, stage)
             self.measure(without_known(combined, known))
@@ -156,7 +156,7 @@ class _Search:
 
     def similar_names(self) -> None:
         similar = similar_columns(self.catalog, self.pairs, self.params.name_methods, self.taxonomy)
-        similar = settle(without_known(similar, self.known()))
+        similar = written(without_known(similar, self.known()))
         self.measure(similar)
         self.measure_combined(similar.unionAll(common_columns(self.catalog, self.pairs)), "S2")
 
@@ -200,7 +200,8 @@ def discover_joins(
     The stages are S1 equal names, S2 similar names, S3 unique key to foreign
     key, S4 any columns of equal category. A table pair leaves the search at the
     first stage that finds a mergeable candidate. All pairs of a stage share its
-    jobs; between jobs the driver only reads column names and small counts.
+    jobs; between jobs the driver only reads column names and small counts, while
+    candidates and reports stay in the checkpoint folder.
     """
     spark = next(iter(tables.values())).sparkSession
     catalog = settle(column_stats(tables)).withColumn("distinct", F.lit(None).cast("bigint"))

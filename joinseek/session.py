@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,6 +49,17 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the checkpoint folder.
+
+    For rows about pairs of columns, whose number is a product of the widths of
+    two tables: they stay off the driver, and later plans see their size.
+    """
+    path = f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def local_table(spark: SparkSession, columns: dict[str, list], types: dict[str, pa.DataType]) -> DataFrame:
     """A DataFrame over schema facts the driver already holds (names, ids)."""
     arrays = [pa.array(columns[name], type=types[name]) for name in types]
@@ -57,9 +69,9 @@ def local_table(spark: SparkSession, columns: dict[str, list], types: dict[str,
 def settle(df: DataFrame) -> DataFrame:
     """Run ``df`` and keep its rows as a local relation.
 
-    Only for rows about columns (catalogue, candidates, reports), whose number
-    depends on the schemas and not on the data. The driver must read the column
-    names in them anyway to build the next scan; later plans then see their exact
-    size and do not run the scans behind them again.
+    Only for rows about single columns, keys and table pairs, whose number depends
+    on the schemas and not on the data. The driver must read the column names in
+    them anyway to build the next scan; later plans then see their exact size and
+    do not run the scans behind them again. Candidates and reports are ``written``.
     """
     return df.sparkSession.createDataFrame(df.toArrow())

@@ -78,7 +78,7 @@ def test_jaccard_is_symmetric_and_in_range(spark):
 
 
 def test_many_column_sets_and_several_passes(spark, monkeypatch):
-    monkeypatch.setattr(keyrows, "SETS_PER_PASS", 100)
+    monkeypatch.setattr(keyrows, "SETS_PER_PASS", 40)
     wide = spark.range(20).selectExpr(*(f"id + {i} AS c{i}" for i in range(70)))
     other = spark.range(30)
     tables = {"wide": wide, "other": other, "third": spark.range(25)}
