@@ -72,17 +72,15 @@ def log_ratios(counts: DataFrame, params: QualityParams) -> list[float]:
 
     At most ``params.buckets`` rows come to the driver, whatever the corpus.
     """
-    import numpy as np
-
-    rows = counts.toPandas()
-    target, raw = np.zeros(params.buckets), np.zeros(params.buckets)
-    target[rows["bucket"]], raw[rows["bucket"]] = rows["target"], rows["raw"]
-    if not target.sum():
+    totals = counts.agg(F.sum("target").alias("target"), F.sum("raw").alias("raw")).first()
+    if not totals.target:
         return [0.0] * params.buckets
-    smooth = params.smoothing
-    ratio = np.log(target + smooth) - np.log(target.sum() + smooth * params.buckets)
-    ratio -= np.log(raw + smooth) - np.log(raw.sum() + smooth * params.buckets)
-    return [round(float(x), 9) for x in ratio]
+    smooth, spread = params.smoothing, params.smoothing * params.buckets
+    shares = [f"ln((coalesce({side}, 0) + {smooth}D) / {totals[side] + spread}D)" for side in ("target", "raw")]
+    every = counts.sparkSession.range(params.buckets).join(counts, F.col("id") == F.col("bucket"), "left")
+    rows = every.selectExpr("id", f"round({shares[0]} - {shares[1]}, 9) AS ratio").collect()
+    ratios = {row.id: row.ratio for row in rows}
+    return [ratios[bucket] for bucket in range(params.buckets)]
 
 
 def score(docs: DataFrame, ratios: list[float], text: str, into: str, buckets: int) -> DataFrame:
