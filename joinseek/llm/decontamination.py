@@ -157,14 +157,16 @@ def contaminated(
     windows = windows.selectExpr("doc", "start", "length", "shingles", f"{_fingerprint('shingles')} AS fingerprint")
     windows = kept_table(windows, "windows")
 
+    # Equal windows look up their fingerprint once, however many documents hold them.
     index = items.selectExpr("item", "length", "fingerprint", f"inline({_block_values('fingerprint', True)})")
-    looked_up = windows.selectExpr("doc", "start", "length", "fingerprint AS own", f"inline({_block_values('fingerprint', False)})")
+    own = windows.select("length", F.col("fingerprint").alias("own")).distinct()
+    looked_up = own.selectExpr("length", "own", f"inline({_block_values('own', False)})")
     pairs = looked_up.join(index, ["length", "block", "value"])
-    pairs = pairs.selectExpr("doc", "start", "length", "item", "bit_count(own ^ fingerprint) AS hamming")
-    pairs = pairs.where(f"hamming <= {RADIUS}").distinct()
+    pairs = pairs.selectExpr("length", "own", "item", "bit_count(own ^ fingerprint) AS hamming")
+    pairs = kept_table(pairs.where(f"hamming <= {RADIUS}").distinct(), "pairs")
 
-    same = [F.col("p.doc").eqNullSafe(F.col("w.doc")), F.expr("p.start = w.start"), F.expr("p.length = w.length")]
-    texts = pairs.alias("p").join(windows.alias("w"), same).selectExpr("p.*", "w.shingles AS left_shingles")
+    near = F.expr("p.length = w.length AND p.own = w.fingerprint")
+    texts = windows.alias("w").join(pairs.alias("p"), near).selectExpr("w.doc", "w.start", "p.*", "w.shingles AS left_shingles")
     texts = texts.alias("t").join(items.alias("i"), F.expr("t.item <=> i.item AND t.length = i.length"))
     scored = texts.selectExpr("t.*", f"{_weighted_jaccard('left_shingles', 'i.shingles')} AS similarity")
     scored = scored.where(f"similarity >= {params.min_similarity}D")
