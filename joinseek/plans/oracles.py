@@ -420,6 +420,25 @@ def late_stages(left: str, right: str, earlier: str) -> str:
   QUALIFY stage = min(stage) OVER ()"""
 
 
+NAMED_ALIKE = [("customer", "nation"), ("nation", "region"), ("lineitem", "part"), ("lineitem", "supplier")]
+
+
+def meaning(name: str, pattern: str = "_(.*)$") -> str:
+    return f"regexp_extract({name}, '{pattern}', 1)"
+
+
+def semantic_report() -> str:
+    """Names with one meaning, a meaning and its kind, or two meanings of one kind."""
+    first, second = meaning("a"), meaning("b")
+    one, two = (meaning(x, "_.*?(price|date|status|name)$") for x in ("a", "b"))
+    score = f"""CASE WHEN {first} = {second} THEN 1.0 WHEN {first} = {two} OR {second} = {one} THEN 0.5
+  WHEN {one} <> '' AND {one} = {two} THEN round(1 / 3.0, 6) ELSE 0.0 END"""
+    tables = sorted({t for p in NAMED_ALIKE for t in p})
+    rows = report(singles(*tables), named_pairs(NAMED_ALIKE, f"{score} >= 0.3"), select="'S2' AS stage,")
+    scored = score.replace("(a,", "(left_columns,").replace("(b,", "(right_columns,")
+    return f"SELECT *, CAST({scored} AS DOUBLE) AS name_score FROM ({rows})"
+
+
 USEFUL = [("lineitem", "orders"), ("customer", "nation")]
 
 ORACLES: dict[str, str] = {
@@ -561,6 +580,7 @@ FROM (VALUES {', '.join(f"('{c}')" for c in COMBOS)}) AS g(lc), failed""",
     ),
     "discover_common_names": f"""({half_singles(0.45, "'S1' AS stage,")}) UNION ALL
 ({report(HALF_SETS, half_combinations(0.45), select="'S1' AS stage,")})""",
+    "discover_semantic": semantic_report(),
     "discover_dropped": "SELECT table_name, column_name, round(avg_length, 6) AS avg_chars "
     f"FROM {profile('labels', 'documents')} WHERE NOT avg_length < 70",
     "discover_useful_columns": used_columns(similar_report(USEFUL, "WHERE mergeable = 1")),

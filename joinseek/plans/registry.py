@@ -550,6 +550,26 @@ def halves_search(spark: SparkSession, folder: str) -> DataFrame:
     return found.report.selectExpr("stage", *REPORT)
 
 
+NAMED_ALIKE = [("customer", "nation"), ("nation", "region"), ("lineitem", "part"), ("lineitem", "supplier")]
+
+
+def name_taxonomy(t: Tables) -> Taxonomy:
+    """Column names by what follows their prefix; a retailprice is a price, and so on."""
+    spark = next(iter(t.values())).sparkSession
+    named = local_table(spark, {"word": sorted({c for df in t.values() for c in df.columns})}, {"word": pa.string()})
+    senses = named.selectExpr("word", "regexp_extract(word, '_(.*)$', 1) AS sense")
+    isa = senses.selectExpr("sense AS child", "regexp_extract(sense, '(price|date|status|name)$', 1) AS parent")
+    return Taxonomy(senses, isa.where("parent <> '' AND parent <> child").distinct())
+
+
+def semantic_search(spark: SparkSession, folder: str) -> DataFrame:
+    """A search in which only the meaning of names decides; triples are the combinations tried."""
+    t = load(spark, folder, *sorted({name for pair in NAMED_ALIKE for name in pair}))
+    params = Params(name_methods=(("Semantic", 0.3),), combination_sizes=(3,))
+    found = discover_joins(t, NAMED_ALIKE, params, name_taxonomy(t))
+    return found.report.selectExpr("stage", *REPORT, "round(array_max(similarity_info.score), 6) AS name_score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "table_shapes": table_shapes,
     "csv_scan": csv_scan,
@@ -601,6 +621,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "discover_cosine": searched(("labels", "documents"), score_method="cosine"),
     "discover_merge": searched(("orders", "customer"), eval_method="Merge"),
     "discover_common_names": halves_search,
+    "discover_semantic": semantic_search,
     "discover_dropped": searched(("labels", "documents"), what="dropped"),
     "discover_useful_columns": searched(("lineitem", "orders"), ("customer", "nation"), what="useful"),
     "discover_contribution": searched(("orders", "customer"), what="contribution"),
