@@ -150,19 +150,21 @@ def _forest(fps: np.ndarray, home: np.ndarray, max_bits: int) -> tuple[np.ndarra
         return i
 
     homes = np.flatnonzero(home)
-    rows = max(1, 4_000_000 // max(1, len(fps)))
-    for at in range(0, len(homes), rows):
+    most = max(1, 4_000_000 // max(1, len(fps)))
+    at, rows = 0, min(16, most)
+    while at < len(homes):
         mine = homes[at : at + rows]
-        close = np.bitwise_count(fps[mine, None] ^ fps[None, :]) <= max_bits
-        a, b = np.nonzero(close)
-        for i, j in zip(mine[a].tolist(), b.tolist(), strict=True):
-            if i != j:
-                x, y = root(i), root(j)
-                if x != y:
-                    parent[max(x, y)] = min(x, y)
-    roots = np.array([root(i) for i in range(len(fps))], dtype=np.int64)
-    linked = np.flatnonzero(roots != np.arange(len(fps)))
-    return fps[linked].view(np.int64), fps[roots[linked]].view(np.int64)
+        a, b = np.nonzero(np.bitwise_count(fps[mine, None] ^ fps[None, :]) <= max_bits)
+        # Only links between what was still apart: blocks grow, so a dense group is one tree soon.
+        x, y = parent[mine[a]], parent[b]
+        for code in np.unique(x[x != y] * len(fps) + y[x != y]).tolist():
+            one, two = root(code // len(fps)), root(code % len(fps))
+            parent[max(one, two)] = min(one, two)
+        while (parent != parent[parent]).any():
+            parent = parent[parent]
+        at, rows = at + rows, min(2 * rows, most)
+    linked = np.flatnonzero(parent != np.arange(len(fps)))
+    return fps[linked].view(np.int64), fps[parent[linked]].view(np.int64)
 
 
 def links(nodes: DataFrame, params: SimHashParams) -> DataFrame:
