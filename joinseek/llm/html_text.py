@@ -48,8 +48,10 @@ BORDERS = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr":
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']++|\"[^\"]*\"|'[^']*'|[\"'])*+)>|<[!?][^>]*>", re.DOTALL
 )
-NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
-HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?(?:false|until))|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.IGNORECASE)
+#: Raw elements of foreign markup, which a final slash closes at once; no slash closes the others.
+FOREIGN_TAGS = frozenset(("svg", "math"))
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.IGNORECASE)
 SPLIT_NAME = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
 
@@ -87,11 +89,18 @@ def _is_outside(tag: str, attributes: str, in_article: bool) -> bool:
         return True
     if not attributes or tag in ("html", "body", "article", "main"):
         return False
-    if HIDDEN.search(attributes):
-        return True
-    for quoted_twice, quoted_once, bare in NAMES.findall(attributes):
-        for name in SPLIT_NAME.split(quoted_twice or quoted_once or bare):
-            if name.lower() in OUTSIDE_WORDS:
+    for attribute, quoted_twice, quoted_once, bare in ATTRIBUTE.findall(attributes):
+        attribute, value = attribute.lower(), quoted_twice or quoted_once or bare
+        if attribute == "hidden" and value.lower() not in ("false", "until-found"):
+            return True
+        if attribute == "aria-hidden" and value.lower() == "true":
+            return True
+        if attribute == "style" and NO_DISPLAY.search(value):
+            return True
+        if attribute in ("class", "id", "role"):
+            if "hidden" in value.lower().split():
+                return True
+            if any(name.lower() in OUTSIDE_WORDS for name in SPLIT_NAME.split(value)):
                 return True
     return False
 
@@ -164,7 +173,7 @@ def parse(html: str) -> tuple[list[_Node], list[tuple[int, str, int, int]]]:
             pieces.append(" ")
             continue
         if tag in RAW_TAGS:
-            if not attributes.endswith("/"):
+            if tag not in FOREIGN_TAGS or not attributes.endswith("/"):
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(html, at)
                 at = end.end() if end else len(html)
             continue

@@ -32,6 +32,8 @@ ARTICLES = [
     (f"<article><section><p>{LONG}</p></section><section><p>{LONG}</p></section><aside><p>{LONG}</p></aside></article>", f"{LONG.strip()}\n{LONG.strip()}"),
     (f"<article><!-- <p>no</p> --><table><tr><td>1<td>2<tr><td>3</table><pre>a  b\n c</pre><p>{LONG}</article>", f"1\n2\n3\na b c\n{LONG.strip()}"),
     ("<article><p>Tiny</p></article>", "Tiny"),
+    (f"<div style='overflow:hidden'><p title='hidden gems' data-role=menu>{LONG}</p><p style='color:red; display: none'>{LONG}</p><p HIDDEN>{LONG}</p><p class='x hidden'>{LONG}</p></div>", LONG.strip()),
+    (f"<article><p aria-hidden=false>{LONG}</p><p aria-hidden='true'>{LONG}</p><script src=/a/b/>var x = '<p>no</p>';</script><svg/><p>End</p></article>", f"{LONG.strip()}\nEnd"),
 ]
 
 
