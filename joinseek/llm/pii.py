@@ -38,6 +38,9 @@ PATTERNS = {
     "ssn": ("{t} RLIKE '[0-9]-[0-9]{{2}}-[0-9]'", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
 }
 
+#: Shorter matches cannot hold the digits their check asks for, nor can anything inside them.
+SHORTEST = {"card": 13, "phone": 10}
+
 #: Proposed again inside a rejected match, which may be several numbers in a row.
 INNER = {
     "card": r"(?<![0-9])(?:[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}|[0-9]{13,19})(?![0-9])",
@@ -63,16 +66,16 @@ SPANS = "array<struct<kind:string,start:int,stop:int,base:boolean,score:double>>
 BASE = ("email", "ip", "card", "phone")
 
 
-def _located(gaps: str, found: str, offset: str = "0") -> str:
-    """Matches with their offsets, from the text between matches and the matches."""
+def _located(gaps: str, found: str, offset: str = "0", shortest: int = 0) -> str:
+    """Matches of at least ``shortest`` characters with their offsets, from the text between matches and the matches."""
     length = "length(x.gap) + length(x.found)"
+    span = f"named_struct('start', a.at + length(x.gap), 'stop', a.at + {length}, 'found', x.found)"
     return f"""aggregate(
         zip_with(slice({gaps}, 1, size({found})), {found}, (g, m) -> named_struct('gap', g, 'found', m)),
         named_struct('at', {offset}, 'spans', CAST(array() AS {FOUND})),
         (a, x) -> named_struct(
             'at', a.at + {length},
-            'spans', concat(a.spans, array(named_struct(
-                'start', a.at + length(x.gap), 'stop', a.at + {length}, 'found', x.found)))),
+            'spans', IF(length(x.found) < {shortest}, a.spans, concat(a.spans, array({span})))),
         a -> a.spans)"""
 
 
@@ -142,7 +145,7 @@ def find_spans(docs: DataFrame, text: str = "text", into: str = "spans") -> Data
         none = "CAST(array() AS array<string>)"
         proposed.append(f"IF({present}, regexp_extract_all({source}, {literal(pattern)}, 0), {none}) AS __found_{kind}")
         proposed.append(f"IF({present}, split({source}, {literal(pattern)}, -1), {none}) AS __gaps_{kind}")
-    located = [f"{_located(f'__gaps_{k}', f'__found_{k}')} AS __all_{k}" for k in KINDS]
+    located = [f"{_located(f'__gaps_{k}', f'__found_{k}', shortest=SHORTEST.get(k, 0))} AS __all_{k}" for k in KINDS]
     checked = [f"filter(__all_{k}, x -> {VALID[k]}) AS __ok_{k}" for k in KINDS]
     for kind, pattern in INNER.items():
         parts = _located(
