@@ -63,20 +63,34 @@ MIN_SCORE = 0.5
 
 FOUND = "array<struct<start:int,stop:int,found:string>>"
 SPANS = "array<struct<kind:string,start:int,stop:int,base:boolean,score:double>>"
+BLOCK = 256
+PIECE = 1024
 BASE = ("email", "ip", "card", "phone")
 
 
+def _blocks(rows: str) -> str:
+    """An array in slices; arrays grow by copying, so only short ones are built element by element."""
+    return f"transform(sequence(0, (size({rows}) - 1) div {BLOCK}), k -> slice({rows}, CAST(k * {BLOCK} AS INT) + 1, {BLOCK}))"
+
+
 def _located(gaps: str, found: str, offset: str = "0", shortest: int = 0) -> str:
-    """Matches of at least ``shortest`` characters with their offsets, from the text between matches and the matches."""
+    """Matches of at least ``shortest`` characters with their offsets, from the text between matches and the matches.
+
+    First the place where each block of matches begins, then those within it.
+    """
     length = "length(x.gap) + length(x.found)"
-    span = f"named_struct('start', a.at + length(x.gap), 'stop', a.at + {length}, 'found', x.found)"
-    return f"""aggregate(
-        zip_with(slice({gaps}, 1, size({found})), {found}, (g, m) -> named_struct('gap', g, 'found', m)),
-        named_struct('at', {offset}, 'spans', CAST(array() AS {FOUND})),
-        (a, x) -> named_struct(
-            'at', a.at + {length},
-            'spans', IF(length(x.found) < {shortest}, a.spans, concat(a.spans, array({span})))),
+    span = f"named_struct('start', at + length(x.gap), 'stop', at + {length}, 'found', x.found)"
+    within = f"""aggregate(b, named_struct('at', s, 'spans', CAST(array() AS {FOUND})),
+        (a, x) -> named_struct('at', a.at + {length}, 'spans', IF(length(x.found) < {shortest}, a.spans,
+            concat(a.spans, transform(array(a.at), at -> {span})))),
         a -> a.spans)"""
+    begins = f"""aggregate({{blocks}}, named_struct('at', {offset}, 'all', CAST(array() AS array<int>)),
+        (a, b) -> named_struct('at', aggregate(b, a.at, (n, x) -> n + {length}), 'all', concat(a.all, array(a.at))),
+        a -> a.all)"""
+    zipped = f"zip_with(slice({gaps}, 1, size({found})), {found}, (g, m) -> named_struct('gap', g, 'found', m))"
+    # Arrays of one element, so that each is made once.
+    blocks = f"transform(array({zipped}), z -> {_blocks('z')})"
+    return f"flatten(transform({blocks}, blocks -> flatten(zip_with(blocks, {begins.format(blocks='blocks')}, (b, s) -> {within}))))"
 
 
 def _digits(found: str) -> str:
@@ -113,11 +127,22 @@ VALID = {
 }
 
 
-def _scored(kind: str, spans: str, base: bool, text: str) -> str:
+def _pieces(text: str) -> str:
+    """A text in pieces of equal length, so that no place in it is sought from its start."""
+    return f"regexp_extract_all({text}, '(?s).{{1,{PIECE}}}', 0)"
+
+
+def _cut(start: str, stop: str) -> str:
+    """The part of the text in ``__pieces`` between two places."""
+    first, last = f"CAST(({start}) div {PIECE} AS INT)", f"CAST(({stop}) div {PIECE} AS INT)"
+    return f"substring(array_join(slice(__pieces, {first} + 1, {last} - {first} + 1), ''), ({start}) % {PIECE} + 1, ({stop}) - ({start}))"
+
+
+def _scored(kind: str, spans: str, base: bool) -> str:
     """Spans with a score from their kind and the words around them."""
     start, more, less = SCORES[kind]
-    before = f"lower(substring({text}, greatest(x.start - {CONTEXT_CHARS - 1}, 1), least(x.start, {CONTEXT_CHARS})))"
-    after = f"lower(substring({text}, x.stop + 1, {CONTEXT_CHARS}))"
+    before = f"lower({_cut('greatest(x.start - {0}, 0)'.format(CONTEXT_CHARS), 'x.start')})"
+    after = f"lower({_cut('x.stop', f'x.stop + {CONTEXT_CHARS}')})"
     near = "IF({} RLIKE '(?:^|[^a-z])(?:{})(?:[^a-z]|$)', {}D, 0D)"
     raised = near.format(f"concat({before}, ' ', {after})", more, CONTEXT_STEP)
     score = f"round(least(1D, {start}D + {raised} - {near.format(before, less, CONTEXT_STEP)}), 3)"
@@ -153,11 +178,13 @@ def find_spans(docs: DataFrame, text: str = "text", into: str = "spans") -> Data
         )
         inside = f"flatten(transform(filter(__all_{kind}, x -> NOT ({VALID[kind]})), y -> {parts}))"
         checked.append(f"filter({inside}, x -> {VALID[kind]}) AS __in_{kind}")
+    any_found = " + ".join(f"size(__all_{k})" for k in KINDS)
+    checked.append(f"IF({any_found} > 0, {_pieces(source)}, CAST(array() AS array<string>)) AS __pieces")
     all_spans = []
     for kind in KINDS:
-        own = _scored(kind, f"__ok_{kind}", kind in BASE, source)
+        own = _scored(kind, f"__ok_{kind}", kind in BASE)
         if kind in INNER:
-            own = f"concat({own}, {_scored(kind, f'__in_{kind}', False, source)})"
+            own = f"concat({own}, {_scored(kind, f'__in_{kind}', False)})"
         # The fields after the kind sort by start, which merges the two lists.
         all_spans.append(f"array_sort({own}, (a, b) -> a.start - b.start)" if kind in INNER else own)
     listed = f"filter(concat({', '.join(all_spans)}), x -> x.base OR x.score >= {MIN_SCORE})"
@@ -187,21 +214,24 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     Overlapping spans become one, named after the first. A null text stays null;
     all columns and rows stay, in particular rows without any span.
     """
-    found = find_spans(docs, text, "__spans")
-    merged = """aggregate(
-        array_sort(__spans, (a, b) -> IF(a.start <> b.start, a.start - b.start, b.stop - a.stop)),
-        CAST(array() AS array<struct<kind:string,start:int,stop:int>>),
-        (done, x) -> IF(size(done) > 0 AND x.start < done[size(done) - 1].stop,
-            concat(slice(done, 1, size(done) - 1), array(named_struct(
-                'kind', done[size(done) - 1].kind, 'start', done[size(done) - 1].start,
-                'stop', greatest(done[size(done) - 1].stop, x.stop)))),
-            concat(done, array(named_struct('kind', x.kind, 'start', x.start, 'stop', x.stop)))))"""
     name = quoted(text)
-    pieces = f"""array_join(transform(__merged, (x, i) -> concat(
-        substring({name}, IF(i = 0, 0, __merged[i - 1].stop) + 1, x.start - IF(i = 0, 0, __merged[i - 1].stop)),
-        '<', upper(x.kind), '>')), '')"""
-    tail = f"substring({name}, __merged[size(__merged) - 1].stop + 1)"
-    cleaned = f"IF(size(__merged) = 0, {name}, concat({pieces}, {tail})) AS {name}"
     columns = [quoted(c) for c in docs.columns]
-    merged_rows = found.selectExpr(*columns, f"{merged} AS __merged")
-    return computed_once(merged_rows.selectExpr(*(cleaned if c == name else c for c in columns)), text)
+    found = find_spans(docs, text, "__spans")
+    ordered = "array_sort(__spans, (a, b) -> IF(a.start <> b.start, a.start - b.start, b.stop - a.stop))"
+    blocks = found.selectExpr(
+        *columns,
+        "array_max(__spans.stop) AS __end",
+        f"transform(array({ordered}), z -> {_blocks('z')})[0] AS __blocks",
+        f"IF(size(__spans) > 0, {_pieces(name)}, NULL) AS __pieces",
+    )
+    # How far the spans before each block reach; a span that begins earlier is part of one of them.
+    reached = """aggregate(__blocks, named_struct('stop', 0, 'all', CAST(array() AS array<int>)),
+        (a, b) -> named_struct('stop', greatest(a.stop, array_max(b.stop)), 'all', concat(a.all, array(a.stop))), a -> a.all)"""
+    firsts = """aggregate(b, named_struct('stop', s, 'all', CAST(array() AS array<struct<since:int,start:int,kind:string>>)),
+        (a, x) -> named_struct('stop', greatest(a.stop, x.stop), 'all', IF(x.start < a.stop, a.all,
+            concat(a.all, array(named_struct('since', a.stop, 'start', x.start, 'kind', x.kind))))),
+        a -> a.all)"""
+    named = blocks.selectExpr(*columns, "__end", "__pieces", f"flatten(zip_with(__blocks, {reached}, (b, s) -> {firsts})) AS __firsts")
+    parts = f"array_join(transform(__firsts, x -> concat({_cut('x.since', 'x.start')}, '<', upper(x.kind), '>')), '')"
+    cleaned = f"IF(__pieces IS NULL, {name}, concat({parts}, {_cut('__end', f'length({name})')})) AS {name}"
+    return computed_once(named.selectExpr(*(cleaned if c == name else c for c in columns)), text)

@@ -83,3 +83,17 @@ def test_redaction(spark):
     assert got == ["mail <EMAIL> now", None, "", "mail <EMAIL> now", "clean", "call <PHONE> <CARD>"]
     assert redact(docs.limit(0)).count() == 0
     assert out.where("text LIKE '%<EMAIL>%'").count() == 2
+
+
+def test_many_spans_in_one_text(spark):
+    # More spans than a block and a text longer than its pieces, with spans across both borders.
+    parts = [f"é{'x' * (i % 90)} {i}@b.de 12-34 +49 30 12345{i:04d}" for i in range(700)]
+    text = "\n".join(parts)
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id bigint, text string")
+    found = {r.doc_id: r.spans for r in find_spans(docs).collect()}
+    emails = [(m.start(), m.end()) for m in re.finditer(r"[0-9]+@b\.de", text)]
+    assert [(s.start, s.stop) for s in found[1] if s.kind == "email"] == emails
+    assert found[2] == found[3] == []
+    redacted = {r.doc_id: r.text for r in redact(docs).collect()}
+    assert redacted[1] == re.sub(r"\+49 30 [0-9]+", "<PHONE>", re.sub(r"[0-9]+@b\.de", "<EMAIL>", text))
+    assert (redacted[2], redacted[3]) == (None, "")
