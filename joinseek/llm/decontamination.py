@@ -129,9 +129,16 @@ def _windows(docs: DataFrame, items: DataFrame, params: DecontaminationParams, t
 
 
 def _weighted_jaccard(left: str, right: str) -> str:
-    """Shared over all occurrences of shingles."""
-    least = f"least(size(filter({left}, y -> y = x)), size(filter({right}, y -> y = x)))"
-    shared = f"aggregate(array_distinct({left}), 0, (sum, x) -> sum + {least})"
+    """Shared over all occurrences of shingles.
+
+    What both hold is counted once by an intersection; only second and later
+    occurrences are compared one by one.
+    """
+    again = "transform(array(sort_array({})), s -> filter(s, (x, i) -> x = get(s, i + 1)))[0]"
+    later = f"named_struct('l', {again.format(left)}, 'r', {again.format(right)})"
+    least = "least(size(filter(e.l, y -> y = x)), size(filter(e.r, y -> y = x)))"
+    more = f"aggregate(array_distinct(e.l), 0, (sum, x) -> sum + {least})"
+    shared = f"transform(array({later}), e -> size(array_intersect({left}, {right})) + {more})[0]"
     return f"transform(array({shared}), s -> s / (size({left}) + size({right}) - s))[0]"
 
 
