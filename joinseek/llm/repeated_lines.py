@@ -18,10 +18,13 @@ BLANK = " \t\n\x0b\x0c\r"
 
 @dataclass(frozen=True)
 class LineParams:
-    """Units are split at ``separator``; those of fewer words than ``min_words`` always stay."""
+    """Units are split at ``separator``; those of fewer words than ``min_words`` always stay.
+
+    With one word as the least, only blank units always stay.
+    """
 
     separator: str = "\n"
-    min_words: int = 10
+    min_words: int = 1
 
 
 def _units(docs: DataFrame, params: LineParams, text: str, key: str) -> DataFrame:

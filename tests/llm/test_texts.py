@@ -245,3 +245,10 @@ def test_repeated_rows_of_a_document(spark):
     # Nulls rank first.
     assert got == [(0, line), (1, "x"), (1, "x"), (1, "y"), (2, "")]
     assert repeated_lines.without_repeats(docs.limit(0)).count() == 0
+
+
+def test_short_lines_are_cut(spark):
+    rows = [(1, "Subscribe now\n\nles.\nfirst"), (2, "second\n subscribe  NOW\n\nles."), (3, "third\n\n\nles.\nles.")]
+    got = repeated_lines.without_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    # Lines without a word always stay.
+    assert sorted((r.doc_id, r.text) for r in got) == [(1, rows[0][1]), (2, "second\n"), (3, "third\n\n")]
