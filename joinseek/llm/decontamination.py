@@ -41,6 +41,11 @@ class DecontaminationParams:
     broadcast_rows: int = 1_000_000
 
 
+def _digest(df: DataFrame, text: str):
+    """128 bits of the whole text, which tell rows apart that share a key."""
+    return F.unhex(F.md5(F.coalesce(df[quoted(text)], F.lit(""))))
+
+
 def _lower_words(df: DataFrame, text: str):
     return words(F.lower(F.col(quoted(text))))
 
@@ -91,7 +96,7 @@ def item_table(benchmark: DataFrame, params: DecontaminationParams, text: str, k
 
 
 def _windows(docs: DataFrame, items: DataFrame, params: DecontaminationParams, text: str, key: str) -> DataFrame:
-    """(doc, start, length, n, window) of every window that shares a shingle with an item of its length."""
+    """(doc, body, start, length, n, window) of every window that shares a shingle with an item of its length."""
     anchors = items.selectExpr("length", "n", "posexplode(shingles) AS (at, shingle)")
     anchors = kept_table(anchors.selectExpr("n", "xxhash64(shingle) AS h", "at", "length").distinct(), "anchors")
     rows = anchors.count()
@@ -99,31 +104,31 @@ def _windows(docs: DataFrame, items: DataFrame, params: DecontaminationParams, t
     if not sizes:
         sizes = [params.shingle]
     passes = max(1, ceil(rows / params.broadcast_rows))
-    split = docs.select(F.col(quoted(key)).alias("doc"), _lower_words(docs, text).alias("w"))
-    places = split.selectExpr("doc", "w", "posexplode(w) AS (p, first)")
+    split = docs.select(F.col(quoted(key)).alias("doc"), _digest(docs, text).alias("body"), _lower_words(docs, text).alias("w"))
+    places = split.selectExpr("doc", "body", "w", "posexplode(w) AS (p, first)")
     found = []
     for n in sizes:
         parts = "".join(f", ' ', get(w, p + {k})" for k in range(1, n))
-        hashed = places.where(f"p + {n} <= size(w)").selectExpr("doc", "w", "p", f"xxhash64(concat(first{parts})) AS h")
+        hashed = places.where(f"p + {n} <= size(w)").selectExpr("doc", "body", "w", "p", f"xxhash64(concat(first{parts})) AS h")
         for k in range(passes):
             # At most params.broadcast_rows rows of three numbers, by the count above.
             mine = F.broadcast(anchors.where(f"n = {n} AND pmod(h, {passes}) = {k}").select("h", "at", "length"))
-            found.append(hashed.join(mine, "h").selectExpr("doc", "w", "p - at AS start", "length", f"{n} AS n"))
+            found.append(hashed.join(mine, "h").selectExpr("doc", "body", "w", "p - at AS start", "length", f"{n} AS n"))
     near = reduce(DataFrame.unionAll, found).selectExpr(
-        "doc", "start", "length", "n", "greatest(start - length, 0) AS low",
+        "doc", "body", "start", "length", "n", "greatest(start - length, 0) AS low",
         "slice(w, greatest(start - length, 0) + 1, greatest(start, 0) + length - greatest(start - length, 0)) AS around",
     )
-    near = near.groupBy("doc", "start", "length", "n", "low").agg(F.first("around").alias("around"))
+    near = near.groupBy("doc", "body", "start", "length", "n", "low").agg(F.first("around").alias("around"))
     # Words added to or missing from a passage move its shingles apart; the best
     # window may begin between two such starts.
-    previous = "lag(start) OVER (PARTITION BY doc, length ORDER BY start)"
+    previous = "lag(start) OVER (PARTITION BY doc, body, length ORDER BY start)"
     filled = near.selectExpr("*", f"coalesce({previous}, start - length - 1) AS previous")
     filled = filled.selectExpr(
-        "doc", "length", "n", "low", "around",
+        "doc", "body", "length", "n", "low", "around",
         "explode(IF(start - previous <= length, sequence(least(previous + 1, start), start), array(start))) AS start",
     )
     return filled.selectExpr(
-        "doc", "greatest(start, 0) AS start", "length", "n",
+        "doc", "body", "greatest(start, 0) AS start", "length", "n",
         "slice(around, greatest(start, 0) - low + 1, length) AS window",
     ).where("size(window) >= n")
 
@@ -142,26 +147,12 @@ def _weighted_jaccard(left: str, right: str) -> str:
     return f"transform(array({shared}), s -> s / (size({left}) + size({right}) - s))[0]"
 
 
-def contaminated(
-    docs: DataFrame,
-    benchmark: DataFrame,
-    params: DecontaminationParams | None = None,
-    text: str = "text",
-    key: str = "doc_id",
-    item_key: str = "item_id",
-) -> DataFrame:
-    """The best window per document and item: (doc_id, item_id, start_word, n_words, hamming, similarity).
-
-    Words are lower-cased runs of characters other than white space. Null and
-    empty texts on either side match nothing, equal rows count as one document,
-    ties go to the earliest window. The key columns keep their names; no other
-    column of the inputs is read.
-    """
-    params = params or DecontaminationParams()
+def _best(docs: DataFrame, benchmark: DataFrame, params: DecontaminationParams, text: str, key: str, item_key: str) -> DataFrame:
+    """(doc, body, item, b) with the best window of every document and item in ``b``."""
     items = kept_table(item_table(benchmark, params, "text", item_key), "items")
     windows = _windows(docs, items, params, text, key)
-    windows = windows.selectExpr("doc", "start", "length", f"{_shingles('window', 'n')} AS shingles")
-    windows = windows.selectExpr("doc", "start", "length", "shingles", f"{_fingerprint('shingles')} AS fingerprint")
+    windows = windows.selectExpr("doc", "body", "start", "length", f"{_shingles('window', 'n')} AS shingles")
+    windows = windows.selectExpr("doc", "body", "start", "length", "shingles", f"{_fingerprint('shingles')} AS fingerprint")
     windows = kept_table(windows, "windows")
 
     # Equal windows look up their fingerprint once, however many documents hold them.
@@ -173,13 +164,32 @@ def contaminated(
     pairs = kept_table(pairs.where(f"hamming <= {RADIUS}").distinct(), "pairs")
 
     near = F.expr("p.length = w.length AND p.own = w.fingerprint")
-    texts = windows.alias("w").join(pairs.alias("p"), near).selectExpr("w.doc", "w.start", "p.*", "w.shingles AS left_shingles")
+    texts = windows.alias("w").join(pairs.alias("p"), near).selectExpr("w.doc", "w.body", "w.start", "p.*", "w.shingles AS left_shingles")
     texts = texts.alias("t").join(items.alias("i"), F.expr("t.item <=> i.item AND t.length = i.length"))
     scored = texts.selectExpr("t.*", f"{_weighted_jaccard('left_shingles', 'i.shingles')} AS similarity")
     scored = scored.where(f"similarity >= {params.min_similarity}D")
-    best = scored.groupBy("doc", "item").agg(
+    return scored.groupBy("doc", "body", "item").agg(
         F.max(F.expr("named_struct('s', similarity, 'n', -start, 'h', -hamming, 'l', length)")).alias("b")
     )
+
+
+def contaminated(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    params: DecontaminationParams | None = None,
+    text: str = "text",
+    key: str = "doc_id",
+    item_key: str = "item_id",
+) -> DataFrame:
+    """The best window per document and item: (doc_id, item_id, start_word, n_words, hamming, similarity).
+
+    Words are lower-cased runs of characters other than white space. Null and
+    empty texts on either side match nothing. Rows that agree in key and text count
+    as one document; rows that share a key, or have none, and differ in text are
+    documents of their own, with a row each. Ties go to the earliest window. The key
+    columns keep their names; no other column of the inputs is read.
+    """
+    best = _best(docs, benchmark, params or DecontaminationParams(), text, key, item_key)
     return best.selectExpr(
         f"doc AS {quoted(key)}", f"item AS {quoted(item_key)}", "-b.n AS start_word", "b.l AS n_words",
         "-b.h AS hamming", "round(b.s, 6) AS similarity",
@@ -187,7 +197,11 @@ def contaminated(
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, params: DecontaminationParams | None = None) -> DataFrame:
-    """``docs`` without those that hold a passage of the benchmark; all columns stay."""
-    found = contaminated(docs, benchmark, params).select(F.col("doc_id").alias("__doc")).distinct()
-    dirty = kept_table(found, "contaminated")
-    return docs.join(dirty, docs["doc_id"].eqNullSafe(dirty["__doc"]), "left_anti")
+    """``docs`` without those that hold a passage of the benchmark; all columns stay.
+
+    Rows that share a key are judged each by its own text.
+    """
+    best = _best(docs, benchmark, params or DecontaminationParams(), "text", "doc_id", "item_id")
+    dirty = kept_table(best.selectExpr("doc AS __doc", "body AS __body").distinct(), "contaminated")
+    same = docs["doc_id"].eqNullSafe(dirty["__doc"]) & (_digest(docs, "text") == dirty["__body"])
+    return docs.join(dirty, same, "left_anti")

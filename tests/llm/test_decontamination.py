@@ -103,3 +103,15 @@ def test_odd_rows(spark, tables):
     assert contaminated(documents.limit(0), benchmark).count() == 0
     nothing = spark.createDataFrame([(1, None), (2, " ")], "item_id bigint, text string")
     assert clean_documents(documents, nothing).count() == documents.count()
+
+
+def test_rows_that_share_a_key(spark, tables):
+    _, _, benchmark = tables
+    item, clean = " ".join(ITEMS[3]), " ".join(sentence(90))
+    near = " ".join(ITEMS[3][:6] + sentence(60))  # shares shingles with the item at the same start
+    rows = [(None, " ".join(ITEMS[0])), (None, clean), (None, None), (8, item), (8, near), (9, near), (9, item)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    found = contaminated(docs, benchmark).collect()
+    assert sorted((r.doc_id or -1, r.item_id, r.similarity) for r in found) == [(-1, 0, 1.0), (8, 3, 1.0), (9, 3, 1.0)]
+    left = {(r.doc_id, r.text) for r in clean_documents(docs, benchmark).collect()}
+    assert left == {(None, clean), (None, None), (8, near), (9, near)}
