@@ -32,6 +32,12 @@ OUTSIDE_WORDS = frozenset(
     "notice notification overlay pagination pager popup privacy promo promoted promotion recommended related replies reply respond "
     "search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar warning widget widgets".split()
 )
+#: A name that holds one of these says what its element has, not what it is.
+MODIFIER_WORDS = frozenset("has no with without".split())
+#: Words that say nothing about what an element is.
+NEUTRAL_WORDS = frozenset("area block body box container content inner items list main outer section wrap wrapper".split())
+#: Degrees to which an element may be outside. One that is doubted goes unless it turns out to hold the article.
+INSIDE, WRAPPER, NAMED, NEVER = range(4)
 #: Start tags that end an open element of the same kind.
 CLOSES = {
     "li": {"li"},
@@ -76,6 +82,10 @@ class _Node:
     tag: str
     parent: int
     outside: bool
+    doubt: int = 0
+    named: bool = False
+    unlinked: int = 0
+    holds_article: bool = False
     score: float = 0.0
     chars: int = 0
     linked: int = 0
@@ -84,25 +94,105 @@ class _Node:
     blocks: list[int] = field(default_factory=list)
 
 
-def _is_outside(tag: str, attributes: str, in_article: bool) -> bool:
-    if tag in OUTSIDE_TAGS or (tag == "header" and not in_article):
-        return True
+def _name_doubt(value: str) -> int:
+    """How far the names in a class, id or role mark what is not part of an article."""
+    doubt = INSIDE
+    for name in value.split():
+        found = {word.lower() for word in SPLIT_NAME.split(name) if word}
+        if found & OUTSIDE_WORDS and not found & MODIFIER_WORDS:
+            doubt = max(doubt, NAMED if found <= OUTSIDE_WORDS | NEUTRAL_WORDS else WRAPPER)
+    return doubt
+
+
+def _doubt(tag: str, attributes: str, in_article: bool) -> int:
+    """NEVER for what is no part of an article whatever it holds.
+
+    WRAPPER for forms and elements of which one word of a name says so, NAMED for
+    elements whose whole name does.
+    """
+    if tag not in ("form", "fieldset") and tag in OUTSIDE_TAGS or (tag == "header" and not in_article):
+        return NEVER
+    doubt = WRAPPER if tag in ("form", "fieldset") else INSIDE
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return doubt
     for attribute, quoted_twice, quoted_once, bare in ATTRIBUTE.findall(attributes):
         attribute, value = attribute.lower(), quoted_twice or quoted_once or bare
         if attribute == "hidden" and value.lower() not in ("false", "until-found"):
-            return True
+            return NEVER
         if attribute == "aria-hidden" and value.lower() == "true":
-            return True
+            return NEVER
         if attribute == "style" and NO_DISPLAY.search(value):
-            return True
+            return NEVER
         if attribute in ("class", "id", "role"):
             if "hidden" in value.lower().split():
-                return True
-            if any(name.lower() in OUTSIDE_WORDS for name in SPLIT_NAME.split(value)):
-                return True
-    return False
+                return NEVER
+            doubt = max(doubt, _name_doubt(value))
+    return doubt
+
+
+def _settle(nodes: list[_Node], blocks: list[tuple[int, str, int, int]], params: ExtractParams) -> None:
+    """Decide which doubted elements are outside.
+
+    An element with a doubtful name, or a form, stays if it holds an article or
+    most of the page's unlinked text. One whose whole name marks it stays only if
+    the page has no article or paragraph beside such elements.
+    """
+    if not any(n.doubt in (WRAPPER, NAMED) for n in nodes):
+        return
+    for node in nodes[1:]:
+        node.outside = node.doubt == NEVER or nodes[node.parent].outside
+    total = 0
+    for owner, text, linked, _ in blocks:
+        if nodes[owner].outside:
+            continue
+        total += len(text) - linked
+        # An article's text: a teaser without text holds no article.
+        found = False
+        while owner >= 0:
+            nodes[owner].unlinked += len(text) - linked
+            nodes[owner].holds_article |= found
+            found = found or (nodes[owner].tag in ("article", "main") and not nodes[owner].named)
+            owner = nodes[owner].parent
+
+    def spread(spare: int) -> None:
+        """Mark what is outside if elements up to the degree ``spare`` may stay."""
+        marked = [False] * len(nodes)  # below an article or main that stays
+        in_article = [False] * len(nodes)
+        for k, node in enumerate(nodes):
+            if k == 0:
+                continue
+            up = node.parent
+            node.outside = nodes[up].outside or node.doubt == NEVER
+            if not node.outside and node.doubt:
+                holds = node.holds_article and not in_article[up]
+                most = 2 * node.unlinked > total and (marked[up] or not beside)
+                node.outside = node.doubt > spare or not (holds or most)
+            marked[k] = marked[up] or node.tag in ("article", "main")
+            in_article[k] = in_article[up] or node.tag == "article"
+
+    def stands() -> tuple[bool, bool]:
+        """Whether an article or main with text stays, and whether any paragraph does."""
+        article = paragraph = False
+        for owner, text, linked, _ in blocks:
+            if not nodes[owner].outside:
+                paragraph |= len(text) >= params.min_chars and 2 * linked < len(text)
+                up = owner
+                while up >= 0 and not article:
+                    article = nodes[up].tag in ("article", "main")
+                    up = nodes[up].parent
+        return article, paragraph
+
+    beside = True
+    spread(INSIDE)
+    beside, _ = stands()
+    spread(WRAPPER)
+    article, paragraph = stands()
+    if not article and not paragraph:
+        beside = False
+        spread(NAMED)
+    elif not article and any(n.doubt == NAMED and n.holds_article for n in nodes):
+        beside = True
+        spread(NAMED)
 
 
 def parse(html: str) -> tuple[list[_Node], list[tuple[int, str, int, int]]]:
@@ -202,8 +292,11 @@ def parse(html: str) -> tuple[list[_Node], list[tuple[int, str, int, int]]]:
         if tag == "a":
             links += 1
         parent = stack[-1]
-        outside = nodes[parent].outside or _is_outside(tag, attributes, articles > 0)
-        nodes.append(_Node(tag, parent, outside))
+        doubt = _doubt(tag, attributes, articles > 0)
+        nodes.append(_Node(tag, parent, nodes[parent].outside or doubt == NEVER, doubt))
+        if tag in ("article", "main") and attributes:
+            named = (x or y or z for name, x, y, z in ATTRIBUTE.findall(attributes) if name.lower() in ("class", "id"))
+            nodes[-1].named = any(_name_doubt(value) for value in named)
         stack.append(len(nodes) - 1)
         in_link += tag == "a"
         articles += tag in ("article", "main")
@@ -216,6 +309,7 @@ def main_text(html: str, params: ExtractParams | None = None) -> str:
     """The blocks of the best container and its siblings, one per line; empty if none."""
     params = params or ExtractParams()
     nodes, blocks = parse(html)
+    _settle(nodes, blocks, params)
     for number, (owner, text, linked, links) in enumerate(blocks):
         if nodes[owner].outside:
             continue
@@ -271,12 +365,15 @@ def main_text(html: str, params: ExtractParams | None = None) -> str:
         ):
             chosen.add(k)
 
+    whole = nodes[best].tag in ("article", "main")
+
     def inside(owner: int) -> bool:
         while owner >= 0:
             if owner in chosen:
                 return True
             node = nodes[owner]
-            if node.tag in ("ul", "ol", "div", "section", "table") and node.links >= 3 and node.linked > params.max_link_density * node.chars:
+            # What a page calls its article keeps its lists of links.
+            if not whole and node.tag in ("ul", "ol", "div", "section", "table") and node.links >= 3 and node.linked > params.max_link_density * node.chars:
                 return False
             owner = node.parent
         return False

@@ -42,6 +42,34 @@ def test_main_text(article, want):
     assert html_text.main_text(page(article)) == want
 
 
+BODY = f"<p>{LONG}</p>" * 8
+LINKS = "<ul><li><a>First source</a><li><a>Second source</a><li><a>Third source</a></ul>"
+SOURCES = "First source\nSecond source\nThird source"
+#: Elements that a word of their name or a form marks, and what is kept of them.
+WRAPPED = [
+    *((f"<div class='{c}'><article>{BODY}</article></div>", 8) for c in ("has-sidebar", "no-comments", "with-menu", "page-widget", "sidebar")),
+    *((f"<div class='{c}'>{BODY}</div>", 8) for c in ("has-sidebar", "no-comments", "with-menu", "page-widget")),
+    (f"<form id='aspnetForm'><div><article>{BODY}</article><div class='comments'><p>{LONG}</p></div></div></form>", 8),
+    (f"<form id='aspnetForm'><div>{BODY}</div></form>", 8),
+    (f"<article><h1></h1><form>{BODY}</form></article>", 8),
+    (f"<main><article><p>{LONG}</p><div class='comment-list'><article class='comment'>{BODY}</article></div></article></main>", 1),
+    (f"<article>{BODY}</article><div class='related-posts'><article><p>{LONG}</p></article></div>", 8),
+    (f"<div><p>{LONG}</p><p>{LONG}</p></div><div class='comments-area'>{BODY}</div>", 2),
+    (f"<article><p>{LONG}</p></article><div class='user-comments'>{BODY}</div>", 1),
+]
+
+
+@pytest.mark.parametrize(("article", "lines"), WRAPPED)
+def test_a_name_or_form_discards_no_article(article, lines):
+    assert html_text.main_text(page(article)) == "\n".join([LONG.strip()] * lines)
+
+
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_link_lists_of_an_article_stay(tag):
+    inside = f"<p>{LONG}</p><h2>Sources</h2>{LINKS}<div class='related'>{LINKS}</div><nav>{LINKS}</nav>"
+    assert html_text.main_text(page(f"<{tag}>{inside}</{tag}>")) == f"{LONG.strip()}\nSources\n{SOURCES}"
+
+
 @pytest.mark.parametrize("html", ["", "<", "<p", "</p></div>", "<script>x", "<!-- x", "plain", "<a <b> <c", "<div" * 3000 + ">", '<p a="' * 2000])
 def test_broken_pages_do_not_fail(html):
     assert isinstance(html_text.main_text(html), str)
