@@ -69,7 +69,10 @@ def leaf_budgets(leaves: DataFrame, params: MixParams) -> DataFrame:
     The tree has as many nodes as the corpus has sources; every level is a
     window over the children of one parent.
     """
-    leaves = leaves.selectExpr(*LEVELS, "tokens", f"CAST(tokens * {params.max_epochs} AS DOUBLE) AS capacity")
+    # What a weight of 0 keeps from being used is no capacity of the nodes above.
+    usable = " AND ".join(f"{_weight(level, params)} > 0" for level in LEVELS)
+    capacity = f"IF({usable}, CAST(tokens * {params.max_epochs} AS DOUBLE), 0D) AS capacity"
+    leaves = leaves.selectExpr(*LEVELS, "tokens", capacity)
     total = leaves.agg(F.sum("tokens").alias("t")).first().t or 0
     budget = params.budget * total if params.budget < 1 else float(params.budget)
     above = None

@@ -96,3 +96,14 @@ def test_odd_rows(spark):
     # A leaf without a word has no budget to take anything with.
     assert sorted((r.doc_id, r.n_taken) for r in out.collect()) == [(1, 0), (2, 2), (2, 2), (3, 5000)]
     assert selection(docs.limit(0), params).count() == 0
+
+
+def test_leaves_of_weight_0_are_no_capacity(spark):
+    rows = [("a", "en", "s", 10), ("a", "de", "s", 1000), ("b", "en", "s", 1000), ("b", "en", "none", 1000), ("c", "de", "s", 1000)]
+    leaves = spark.createDataFrame(rows, "domain string, lang string, source string, tokens bigint")
+    weights = {"lang": {"de": 0.0}, "source": {"none": 0.0}}
+    for budget, last in [(600.0, 590), (5000.0, 1000)]:
+        found = leaf_budgets(leaves, MixParams(weights=weights, budget=budget, max_epochs=1)).collect()
+        got = {(r.domain, r.lang, r.source): r.budget for r in found}
+        want = dict.fromkeys([tuple(r[:3]) for r in rows], 0)
+        assert got == want | {("a", "en", "s"): 10, ("b", "en", "s"): last}
