@@ -118,9 +118,52 @@ def _lines() -> str:
     FROM ranked GROUP BY doc_id"""
 
 
+CRC32 = """xor(list_reduce(list_transform(string_split(CAST({} AS VARCHAR), ''), lambda ch: CAST(ord(ch) AS BIGINT)),
+    lambda crc, b: list_reduce(CAST(range(8) AS BIGINT[]), lambda v, k: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END,
+    xor(crc, b)), CAST(4294967295 AS BIGINT)), 4294967295)"""
+
+TRIE = f"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS place
+    FROM conversations WHERE conv_id IS NOT NULL),
+heads AS (SELECT conv_id, {CRC32.format("conv_id")} % 6 AS h, conv_id - conv_id % 100 AS base FROM (SELECT DISTINCT conv_id FROM t)),
+parts AS (
+    SELECT heads.conv_id, 0 AS part, place, role, text FROM heads JOIN t ON t.conv_id = base AND place < h
+    UNION ALL SELECT conv_id, 1, place, role, text FROM t JOIN heads USING (conv_id) WHERE place >= h),
+turns AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY part, place) AS d FROM parts),
+paths AS (
+    SELECT conv_id, d, length(text) AS chars, string_agg(md5(role) || md5(text), '') OVER (PARTITION BY conv_id ORDER BY d) AS prefix FROM turns
+    UNION ALL SELECT conv_id, 0, 0, '' FROM heads),
+whole AS (SELECT *, d = max(d) OVER (PARTITION BY conv_id) AS ends FROM paths),
+nodes AS (SELECT d, prefix, min(conv_id) AS c, count(*) AS n, max(chars) AS chars,
+        coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '') AS ids
+    FROM whole GROUP BY ALL),
+kids AS (SELECT d - 1 AS d, left(prefix, 64 * (d - 1)) AS prefix, count(*) AS kids FROM nodes WHERE d > 0 GROUP BY ALL),
+own AS (SELECT nodes.*, coalesce(kids, 0) AS kids FROM nodes LEFT JOIN kids USING (d, prefix)),
+below AS (SELECT k AS d, left(prefix, 64 * k) AS prefix, count(*) FILTER (kids = 0) AS leaves, sum((n - 1) * chars) AS saved
+    FROM (SELECT *, unnest(range(d + 1)) AS k FROM own) GROUP BY ALL)
+SELECT own.c AS conv_id, CAST(own.d AS BIGINT) AS depth, up.c AS parent_conv_id, own.n AS n_convs, own.kids AS n_children,
+    leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(own.ids) AS ends_sha256
+FROM own JOIN below USING (d, prefix)
+LEFT JOIN nodes AS up ON up.d = own.d - 1 AND up.prefix = left(own.prefix, 64 * (own.d - 1))
+"""
+
+SHARED_LINES = """
+WITH lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+        generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS place FROM documents),
+keyed AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+held AS (SELECT key, min(doc_id) AS first FROM keyed WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (first <> doc_id) AS n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (first IS NULL OR first = doc_id), '')) AS kept_sha256
+FROM keyed LEFT JOIN held USING (key) GROUP BY doc_id"""
+
+
 ORACLES: dict[str, str] = {
     "op1_mix_sources": _mix(),
     "op2_url_filter": URL_FILTER,
     "op4_warc_archive": _warc(),
     "op10_repeated_lines": _lines(),
+    "op12_conversation_trie": TRIE,
+    "op13_shared_lines": SHARED_LINES,
 }

@@ -8,7 +8,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from joinseek.llm import decontamination, html_text, mixing, near_duplicates, pii, quality, repeated_lines, toxicity, url_filters, warc
+from joinseek.llm import (
+    decontamination,
+    html_text,
+    line_dedup,
+    mixing,
+    near_duplicates,
+    pii,
+    prefix_trie,
+    quality,
+    repeated_lines,
+    structure_repair,
+    toxicity,
+    url_filters,
+    warc,
+)
 from joinseek.session import checkpoint_folder
 
 #: The sources of the test tables have no domain; their numbers stand in for it.
@@ -126,6 +140,19 @@ def cut_repeated_lines(spark: SparkSession, folder: str) -> DataFrame:
     return cut.select("doc_id", "text", F.size("removed").alias("n_removed"), spans.alias("removed"))
 
 
+def repair_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    return structure_repair.repaired_conversations(table(spark, folder, "conversations"))
+
+
+def conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, folder, "conversations"))
+
+
+def drop_shared_lines(spark: SparkSession, folder: str) -> DataFrame:
+    kept = line_dedup.without_repeated_lines(table(spark, folder, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": mix_sources,
     "op2_url_filter": url_filter,
@@ -137,4 +164,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": judge_quality,
     "op9_near_duplicates": find_near_duplicates,
     "op10_repeated_lines": cut_repeated_lines,
+    "op11_conversation_repair": repair_conversations,
+    "op12_conversation_trie": conversation_trie,
+    "op13_shared_lines": drop_shared_lines,
 }

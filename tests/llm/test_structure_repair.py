@@ -1,0 +1,160 @@
+"""Repairs of conversations against the least of all repairs, and damage against its rule."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import pytest
+
+from joinseek.llm.structure_repair import (
+    ASSISTANT,
+    CUT,
+    MUST_GO,
+    NAMES,
+    NEXT,
+    READS,
+    START,
+    Conversation,
+    repaired_conversations,
+    search,
+)
+
+SCHEMA = "conv_id bigint, turn bigint, role string, text string"
+EMPTY = hashlib.sha256(b"").hexdigest()
+
+
+def least(turns):
+    """(cost, audit, repaired turns): the least over all ways to reach each place and state."""
+    best = [{} for _ in range(len(turns) + 1)]
+    best[0][START] = (0, "", ())
+
+    def reach(at, state, way):
+        if state not in best[at] or way[:2] < best[at][state][:2]:
+            best[at][state] = way
+            return True
+        return False
+
+    for at in range(len(turns) + 1):
+        changed = True
+        while changed:
+            changed = False
+            for state, (cost, audit, out) in list(best[at].items()):
+                changed |= reach(at, NEXT[state], (cost + 3, audit + "I", (*out, (NAMES[NEXT[state]], ""))))
+        if at == len(turns):
+            break
+        role, text, fault = turns[at]
+        for state, (cost, audit, out) in best[at].items():
+            reach(at + 1, state, (cost + 4, audit + "D", out))
+            if fault != MUST_GO:
+                stay = 3 if fault == CUT else 0
+                if role[:1] in READS[state]:
+                    reach(at + 1, READS[state][role[:1]], (cost + stay, audit + "K", (*out, (role, text))))
+                reach(at + 1, NEXT[state], (cost + stay + 3, audit + "R", (*out, (NAMES[NEXT[state]], text))))
+    return min(best[-1][q] for q in (START, ASSISTANT) if q in best[-1])
+
+
+def hashed(turns):
+    return hashlib.sha256("\n".join(f"{r}:{t}" for r, t in turns).encode()).hexdigest()
+
+
+@pytest.mark.parametrize("block", [1, 2, 5, 100])
+def test_search_finds_the_first_of_the_cheapest(block):
+    rnd = random.Random(block)
+    roles = ["user", "assistant", "user", "assistant", "system", "tool", " "]
+    for _ in range(400):
+        turns = [(rnd.choice(roles), str(k), rnd.choice([0, 0, 0, 1, 1, 2])) for k in range(rnd.randrange(13))]
+        conversation = Conversation(block)
+        for role, text, fault in turns:
+            conversation.add(None, role, text, fault, 0)
+        cost, audit, out = least(turns)
+        assert conversation.result()[5:] == (cost, audit, hashed(out))
+
+
+def test_known_repairs():
+    def edits(roles, faults=None):
+        cost, path = search(list(zip(roles, faults or [0] * len(roles), strict=True)))
+        return cost, "".join(e for e, _ in path)
+
+    assert edits("") == (0, "")
+    assert edits("sua") == (0, "KKK")
+    assert edits("s") == (4, "D")
+    assert edits("u") == (3, "KI")
+    assert edits("uua") == (3, "KIKK")
+    assert edits("ua", [CUT, 0]) == (3, "KK")
+    assert edits("ua", [MUST_GO, 0]) == (7, "DIK")
+    assert edits("x" * 6) == (18, "RRRRRR")
+
+
+def test_long_conversation():
+    rnd = random.Random(3)
+    turns = [("us"[k % 9 == 3] if k % 2 == 0 else "a", rnd.choice([0, 0, 0, 1, 2])) for k in range(1500)]
+    cost, path = search(turns)
+    want = least([(r, "", f) for r, f in turns])
+    assert (cost, "".join(e for e, _ in path)) == want[:2]
+
+
+def whole(rows):
+    """Everything the query returns, from the rule as it is written."""
+    convs = {}
+    for conv, turn, role, text in rows:
+        blank = lambda v: " " if v is None else str(v)
+        drawn = zlib.crc32(f"{blank(conv)}:{blank(turn)}".encode()) % 20
+        role, text = blank(role), blank(text)
+        text = "" if drawn == 1 else re.sub("[.!?]", "", text) if drawn == 2 else text
+        mine = convs.setdefault(conv, [])
+        mine += [(turn, "user" if drawn == 4 else role, text)] * (0 if drawn == 0 else 2 if drawn == 3 else 1)
+    found = []
+    for conv, turns in convs.items():
+        turns.sort(key=lambda t: (t[0] is not None, t[0] or 0, t[1], t[2]))
+        seen, faults, marked = set(), [0, 0, 0], []
+        for _, role, text in turns:
+            shown = text.strip(" \t\n\x0b\x0c\r")
+            kind = 1 if not shown else 2 if (role, text) in seen else 3 if shown[-1] not in ".!?" else 0
+            seen.add((role, text))
+            if kind:
+                faults[kind - 1] += 1
+            marked.append((role, text, (0, MUST_GO, MUST_GO, CUT)[kind]))
+        numbers = [t for t, _, _ in turns if t is not None]
+        gaps = max(numbers) - min(numbers) + 1 - len(set(numbers)) if numbers else 0
+        pairs = [a[1][:1] + b[1][:1] for a, b in zip(turns, turns[1:], strict=False)]
+        cost, audit, out = least(marked)
+        found.append((conv, gaps, *faults, sum(p not in ("su", "ua", "au") for p in pairs), cost, audit, hashed(out)))
+    return sorted(found, key=repr)
+
+
+def check(spark, rows, block=1024):
+    found = repaired_conversations(spark.createDataFrame(rows, SCHEMA), block)
+    assert found.columns == ["conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"]
+    assert sorted((tuple(r) for r in found.collect()), key=repr) == whole(rows)
+
+
+def test_random_tables(spark):
+    rnd = random.Random(11)
+    texts = ["A sentence.", "Cut off", "Why? ", "", " \t", "A sentence.", None, "No! \x0b", "ü😀."]
+    rows = [
+        (conv, None if conv is not None and conv % 5 == 0 and turn == 2 else turn, rnd.choice(["user", "assistant", "system", None, "tool"]), rnd.choice(texts))
+        for conv in [None, *range(60)]
+        for turn in range(rnd.randrange(1, 10))
+    ]
+    rnd.shuffle(rows)
+    check(spark, rows)
+    check(spark, rows, block=2)
+
+
+def test_odd_rows(spark):
+    gone = next(k for k in range(1000) if zlib.crc32(f"{k}:0".encode()) % 20 == 0)
+    rows = [
+        (gone, 0, "user", "dropped."), (None, None, None, None), (5000, 0, "user", "x" * 400_000 + "."), (5000, 1, "assistant", "x" * 400_000),
+        (5001, 0, "user", "same."), (5001, 0, "user", "same."), (5001, 3, "user", "same."), (5002, None, "assistant", "a."), (5002, None, "user", "b."),
+    ]
+    check(spark, rows)
+    found = {r.conv_id: tuple(r)[1:] for r in repaired_conversations(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert found[gone] == (0, 0, 0, 0, 0, 0, "", EMPTY)
+
+
+def test_empty_table_and_other_columns(spark):
+    assert repaired_conversations(spark.createDataFrame([], SCHEMA)).collect() == []
+    names = ["conv", "gone", "digest", "again", "kind", "copy", "drawn", "a.b"]
+    wide = spark.createDataFrame([(1, 0, "user", "Hi.", *names)], SCHEMA + "".join(f", `{n}` string" for n in names))
+    assert [tuple(r) for r in repaired_conversations(wide).collect()] == whole([(1, 0, "user", "Hi.")])
