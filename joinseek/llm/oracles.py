@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from joinseek.llm.queries import MIX
-from joinseek.llm.repeated_lines import LineParams
 from joinseek.llm.warc import BASE32
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -102,21 +101,36 @@ def _warc() -> str:
     FROM firsts"""
 
 
-def _lines() -> str:
-    return rf"""
-    WITH units AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-            generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS unit FROM documents),
-        normal AS (SELECT *, lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'))) AS form,
-            sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY unit) - length(line) - 1 AS start FROM units),
-        ranked AS (SELECT *, form <> '' AND len(string_split(form, ' ')) >= {LineParams().min_words} AS long,
-            row_number() OVER (PARTITION BY form ORDER BY doc_id, unit) AS r,
-            first_value(doc_id) OVER (PARTITION BY form ORDER BY doc_id, unit) AS kept_in FROM normal)
-    SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY unit) FILTER (NOT (long AND r > 1)), '') AS text,
-        CAST(count(*) FILTER (long AND r > 1) AS INTEGER) AS n_removed,
-        coalesce(string_agg(CAST(start AS BIGINT) || ':' || CAST(start + length(line) AS BIGINT) || ':' || kept_in, ',' ORDER BY unit)
-            FILTER (long AND r > 1), '') AS removed
-    FROM ranked GROUP BY doc_id"""
-
+#: A run of lines and sentences has at least 20 words; see LINES.
+LINES = r"""
+WITH marked AS (SELECT doc_id, replace(regexp_replace(coalesce(text, ''), '([.!?])([\x20\x09-\x0D])', '\1' || chr(1) || '\2', 'g'),
+        chr(10), chr(10) || chr(1)) AS body FROM documents),
+pieces AS (SELECT doc_id, unnest(string_split(body, chr(1))) AS piece, generate_subscripts(string_split(body, chr(1)), 1) AS k FROM marked),
+placed AS (SELECT *, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY k) - length(piece) AS start,
+        trim(regexp_replace(translate(piece, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g')) AS form
+    FROM pieces),
+part AS (SELECT doc_id, start, start + length(piece) AS stop, form, row_number() OVER d AS u,
+        sum(len(string_split(form, ' '))) OVER d AS w, sum(len(string_split(form, ' '))) OVER d - len(string_split(form, ' ')) AS before
+    FROM placed WHERE form <> '' WINDOW d AS (PARTITION BY doc_id ORDER BY k)),
+whole AS (SELECT doc_id, list(form ORDER BY u) AS forms, list(start ORDER BY u) AS starts, list(stop ORDER BY u) AS stops,
+        max(u) AS u, max(w) AS w FROM part GROUP BY doc_id),
+forward AS (SELECT a.doc_id, a.u AS a, b.u AS b FROM part AS a ASOF JOIN part AS b ON a.doc_id = b.doc_id AND a.before + 20 <= b.w),
+back AS (SELECT t.doc_id, coalesce(a.u, 1) AS a, t.u AS b
+    FROM whole AS t ASOF LEFT JOIN part AS a ON t.doc_id = a.doc_id AND t.w - 20 >= a.before),
+run AS (SELECT doc_id, starts[a] AS start, stops[b] AS stop, md5(array_to_string(forms[a:b], ' ')) AS digest
+    FROM (SELECT * FROM forward UNION SELECT * FROM back) JOIN whole USING (doc_id)),
+ranked AS (SELECT *, row_number() OVER e AS r, first_value(doc_id) OVER e AS kept_in FROM run WINDOW e AS (PARTITION BY digest ORDER BY doc_id, start)),
+later AS (SELECT *, coalesce(max(stop) OVER (PARTITION BY doc_id ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) < start AS opens
+    FROM ranked WHERE r > 1),
+numbered AS (SELECT *, sum(CAST(opens AS INT)) OVER (PARTITION BY doc_id ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS n FROM later),
+span AS (SELECT doc_id, n, CAST(min(start) AS BIGINT) AS start, CAST(max(stop) AS BIGINT) AS stop, min(kept_in) AS kept_in FROM numbered GROUP BY ALL),
+gaps AS (SELECT doc_id, start, stop, kept_in, coalesce(lag(stop) OVER (PARTITION BY doc_id ORDER BY start), 0) AS since FROM span),
+cut AS (SELECT doc_id, count(*) AS n, max(stop) AS last, string_agg(start || ':' || stop || ':' || kept_in, ',' ORDER BY start) AS removed,
+        string_agg(substr(text, since + 1, start - since), '' ORDER BY start) AS head
+    FROM gaps JOIN documents USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CASE WHEN n IS NULL THEN text ELSE head || substr(text, last + 1) END AS text,
+    CAST(coalesce(n, 0) AS INTEGER) AS n_removed, coalesce(removed, '') AS removed
+FROM documents LEFT JOIN cut USING (doc_id)"""
 
 CRC32 = """xor(list_reduce(list_transform(string_split(CAST({} AS VARCHAR), ''), lambda ch: CAST(ord(ch) AS BIGINT)),
     lambda crc, b: list_reduce(CAST(range(8) AS BIGINT[]), lambda v, k: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END,
@@ -163,7 +177,7 @@ ORACLES: dict[str, str] = {
     "op1_mix_sources": _mix(),
     "op2_url_filter": URL_FILTER,
     "op4_warc_archive": _warc(),
-    "op10_repeated_lines": _lines(),
+    "op10_repeated_lines": LINES,
     "op12_conversation_trie": TRIE,
     "op13_shared_lines": SHARED_LINES,
 }

@@ -10,7 +10,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from joinseek.llm import html_text, repeated_lines, toxicity, url_filters, warc
+from joinseek.llm import html_text, toxicity, url_filters, warc
 
 DRAW = random.Random(2)
 LONG = "This is a sentence of the article, with commas, and enough words to count as a paragraph. "
@@ -229,54 +229,3 @@ def test_ngrams_of_pieces_equal_those_of_the_whole(monkeypatch):
     whole = {(k, h) for k, part in enumerate(toxicity.ngrams(text, params)) for h in part.tolist()}
     monkeypatch.setattr(toxicity, "CHUNK", 64)
     assert {h for part in toxicity.ngrams(text, params) for h in part.tolist()} == {h for _, h in whole}
-
-
-def without(rows, min_words, separator="\n"):
-    seen, out = set(), {}
-    for i, text in sorted((r for r in rows if r[1] is not None), key=lambda r: r[0]):
-        left = []
-        for unit in text.split(separator):
-            form = " ".join(re.findall(r"[^\x20\x09-\x0D]+", unit.lower()))
-            if len(form.split(" ")) >= min_words and form in seen:
-                continue
-            seen.add(form)
-            left.append(unit)
-        out[i] = separator.join(left)
-    return out
-
-
-@pytest.mark.parametrize("separator", ["\n", "\n\n"])
-def test_repeated_lines(spark, separator):
-    pool = [" ".join(f"é{DRAW.randint(0, 9)}" for _ in range(DRAW.randint(1, 14))) for _ in range(40)]
-    rows = [(i, separator.join(DRAW.choice(pool) + DRAW.choice(["", "  ", "\t"]) for _ in range(DRAW.randint(0, 12)))) for i in range(120)]
-    rows += [(500, None), (501, ""), (502, "one line " * 9000)]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("removed", F.lit(1)).withColumn("digest", F.lit(2))
-    params = repeated_lines.LineParams(separator=separator, min_words=4)
-    got = repeated_lines.without_repeats(docs, params).collect()
-    want = without(rows, 4, separator)
-    texts = dict(rows)
-    assert {r.doc_id: r.text for r in got if r.text is not None} == want and len(got) == len(rows)
-    assert sum(len(r.removed) for r in got) > 100
-    for r in got:
-        for x in r.removed:
-            unit = texts[r.doc_id].split(separator)[x.unit]
-            assert texts[r.doc_id][x.start : x.stop] == unit
-            form = " ".join(unit.lower().split())
-            assert x.kept_in <= r.doc_id and form in [" ".join(u.lower().split()) for u in texts[x.kept_in].split(separator)]
-
-
-def test_repeated_rows_of_a_document(spark):
-    line = "a line of words that is long enough to be one of those removed"
-    rows = [(1, f"{line}\nx"), (1, f"{line}\nx"), (1, f"y\n{line}"), (None, line), (2, f"{line}\n{line}")]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    got = sorted((r.doc_id or 0, r.text) for r in repeated_lines.without_repeats(docs).collect())
-    # Nulls rank first.
-    assert got == [(0, line), (1, "x"), (1, "x"), (1, "y"), (2, "")]
-    assert repeated_lines.without_repeats(docs.limit(0)).count() == 0
-
-
-def test_short_lines_are_cut(spark):
-    rows = [(1, "Subscribe now\n\nles.\nfirst"), (2, "second\n subscribe  NOW\n\nles."), (3, "third\n\n\nles.\nles.")]
-    got = repeated_lines.without_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
-    # Lines without a word always stay.
-    assert sorted((r.doc_id, r.text) for r in got) == [(1, rows[0][1]), (2, "second\n"), (3, "third\n\n")]
