@@ -253,7 +253,7 @@ def _compress(live: DataFrame, values: Sequence[str], number: int) -> tuple[Data
     flagged = _on(flagged, above, {"c": "oc", "d": "od"})
 
     def order(depth: str) -> str:
-        return f"struct({depth} & -{depth}, xxhash64({depth}, {number}))"
+        return f"struct({depth} & -{depth}, xxhash64({depth}))"
 
     goes = f"pc IS NOT NULL AND cc IS NOT NULL AND (chained IS NULL OR {order('d')} < {order('pd')}) AND {order('d')} < {order('cd')}"
     flagged = kept_table(flagged.selectExpr("c", "d", "pc", "pd", *values, "cc", "cd", f"coalesce({goes}, false) AS goes"), f"compressed-{number}")
