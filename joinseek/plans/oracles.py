@@ -116,6 +116,21 @@ def singles(*tables: str, skip: Sequence[str] = ()) -> list[tuple[str, list[str]
     return [(t, [n]) for t in tables for n, _ in columns(t) if n not in skip]
 
 
+def similar_words(score: str, minimum: float) -> str:
+    """Word pairs of benchmark and conversations that reach a score of x and y.
+
+    The score counts bytes, so every character is first made one byte.
+    """
+    return rf"""WITH words AS (SELECT DISTINCT side, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS word
+    FROM (SELECT 'x' AS side, text FROM benchmark UNION ALL SELECT 'y', text FROM conversations)),
+letters AS (SELECT word, unnest(string_split(word, '')) AS c, generate_subscripts(string_split(word, ''), 1) AS i FROM (SELECT DISTINCT word FROM words)),
+bytes AS (SELECT c, chr(CAST(row_number() OVER (ORDER BY c) AS INT)) AS byte FROM (SELECT DISTINCT c FROM letters)),
+coded AS (SELECT word, string_agg(byte, '' ORDER BY i) AS code FROM letters JOIN bytes USING (c) GROUP BY word),
+l AS (SELECT word AS left_word, code AS x FROM words JOIN coded USING (word) WHERE side = 'x'),
+r AS (SELECT word AS right_word, code AS y FROM words JOIN coded USING (word) WHERE side = 'y')
+SELECT left_word, right_word, round(score, 6) AS score FROM (SELECT left_word, right_word, {score} AS score FROM l, r) WHERE score >= {minimum}"""
+
+
 def report(
     sets: Sequence[tuple[str, Sequence[str]]],
     candidates: str,
@@ -279,8 +294,9 @@ def categories(table: str) -> str:
 
 
 def score_rows(expression: str, method: str) -> str:
-    return f"""SELECT o_orderkey, round({expression}, 6) AS score, '{method}' AS method FROM
-  (SELECT o_orderkey, o_orderpriority AS a, c_mktsegment AS b FROM orders JOIN customer ON o_custkey = c_custkey)"""
+    return f"""WITH named AS (SELECT DISTINCT l_orderkey, p_name FROM lineitem JOIN part ON l_partkey = p_partkey)
+SELECT p_name, other_name, round({expression}, 6) AS score, '{method}' AS method FROM (SELECT DISTINCT x.p_name, y.p_name AS other_name,
+  x.p_name AS a, y.p_name AS b FROM named AS x JOIN named AS y USING (l_orderkey) WHERE x.p_name <= y.p_name)"""
 
 
 WORDS = """(SELECT DISTINCT c_custkey, s_suppkey, c_name, s_name FROM lineitem JOIN orders ON l_orderkey = o_orderkey
@@ -474,6 +490,8 @@ WHERE least(l.distinct_values, r.distinct_values) < greatest(l.distinct_values,
     "name_equality": score_rows("CAST(a = b AS DOUBLE)", "Equality"),
     "name_levenshtein": score_rows(LEVENSHTEIN, "Levenshtein"),
     "name_jaro": score_rows(JARO, "Jaro"),
+    "similarity_join": similar_words("1 - levenshtein(x, y) / greatest(length(x), length(y), 1)", 0.8),
+    "similarity_join_jaro": similar_words("jaro_similarity(x, y)", 0.9),
     "semantic_similarity": SEMANTIC,
     "common_columns": report(singles("labels", "documents", "conversations", "benchmark"), named_pairs(COMMON_PAIRS, "a = b")),
     "similar_columns": f"""SELECT left_table, right_table, left_columns, right_columns,

@@ -34,6 +34,7 @@ from joinseek.operators.prune import (
     prune_uniqueness,
 )
 from joinseek.operators.semantic import Taxonomy, semantic_similarity
+from joinseek.operators.similarity import similarity_join
 from joinseek.params import Params
 from joinseek.plans.discover import discover_joins, pair_table
 from joinseek.session import checkpoint_folder, local_table, settle
@@ -179,16 +180,27 @@ def cardinality_discarded(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def text_similarity(method: str) -> Callable[[SparkSession, str], DataFrame]:
+    """The names of any two parts that are in one order."""
+
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        t = load(spark, folder, "lineitem", "part")
+        named = t["lineitem"].join(t["part"], F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "p_name").distinct()
+        other = named.select("l_orderkey", F.col("p_name").alias("other_name"))
+        pairs = named.join(other, "l_orderkey").where("p_name <= other_name").select("p_name", "other_name").distinct()
+        scored = pairs.select("p_name", "other_name", string_similarity("p_name", "other_name", method).alias("info"))
+        return scored.select("p_name", "other_name", F.round("info.score", 6).alias("score"), F.col("info.method").alias("method"))
+
+    return query
+
+
+def similar_words(method: str, minimum: float) -> Callable[[SparkSession, str], DataFrame]:
+    """The words of the benchmark beside similar ones of the conversations."""
+
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        t = load(spark, folder, "orders", "customer")
-        words = ["o_orderpriority", "c_mktsegment"]
-        rows = t["orders"].join(t["customer"], F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", *words)
-        # Each pair of words is compared once.
-        info = string_similarity(*words, method)
-        scored = rows.select(*words).distinct().select(*words, info.alias("info"))
-        return rows.join(scored, words).select(
-            "o_orderkey", F.round("info.score", 6).alias("score"), F.col("info.method").alias("method")
-        )
+        t = load(spark, folder, "benchmark", "conversations")
+        sides = [df.select(F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("word")).where("word <> ''") for df in t.values()]
+        found = similarity_join(*sides, "word", "word", method, minimum)
+        return found.select(F.col("left_value").alias("left_word"), F.col("right_value").alias("right_word"), F.round("score", 6).alias("score"))
 
     return query
 
@@ -587,6 +599,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "name_equality": text_similarity("Equality"),
     "name_levenshtein": text_similarity("Levenshtein"),
     "name_jaro": text_similarity("Jaro"),
+    "similarity_join": similar_words("Levenshtein", 0.8),
+    "similarity_join_jaro": similar_words("Jaro", 0.9),
     "semantic_similarity": path_similarity,
     "common_columns": common_names,
     "similar_columns": similar_names,
