@@ -24,6 +24,8 @@ SCHEMAS = {
     "benchmark": "item_id:i text:s",
     "labels": "doc_id:i quality:i toxic:i",
     "conversations": "conv_id:i turn:i role:s text:s",
+    # Its vectors are left out: no other column holds arrays.
+    "embeddings": "vec_id:i label:i",
     "derived": "o_orderkey:i o_custkey:i priority:s price:d day_text:s rare_day:s is_open:b",
     "finished": "o_orderkey:i o_custkey:i o_orderstatus:s o_totalprice:d o_orderdate:t o_orderpriority:s",
     "unfinished": "o_orderkey:i o_custkey:i o_orderstatus:s o_totalprice:d o_orderdate:t o_orderpriority:s",
@@ -293,6 +295,23 @@ def categories(table: str) -> str:
     return ", ".join(f"('{n}', '{dict(s='Text', t='Date').get(k) or FIXED[k]}')" for n, k in columns(table))
 
 
+def lake(min_join: float, *tables: str) -> str:
+    """All column pairs of different tables that overlap enough, by joining all values with all values."""
+    return f"""WITH d AS ({key_lists(singles(*tables))}),
+sizes AS (SELECT t, c, count(*) AS n FROM d GROUP BY t, c),
+hits AS (SELECT a.t AS lt, a.c AS lc, b.t AS rt, b.c AS rc, count(*) AS m FROM d AS a JOIN d AS b
+  ON a.cat = b.cat AND a.v = b.v AND a.t < b.t WHERE NOT a.has_null GROUP BY ALL),
+scored AS (SELECT hits.*, l.n + r.n - m AS total FROM hits JOIN sizes AS l ON l.t = lt AND l.c = lc JOIN sizes AS r ON r.t = rt AND r.c = rc)
+SELECT lt AS left_table, lc AS left_column, rt AS right_table, rc AS right_column, m AS matches, total,
+  round(m / CAST(total AS DOUBLE), 6) AS join_score FROM scored WHERE m / CAST(total AS DOUBLE) >= {min_join}"""
+
+
+ALL_TABLES = (
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
+    "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
+)
+
+
 def score_rows(expression: str, method: str) -> str:
     return f"""WITH named AS (SELECT DISTINCT l_orderkey, p_name FROM lineitem JOIN part ON l_partkey = p_partkey)
 SELECT p_name, other_name, round({expression}, 6) AS score, '{method}' AS method FROM (SELECT DISTINCT x.p_name, y.p_name AS other_name,
@@ -490,6 +509,7 @@ WHERE least(l.distinct_values, r.distinct_values) < greatest(l.distinct_values,
     "name_equality": score_rows("CAST(a = b AS DOUBLE)", "Equality"),
     "name_levenshtein": score_rows(LEVENSHTEIN, "Levenshtein"),
     "name_jaro": score_rows(JARO, "Jaro"),
+    "lake_overlap": lake(0.45, *ALL_TABLES),
     "similarity_join": similar_words("1 - levenshtein(x, y) / greatest(length(x), length(y), 1)", 0.8),
     "similarity_join_jaro": similar_words("jaro_similarity(x, y)", 0.9),
     "semantic_similarity": SEMANTIC,

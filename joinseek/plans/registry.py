@@ -20,6 +20,7 @@ from joinseek.operators.candidates import (
 from joinseek.operators.contribution import join_contribution, join_on
 from joinseek.operators.counters import counter_columns, mode_count, useful_columns
 from joinseek.operators.keys import foreign_keys, unique_keys
+from joinseek.operators.lake import lake_overlap
 from joinseek.operators.names import common_columns, same_category_pairs, similar_columns
 from joinseek.operators.neighbourhood import global_rank, sorted_neighbourhood
 from joinseek.operators.overlap import CANDIDATE, INFO_TYPE, listing, measure_overlap, rank, useful
@@ -582,6 +583,19 @@ def semantic_search(spark: SparkSession, folder: str) -> DataFrame:
     return found.report.selectExpr("stage", *REPORT, "round(array_max(similarity_info.score), 6) AS name_score")
 
 
+ALL_TABLES = (
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
+    "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
+)
+
+
+def overlaps_of_all(spark: SparkSession, folder: str) -> DataFrame:
+    """All columns of all tables beside one another."""
+    t = load(spark, folder, *ALL_TABLES)
+    found = lake_overlap(t, settle(profile(t, distinct=False)), 0.45)
+    return found.withColumn("join_score", F.round("join_score", 6))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "table_shapes": table_shapes,
     "csv_scan": csv_scan,
@@ -630,6 +644,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "counter_buckets": all_counters,
     "counter_decimals": decimal_counters,
     "mode_count": modes,
+    "lake_overlap": overlaps_of_all,
     "discover_orders_customer": searched(("orders", "customer")),
     "discover_labels_documents": searched(("labels", "documents")),
     "discover_cosine": searched(("labels", "documents"), score_method="cosine"),
