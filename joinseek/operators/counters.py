@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from joinseek.functions.values import is_missing
-from joinseek.operators.neighbourhood import global_rank
+from joinseek.operators.neighbourhood import ROW_BITS
 from joinseek.operators.profile import union_all
-from joinseek.session import local_table, quoted
+from joinseek.session import checkpoint, local_table, quoted
 
 
 def useful_columns(report: DataFrame) -> DataFrame:
@@ -64,15 +64,22 @@ def _misses(values: DataFrame, kind: str, partitions: int | None) -> DataFrame:
     """(slot, miss): share of sorted-order steps other than the usual one.
 
     Values are counted first: equal neighbours differ by 0. The distinct values of
-    all columns are ranked together, in tasks of equal size, and each meets the
-    one of the next rank. A step too long for its type counts as unknown.
+    all columns are sorted together, in tasks of equal size. Each meets the one
+    before it within its task; one row per task joins the ends of neighbouring
+    tasks. A step too long for its type counts as unknown.
     """
+    parts = partitions or int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counted = values.groupBy("slot", "x").agg(F.expr("count(1) AS n"))
-    ranked = global_rank(counted, ["slot", "x"], partitions)
-    after = ranked.selectExpr("slot AS own_slot", "x AS next_x", "rank - 1 AS before")
-    beside = ranked.join(after, (F.col("rank") == F.col("before")) & (F.col("slot") == F.col("own_slot")))
-    repeats = ranked.where("n > 1").selectExpr("slot", f"CAST(0 AS {kind}) AS step", "n - 1 AS times")
-    steps = beside.selectExpr("slot", "try_subtract(next_x, x) AS step", "1L AS times").unionAll(repeats)
+    ordered = counted.repartitionByRange(parts, "slot", "x").sortWithinPartitions("slot", "x")
+    placed = checkpoint(ordered.withColumn("id", F.monotonically_increasing_id())).selectExpr("*", f"shiftright(id, {ROW_BITS}) AS part")
+    ahead = "lag(struct(slot, x)) OVER (PARTITION BY part ORDER BY id) AS ahead"
+    beside = placed.selectExpr("slot", "x", ahead)
+    ends = placed.groupBy("part").agg(
+        *(F.expr(f"min_by({c}, id) AS {c}") for c in ("slot", "x")), *(F.expr(f"max_by({c}, id) AS last_{c}") for c in ("slot", "x"))
+    )
+    seams = ends.selectExpr("slot", "x", "lag(struct(last_slot AS slot, last_x AS x)) OVER (ORDER BY part) AS ahead")
+    repeats = placed.where("n > 1").selectExpr("slot", f"CAST(0 AS {kind}) AS step", "n - 1 AS times")
+    steps = beside.unionAll(seams).where("ahead.slot = slot").selectExpr("slot", "try_subtract(x, ahead.x) AS step", "1L AS times").unionAll(repeats)
     per_step = steps.groupBy("slot", "step").agg(F.sum("times").alias("times"))
     return per_step.groupBy("slot").agg(F.expr("1 - max(times) / CAST(sum(times) AS DOUBLE) AS miss"))
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from joinseek.functions.values import PARTS, key_parts, needs_text
 from joinseek.operators.profile import union_all
-from joinseek.session import local_table
+from joinseek.session import local_table, quoted
 
 ColumnSet = tuple[str, tuple[str, ...]]
 
@@ -140,12 +140,15 @@ def _held(tables: Mapping[str, DataFrame], sets: Sequence[ColumnSet], wanted: Da
     return held.where("array_contains(members, second)")
 
 
-def _numbered_keys(df: DataFrame, first: int, sets: Sequence[tuple[str, ...]], width: int) -> DataFrame:
+def _numbered_keys(
+    df: DataFrame, first: int, sets: Sequence[tuple[str, ...]], width: int, slicer: Mapping[tuple[str, ...], str] | None = None, slices: int = 1
+) -> DataFrame:
     """One row per input row and column set: the number of the set and its key.
 
     A set is a number whose digits, to the base of the number of columns plus
     one, name its columns; all of them are one constant array, so the plan has the
-    same size for ten sets and for ten thousand.
+    same size for ten sets and for ten thousand. With a ``slicer``, a column of
+    each set, only the rows of one in ``slices`` of its values are taken.
     """
     used = sorted({c for columns in sets for c in columns})
     place = {c: i + 1 for i, c in enumerate(used)}
@@ -155,8 +158,19 @@ def _numbered_keys(df: DataFrame, first: int, sets: Sequence[tuple[str, ...]], w
         parts = key_parts(name, df.schema[name].dataType)
         fields = (f"'{p}', {parts.get(p, f'CAST(NULL AS {kind})')}" for p, kind in PARTS.items())
         values.append(f"named_struct({', '.join(fields)})")
-    codes = (f"{sum(place[c] * base**i for i, c in enumerate(columns))}L" for columns in sets)
-    rows = df.selectExpr(f"array({', '.join(values)}) AS held").selectExpr("held", f"posexplode(array({', '.join(codes)})) AS (at, code)")
+    codes = [f"{sum(place[c] * base**i for i, c in enumerate(columns))}L" for columns in sets]
+    if slicer is None:
+        rows = df.selectExpr(f"array({', '.join(values)}) AS held").selectExpr("held", f"posexplode(array({', '.join(codes)})) AS (at, code)")
+    else:
+        mine: dict[str, list[int]] = {}
+        for at, columns in enumerate(sets):
+            mine.setdefault(slicer[columns], []).append(at)
+        parts = []
+        for name, numbers in sorted(mine.items()):
+            entries = ", ".join(f"named_struct('at', {at}, 'code', {codes[at]})" for at in numbers)
+            parts.append(f"IF(pmod(xxhash64({quoted(name)}), {slices}) = 0, array({entries}), array())")
+        taken = df.selectExpr(f"array({', '.join(values)}) AS held", f"concat({', '.join(parts)}) AS taken").where("size(taken) > 0")
+        rows = taken.selectExpr("held", "inline(taken)")
     digits = (f"CAST(code div {base**i} % {base} AS INT) - 1" for i in range(width))
     parts = [f"get(held, {digit}).{p} AS {p}{i}" for i, digit in enumerate(digits) for p in PARTS]
     return rows.selectExpr(f"at + {first} AS id", *parts)
@@ -184,6 +198,34 @@ def key_counts(spark: SparkSession, tables: Mapping[str, DataFrame], sets: Seque
     return names.join(counts, "id", "left").drop("id").na.fill(0, ["keys"])
 
 
+def duplicate_witnesses(
+    spark: SparkSession, tables: Mapping[str, DataFrame], sets: Mapping[ColumnSet, str], slices: int
+) -> DataFrame:
+    """(table, columns, duplicates): rows beyond the first of their key, as far as a slice shows them.
+
+    Each set is seen where one of its columns, named in ``sets``, has one in
+    ``slices`` of its values. All rows of a key are in the slice or none is, so the
+    duplicates there are true ones, and a set has no more keys than rows less them.
+    """
+    ordered = sorted(sets)
+    width = max(len(columns) for _, columns in ordered)
+    frames = []
+    for name, df in tables.items():
+        mine = [i for i, (t, _) in enumerate(ordered) if t == name]
+        if mine:
+            slicer = {ordered[i][1]: sets[ordered[i]] for i in mine}
+            frames.append(_numbered_keys(df, mine[0], [ordered[i][1] for i in mine], width, slicer, slices))
+    rows = union_all(frames)
+    keys = rows.groupBy(*rows.columns).agg(F.expr("count(1) - 1 AS more"))
+    seen = keys.groupBy("id").agg(F.sum("more").alias("duplicates"))
+    names = local_table(
+        spark,
+        {"id": list(range(len(ordered))), "table": [t for t, _ in ordered], "columns": [list(c) for _, c in ordered]},
+        {"id": pa.int32(), "table": pa.string(), "columns": pa.list_(pa.string())},
+    )
+    return names.join(seen, "id", "left").drop("id").na.fill(0, ["duplicates"])
+
+
 SUMS = {
     "n_left": "sum(IF(role = 0, keys, 0))",
     "n_right": "sum(IF(role = 1, keys, 0))",

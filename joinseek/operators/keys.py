@@ -7,12 +7,16 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from joinseek.operators.keyrows import key_counts
+from joinseek.operators.keyrows import duplicate_witnesses, key_counts
 from joinseek.operators.overlap import INFO_TYPE
 from joinseek.operators.profile import union_all
 from joinseek.session import settle, text
 
 
+MAX_SLICES = 64
+SLACK = 1e-9
+
+
 def unique_keys(
     tables: Mapping[str, DataFrame],
     catalog: DataFrame,
@@ -25,14 +29,15 @@ def unique_keys(
     Sizes 1, 2, 3 are tried in turn and a scope (by default a table) ends at its
     first size with a hit, with all hits of that size. The catalogue must hold
     distinct counts: they decide size 1 without a scan, and a set is scanned only
-    if the product of its columns' distinct counts can reach the ratio. Other
+    if the product of its columns' distinct counts can reach the ratio. Duplicates
+    in a slice of the values then refute most sets, and the rest is counted. Other
     columns may be listed in ``scope`` if the catalogue limits columns per scope.
     """
     group = [*scope] if "table" in scope else [*scope, "table"]
     single = catalog.where("rows > 0").selectExpr(
         *group,
         "rows",
-        "struct(position, column AS name, category) AS last",
+        "struct(position, column AS name, category, distinct AS size) AS last",
         # A missing value counts as a value.
         "CAST(distinct + IF(missing > 0, 1, 0) AS DOUBLE) AS size",
     )
@@ -60,6 +65,15 @@ def unique_keys(
     return union_all(found)
 
 
+def slices_for(min_ratio: float) -> int:
+    """Into how many slices values are dealt, one of which is searched for duplicates.
+
+    A slice must be able to hold more duplicates than the ratio allows in all: the
+    more it allows, the larger the slice.
+    """
+    return max(2, min(MAX_SLICES, round(0.5 / max(1 - min_ratio, SLACK))))
+
+
 def _with_key_counts(
     tables: Mapping[str, DataFrame], level: DataFrame, min_ratio: float, group: list[str], number: int
 ) -> DataFrame:
@@ -67,8 +81,19 @@ def _with_key_counts(
     if number == 1:
         return level.withColumn("keys", F.col("bound"))
     level = level.selectExpr("*", "members.name AS names")
-    possible = level.where(f"bound >= rows * {min_ratio}D").select("table", "names").distinct()
-    sets = sorted({(r.table, tuple(r.names)) for r in possible.collect()})
+    # Of each set the column with the most values, which slices it most evenly.
+    slicer = "array_max(transform(members, m -> struct(m.size AS size, m.name AS name))).name AS slicer"
+    possible = level.where(f"bound >= rows * {min_ratio}D").selectExpr("table", "names", slicer).distinct()
+    sets = {(r.table, tuple(r.names)): r.slicer for r in possible.collect()}
+    if not sets:
+        return level.selectExpr("*", "CAST(NULL AS DOUBLE) AS keys").drop("names")
+    seen = duplicate_witnesses(level.sparkSession, tables, sets, slices_for(min_ratio)).withColumnRenamed("columns", "names")
+    level = level.join(settle(seen), ["table", "names"], "left")
+    # What the witnesses leave of a set's rows is a bound as well, and refutes it if it is too low.
+    fields = [f for f in level.columns if f not in ("bound", "duplicates")]
+    level = level.selectExpr(*fields, "least(bound, rows - coalesce(duplicates, 0L)) AS bound")
+    left = level.where(f"bound >= rows * {min_ratio}D").select("table", "names").distinct()
+    sets = sorted({(r.table, tuple(r.names)) for r in left.collect()})
     if not sets:
         return level.selectExpr("*", "CAST(NULL AS DOUBLE) AS keys").drop("names")
     counts = settle(key_counts(level.sparkSession, tables, sets).withColumnRenamed("columns", "names"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from joinseek.functions.dates import DAY_FIRST, MONTH_FIRST, date_reading
-from joinseek.functions.values import PARTS, TEMPORAL, is_missing, key_parts
+from joinseek.functions.values import PARTS, TEMPORAL, is_missing, join_key, key_parts
 from joinseek.session import local_table, quoted, settle, text
 
 DATE_SHARE = 0.5
@@ -134,6 +134,42 @@ def add_distinct(catalog: DataFrame, tables: Mapping[str, DataFrame]) -> DataFra
     return catalog.join(counts, ["table", "column"], "left")
 
 
+#: Sketches of 2 to this power registers; their standard error is 1.04 / 64, and ``SKETCH_ERROR`` three of it.
+SKETCH_BITS = 12
+SKETCH_ERROR = 0.05
+
+
+def sketch_catalog(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """(table, column, position, rows, missing, sketch): distinct values as sketches that can be merged.
+
+    One scan per table without a shuffle of values. For first looks and for tables
+    that grow by parts; scores and pruning use exact counts.
+    """
+    frames = []
+    for name, df in tables.items():
+        stats = []
+        for position, field in enumerate(df.schema):
+            value, missing = join_key(field.name, field.dataType), is_missing(field.name, field.dataType)
+            stats.append(
+                f"named_struct('column', {text(field.name)}, 'position', {position}, 'missing', count_if({missing}), "
+                f"'sketch', hll_sketch_agg(IF({missing}, NULL, {value}), {SKETCH_BITS}))"
+            )
+        one_row = df.agg(F.expr("count(1) AS rows"), F.expr(f"array({', '.join(stats)}) AS stats"))
+        frames.append(one_row.selectExpr(f"{text(name)} AS table", "rows", "inline(stats)"))
+    return union_all(frames).select("table", "column", "position", "rows", "missing", "sketch")
+
+
+def merged_sketches(catalogs: Sequence[DataFrame]) -> DataFrame:
+    """One catalogue from those of disjoint parts of the same tables."""
+    together = union_all(list(catalogs)).groupBy("table", "column", "position")
+    return together.agg(F.sum("rows").alias("rows"), F.sum("missing").alias("missing"), F.expr("hll_union_agg(sketch) AS sketch"))
+
+
+def sketched_distinct(catalog: DataFrame) -> DataFrame:
+    """A catalogue of sketches with ``distinct``, an estimate good to about ``SKETCH_ERROR``."""
+    return catalog.withColumn("distinct", F.expr("hll_sketch_estimate(sketch)")).drop("sketch")
+
+
 def group_by_category(catalog: DataFrame) -> DataFrame:
     """Columns of each category per table, in table order."""
     return catalog.groupBy("table", "category").agg(

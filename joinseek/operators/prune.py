@@ -86,6 +86,25 @@ def cardinality_discards(catalog: DataFrame, pairs: DataFrame, min_score: float)
     return matched.where((low < high * F.lit(min_score)) & (F.lit(min_score) > 0))
 
 
+def cardinality_kept(catalog: DataFrame, pairs: DataFrame, min_score: float) -> DataFrame:
+    """Column pairs whose distinct counts allow a Jaccard of ``min_score``.
+
+    Counts are put in bands of ratio ``min_score``. Counts within that ratio are in
+    one band or in neighbouring ones, so the pairs come from an equi-join of bands
+    and not from the product of all columns. Two columns without values are kept.
+    """
+    if not 0 < min_score < 1:
+        raise ValueError("min_score must be between 0 and 1")
+    band = f"IF(distinct = 0, -9, CAST(floor(-ln(distinct) / ln({min_score}D)) AS INT))"
+    near = f"IF(distinct = 0, array(-9), transform(array(-1, 0, 1), i -> {band} + i))"
+    fields = ["table", "column", "distinct"]
+    known = catalog.where("distinct IS NOT NULL")
+    left = known.selectExpr(*(f"{c} AS left_{c}" for c in fields), f"explode({near}) AS band")
+    right = known.selectExpr(*(f"{c} AS right_{c}" for c in fields), f"{band} AS band")
+    matched = pairs.join(left, "left_table").join(right, ["right_table", "band"]).drop("band")
+    return matched.where(f"least(left_distinct, right_distinct) >= greatest(left_distinct, right_distinct) * {min_score}D")
+
+
 def drop_properties(catalog: DataFrame, dropped: DataFrame) -> DataFrame:
     """The catalogue without the dropped columns."""
     return catalog.join(dropped, ["table", "column"], "left_anti")

@@ -506,6 +506,13 @@ SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM c AS d WHERE d.left_table = c.le
   l.distinct_values AS left_distinct, r.distinct_values AS right_distinct
 FROM {profile('orders')} l, {profile('customer')} r
 WHERE least(l.distinct_values, r.distinct_values) < greatest(l.distinct_values, r.distinct_values) * 0.45""",
+    "cardinality_kept": f"""WITH p AS (SELECT * FROM {profile('orders', 'customer', 'lineitem', 'part')})
+SELECT l.table_name AS left_table, r.table_name AS right_table, l.column_name AS left_column, r.column_name AS right_column,
+  l.distinct_values AS left_distinct, r.distinct_values AS right_distinct FROM p AS l, p AS r
+WHERE (l.table_name, r.table_name) IN (('orders', 'customer'), ('lineitem', 'orders'), ('lineitem', 'part'))
+  AND least(l.distinct_values, r.distinct_values) >= greatest(l.distinct_values, r.distinct_values) * 0.45""",
+    "profile_sketch": f"""SELECT table_name, column_name, rows, missing, distinct_values, 1 AS is_close
+FROM {profile('orders', 'customer', 'events')}""",
     "name_equality": score_rows("CAST(a = b AS DOUBLE)", "Equality"),
     "name_levenshtein": score_rows(LEVENSHTEIN, "Levenshtein"),
     "name_jaro": score_rows(JARO, "Jaro"),

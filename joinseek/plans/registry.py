@@ -24,9 +24,19 @@ from joinseek.operators.lake import lake_overlap
 from joinseek.operators.names import common_columns, same_category_pairs, similar_columns
 from joinseek.operators.neighbourhood import global_rank, sorted_neighbourhood
 from joinseek.operators.overlap import CANDIDATE, INFO_TYPE, listing, measure_overlap, rank, useful
-from joinseek.operators.profile import group_by_category, profile, shape
+from joinseek.operators.profile import (
+    SKETCH_ERROR,
+    distinct_counts,
+    group_by_category,
+    merged_sketches,
+    profile,
+    shape,
+    sketch_catalog,
+    sketched_distinct,
+)
 from joinseek.operators.prune import (
     cardinality_discards,
+    cardinality_kept,
     drop_properties,
     pair_columns,
     prune_category,
@@ -180,6 +190,25 @@ def cardinality_discarded(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("left_column", "right_column", "left_distinct", "right_distinct")
 
 
+def cardinality_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    t = load(spark, folder, "orders", "customer", "lineitem", "part")
+    pairs = pair_table(spark, [("orders", "customer"), ("lineitem", "orders"), ("lineitem", "part")])
+    found = cardinality_kept(settle(profile(t)), pairs, 0.45)
+    return found.select("left_table", "right_table", "left_column", "right_column", "left_distinct", "right_distinct")
+
+
+def sketched_profile(spark: SparkSession, folder: str) -> DataFrame:
+    """Distinct values from sketches of two halves of each table, beside the exact counts."""
+    t = load(spark, folder, "orders", "customer", "events")
+    halves = [
+        {name: df.where(f"pmod(xxhash64({df.columns[0]}), 2) = {half}") for name, df in t.items()} for half in (0, 1)
+    ]
+    found = sketched_distinct(merged_sketches([sketch_catalog(half) for half in halves])).withColumnRenamed("distinct", "estimate")
+    exact = distinct_counts(t)
+    close = f"CAST(abs(estimate - distinct) <= {SKETCH_ERROR}D * distinct AS INT) AS is_close"
+    return found.join(exact, ["table", "column"]).selectExpr("table AS table_name", "column AS column_name", "rows", "missing", "distinct AS distinct_values", close)
+
+
 def text_similarity(method: str) -> Callable[[SparkSession, str], DataFrame]:
     """The names of any two parts that are in one order."""
 
@@ -610,6 +639,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "prune_category": category_pruned,
     "pruned_catalog": pruned_catalog,
     "cardinality_discard": cardinality_discarded,
+    "cardinality_kept": cardinality_pairs,
+    "profile_sketch": sketched_profile,
     "name_equality": text_similarity("Equality"),
     "name_levenshtein": text_similarity("Levenshtein"),
     "name_jaro": text_similarity("Jaro"),

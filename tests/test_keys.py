@@ -4,7 +4,8 @@ from itertools import combinations
 
 import pytest
 
-from joinseek.operators.keys import foreign_keys, unique_keys
+from joinseek.operators.keyrows import duplicate_witnesses
+from joinseek.operators.keys import foreign_keys, slices_for, unique_keys
 from joinseek.operators.profile import profile
 from joinseek.operators.prune import pair_columns
 from joinseek.plans.discover import pair_table
@@ -91,3 +92,18 @@ def test_a_wide_table_is_one_job_of_any_number_of_sets(spark):
     assert found == {}
     found = keys_of({"t": df}, min_ratio=0.74)
     assert {k: v for (_, k), v in found.items()} == pytest.approx(brute_keys(rows, names, 0.74, 3)) and found
+
+
+def test_witnesses_are_true_duplicates_and_refute(spark):
+    rng = random.Random(5)
+    rows = [(rng.randrange(40), rng.randrange(40), None if rng.random() < 0.2 else float(rng.randrange(5)), k) for k in range(3000)]
+    df = spark.createDataFrame(rows, "a int, b int, c double, k int")
+    sets = {("t", ("a", "b")): "a", ("t", ("a", "c")): "a", ("t", ("b", "k")): "k"}
+    for slices in (1, 4, 64):
+        found = {tuple(r.columns): r.duplicates for r in duplicate_witnesses(spark, {"t": df}, sets, slices).collect()}
+        for (_, columns), _ in sets.items():
+            places = ["abck".index(c) for c in columns]
+            true = len(rows) - len({tuple(r[p] for p in places) for r in rows})
+            assert found[columns] == true if slices == 1 else 0 <= found[columns] <= true
+        assert found["b", "k"] == 0 and (slices == 64 or found["a", "b"] > 0)
+    assert slices_for(1) == 64 and slices_for(0.95) == 10 and slices_for(0.1) == 2

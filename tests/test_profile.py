@@ -2,9 +2,18 @@ from datetime import datetime
 
 import pytest
 
-from joinseek.operators.profile import group_by_category, profile, shape
+from joinseek.operators.profile import (
+    SKETCH_ERROR,
+    group_by_category,
+    merged_sketches,
+    profile,
+    shape,
+    sketch_catalog,
+    sketched_distinct,
+)
 from joinseek.operators.prune import (
     cardinality_discards,
+    cardinality_kept,
     drop_properties,
     project,
     prune_category,
@@ -128,3 +137,26 @@ def test_cardinality_discards(spark):
     found = {(r.left_column, r.right_column) for r in cardinality_discards(catalog, pairs, 0.45).collect()}
     assert found == {("id", "id")}
     assert cardinality_discards(catalog, pairs, 0.0).count() == 0
+
+
+@pytest.mark.parametrize("score", [0.05, 0.45, 0.9])
+def test_cardinality_kept_is_what_is_not_discarded(spark, score):
+    rows = [(t, f"{t}{k}", d) for t in "ab" for k, d in enumerate([0, 0, 1, 1, 2, 3, 4, 9, 10, 20, 22, 44, 45, 100, 1000, 2222, None])]
+    catalog = spark.createDataFrame(rows, "table string, column string, distinct bigint")
+    pairs = spark.createDataFrame([("a", "b")], "left_table string, right_table string")
+    kept = cardinality_kept(catalog, pairs, score)
+    found = {(r.left_column, r.right_column) for r in kept.collect()}
+    counts = {c: d for _, c, d in rows if d is not None}
+    assert found == {(x, y) for x in counts for y in counts if x[0] < y[0] and min(counts[x], counts[y]) >= max(counts[x], counts[y]) * score}
+    assert kept.count() == len(found)
+    with pytest.raises(ValueError):
+        cardinality_kept(catalog, pairs, 1.0)
+
+
+def test_sketches_merge(spark):
+    whole = spark.range(30_000).selectExpr("id", "CAST(id % 700 AS STRING) AS word", "IF(id % 3 = 0, NULL, id / 2) AS half", "CAST(NULL AS INT) AS none")
+    parts = [sketch_catalog({"t": whole.where(f"id % 3 = {k}")}) for k in range(3)]
+    found = {r.column: r for r in sketched_distinct(merged_sketches(parts)).collect()}
+    for name, distinct, missing in [("id", 30_000, 0), ("word", 700, 0), ("half", 20_000, 10_000), ("none", 0, 30_000)]:
+        assert abs(found[name].distinct - distinct) <= SKETCH_ERROR * distinct
+        assert (found[name].rows, found[name].missing) == (30_000, missing)
