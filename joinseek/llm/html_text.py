@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from html import unescape
 
 import pyarrow as pa
@@ -51,9 +52,11 @@ CLOSES = {
 #: An open element of this kind keeps the ones above it open.
 BORDERS = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}}
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']++|\"[^\"]*\"|'[^']*'|[\"'])*+)>|<[!?][^>]*>", re.DOTALL
-)
+#: Where markup may begin; and a tag, whose quoted values may hold any character.
+MARKUP = re.compile(r"<(?:!--|[!?]|/?[a-zA-Z])")
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']++|\"[^\"]*\"|'[^']*'|[\"'])*+)>")
+#: The same without regard to quotes, once some quote was left open to the end of a page.
+PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 #: Raw elements of foreign markup, which a final slash closes at once; no slash closes the others.
 FOREIGN_TAGS = frozenset(("svg", "math"))
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -82,6 +85,7 @@ class _Node:
     tag: str
     parent: int
     outside: bool
+    home: int = 0  # the nearest block, itself included
     doubt: int = 0
     named: bool = False
     unlinked: int = 0
@@ -90,8 +94,6 @@ class _Node:
     chars: int = 0
     linked: int = 0
     links: int = 0
-    last: int = 0
-    blocks: list[int] = field(default_factory=list)
 
 
 def _name_doubt(value: str) -> int:
@@ -142,17 +144,21 @@ def _settle(nodes: list[_Node], blocks: list[tuple[int, str, int, int]], params:
     for node in nodes[1:]:
         node.outside = node.doubt == NEVER or nodes[node.parent].outside
     total = 0
+    filled = [False] * len(nodes)  # holds text
     for owner, text, linked, _ in blocks:
-        if nodes[owner].outside:
-            continue
-        total += len(text) - linked
-        # An article's text: a teaser without text holds no article.
-        found = False
-        while owner >= 0:
+        if not nodes[owner].outside:
+            total += len(text) - linked
             nodes[owner].unlinked += len(text) - linked
-            nodes[owner].holds_article |= found
-            found = found or (nodes[owner].tag in ("article", "main") and not nodes[owner].named)
-            owner = nodes[owner].parent
+            filled[owner] = True
+    under_article = [nodes[0].tag in ("article", "main")] * len(nodes)
+    for k in range(1, len(nodes)):
+        under_article[k] = under_article[nodes[k].parent] or nodes[k].tag in ("article", "main")
+    for k in range(len(nodes) - 1, 0, -1):  # children come after their parents
+        node, above = nodes[k], nodes[nodes[k].parent]
+        above.unlinked += node.unlinked
+        filled[node.parent] |= filled[k]
+        # An article's text: a teaser without text holds no article.
+        above.holds_article |= node.holds_article or (filled[k] and node.tag in ("article", "main") and not node.named)
 
     def spread(spare: int) -> None:
         """Mark what is outside if elements up to the degree ``spare`` may stay."""
@@ -176,10 +182,7 @@ def _settle(nodes: list[_Node], blocks: list[tuple[int, str, int, int]], params:
         for owner, text, linked, _ in blocks:
             if not nodes[owner].outside:
                 paragraph |= len(text) >= params.min_chars and 2 * linked < len(text)
-                up = owner
-                while up >= 0 and not article:
-                    article = nodes[up].tag in ("article", "main")
-                    up = nodes[up].parent
+                article |= under_article[owner]
         return article, paragraph
 
     beside = True
@@ -204,6 +207,7 @@ def parse(html: str) -> tuple[list[_Node], list[tuple[int, str, int, int]]]:
     nodes = [_Node("html", -1, False)]
     blocks: list[tuple[int, str, int, int]] = []
     stack = [0]
+    open_tags: Counter[str] = Counter()
     pieces: list[str] = []
     in_link, linked, links, articles = 0, 0, 0, 0
 
@@ -213,50 +217,62 @@ def parse(html: str) -> tuple[list[_Node], list[tuple[int, str, int, int]]]:
             text = " ".join(unescape("".join(pieces)).split())
             pieces.clear()
             if text:
-                owner = stack[-1]
-                while nodes[owner].tag not in BLOCK_TAGS and nodes[owner].parent >= 0:
-                    owner = nodes[owner].parent
-                blocks.append((owner, text, min(linked, len(text)), links))
+                blocks.append((nodes[stack[-1]].home, text, min(linked, len(text)), links))
         linked = links = 0
 
     def close(depth: int) -> None:
         nonlocal in_link, articles
         while len(stack) > depth:
             node = nodes[stack.pop()]
-            node.last = len(nodes)
+            open_tags[node.tag] -= 1
             in_link -= node.tag == "a"
             articles -= node.tag in ("article", "main")
 
+    def add_text(piece: str) -> None:
+        nonlocal linked
+        pieces.append(piece)
+        if in_link:
+            linked += len(piece.strip())
+
     at = 0
-    search = TOKEN.search
+    match = TAG.match
     while True:
-        token = search(html, at)
-        upto = token.start() if token else len(html)
-        if upto > at:
-            piece = html[at:upto]
-            pieces.append(piece)
-            if in_link:
-                linked += len(piece.strip())
-        if not token:
+        start = MARKUP.search(html, at)
+        if not start:
             break
+        if html.startswith(("<!", "<?"), start.start()):
+            comment = html.startswith("<!--", start.start())
+            end = html.find("-->" if comment else ">", start.end())
+            if start.start() > at:
+                add_text(html[at : start.start()])
+            if end < 0 and not comment:
+                at = start.start()
+                break
+            at = len(html) if end < 0 else end + (3 if comment else 1)
+            continue
+        token = match(html, start.start())
+        if not token and match is not PLAIN_TAG.match:
+            match = PLAIN_TAG.match
+            token = match(html, start.start())
+        if not token:
+            break  # no tag ends any more
+        if token.start() > at:
+            add_text(html[at : token.start()])
         at = token.end()
         tag = token.group(2)
-        if tag is None:
-            continue
         tag = tag.lower()
         if token.group(1):
             if tag in BLOCK_TAGS:
                 flush()
             elif tag == "br":
                 pieces.append(" ")
-            for depth in range(len(stack) - 1, 0, -1):
+            for depth in range(len(stack) - 1, 0, -1) if open_tags[tag] else ():
                 open_tag = nodes[stack[depth]].tag
                 if open_tag == tag:
-                    if any(nodes[k].tag in BLOCK_TAGS for k in stack[depth + 1 :]):
-                        if tag not in BLOCK_TAGS:
-                            break
                     close(depth)
                     break
+                if open_tag in BLOCK_TAGS and tag not in BLOCK_TAGS:
+                    break
             continue
         attributes = token.group(3)
         if tag == "br":
@@ -269,14 +285,14 @@ def parse(html: str) -> tuple[list[_Node], list[tuple[int, str, int, int]]]:
             continue
         if tag in BLOCK_TAGS:
             flush()
-            for depth in range(len(stack) - 1, 0, -1):
+            for depth in range(len(stack) - 1, 0, -1) if open_tags["p"] else ():
                 open_tag = nodes[stack[depth]].tag
                 if open_tag == "p":
                     close(depth)
                     break
                 if open_tag in BLOCK_TAGS:
                     break
-            if tag in CLOSES:
+            if tag in CLOSES and any(open_tags[t] for t in CLOSES[tag]):
                 for depth in range(len(stack) - 1, 0, -1):
                     open_tag = nodes[stack[depth]].tag
                     if open_tag in BORDERS[tag]:
@@ -293,15 +309,18 @@ def parse(html: str) -> tuple[list[_Node], list[tuple[int, str, int, int]]]:
             links += 1
         parent = stack[-1]
         doubt = _doubt(tag, attributes, articles > 0)
-        nodes.append(_Node(tag, parent, nodes[parent].outside or doubt == NEVER, doubt))
+        home = len(nodes) if tag in BLOCK_TAGS else nodes[parent].home
+        nodes.append(_Node(tag, parent, nodes[parent].outside or doubt == NEVER, home, doubt))
         if tag in ("article", "main") and attributes:
             named = (x or y or z for name, x, y, z in ATTRIBUTE.findall(attributes) if name.lower() in ("class", "id"))
             nodes[-1].named = any(_name_doubt(value) for value in named)
         stack.append(len(nodes) - 1)
+        open_tags[tag] += 1
         in_link += tag == "a"
         articles += tag in ("article", "main")
+    if at < len(html):
+        add_text(html[at:])
     flush()
-    close(0)
     return nodes, blocks
 
 
@@ -310,16 +329,12 @@ def main_text(html: str, params: ExtractParams | None = None) -> str:
     params = params or ExtractParams()
     nodes, blocks = parse(html)
     _settle(nodes, blocks, params)
-    for number, (owner, text, linked, links) in enumerate(blocks):
+    for owner, text, linked, links in blocks:
         if nodes[owner].outside:
             continue
-        nodes[owner].blocks.append(number)
-        up = owner
-        while up >= 0:
-            nodes[up].chars += len(text)
-            nodes[up].linked += linked
-            nodes[up].links += links
-            up = nodes[up].parent
+        nodes[owner].chars += len(text)
+        nodes[owner].linked += linked
+        nodes[owner].links += links
         if len(text) >= params.min_chars:
             density = linked / len(text)
             points = 1 + text.count(",") + min(len(text) / 100, params.max_points)
@@ -332,6 +347,12 @@ def main_text(html: str, params: ExtractParams | None = None) -> str:
                 points *= params.decay
                 up = nodes[up].parent
 
+    for node in reversed(nodes[1:]):  # children come after their parents
+        above = nodes[node.parent]
+        above.chars += node.chars
+        above.linked += node.linked
+        above.links += node.links
+
     def total(k: int) -> float:
         node = nodes[k]
         return node.score * (1 - node.linked / node.chars) if node.chars else 0.0
@@ -367,25 +388,21 @@ def main_text(html: str, params: ExtractParams | None = None) -> str:
 
     whole = nodes[best].tag in ("article", "main")
 
-    def inside(owner: int) -> bool:
-        while owner >= 0:
-            if owner in chosen:
-                return True
-            node = nodes[owner]
-            # What a page calls its article keeps its lists of links.
-            if not whole and node.tag in ("ul", "ol", "div", "section", "table") and node.links >= 3 and node.linked > params.max_link_density * node.chars:
-                return False
-            owner = node.parent
-        return False
-
-    return "\n".join(text for owner, text, _, _ in blocks if not nodes[owner].outside and inside(owner))
+    # What a page calls its article keeps its lists of links.
+    inside = [False] * len(nodes)
+    for k, node in enumerate(nodes):
+        heavy = not whole and node.tag in ("ul", "ol", "div", "section", "table") and node.links >= 3
+        heavy = heavy and node.linked > params.max_link_density * node.chars
+        inside[k] = k in chosen or (k > 0 and not heavy and inside[node.parent])
+    return "\n".join(text for owner, text, _, _ in blocks if not nodes[owner].outside and inside[owner])
 
 
 def extract(pages: DataFrame, params: ExtractParams | None = None, html: str = "html", into: str = "text") -> DataFrame:
     """``pages`` with the main text in ``into`` and without ``html``.
 
     A null or empty page has an empty text. Rows stay as they are otherwise; a
-    column already called ``into`` is replaced.
+    column already called ``into`` is replaced. The time for a page grows with its
+    length, however deeply its elements are nested and whatever is left open.
     """
     params = params or ExtractParams()
     rest = [c for c in pages.columns if c not in (html, into)]
