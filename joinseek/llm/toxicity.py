@@ -2,15 +2,16 @@
 
 Learning reads a bounded sample of labelled documents: in how many toxic and how
 many other documents each hashed n-gram occurs gives its naive Bayes log-count
-ratio; n-grams whose two shares differ significantly are kept, and a logistic
-regression is fitted on their presence times their ratio. Scoring reads every
-document in batches where it lies, without a shuffle.
+ratio; all n-grams whose two shares differ are kept, up to a rate of false
+discoveries, and a logistic regression is fitted on their presence times their
+ratio. Scoring reads every document in batches where it lies, without a shuffle.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import erfc, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -28,19 +29,20 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 class ToxicityParams:
     """``sample`` labelled documents of each class at most are learnt from, smallest hash first.
 
-    ``features`` n-grams at most enter the model. Counts of the sample and the
-    model are all that is gathered, whatever the size of the corpus.
+    N-grams are hashed to ``bits`` bits. Those enter the model whose shares differ
+    by so many standard errors that a ``false_rate`` of them at most is expected
+    to do so by chance, so small and large samples act alike. Counts of the
+    sample and the model are all that is gathered, whatever the size of the corpus.
     """
 
     sample: int = 4000
-    features: int = 2048
     min_order: int = 3
     max_order: int = 6
     bits: int = 20
-    min_z: float = 4.0
+    false_rate: float = 0.05
     smoothing: float = 1.0
     penalty: float = 1e-3
-    rounds: int = 300
+    rounds: int = 150
     threshold: float = 0.3
 
 
@@ -58,6 +60,8 @@ def held_out(key: str) -> Column:
 
 
 CHUNK = 1 << 20
+#: Features of documents that are worked on at once.
+BLOCK = 1 << 20
 
 
 def ngrams(text: str, params: ToxicityParams) -> Iterator[np.ndarray]:
@@ -128,8 +132,9 @@ def fit(docs: DataFrame, labels: DataFrame, params: ToxicityParams | None = None
     grams = grams.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     both = f"(toxic + other) / {t + c}D"
     z = f"abs(toxic / {t}D - other / {c}D) / sqrt({both} * (1 - {both} + 1e-9D) * {1 / t + 1 / c}D)"
-    chosen = grams.withColumn("z", F.expr(z)).where(f"z >= {params.min_z}D")
-    table = chosen.orderBy(F.desc("z"), "feature").limit(params.features).toPandas().sort_values("feature")
+    tested = kept_table(grams.withColumn("z", F.expr(z)), "ngrams")
+    # At most 2 to the power of ``bits`` rows: one per hashed n-gram.
+    table = tested.where(F.col("z") >= least_z(tested, params.false_rate)).toPandas().sort_values("feature")
     features = table["feature"].to_numpy(dtype=np.int64)
     if not len(features):
         return prior
@@ -145,34 +150,75 @@ def fit(docs: DataFrame, labels: DataFrame, params: ToxicityParams | None = None
                 [batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["label", "found"]
             )
 
-    rows = sample.mapInArrow(present, "label int, found array<int>").toPandas()
-    # The last column is the bias.
-    matrix = np.zeros((len(rows), len(features) + 1), np.float32)
-    matrix[:, -1] = 1
-    for i, found in enumerate(rows["found"]):
-        matrix[i, found] = ratio[found]
-    label = rows["label"].to_numpy(dtype=np.float32)
+    rows = sample.mapInArrow(present, "label int, found array<int>").toArrow()
+    found = rows.column("found").combine_chunks()
+    label = rows.column("label").to_numpy().astype(np.float32)
     weight = np.where(label == 1, toxic / t, other / c)
-    weights, bias = _logistic(matrix, label, (weight / weight.sum()).astype(np.float32), params)
+    weights, bias = _logistic(found.flatten().to_numpy(), found.value_lengths().to_numpy(), ratio, label, (weight / weight.sum()).astype(np.float32), params)
     return ToxicityModel(features, weights * ratio, bias, params)
 
 
-def _logistic(matrix: np.ndarray, label: np.ndarray, weight: np.ndarray, params: ToxicityParams) -> tuple[np.ndarray, float]:
+#: Steps per unit in which the least z is found.
+STEPS = 50
+
+
+def least_z(tested: DataFrame, false_rate: float) -> float:
+    """The least z at which no more than this share of the n-grams above is expected there by chance."""
+    counts = tested.groupBy(F.floor(F.col("z") * STEPS).cast("int").alias("step")).count().orderBy(F.desc("step")).collect()
+    total, above, least = sum(r["count"] for r in counts), 0, float("inf")
+    for r in counts:
+        above += r["count"]
+        if total * erfc(r.step / STEPS / sqrt(2)) <= false_rate * above:
+            least = r.step / STEPS
+    return least
+
+
+def _logistic(
+    found: np.ndarray, sizes: np.ndarray, ratio: np.ndarray, label: np.ndarray, weight: np.ndarray, params: ToxicityParams
+) -> tuple[np.ndarray, float]:
     """Accelerated gradient descent on the weighted log loss with a squared penalty.
 
-    All of it in single precision, so that no step copies the matrix.
+    ``found`` has the numbers of the features of each document, ``sizes`` how many
+    they are; a feature that is present has the value of its ratio. Blocks of
+    documents are taken one after another, so that no step copies all numbers.
     """
-    norms = np.einsum("ij,ij->i", matrix, matrix)
-    step = np.float32(1.0 / (0.25 * float((weight * norms).sum()) + params.penalty))
-    keep = np.full(matrix.shape[1], params.penalty, np.float32)
-    keep[-1] = 0.0
-    now = ahead = np.zeros(matrix.shape[1], np.float32)
+    ends = np.cumsum(sizes)
+    blocks, at = [], 0
+    while at < len(sizes):
+        first = ends[at] - sizes[at]
+        to = max(at + 1, int(np.searchsorted(ends, first + BLOCK, side="right")))
+        blocks.append((at, to, int(first), int(ends[to - 1])))
+        at = to
+
+    def sums(values: np.ndarray) -> np.ndarray:
+        """Per document the sum of its features' values."""
+        out = np.zeros(len(sizes), np.float32)
+        for low, high, start, stop in blocks:
+            held = np.flatnonzero(sizes[low:high])
+            if len(held):
+                offsets = (ends[low:high] - sizes[low:high] - start)[held]
+                out[low + held] = np.add.reduceat(values[found[start:stop]], offsets)
+        return out
+
+    def gathered(values: np.ndarray) -> np.ndarray:
+        """Per feature the sum of its documents' values."""
+        out = np.zeros(len(ratio), np.float64)
+        for low, high, start, stop in blocks:
+            out += np.bincount(found[start:stop], np.repeat(values[low:high], sizes[low:high]), minlength=len(ratio))
+        return out
+
+    scale = ratio.astype(np.float32)
+    step = 1.0 / (0.25 * float((weight * (1 + sums(scale * scale))).sum()) + params.penalty)
+    now = ahead = np.zeros(len(ratio), np.float32)
+    bias = bias_ahead = 0.0
     for k in range(params.rounds):
-        error = 1 / (1 + np.exp(-np.clip(matrix @ ahead, -50, 50))) - label
-        after = ahead - step * ((weight * error) @ matrix + keep * ahead)
-        ahead = after + np.float32(k / (k + 3)) * (after - now)
-        now = after
-    return now[:-1].astype(np.float64), float(now[-1])
+        error = weight * (1 / (1 + np.exp(-np.clip(sums(scale * ahead) + bias_ahead, -50, 50))) - label)
+        after = (ahead - step * (scale * gathered(error) + params.penalty * ahead)).astype(np.float32)
+        bias_after = bias_ahead - step * float(error.sum())
+        pace = k / (k + 3)
+        ahead, bias_ahead = after + np.float32(pace) * (after - now), bias_after + pace * (bias_after - bias)
+        now, bias = after, bias_after
+    return now.astype(np.float64), bias
 
 
 def _lookup(features: np.ndarray, params: ToxicityParams) -> np.ndarray:
