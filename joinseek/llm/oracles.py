@@ -34,14 +34,14 @@ def _mix() -> str:
             FROM rates{depth})""")
     return rf"""
     WITH sized AS (SELECT doc_id, {domain} AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
-            CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS n_tokens FROM documents),
+            CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS n_tokens, md5(coalesce(text, '')) AS mark FROM documents),
         leaf AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS tokens,
             CAST(sum(n_tokens) * {MIX.max_epochs} AS DOUBLE) AS capacity FROM sized GROUP BY ALL),
         {','.join(steps)},
         plan AS (SELECT domain, lang, source, greatest(tokens, 1) AS tokens, CAST(floor(budget + 0.000001) AS BIGINT) AS budget
             FROM leaf JOIN above2 USING (domain, lang, source)),
         placed AS (SELECT sized.*, budget // tokens AS whole, budget % tokens AS rest,
-            md5('{MIX.seed}:' || (budget // tokens) || ':' || doc_id) AS place
+            md5('{MIX.seed}:' || (budget // tokens) || ':' || doc_id || ':' || mark) AS place
             FROM sized JOIN plan USING (domain, lang, source)),
         since AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY place, doc_id
             ROWS UNBOUNDED PRECEDING) - n_tokens AS since FROM placed),

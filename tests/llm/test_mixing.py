@@ -56,12 +56,16 @@ def prefix(docs, budgets, seed, epochs_key):
     """Copies by hand: {(doc_id, epoch): words taken}."""
     chosen = {}
     for leaf, budget in budgets.items():
-        mine = [(i, n) for i, n, where in docs if where == leaf]
-        tokens = sum(n for _, n in mine)
+        mine = [(i, n, text) for i, n, where, text in docs if where == leaf]
+        tokens = sum(n for _, n, _ in mine)
         full, rest = divmod(budget, max(tokens, 1))
         for epoch in range(full):
-            chosen.update({(i, epoch): n for i, n in mine})
-        for i, n in sorted(mine, key=lambda x: hashlib.md5(f"{seed}:{full}:{x[0]}".encode()).hexdigest()):
+            chosen.update({(i, epoch): n for i, n, _ in mine})
+
+        def place(doc, full=full):
+            return hashlib.md5(f"{seed}:{full}:{doc[0]}:{hashlib.md5(doc[2].encode()).hexdigest()}".encode()).hexdigest()
+
+        for i, n, _ in sorted(mine, key=place):
             if rest <= 0:
                 break
             chosen[i, full] = min(n, rest)
@@ -75,9 +79,9 @@ def test_selection_is_a_seeded_prefix(spark, budget, epochs):
     rows = [(i, " ".join("w" * draw.randint(1, 9)), draw.choice(["en", "de"]), draw.choice(["src1", "src2"]), 0) for i in range(400)]
     docs = spark.createDataFrame(rows, DOCS)
     params = MixParams(weights={"lang": {"en": 3.0}}, budget=budget, max_epochs=epochs, steps=1)
-    counted = [(i, len(t.split()), ("", la, s)) for i, t, la, s, _ in rows]
+    counted = [(i, len(t.split()), ("", la, s), t) for i, t, la, s, _ in rows]
     leaves = {}
-    for _, n, where in counted:
+    for _, n, where, _ in counted:
         leaves[where] = leaves.get(where, 0) + n
     table = spark.createDataFrame([(*k, v) for k, v in leaves.items()], "domain string, lang string, source string, tokens bigint")
     budgets = {(r.domain, r.lang, r.source): r.budget for r in leaf_budgets(table, params).collect()}
@@ -107,3 +111,16 @@ def test_leaves_of_weight_0_are_no_capacity(spark):
         got = {(r.domain, r.lang, r.source): r.budget for r in found}
         want = dict.fromkeys([tuple(r[:3]) for r in rows], 0)
         assert got == want | {("a", "en", "s"): 10, ("b", "en", "s"): last}
+
+
+@pytest.mark.parametrize(("budget", "steps"), [(3.0, 1), (121.0, 2)])
+def test_shared_keys_and_equal_rows_do_not_overspend(spark, budget, steps):
+    texts = [f"one two three w{k}" for k in range(50)]
+    rows = [(None, t, "en", "s", 0) for t in texts] + [(k, t, "en", "s", 0) for k, t in enumerate(texts)]
+    rows += [(None, "the same four words", "de", "s", 0)] * 60 + [(7, "the same four words", "de", "s", 0)] * 40
+    docs = spark.createDataFrame(rows, DOCS).repartition(5)
+    params = MixParams(weights={"lang": {"en": 1.0, "de": 1.0}}, budget=2 * budget, max_epochs=1, steps=steps)
+    for found in (selection(docs, params), mixed(docs, params)):
+        taken = {la: [r.n_taken for r in found.collect() if r.lang == la] for la in ("en", "de")}
+        for la in taken:
+            assert sum(taken[la]) == int(budget) and sum(n < 4 for n in taken[la]) == (budget % 4 > 0)
