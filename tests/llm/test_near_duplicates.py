@@ -52,7 +52,7 @@ def clustered(n):
     return sorted(set(out))
 
 
-@pytest.mark.parametrize("params", [SimHashParams(), SimHashParams(shard=8, sample=50, split=5), SimHashParams(slices=2, shard=30), SimHashParams(slices=5, shard=30, sample=0)])
+@pytest.mark.parametrize("params", [SimHashParams(), SimHashParams(shard=8, sample=50, split=5), SimHashParams(max_depth=1, split=60), SimHashParams(slices=2, shard=30), SimHashParams(slices=5, shard=30, sample=0)])
 def test_links_connect_what_brute_force_connects(spark, params):
     fps = clustered(400)
     signed = np.array(fps, dtype=np.uint64).view(np.int64).tolist()
@@ -67,7 +67,7 @@ def test_links_connect_what_brute_force_connects(spark, params):
 
 def test_every_pair_meets_where_one_is_at_home():
     fps = np.array(clustered(300), dtype=np.uint64)
-    tree = grow_tree(fps[:64], 0, 64, 4, 5)
+    tree = grow_tree(fps[:64], 0, 64, 4, 4, 5)
     row, shard, home = tree.route(fps)
     assert home.sum() == len(fps)
     at = {(int(s), int(r)) for r, s in zip(row, shard, strict=True)}
@@ -76,6 +76,25 @@ def test_every_pair_meets_where_one_is_at_home():
     assert all((own[a], b) in at or (own[b], a) in at for a, b in near.tolist())
 
 
+def test_equal_slices_are_told_apart_by_all_bits(spark):
+    """A third and more of the fingerprints share the low slice."""
+    fps = sorted({x & ~((1 << 21) - 1) for x in clustered(400)} | set(clustered(100)))
+    values = np.array(fps, dtype=np.uint64)
+    tree = grow_tree(values[::2], 0, 21, 4, 1, 6)
+    assert (tree.reaches == 4).any() and (tree.reaches == 1).any()
+    row, shard, home = tree.route(values)
+    assert np.bincount(shard[home]).max() < len(fps) / 4
+    own = {int(r): int(s) for r, s, h in zip(row, shard, home, strict=True) if h}
+    at = {(int(s), int(r)) for r, s in zip(row, shard, strict=True)}
+    apart = values[:, None] ^ values[None, :]
+    close = np.argwhere((np.bitwise_count(apart) <= 4) & (np.bitwise_count(apart & np.uint64((1 << 21) - 1)) <= 1))
+    assert all((own[a], b) in at or (own[b], a) in at for a, b in close.tolist())
+    nodes = spark.createDataFrame([(x,) for x in values.view(np.int64).tolist()], "fp bigint")
+    root = {r.node: r.root for r in components(links(nodes, SimHashParams(shard=16, split=40))).collect()}
+    got, want = [root.get(x, x) for x in values.view(np.int64).tolist()], grouped(fps)
+    assert len(set(zip(got, want, strict=True))) == len(set(got)) == len(set(want))
+
+
 def test_components_of_long_chains_and_stars(spark):
     chain = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 400)] + [(500, 500), (700, 600)]
     DRAW.shuffle(chain)
