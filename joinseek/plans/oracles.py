@@ -27,11 +27,10 @@ SCHEMAS = {
     # Its vectors are left out: no other column holds arrays.
     "embeddings": "vec_id:i label:i",
     "derived": "o_orderkey:i o_custkey:i priority:s price:d day_text:s rare_day:s is_open:b",
-    "finished": "o_orderkey:i o_custkey:i o_orderstatus:s o_totalprice:d o_orderdate:t o_orderpriority:s",
-    "unfinished": "o_orderkey:i o_custkey:i o_orderstatus:s o_totalprice:d o_orderdate:t o_orderpriority:s",
     "residues": "k:i",
     "parts": " ".join(f"m{m}:i" for m in TIES),
 }
+SCHEMAS |= dict.fromkeys(("finished", "unfinished"), SCHEMAS["lineitem"])
 FIXED = {"i": "Numerical", "d": "Numerical", "b": "Boolean"}
 
 DERIVED = """(SELECT o_orderkey, o_custkey,
@@ -42,8 +41,8 @@ DERIVED = """(SELECT o_orderkey, o_custkey,
   o_orderstatus = 'O' AS is_open FROM orders) AS derived"""
 SOURCES = {
     "derived": DERIVED,
-    "finished": "(SELECT * FROM orders WHERE o_orderstatus = 'F') AS finished",
-    "unfinished": "(SELECT * FROM orders WHERE o_orderstatus <> 'F') AS unfinished",
+    "finished": "(SELECT * FROM lineitem WHERE l_linestatus = 'F') AS finished",
+    "unfinished": "(SELECT * FROM lineitem WHERE l_linestatus <> 'F') AS unfinished",
     "residues": "(SELECT o_orderkey % 4000 AS k FROM orders) AS residues",
     "parts": f"(SELECT {', '.join(f'o_orderkey % {m} AS m{m}' for m in TIES)} FROM orders) AS parts",
 }

@@ -309,22 +309,22 @@ def similar_names(spark: SparkSession, folder: str) -> DataFrame:
 HALVES = ("finished", "unfinished")
 
 
-def order_halves(spark: SparkSession, folder: str) -> Tables:
-    """Orders split by status, so that some column pairs fail."""
-    orders = load(spark, folder, "orders")["orders"]
-    finished = F.col("o_orderstatus") == "F"
-    return dict(zip(HALVES, (orders.where(finished), orders.where(~finished)), strict=True))
+def line_halves(spark: SparkSession, folder: str) -> Tables:
+    """Lines of orders split by status, so that some column pairs fail."""
+    lines = load(spark, folder, "lineitem")["lineitem"]
+    finished = F.col("l_linestatus") == "F"
+    return dict(zip(HALVES, (lines.where(finished), lines.where(~finished)), strict=True))
 
 
 def combined_columns(spark: SparkSession, folder: str) -> DataFrame:
-    t = order_halves(spark, folder)
+    t = line_halves(spark, folder)
     catalog = settle(profile(t, distinct=False))
     singles = common_columns(catalog, pair_table(spark, [HALVES]))
     return report_rows(measure_overlap(t, column_combinations(singles), catalog, min_join=0.0))
 
 
 def hierarchical_discard(spark: SparkSession, folder: str) -> DataFrame:
-    t = order_halves(spark, folder)
+    t = line_halves(spark, folder)
     catalog = settle(profile(t, distinct=False))
     singles = common_columns(catalog, pair_table(spark, [HALVES]))
     parents = hier_parents(measure_overlap(t, singles, catalog, min_join=0.001), 1)
@@ -333,7 +333,7 @@ def hierarchical_discard(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def hierarchical_rest(spark: SparkSession, folder: str) -> DataFrame:
-    t = order_halves(spark, folder)
+    t = line_halves(spark, folder)
     catalog = settle(profile(t, distinct=False))
     singles = common_columns(catalog, pair_table(spark, [HALVES]))
     parents = hier_parents(measure_overlap(t, singles, catalog, min_join=0.001), 1)
@@ -588,7 +588,7 @@ def searched(*pairs: tuple[str, str], what: str = "report", **options) -> Callab
 
 def halves_search(spark: SparkSession, folder: str) -> DataFrame:
     """Tables with equal names: the search ends in its first stage, combinations included."""
-    found = discover_joins(order_halves(spark, folder), [HALVES], Params(name_methods=NAME_METHODS))
+    found = discover_joins(line_halves(spark, folder), [HALVES], Params(name_methods=NAME_METHODS))
     return found.report.selectExpr("stage", *REPORT)
 
 
