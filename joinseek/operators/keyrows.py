@@ -25,6 +25,9 @@ ColumnSet = tuple[str, tuple[str, ...]]
 BITS = 63
 SETS_PER_PASS = 8 * BITS
 
+#: Up to so many column sets share masks also if each of them is in one pair only.
+MASKED_SETS = BITS
+
 
 class KeyLayout:
     """The typed columns that hold the keys of some column sets.
@@ -234,6 +237,50 @@ SUMS = {
 }
 
 
+def _separate_counts(tables: Mapping[str, DataFrame], pairs: DataFrame) -> DataFrame:
+    """``pair_counts`` of pairs that share no column set: a key carries its pair and two bits.
+
+    Masks would be as wide as all sets and never hold more than one pair. All
+    pairs are one pass, and the plan has the same size for any number of them.
+    """
+    rows = pairs.select("left_table", "right_table", "left", "right").collect()
+    wanted = sorted((r.left_table, tuple(r.left), r.right_table, tuple(r.right)) for r in rows)
+    width = max(len(left) for _, left, _, _ in wanted)
+    frames = []
+    for bit, at in ((1, 0), (2, 2)):
+        for table in sorted({w[at] for w in wanted}):
+            ids = [i for i, w in enumerate(wanted) if w[at] == table]
+            keys = _numbered_keys(tables[table], 0, [wanted[i][at + 1] for i in ids], width)
+            number = f"get(array({', '.join(map(str, ids))}), id) AS id"
+            frames.append(keys.selectExpr(number, *keys.columns[1:], f"{bit} AS side"))
+    every = union_all(frames)
+    keys = every.groupBy(*every.columns[:-1]).agg(F.bit_or("side").alias("sides"))
+    arity = f"get(array({', '.join(str(len(w[1])) for w in wanted)}), id)"
+    absent = (f"({arity} > {i} AND {' AND '.join(f'{p}{i} IS NULL' for p in PARTS)})" for i in range(width))
+    keys = keys.selectExpr("id", "sides", f"({' OR '.join(absent)}) AS has_null")
+    tests = {
+        "n_left": "sides & 1 = 1",
+        "n_right": "sides & 2 = 2",
+        "common": "sides = 3",
+        "full_common": "sides = 3 AND NOT has_null",
+    }
+    sums = keys.groupBy("id").agg(*(F.expr(f"count_if({test})").alias(name) for name, test in tests.items()))
+    text, many = pa.string(), pa.list_(pa.string())
+    names = local_table(
+        pairs.sparkSession,
+        {
+            "id": list(range(len(wanted))),
+            "left_table": [w[0] for w in wanted],
+            "left": [list(w[1]) for w in wanted],
+            "right_table": [w[2] for w in wanted],
+            "right": [list(w[3]) for w in wanted],
+        },
+        {"id": pa.int32(), "left_table": text, "left": many, "right_table": text, "right": many},
+    )
+    counted = names.join(sums, "id", "left").drop("id").na.fill(0, list(tests))
+    return pairs.join(counted, ["left_table", "right_table", "left", "right"]).select(*pairs.columns, *tests)
+
+
 def pair_counts(tables: Mapping[str, DataFrame], pairs: DataFrame) -> DataFrame:
     """``pairs`` (left_table, right_table, left, right) with their key counts.
 
@@ -244,10 +291,14 @@ def pair_counts(tables: Mapping[str, DataFrame], pairs: DataFrame) -> DataFrame:
     The driver reads the distinct column sets to build the scans; pairs meet their
     counts by number of the set. All pairs share one scan of each table and one
     shuffle by key; a pass holds at most ``SETS_PER_PASS`` column sets, so that a
-    mask is a few words wide however many pairs there are.
+    mask is a few words wide however many pairs there are. Many pairs that share no
+    column set carry the number of the pair instead of a mask.
     """
     sides = [pairs.selectExpr(f"{side}_table AS table", f"{side} AS columns") for side in ("left", "right")]
     sets = sorted((r.table, tuple(r.columns)) for r in sides[0].unionAll(sides[1]).distinct().collect())
+    plain = not any(needs_text(tables[t].schema[c].dataType) for t, columns in sets for c in columns)
+    if len(sets) > MASKED_SETS and plain and len(sets) == 2 * pairs.count():
+        return _separate_counts(tables, pairs)
     numbers = local_table(
         pairs.sparkSession,
         {"number": list(range(len(sets))), "table": [t for t, _ in sets], "columns": [list(c) for _, c in sets]},
