@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import types as T
 
 from joinseek.session import quoted
@@ -108,3 +110,26 @@ def key_parts(name: str, dtype: T.DataType, as_text: bool = False) -> dict[str,
     key = join_key(name, dtype)
     free_text = isinstance(dtype, (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType))
     return {"s": _compact(key) if free_text else key}
+
+
+def typed_values(schema: T.StructType, names: Sequence[str]) -> list[str]:
+    """The columns as structs of one type, SQL text."""
+    values = []
+    for name in names:
+        parts = key_parts(name, schema[name].dataType)
+        fields = (f"'{p}', {parts.get(p, f'CAST(NULL AS {kind})')}" for p, kind in PARTS.items())
+        values.append(f"named_struct({', '.join(fields)})")
+    return values
+
+
+def set_codes(names: Sequence[str], sets: Sequence[Sequence[str]]) -> tuple[list[int], int]:
+    """One number per column set, whose digits name its columns, and their base."""
+    place = {c: i + 1 for i, c in enumerate(names)}
+    base = len(names) + 1
+    return [sum(place[c] * base**i for i, c in enumerate(columns)) for columns in sets], base
+
+
+def key_fields(base: int, width: int) -> list[str]:
+    """The key a ``code`` names, out of the array ``held`` of typed values."""
+    digits = (f"CAST(code div {base**i} % {base} AS INT) - 1" for i in range(width))
+    return [f"get(held, {digit}).{p} AS {p}{i}" for i, digit in enumerate(digits) for p in PARTS]

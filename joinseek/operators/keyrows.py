@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from joinseek.functions.values import PARTS, key_parts, needs_text
+from joinseek.functions.values import PARTS, key_fields, key_parts, needs_text, set_codes, typed_values
+from joinseek.operators.levels import level_counts
 from joinseek.operators.profile import union_all
 from joinseek.session import local_table, quoted
 
@@ -154,14 +155,9 @@ def _numbered_keys(
     each set, only the rows of one in ``slices`` of its values are taken.
     """
     used = sorted({c for columns in sets for c in columns})
-    place = {c: i + 1 for i, c in enumerate(used)}
-    base = len(used) + 1
-    values = []
-    for name in used:
-        parts = key_parts(name, df.schema[name].dataType)
-        fields = (f"'{p}', {parts.get(p, f'CAST(NULL AS {kind})')}" for p, kind in PARTS.items())
-        values.append(f"named_struct({', '.join(fields)})")
-    codes = [f"{sum(place[c] * base**i for i, c in enumerate(columns))}L" for columns in sets]
+    values = typed_values(df.schema, used)
+    numbers, base = set_codes(used, sets)
+    codes = [f"{n}L" for n in numbers]
     if slicer is None:
         rows = df.selectExpr(f"array({', '.join(values)}) AS held").selectExpr("held", f"posexplode(array({', '.join(codes)})) AS (at, code)")
     else:
@@ -174,9 +170,7 @@ def _numbered_keys(
             parts.append(f"IF(pmod(xxhash64({quoted(name)}), {slices}) = 0, array({entries}), array())")
         taken = df.selectExpr(f"array({', '.join(values)}) AS held", f"concat({', '.join(parts)}) AS taken").where("size(taken) > 0")
         rows = taken.selectExpr("held", "inline(taken)")
-    digits = (f"CAST(code div {base**i} % {base} AS INT) - 1" for i in range(width))
-    parts = [f"get(held, {digit}).{p} AS {p}{i}" for i, digit in enumerate(digits) for p in PARTS]
-    return rows.selectExpr(f"at + {first} AS id", *parts)
+    return rows.selectExpr(f"at + {first} AS id", *key_fields(base, width))
 
 
 def key_counts(spark: SparkSession, tables: Mapping[str, DataFrame], sets: Sequence[ColumnSet]) -> DataFrame:
@@ -292,13 +286,15 @@ def pair_counts(tables: Mapping[str, DataFrame], pairs: DataFrame) -> DataFrame:
     counts by number of the set. All pairs share one scan of each table and one
     shuffle by key; a pass holds at most ``SETS_PER_PASS`` column sets, so that a
     mask is a few words wide however many pairs there are. Many pairs that share no
-    column set carry the number of the pair instead of a mask.
+    column set carry the number of the pair instead of a mask, level by level if
+    some have several columns.
     """
     sides = [pairs.selectExpr(f"{side}_table AS table", f"{side} AS columns") for side in ("left", "right")]
     sets = sorted((r.table, tuple(r.columns)) for r in sides[0].unionAll(sides[1]).distinct().collect())
     plain = not any(needs_text(tables[t].schema[c].dataType) for t, columns in sets for c in columns)
     if len(sets) > MASKED_SETS and plain and len(sets) == 2 * pairs.count():
-        return _separate_counts(tables, pairs)
+        wide = any(len(columns) > 1 for _, columns in sets)
+        return level_counts(tables, pairs) if wide else _separate_counts(tables, pairs)
     numbers = local_table(
         pairs.sparkSession,
         {"number": list(range(len(sets))), "table": [t for t, _ in sets], "columns": [list(c) for _, c in sets]},

@@ -1,10 +1,12 @@
+import random
+from collections import Counter
 from itertools import combinations
 from math import isnan
 
 import pytest
 from pyspark.sql import functions as F
 
-from joinseek.operators import keyrows
+from joinseek.operators import keyrows, levels
 
 
 @pytest.fixture(scope="module")
@@ -54,3 +56,56 @@ def test_plan_of_separate_pairs_has_no_wide_mask(spark, tables, monkeypatch):
     pairs = spark.createDataFrame([("one", "two", [c], [c]) for c in "ade"], "left_table string, right_table string, left array<string>, right array<string>")
     plan = keyrows.pair_counts(tables, pairs)._jdf.queryExecution().optimizedPlan().toString()
     assert "bit_or(side" in plan and "w0" not in plan
+
+
+def test_levels_leave_out_rows_alone_in_a_key(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(i, rng.randint(0, 40), rng.choice([None, "a", "b"]), rng.randint(0, 2), rng.choice([None, 0.5, 2.0])) for i in range(120)]
+    names = ["u", "v", "w", "x", "y"]
+    tables = {
+        "one": spark.createDataFrame(rows, "u int, v int, w string, x int, y double"),
+        "two": spark.createDataFrame([(i + 100, *rest) for i, *rest in rows[:90]], "u int, v int, w string, x int, y double"),
+    }
+    combos = [list(c) for k in (2, 3) for c in combinations(names, k)]
+    listed = [("one", "two", c, c) for c in combos] + [("one", "one", ["u", "v"], ["x", "u"]), ("two", "two", ["x"], ["v"])]
+    pairs = spark.createDataFrame(listed, "left_table string, right_table string, left array<string>, right array<string>")
+    pairs = pairs.where("left_table != right_table OR size(left) = 1")
+    shuffled, plain = [], levels._keys
+
+    def counted(*arguments):
+        frame = plain(*arguments)
+        shuffled.append(frame.count())
+        return frame
+
+    monkeypatch.setattr(levels, "_keys", counted)
+    found = levels.level_counts(tables, pairs).collect()
+    assert len(found) == len(combos) + 1
+    for r in found:
+        assert (r.n_left, r.n_right, r.common, r.full_common) == brute(tables, r), r
+    # Keys are made of the rows that are alone in no smaller set, and of no others.
+    sides = [[dict(zip(names, r, strict=True)) for r in tables[t].collect()] for t in ("one", "two")]
+    both = sides[0] + sides[1]
+    alone = {}
+    for k in (1, 2):
+        for c in combinations(names, k):
+            often = Counter(tuple(r[n] for n in c) for r in both)
+            alone[c] = [often[tuple(r[n] for n in c)] == 1 for r in both]
+    expected = 0
+    for k in (1, 2, 3):
+        for c in combinations(names, k):
+            inner = [alone[part] for size in range(1, k) for part in combinations(c, size)]
+            expected += sum(not any(marks) for marks in zip(*inner, strict=True)) if inner else len(both)
+    of_two = 2 * len(rows[:90])
+    assert sum(shuffled) == expected + of_two
+    assert expected < 25 * len(both)
+
+
+def test_levels_of_one_table_on_both_sides(spark):
+    rows = [(i % 7, i % 5, i % 3, i) for i in range(40)] + [(None, 1, None, 2)] * 3
+    tables = {"t": spark.createDataFrame(rows, "a int, b int, c int, d int")}
+    listed = [("t", "t", ["a", "b"], ["c", "d"]), ("t", "t", ["a"], ["b"]), ("t", "t", ["b", "a", "d"], ["d", "c", "a"])]
+    pairs = spark.createDataFrame(listed, "left_table string, right_table string, left array<string>, right array<string>")
+    found = levels.level_counts(tables, pairs).collect()
+    assert len(found) == 3
+    for r in found:
+        assert (r.n_left, r.n_right, r.common, r.full_common) == brute(tables, r), r
