@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from joinseek.llm.hot import joined_by_key
+from joinseek.llm.text import kept_table
 from joinseek.session import quoted
 
-#: Rows of one URL pattern are dealt to so many parts on the way to the join.
-SALTS = 16
-
 
 def host_of(url: Column) -> Column:
     """The host in lower case, without user, port and final dot; null if there is none."""
@@ -56,6 +55,28 @@ def validity(entries: DataFrame) -> DataFrame:
     return daily.selectExpr("pattern", "list", "action", "listed_on AS valid_from", f"{until} AS valid_to")
 
 
+def in_force(asked: DataFrame, intervals: DataFrame) -> DataFrame:
+    """The as-of join: ``asked`` (pattern, at, ...) with the entry in force at that time, in ``m``.
+
+    ``intervals`` are those of ``validity``. Both sides stand in one row of time per
+    pattern and list, and every question carries the last interval begun, so that m
+    intervals and n questions are m + n rows. Of several lists a block comes before an
+    allow, then the first by name. Questions no list answers are left out.
+    """
+    lists = intervals.select("pattern", "list").distinct()
+    rest = [c for c in asked.columns if c not in ("pattern", "at")]
+    begun = "named_struct('action', action, 'valid_from', valid_from, 'valid_to', valid_to)"
+    nothing = (f"CAST(NULL AS {asked.schema[c].dataType.simpleString()}) AS {quoted(c)}" for c in rest)
+    starts = intervals.selectExpr("pattern", "list", "valid_from AS at", "0 AS turn", f"{begun} AS begun", *nothing)
+    none = f"CAST(NULL AS {starts.schema['begun'].dataType.simpleString()}) AS begun"
+    line = asked.join(lists, "pattern").selectExpr("pattern", "list", "at", "1 AS turn", none, *rest).unionAll(starts)
+    last = "last_value(begun) IGNORE NULLS OVER (PARTITION BY pattern, list ORDER BY at, turn ROWS UNBOUNDED PRECEDING) AS last"
+    answered = line.selectExpr("pattern", "list", "at", "turn", *rest, last).where("turn = 1")
+    active = answered.where("last.action IN ('block', 'allow') AND (last.valid_to IS NULL OR at < last.valid_to)")
+    first = "min(struct(last.action = 'allow' AS allowed, list, last.valid_from)) AS m"
+    return active.groupBy("pattern", "at", *rest).agg(F.expr(first))
+
+
 def screened(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: str = "fetched_on") -> DataFrame:
     """``captures`` with blocked, matched_pattern, matched_list and listed_on.
 
@@ -64,17 +85,24 @@ def screened(captures: DataFrame, entries: DataFrame, url: str = "url", fetched:
     block before an allow; ``remove`` ends an entry. A capture without a valid
     URL or day matches nothing and is not blocked. Rows that agree in URL and day
     get the same verdict and all stay; columns called as the four are replaced.
+    Days are compared in the type of ``listed_on``.
+
+    Captures ask once per pattern and day, however many there are, and patterns
+    and days that many captures share get their answer by a broadcast.
     """
     made = ["blocked", "matched_pattern", "matched_list", "listed_on"]
     rest = [quoted(c) for c in captures.columns if c not in made]
     # Copies of a capture are judged once.
     seen = captures.select(F.col(quoted(url)).alias("__url"), F.col(quoted(fetched)).alias("__day")).distinct()
-    keyed = seen.select("__url", "__day", F.posexplode(url_patterns(F.col("__url"))).alias("__rank", "pattern"))
-    keyed = keyed.withColumn("__salt", F.expr(f"CAST(pmod(xxhash64(__url, __day), {SALTS}) AS INT)"))
-    active = validity(entries).where("action IN ('block', 'allow')")
-    active = active.withColumn("__salt", F.expr(f"explode(sequence(0, {SALTS - 1}))"))
-    hits = keyed.join(active, ["pattern", "__salt"]).where("__day >= valid_from AND (valid_to IS NULL OR __day < valid_to)")
-    first = F.min(F.struct("__rank", F.expr("action = 'allow' AS allowed"), "list", "valid_from", "pattern")).alias("m")
+    at = F.col("__day").cast(entries.schema["listed_on"].dataType).alias("at")
+    keyed = seen.where("__day IS NOT NULL").select("__url", "__day", at, F.posexplode(url_patterns(F.col("__url"))).alias("__rank", "pattern"))
+    # Only patterns that a list names go on.
+    intervals = kept_table(validity(entries), "intervals")
+    keyed = kept_table(keyed.join(intervals.select("pattern").distinct(), "pattern", "left_semi"), "captures")
+    asked = keyed.groupBy("pattern", "at").agg(F.count(F.lit(1)).alias("captures"))
+    answers = kept_table(in_force(asked, intervals), "answers")
+    hits = joined_by_key(keyed, answers, ["pattern", "at"], "captures", keyed.count())
+    first = F.min(F.expr("struct(__rank, m.allowed, m.list, m.valid_from, pattern)")).alias("m")
     verdicts = hits.groupBy("__url", "__day").agg(first)
     joined = captures.join(
         verdicts, (F.col(quoted(url)) == F.col("__url")) & (F.col(quoted(fetched)) == F.col("__day")), "left"

@@ -188,6 +188,26 @@ def test_lists_hold_from_day_to_day(spark):
     assert url_filters.screened(seen.limit(0), listed).count() == 0
 
 
+def test_as_of_join_of_a_hot_pattern(spark):
+    """A pattern with many entries and captures gives one answer per day, and times count by their day."""
+    listed = spark.range(400).selectExpr(
+        "'l' AS list", "'h.com' AS pattern", "element_at(array('block', 'allow', 'remove'), CAST(id % 3 + 1 AS INT)) AS action",
+        "date_add(DATE '2024-01-01', CAST(id * 2 AS INT)) AS listed_on",
+    )
+    seen = spark.range(3000).selectExpr("id", "concat('http://h.com/', id) AS url", "timestamp_seconds(1704067200 + id * 43200 - 1) AS fetched_on")
+    asked = seen.selectExpr("'h.com' AS pattern", "CAST(fetched_on AS DATE) AS at").groupBy("pattern", "at").count()
+    assert url_filters.in_force(asked, url_filters.validity(listed)).count() <= asked.count()
+    got = url_filters.screened(seen, listed).collect()
+    assert len(got) == 3000
+    for r in got:
+        day = (r.fetched_on.date() - datetime.date(2024, 1, 1)).days
+        latest = min(day // 2, 399)
+        action = None if day < 0 else ("block", "allow", "remove")[latest % 3]
+        assert r.blocked == (action == "block"), r
+        began = datetime.date(2024, 1, 1) + datetime.timedelta(2 * latest) if action in ("block", "allow") else None
+        assert r.listed_on == began, r
+
+
 def toxic_corpus(n):
     vocabulary = ["".join(DRAW.choice("aeioulnrst") for _ in range(DRAW.randint(2, 6))) for _ in range(300)]
     rows = []
