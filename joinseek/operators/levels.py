@@ -4,7 +4,8 @@ A row whose values in some columns are found in no other row of either side has
 key of its own in every larger set that holds those columns. Such rows are told
 from the counts of the smaller sets and left out of the larger ones, where they
 are one key each and match nothing. Only the other rows are turned into keys and
-shuffled.
+shuffled. Large tables are dealt out by home column instead (``homes``), since the
+keys of all levels would be many times the tables.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from joinseek.functions.values import PARTS, key_fields, set_codes, typed_values
+from joinseek.operators.homes import HOME_ROWS, Side, home_sums
 from joinseek.operators.profile import union_all
 from joinseek.session import local_table, written
 
@@ -54,10 +56,15 @@ def level_counts(tables: Mapping[str, DataFrame], pairs: DataFrame) -> DataFrame
     each width. Every level is one shuffle by key, before which keys are counted,
     and one by row of the marks of rows alone in a key. The tables are written
     once as typed values with a number per row, so that a lost task finds the same
-    numbers again.
+    numbers again. Tables of ``HOME_ROWS`` rows and more are counted by home.
     """
     rows = pairs.select("left_table", "right_table", "left", "right").collect()
     wanted = {(r.left_table, tuple(r.left), r.right_table, tuple(r.right)) for r in rows}
+    totals = {t: tables[t].count() for t in sorted({p[at] for p in wanted for at in SIDES})}
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if sum(totals.values()) >= HOME_ROWS:
+        every = sorted(wanted, key=lambda p: (len(p[1]), p))
+        return _with_sums(pairs, every, every, totals, _home_counts(tables, every, totals, parts))
     single = {(a, (x,), b, (y,)) for a, left, b, right in wanted for x, y in zip(left, right, strict=True)}
     every: list[Pair] = sorted(wanted | single, key=lambda p: (len(p[1]), p))
     inner = _inner_pairs(every)
@@ -71,12 +78,10 @@ def level_counts(tables: Mapping[str, DataFrame], pairs: DataFrame) -> DataFrame
     names = sorted(used)
     # The rows are dealt out first: each becomes as many keys as there are pairs, which one task would make
     # of a table in one row group, and adaptive execution would put small partitions together again.
-    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     held = {}
     for t in names:
         typed = tables[t].selectExpr(f"array({', '.join(typed_values(tables[t].schema, used[t]))}) AS held")
         held[t] = written(typed.repartition(parts).selectExpr("held", "monotonically_increasing_id() AS row"))
-    totals = {t: held[t].count() for t in names}
 
     marks, sums = None, []
     for width in widths:
@@ -101,19 +106,39 @@ def level_counts(tables: Mapping[str, DataFrame], pairs: DataFrame) -> DataFrame
                 F.expr("count_if(nl > 0 AND nr > 0 AND NOT has_null) AS full_common"),
             )
         )
+    return _with_sums(pairs, every, [p for p in every if p in wanted], totals, union_all(sums))
+
+
+def _home_counts(tables: Mapping[str, DataFrame], every: list[Pair], totals: Mapping[str, int], parts: int) -> DataFrame:
+    """The sums of all pairs of column sets, tables of each pair of tables dealt out by home column."""
+    found = []
+    for left, right in sorted({(p[0], p[2]) for p in every}):
+        mine = {i: p for i, p in enumerate(every) if (p[0], p[2]) == (left, right)}
+        singles = sorted({c for p in mine.values() for c in _columns(p)})
+        place = {c: n for n, c in enumerate(singles)}
+        sides = [Side(k, tables[t], [c[k] for c in singles]) for k, t in enumerate((left, right))]
+        sets = {i: [place[c] for c in zip(p[1], p[3], strict=True)] for i, p in mine.items()}
+        found.append(home_sums(sides, sets, totals[left] + totals[right], parts))
+    return union_all(found)
+
+
+def _with_sums(
+    pairs: DataFrame, every: list[Pair], wanted: list[Pair], totals: Mapping[str, int], sums: DataFrame
+) -> DataFrame:
+    """``pairs`` with their counts from (id, more_left, more_right, common, full_common)."""
     text, many, count = pa.string(), pa.list_(pa.string()), pa.int64()
-    asked = [i for i, p in enumerate(every) if p in wanted]
+    number = {p: i for i, p in enumerate(every)}
     known = {
-        "id": (pa.int32(), asked),
-        "left_table": (text, [every[i][0] for i in asked]),
-        "left": (many, [list(every[i][1]) for i in asked]),
-        "right_table": (text, [every[i][2] for i in asked]),
-        "right": (many, [list(every[i][3]) for i in asked]),
-        "rows_left": (count, [totals[every[i][0]] for i in asked]),
-        "rows_right": (count, [totals[every[i][2]] for i in asked]),
+        "id": (pa.int32(), [number[p] for p in wanted]),
+        "left_table": (text, [p[0] for p in wanted]),
+        "left": (many, [list(p[1]) for p in wanted]),
+        "right_table": (text, [p[2] for p in wanted]),
+        "right": (many, [list(p[3]) for p in wanted]),
+        "rows_left": (count, [totals[p[0]] for p in wanted]),
+        "rows_right": (count, [totals[p[2]] for p in wanted]),
     }
     listed = local_table(pairs.sparkSession, {k: v for k, (_, v) in known.items()}, {k: t for k, (t, _) in known.items()})
-    counted = listed.join(union_all(sums), "id", "left").na.fill(0, ["more_left", "more_right", "common", "full_common"])
+    counted = listed.join(sums, "id", "left").na.fill(0, ["more_left", "more_right", "common", "full_common"])
     # A row left out is a key of its own.
     counts = ["rows_left + more_left AS n_left", "rows_right + more_right AS n_right", "common", "full_common"]
     counted = counted.selectExpr("left_table", "left", "right_table", "right", *counts)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,6 +51,27 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Jobs in here delete their shuffle files as they end, not when the driver's memory is next cleaned.
+
+    For results that are kept elsewhere: of a chain of such steps only the one that
+    runs takes disk.
+    """
+    before = spark.conf.get(FREE_SHUFFLES, None)
+    spark.conf.set(FREE_SHUFFLES, True)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(FREE_SHUFFLES)
+        else:
+            spark.conf.set(FREE_SHUFFLES, before)
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the checkpoint folder.
 
@@ -56,7 +79,8 @@ def written(df: DataFrame) -> DataFrame:
     two tables: they stay off the driver, and later plans see their size.
     """
     path = f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with freed_shuffles(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -74,4 +98,7 @@ def settle(df: DataFrame) -> DataFrame:
     them anyway to build the next scan; later plans then see their exact size and
     do not run the scans behind them again. Candidates and reports are ``written``.
     """
-    return df.sparkSession.createDataFrame(df.toArrow())
+    with freed_shuffles(df.sparkSession):
+        # A plan of its own, lest a later job of ``df`` look for the files.
+        rows = df.select("*").toArrow()
+    return df.sparkSession.createDataFrame(rows)
