@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from joinseek.functions.values import PARTS, key_fields, key_parts, needs_text, set_codes, typed_values
+from joinseek.operators.homes import HOME_ROWS, Side, home_sums
 from joinseek.operators.levels import level_counts
 from joinseek.operators.profile import union_all
 from joinseek.session import local_table, quoted
@@ -176,17 +177,25 @@ def _numbered_keys(
 def key_counts(spark: SparkSession, tables: Mapping[str, DataFrame], sets: Sequence[ColumnSet]) -> DataFrame:
     """Distinct keys per column set, missing values included: (table, columns, keys).
 
-    One scan per table and one shuffle, before which keys are de-duplicated. Sets
-    of different tables do not meet, so their values need no common type.
+    One scan per table and one shuffle, before which keys are de-duplicated; tables
+    of ``HOME_ROWS`` rows and more are dealt out by home column. Sets of different
+    tables do not meet, so their values need no common type.
     """
     ordered = sorted(sets)
     width = max(len(columns) for _, columns in ordered)
-    frames = []
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    frames, found = [], []
     for name, df in tables.items():
         mine = [i for i, (t, _) in enumerate(ordered) if t == name]
-        if mine:
+        if mine and (rows := df.count()) >= HOME_ROWS:
+            used = sorted({c for i in mine for c in ordered[i][1]})
+            places = {i: [used.index(c) for c in ordered[i][1]] for i in mine}
+            found.append(home_sums([Side(0, df, used)], places, rows, parts).selectExpr("id", f"{rows} + more_left AS keys"))
+        elif mine:
             frames.append(_numbered_keys(df, mine[0], [ordered[i][1] for i in mine], width))
-    counts = union_all(frames).distinct().groupBy("id").agg(F.expr("count(1) AS keys"))
+    if frames:
+        found.append(union_all(frames).distinct().groupBy("id").agg(F.expr("count(1) AS keys")))
+    counts = union_all(found)
     names = local_table(
         spark,
         {"id": list(range(len(ordered))), "table": [t for t, _ in ordered], "columns": [list(c) for _, c in ordered]},

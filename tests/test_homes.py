@@ -6,7 +6,7 @@ from pathlib import Path
 
 import pytest
 
-from joinseek.operators import homes, levels
+from joinseek.operators import homes, keyrows, levels
 from joinseek.session import FREE_SHUFFLES, settle, written
 
 NAMES = ["u", "v", "w", "x", "y"]
@@ -52,6 +52,18 @@ def test_home_counts_equal_brute_force(spark, monkeypatch, limit, sliced):
         assert (r.n_left, r.n_right, r.common, r.full_common) == expected, r
 
 
+def test_key_counts_by_home_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(homes, "HOT_SHARE", 10)
+    monkeypatch.setattr(keyrows, "HOME_ROWS", 50)
+    rows = {"one": made(3, 100), "small": made(4, 20)}
+    # All rows are alone in u, so that no row is left for the larger sets.
+    rows["one"] = [(i, *r[1:]) for i, r in enumerate(rows["one"])]
+    tables = {t: spark.createDataFrame(r, SCHEMA) for t, r in rows.items()}
+    sets = [(t, c) for t in tables for k in (1, 2, 3) for c in combinations(NAMES, k)]
+    found = {(r.table, tuple(r.columns)): r["keys"] for r in keyrows.key_counts(spark, tables, sets).collect()}
+    assert found == {(t, c): brute((rows[t], []), (c, c))[0] for t, c in sets}
+
+
 def test_rows_are_shuffled_per_home_and_not_per_set(spark, monkeypatch):
     monkeypatch.setattr(homes, "HOT_SHARE", 10)
     rows = [(i, i // 2, "a", i % 3, 0.5) for i in range(300)]
