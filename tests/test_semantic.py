@@ -1,5 +1,6 @@
 import pytest
 
+from joinseek.operators import semantic
 from joinseek.operators.names import similar_columns
 from joinseek.operators.profile import profile
 from joinseek.operators.semantic import Taxonomy, ancestors, semantic_similarity
@@ -59,3 +60,25 @@ def test_semantic_names(spark, taxonomy):
     found = similar_columns(catalog, pairs, [("Levenshtein", 0.9), ("Semantic", 0.5)], taxonomy).collect()
     assert [(r.left, r.right) for r in found] == [(["dog"], ["hound"])]
     assert [(i.method, i.score) for i in found[0].similarity_info] == [("Semantic", 1.0)]
+
+
+def test_pairs_of_profiles_climb_once(spark, monkeypatch):
+    nations = [(f"n{i}", "world") for i in range(3)]
+    senses = [(f"{side}{k}", f"{side}{k}") for side in "cs" for k in range(60)]
+    isa = spark.createDataFrame(nations + [(s, f"n{int(s[1:]) % 3}") for _, s in senses], "child string, parent string")
+    taxonomy = Taxonomy(spark.createDataFrame(senses, "word string, sense string"), isa)
+    rows = [(f"C{i}", f"s{j}") for i in range(60) for j in range(60)] + [(None, "s1"), ("c1", None), ("x", "s2")]
+    kept, plain = [], semantic.written
+
+    def counted(df):
+        kept.append((df.columns, plain(df)))
+        return kept[-1][1]
+
+    monkeypatch.setattr(semantic, "written", counted)
+    found = semantic_similarity(spark.createDataFrame(rows * 2, "first string, second string"), taxonomy).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        known = r.first is not None and r.second is not None and r.first != "x"
+        path = 2 if known and int(r.first[1:]) % 3 == int(r.second[1:]) % 3 else 4
+        assert r.score == pytest.approx(1 / (1 + path) if known else 0), r
+    assert [df.count() for columns, df in kept if "__path" in columns] == [9]
