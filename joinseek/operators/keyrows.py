@@ -30,6 +30,10 @@ SETS_PER_PASS = 8 * BITS
 #: Up to so many column sets share masks also if each of them is in one pair only.
 MASKED_SETS = BITS
 
+#: Over tables of so many rows together, sets of several columns that are each in one pair never share masks:
+#: a key of every row and set would travel, nearly all of them different.
+MASKED_ROWS = 1_000_000
+
 
 class KeyLayout:
     """The typed columns that hold the keys of some column sets.
@@ -296,13 +300,14 @@ def pair_counts(tables: Mapping[str, DataFrame], pairs: DataFrame) -> DataFrame:
     shuffle by key; a pass holds at most ``SETS_PER_PASS`` column sets, so that a
     mask is a few words wide however many pairs there are. Many pairs that share no
     column set carry the number of the pair instead of a mask, level by level if
-    some have several columns.
+    some have several columns; so do few with several columns over large tables.
     """
     sides = [pairs.selectExpr(f"{side}_table AS table", f"{side} AS columns") for side in ("left", "right")]
     sets = sorted((r.table, tuple(r.columns)) for r in sides[0].unionAll(sides[1]).distinct().collect())
     plain = not any(needs_text(tables[t].schema[c].dataType) for t, columns in sets for c in columns)
-    if len(sets) > MASKED_SETS and plain and len(sets) == 2 * pairs.count():
-        wide = any(len(columns) > 1 for _, columns in sets)
+    wide = any(len(columns) > 1 for _, columns in sets)
+    many = len(sets) > MASKED_SETS or (wide and sum(tables[t].count() for t in sorted({t for t, _ in sets})) >= MASKED_ROWS)
+    if many and plain and len(sets) == 2 * pairs.count():
         return level_counts(tables, pairs) if wide else _separate_counts(tables, pairs)
     numbers = local_table(
         pairs.sparkSession,

@@ -51,6 +51,18 @@ def test_pairs_that_share_a_set_use_masks(spark, tables, monkeypatch):
     assert all((r.n_left, r.n_right, r.common, r.full_common) == brute(tables, r) for r in found)
 
 
+@pytest.mark.parametrize("home_rows", [0, 10_000])
+def test_few_wide_pairs_over_large_tables_make_no_masks(spark, tables, monkeypatch, home_rows):
+    monkeypatch.setattr(keyrows, "MASKED_ROWS", 1, raising=False)
+    monkeypatch.setattr(keyrows, "key_masks", None)
+    monkeypatch.setattr(levels, "HOME_ROWS", home_rows)
+    listed = [("one", "two", c, c) for c in (["a", "d"], ["d", "e"], ["a", "b c", "e"])] + [("one", "empty", ["d", "b c"], ["d", "b c"])]
+    pairs = spark.createDataFrame(listed, "left_table string, right_table string, left array<string>, right array<string>")
+    found = keyrows.pair_counts(tables, pairs).collect()
+    assert len(found) == len(listed)
+    assert all((r.n_left, r.n_right, r.common, r.full_common) == brute(tables, r) for r in found)
+
+
 def test_plan_of_separate_pairs_has_no_wide_mask(spark, tables, monkeypatch):
     monkeypatch.setattr(keyrows, "MASKED_SETS", 0)
     pairs = spark.createDataFrame([("one", "two", [c], [c]) for c in "ade"], "left_table string, right_table string, left array<string>, right array<string>")
