@@ -38,6 +38,9 @@ SLICES = 2
 #: A value is hot if more than one in so many of all rows hold it, so there are fewer hot values than this.
 HOT_SHARE = 1000
 
+#: Hot values are sought in so many buckets of values for every one there can be.
+BUCKETS = 64
+
 SUMS = ("more_left", "more_right", "common", "full_common")
 BITS = 63
 
@@ -64,8 +67,12 @@ def home_sums(sides: Sequence[Side], sets: Mapping[int, Sequence[int]], rows: in
     places = sorted({p for s in sets.values() for p in s})
     held = {p: [x for x in PARTS if any(x in side.parts(p) for side in sides)] for p in places}
     typed = [_typed(side, held) for side in sides]
-    values = _value_counts(typed, held, rows)
     singles = {s[0]: i for i, s in sets.items() if len(s) == 1}
+    values = []
+    if singles:
+        values += _value_counts(typed, {p: held[p] for p in places if p in singles}, rows)
+    if len(singles) < len(places):
+        values += _hot_values(typed, {p: held[p] for p in places if p not in singles}, rows)
     spark = sides[0].rows.sparkSession
     # Every set has a row, also if all its keys were told from those of smaller sets.
     known = {i: (0,) * len(SUMS) for i in sets}
@@ -120,6 +127,40 @@ def _value_counts(typed: Sequence[DataFrame], held: Mapping[int, list[str]], row
     return settle(per_place).collect()
 
 
+def _hot_values(typed: Sequence[DataFrame], held: Mapping[int, list[str]], rows: int) -> list[T.Row]:
+    """Per place its hot values, as ``_value_counts`` finds them, without a count of every value.
+
+    Rows are counted per bucket of values first: a hot value lies in a bucket of as many
+    rows, so that only the values of such buckets are counted. ``keys`` tells whether
+    there are others and orders the places; it is an estimate.
+    """
+    limit = min(PART_ROWS, rows // HOT_SHARE)
+    buckets = BUCKETS * max(HOT_SHARE, rows // max(limit, 1))
+    own = {p: ", ".join(f"{x}{p}" for x in names) for p, names in held.items()}
+    every = union_all(list(typed)).selectExpr("*", *(f"xxhash64({c}) AS h{p}" for p, c in own.items()))
+    bucket = {p: f"pmod(h{p}, {buckets})" for p in held}
+    entries = (f"named_struct('place', {p}, 'bucket', {b})" for p, b in bucket.items())
+    counted = every.selectExpr(f"inline(array({', '.join(entries)}))").groupBy("place", "bucket").agg(F.expr("count(1) AS n"))
+    heavy: dict[int, list[str]] = {}
+    for r in settle(counted.where(f"n > {limit}")).collect():
+        heavy.setdefault(r.place, []).append(str(r.bucket))
+    sizes = settle(every.agg(*(F.expr(f"approx_count_distinct(h{p}) AS keys{p}") for p in held))).first()
+    hot: dict[int, list[T.Row]] = {p: [] for p in held}
+    if heavy:
+        entries = []
+        for p, listed in sorted(heavy.items()):
+            parts = (f"'{x}', {f'{x}{p}' if x in held[p] else f'CAST(NULL AS {kind})'}" for x, kind in PARTS.items())
+            entries.append(f"IF({bucket[p]} IN ({', '.join(listed)}), named_struct('place', {p}, {', '.join(parts)}), NULL)")
+        each = every.selectExpr(f"inline(array({', '.join(entries)}))").where("place IS NOT NULL")
+        for r in settle(each.groupBy("place", *PARTS).agg(F.expr("count(1) AS n")).where(f"n > {limit}")).collect():
+            hot[r.place].append(r)
+    found = []
+    for p in held:
+        others = sum(r.n for r in hot[p]) < rows
+        found.append(T.Row(place=p, keys=max(sizes[f"keys{p}"], len(hot[p]) + 1) if others else len(hot[p]), hot=hot[p]))
+    return found
+
+
 def _key_sums(is_full: str) -> list[Column]:
     return [
         F.expr("count_if(nl > 0) - sum(nl) AS more_left"),

@@ -101,3 +101,34 @@ def test_written_steps_free_their_shuffles(spark):
         time.sleep(0.1)
     assert size < 100_000  # those of the counts; the steps shuffle over a megabyte each
     assert spark.conf.get(FREE_SHUFFLES, None) == was
+
+
+@pytest.mark.parametrize("buckets", [1, 64])
+def test_wide_sets_alone_count_no_value_that_is_not_hot(spark, monkeypatch, buckets):
+    """With one bucket per hot value at most, values that are not hot share buckets with those that are."""
+    monkeypatch.setattr(homes, "HOT_SHARE", 10)
+    monkeypatch.setattr(homes, "BUCKETS", buckets, raising=False)
+    monkeypatch.setattr(homes, "_value_counts", None)
+    rows = {"one": made(7, 90), "two": made(8, 60) + made(7, 90)[:30]}
+    sides = [homes.Side(k, spark.createDataFrame(r, SCHEMA), NAMES) for k, r in enumerate(rows.values())]
+    sets = dict(enumerate(c for k in (2, 3) for c in combinations(range(5), k)))
+    found = {r.id: r for r in homes.home_sums(sides, sets, 180, 4).collect()}
+    for i, places in sets.items():
+        names = [NAMES[p] for p in places]
+        r, expected = found[i], brute(rows.values(), (names, names))
+        assert (90 + r.more_left, 90 + r.more_right, r.common, r.full_common) == expected
+
+
+def test_hot_values_are_those_of_the_full_count(spark, monkeypatch):
+    monkeypatch.setattr(homes, "HOT_SHARE", 10)
+    rows = made(9, 200)
+    side = homes.Side(0, spark.createDataFrame(rows, SCHEMA), NAMES)
+    held = {p: [x for x in homes.PARTS if x in side.parts(p)] for p in range(5)}
+    typed = [homes._typed(side, held)]
+
+    def told(found):
+        return {r.place: ({(v.l, v.d, v.s) for v in r.hot}, r.keys > len(r.hot)) for r in found}
+
+    expected = told(homes._value_counts(typed, held, 200))
+    assert told(homes._hot_values(typed, held, 200)) == expected
+    assert {others for _, others in expected.values()} == {False, True}
