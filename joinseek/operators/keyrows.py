@@ -17,12 +17,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from joinseek.functions.values import PARTS, key_fields, key_parts, needs_text, set_codes, typed_values
-from joinseek.operators.homes import HOME_ROWS, Side, home_sums
+from joinseek.operators.homes import HOME_ROWS, PART_ROWS, Side, home_sums
 from joinseek.operators.levels import level_counts
 from joinseek.operators.profile import union_all
-from joinseek.session import local_table, quoted
+from joinseek.operators.ranges import Limits, matchable, within
+from joinseek.session import local_table, quoted, settle
 
 ColumnSet = tuple[str, tuple[str, ...]]
+Ends = tuple[str, tuple[str, ...], str, tuple[str, ...]]
 
 BITS = 63
 SETS_PER_PASS = 8 * BITS
@@ -74,15 +76,21 @@ class KeyLayout:
         df: DataFrame,
         keys: Sequence[tuple[ColumnSet, Mapping[str, str]]],
         flags: Mapping[str, str] | None = None,
+        limits: Mapping[ColumnSet, Limits] | None = None,
     ) -> DataFrame:
         """One row per input row and key: the extra fields and the key columns.
 
         ``keys`` are column sets of this table with extra fields as SQL text;
         ``flags`` are further expressions the extra fields may name. Each column
-        is converted once per row, whatever the number of sets it is in.
+        is converted once per row, whatever the number of sets it is in. With
+        ``limits`` there are only keys whose values lie within those of their set.
         """
         prepared: dict[str, str] = {}
-        rows = []
+        rows, tests = [], []
+
+        def alias(value: str) -> str:
+            return prepared.setdefault(value, f"v{len(prepared)}")
+
         for (name, columns), extra in keys:
             fields = dict(extra)
             if self.width > 1:
@@ -95,31 +103,42 @@ class KeyLayout:
                 for p in parts:
                     held = f"CAST(NULL AS {PARTS[p]})"
                     if p in values:
-                        held = prepared.setdefault(values[p], f"v{len(prepared)}")
+                        held = alias(values[p])
                     fields[f"{p}{i}"] = held
+            if limits is not None:
+                tests.append(within(self.schemas[name], columns, limits[name, columns], alias))
             rows.append(fields)
         converted = df.selectExpr(
-            *(f"{value} AS {alias}" for value, alias in prepared.items()),
-            *(f"{value} AS {alias}" for alias, value in (flags or {}).items()),
+            *(f"{value} AS {name}" for value, name in prepared.items()),
+            *(f"{value} AS {name}" for name, value in (flags or {}).items()),
+            # Without it Spark would convert the values anew inside the filter.
+            *(["spark_partition_id() AS part"] if tests else []),
         )
+        if tests:
+            converted = converted.where(f"part >= 0 AND ({' OR '.join(tests)})")
         if len(rows) == 1:
             return converted.selectExpr(*(f"{value} AS {field}" for field, value in rows[0].items()))
+        for r, test in zip(rows, tests):
+            r["kept"] = test
         structs = (f"named_struct({', '.join(f"'{field}', {value}" for field, value in r.items())})" for r in rows)
-        return converted.selectExpr(f"inline(array({', '.join(structs)}))")
+        spread = converted.selectExpr(f"inline(array({', '.join(structs)}))")
+        return spread.where("kept").drop("kept") if tests else spread
 
 
 def _masks(index: int, words: int) -> dict[str, str]:
     return {f"w{w}": f"{1 << (index % BITS) if index // BITS == w else 0}L" for w in range(words)}
 
 
-def key_masks(tables: Mapping[str, DataFrame], sets: Sequence[ColumnSet], layout: KeyLayout) -> DataFrame:
-    """One row per distinct key with the or-ed masks of its column sets."""
+def key_masks(
+    tables: Mapping[str, DataFrame], sets: Sequence[ColumnSet], layout: KeyLayout, limits: Mapping[ColumnSet, Limits] | None = None
+) -> DataFrame:
+    """One row per distinct key with the or-ed masks of its column sets, with ``limits`` only keys within them."""
     words = (len(sets) + BITS - 1) // BITS
     frames = []
     for name, df in tables.items():
         mine = [(s, _masks(i, words)) for i, s in enumerate(sets) if s[0] == name]
         if mine:
-            frames.append(layout.rows(df, mine))
+            frames.append(layout.rows(df, mine, limits=limits))
     masks = [F.bit_or(f"w{w}").alias(f"w{w}") for w in range(words)]
     return union_all(frames).groupBy(*layout.names).agg(*masks)
 
@@ -131,7 +150,9 @@ def _members(words: int, total: int) -> str:
     return f"filter(sequence(0, {total - 1}), i -> (shiftright({word}, i % {BITS}) & 1L) = 1L)"
 
 
-def _held(tables: Mapping[str, DataFrame], sets: Sequence[ColumnSet], wanted: DataFrame) -> DataFrame:
+def _held(
+    tables: Mapping[str, DataFrame], sets: Sequence[ColumnSet], wanted: DataFrame, limits: Mapping[ColumnSet, Limits] | None = None
+) -> DataFrame:
     """Key counts of every mask, once per wanted row whose sets are both in it.
 
     ``wanted`` has first and second, numbers of column sets, and more.
@@ -139,7 +160,7 @@ def _held(tables: Mapping[str, DataFrame], sets: Sequence[ColumnSet], wanted: Da
     words = (len(sets) + BITS - 1) // BITS
     layout = KeyLayout(tables, sets)
     per_mask = (
-        key_masks(tables, sets, layout)
+        key_masks(tables, sets, layout, limits)
         .groupBy(*(f"w{w}" for w in range(words)), F.expr(layout.has_null()).alias("has_null"))
         .agg(F.expr("count(1) AS keys"))
     )
@@ -182,8 +203,9 @@ def key_counts(spark: SparkSession, tables: Mapping[str, DataFrame], sets: Seque
     """Distinct keys per column set, missing values included: (table, columns, keys).
 
     One scan per table and one shuffle, before which keys are de-duplicated; tables
-    of ``HOME_ROWS`` rows and more are dealt out by home column. Sets of different
-    tables do not meet, so their values need no common type.
+    of ``HOME_ROWS`` rows and more are dealt out by home column, or once per set if
+    that is no more often. Sets of different tables do not meet, so their values
+    need no common type.
     """
     ordered = sorted(sets)
     width = max(len(columns) for _, columns in ordered)
@@ -193,6 +215,9 @@ def key_counts(spark: SparkSession, tables: Mapping[str, DataFrame], sets: Seque
         mine = [i for i, (t, _) in enumerate(ordered) if t == name]
         if mine and (rows := df.count()) >= HOME_ROWS:
             used = sorted({c for i in mine for c in ordered[i][1]})
+            if len(mine) <= len(used):
+                found.append(_dealt_counts(spark, df, {i: ordered[i][1] for i in mine}, max(parts, -(-rows // PART_ROWS))))
+                continue
             places = {i: [used.index(c) for c in ordered[i][1]] for i in mine}
             found.append(home_sums([Side(0, df, used)], places, rows, parts).selectExpr("id", f"{rows} + more_left AS keys"))
         elif mine:
@@ -208,6 +233,21 @@ def key_counts(spark: SparkSession, tables: Mapping[str, DataFrame], sets: Seque
     return names.join(counts, "id", "left").drop("id").na.fill(0, ["keys"])
 
 
+def _dealt_counts(spark: SparkSession, df: DataFrame, sets: Mapping[int, Sequence[str]], parts: int) -> DataFrame:
+    """(id, keys) of few column sets of a large table, one shuffle per set and one set at a time.
+
+    Rows are dealt out by the whole key as they are: where most keys are held by
+    one row, de-duplicating them before the shuffle costs more than it saves.
+    """
+    counts = []
+    for columns in sets.values():
+        values = {f"{p}{n}": v for n, c in enumerate(columns) for p, v in key_parts(c, df.schema[c].dataType).items()}
+        dealt = df.selectExpr(*(f"{v} AS {p}" for p, v in values.items())).repartition(parts, *values)
+        each = dealt.groupBy(*values).agg(F.expr("count(1) AS n"))
+        counts.append(settle(each.agg(F.expr("count(1) AS keys"))).first()["keys"])
+    return local_table(spark, {"id": list(sets), "keys": counts}, {"id": pa.int32(), "keys": pa.int64()})
+
+
 def duplicate_witnesses(
     spark: SparkSession, tables: Mapping[str, DataFrame], sets: Mapping[ColumnSet, str], slices: int
 ) -> DataFrame:
@@ -288,7 +328,61 @@ def _separate_counts(tables: Mapping[str, DataFrame], pairs: DataFrame) -> DataF
     return pairs.join(counted, ["left_table", "right_table", "left", "right"]).select(*pairs.columns, *tests)
 
 
-def pair_counts(tables: Mapping[str, DataFrame], pairs: DataFrame) -> DataFrame:
+def _set_sizes(
+    spark: SparkSession, tables: Mapping[str, DataFrame], sets: Sequence[ColumnSet], totals: Mapping[str, int], known: DataFrame | None
+) -> dict[ColumnSet, int]:
+    """The number of keys of every set: as known, as many as rows if some of its columns have that, or counted.
+
+    The order of columns makes no difference to it.
+    """
+    sizes: dict[tuple[str, frozenset[str]], int] = {}
+    if known is not None:
+        used = {t for t, _ in sets}
+        sizes = {(r.table, frozenset(r.columns)): r["keys"] for r in known.where("keys IS NOT NULL").collect() if r.table in used}
+    unique = [k for k, keys in sizes.items() if keys == totals[k[0]]]
+    asked = {(t, frozenset(columns)) for t, columns in sets}
+    for t, columns in asked - set(sizes):
+        if any(t == other and part <= columns for other, part in unique):
+            sizes[t, columns] = totals[t]
+    if left := sorted((t, tuple(sorted(columns))) for t, columns in asked - set(sizes)):
+        for r in key_counts(spark, {t: tables[t] for t in sorted({t for t, _ in left})}, left).collect():
+            sizes[r.table, frozenset(r.columns)] = r["keys"]
+    return {(t, columns): sizes[t, frozenset(columns)] for t, columns in sets}
+
+
+def _ranged_counts(
+    tables: Mapping[str, DataFrame], pairs: DataFrame, sets: Sequence[ColumnSet], totals: Mapping[str, int], known: DataFrame | None
+) -> DataFrame:
+    """``pair_counts`` of pairs over large tables that share column sets of several columns.
+
+    The sizes of the sets are told apart from what they have in common, for which
+    only rows are turned into keys whose values all lie within what the other side
+    holds in those places. A pair without such a row has nothing in common.
+    """
+    spark = pairs.sparkSession
+    sizes = _set_sizes(spark, tables, sets, totals, known)
+    rows = pairs.select("left_table", "right_table", "left", "right").collect()
+    wanted = sorted({(r.left_table, tuple(r.left), r.right_table, tuple(r.right)) for r in rows})
+    live, limits = matchable(tables, wanted)
+    n_left, n_right = ([sizes[w[at], w[at + 1]] for w in wanted] for at in (0, 2))
+    counted = _ends_table(spark, wanted, {"n_left": n_left, "n_right": n_right})
+    ends = ["left_table", "left", "right_table", "right"]
+    if live:
+        found = _masked_counts(tables, _ends_table(spark, live, {}), sorted(limits), limits).select(*ends, "common", "full_common")
+        counted = counted.join(found, ends, "left").na.fill(0, ["common", "full_common"])
+    else:
+        counted = counted.selectExpr("*", "0L AS common", "0L AS full_common")
+    return pairs.join(counted, ends).select(*pairs.columns, *SUMS)
+
+
+def _ends_table(spark: SparkSession, ends: Sequence[Ends], counts: Mapping[str, list[int]]) -> DataFrame:
+    text, many = pa.string(), pa.list_(pa.string())
+    kinds = {"left_table": text, "left": many, "right_table": text, "right": many}
+    columns = [list(c) if i % 2 == 0 else [list(x) for x in c] for i, c in enumerate(zip(*ends, strict=True))]
+    return local_table(spark, dict(zip(kinds, columns, strict=True)) | dict(counts), kinds | dict.fromkeys(counts, pa.int64()))
+
+
+def pair_counts(tables: Mapping[str, DataFrame], pairs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """``pairs`` (left_table, right_table, left, right) with their key counts.
 
     ``n_left`` and ``n_right`` are the distinct keys of either side, ``common``
@@ -301,14 +395,26 @@ def pair_counts(tables: Mapping[str, DataFrame], pairs: DataFrame) -> DataFrame:
     mask is a few words wide however many pairs there are. Many pairs that share no
     column set carry the number of the pair instead of a mask, level by level if
     some have several columns; so do few with several columns over large tables.
+    Those that share column sets there leave out rows that cannot match, and take
+    the sizes of sets from ``known`` (table, columns, keys) as far as it has them.
     """
     sides = [pairs.selectExpr(f"{side}_table AS table", f"{side} AS columns") for side in ("left", "right")]
     sets = sorted((r.table, tuple(r.columns)) for r in sides[0].unionAll(sides[1]).distinct().collect())
     plain = not any(needs_text(tables[t].schema[c].dataType) for t, columns in sets for c in columns)
     wide = any(len(columns) > 1 for _, columns in sets)
-    many = len(sets) > MASKED_SETS or (wide and sum(tables[t].count() for t in sorted({t for t, _ in sets})) >= MASKED_ROWS)
-    if many and plain and len(sets) == 2 * pairs.count():
+    totals = {t: tables[t].count() for t in sorted({t for t, _ in sets})} if wide else {}
+    large = sum(totals.values()) >= MASKED_ROWS
+    if (large or len(sets) > MASKED_SETS) and plain and len(sets) == 2 * pairs.count():
         return level_counts(tables, pairs) if wide else _separate_counts(tables, pairs)
+    if wide and large:
+        return _ranged_counts(tables, pairs, sets, totals, known)
+    return _masked_counts(tables, pairs, sets)
+
+
+def _masked_counts(
+    tables: Mapping[str, DataFrame], pairs: DataFrame, sets: Sequence[ColumnSet], limits: Mapping[ColumnSet, Limits] | None = None
+) -> DataFrame:
+    """``pair_counts`` by masks; with ``limits`` only the keys in common are right, as those beyond them are not counted."""
     numbers = local_table(
         pairs.sparkSession,
         {"number": list(range(len(sets))), "table": [t for t, _ in sets], "columns": [list(c) for _, c in sets]},
@@ -336,7 +442,7 @@ def pair_counts(tables: Mapping[str, DataFrame], pairs: DataFrame) -> DataFrame:
             for role, (x, y) in enumerate([("l", "l"), ("r", "r"), ("l", "r")])
         )
         wanted = part.selectExpr("first AS l", "second AS r").distinct().selectExpr("l", "r", f"inline(array({roles}))")
-        sums = _held(tables, mine, wanted).groupBy("l", "r").agg(*(F.expr(s).alias(n) for n, s in SUMS.items()))
+        sums = _held(tables, mine, wanted, limits).groupBy("l", "r").agg(*(F.expr(s).alias(n) for n, s in SUMS.items()))
         joined = part.join(sums, (F.col("first") == F.col("l")) & (F.col("second") == F.col("r")), "left")
         frames.append(joined.select(*pairs.columns, *SUMS).na.fill(0, list(SUMS)))
     return union_all(frames)

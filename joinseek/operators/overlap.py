@@ -91,13 +91,19 @@ def check_candidates(candidates: DataFrame, catalog: DataFrame, score_method: st
     return tested.selectExpr(*candidates.columns, reason)
 
 
-def _counted(tables: Mapping[str, DataFrame], checked: DataFrame) -> DataFrame:
+def _known_keys(catalog: DataFrame, counted: DataFrame | None) -> DataFrame:
+    """(table, columns, keys): key counts of single columns, missing values included, and those counted before."""
+    single = catalog.selectExpr("table", "array(column) AS columns", "CAST(distinct + IF(missing > 0, 1, 0) AS BIGINT) AS keys")
+    return single if counted is None else single.unionByName(counted)
+
+
+def _counted(tables: Mapping[str, DataFrame], checked: DataFrame, known: DataFrame) -> DataFrame:
     """The checked candidates with key counts wherever the data must decide."""
     undecided = checked.where("reason IS NULL").select(*CANDIDATE).distinct()
     if undecided.isEmpty():
         unknown = (f"CAST(NULL AS BIGINT) AS {c}" for c in ("n_left", "n_right", "common", "full_common"))
         return checked.selectExpr("*", *unknown)
-    return checked.join(pair_counts(tables, undecided), CANDIDATE, "left")
+    return checked.join(pair_counts(tables, undecided, known), CANDIDATE, "left")
 
 
 def measure_overlap(
@@ -107,11 +113,14 @@ def measure_overlap(
     min_join: float = 0.45,
     eval_method: str = "SortedNeighborhood",
     score_method: str = "jaccard",
+    key_counts: DataFrame | None = None,
 ) -> DataFrame:
     """Score every candidate: the report, one row per candidate.
 
     ``left_keys`` and ``right_keys`` are the distinct keys of each side, missing
-    values included, where the data was read.
+    values included, where the data was read. Column sets whose keys are counted
+    already may be named in ``key_counts`` (table, columns, keys); over large tables
+    they are not counted again.
     Method ``SortedNeighborhood`` never matches missing values, since its exact
     comparison keeps equal values only; ``Merge`` matches them with each other.
     """
@@ -120,7 +129,8 @@ def measure_overlap(
     if score_method not in SCORE_METHODS:
         raise ValueError(f"score_method must be one of {SCORE_METHODS}, not {score_method!r}")
     checked = written(check_candidates(candidates, catalog, score_method, min_join))
-    bounded = _counted(tables, checked).withColumn("bound", F.expr(upper_bound("n_left", "n_right", score_method)))
+    known = _known_keys(catalog, key_counts)
+    bounded = _counted(tables, checked, known).withColumn("bound", F.expr(upper_bound("n_left", "n_right", score_method)))
     matches = "common" if eval_method == "Merge" else "full_common"
     decided = bounded.selectExpr(
         *checked.columns[:-1],

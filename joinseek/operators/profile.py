@@ -16,6 +16,11 @@ from joinseek.session import local_table, quoted, settle, text
 
 DATE_SHARE = 0.5
 
+#: Tables of so many rows have their distinct values counted column by column: a narrow row per value costs more
+#: than another scan of one column.
+COLUMN_ROWS = 1_000_000
+COLUMNS_PER_JOB = 32
+
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionAll, frames)
@@ -88,25 +93,51 @@ def _slot_values(fields: Sequence[T.StructField], slots: Sequence[int], df: Data
     return exploded.where("l IS NOT NULL OR d IS NOT NULL OR s IS NOT NULL")
 
 
+def _column_counts(df: DataFrame, fields: Sequence[T.StructField], slots: Sequence[int]) -> list[DataFrame]:
+    """(slot, distinct), column by column: every column is scanned and shuffled alone, as its own type."""
+    frames, one = [], F.count(F.lit(1))
+    for field, slot in zip(fields, slots, strict=True):
+        rows = df.select(quoted(field.name))
+        if isinstance(field.dataType, TEMPORAL):
+            # Times are written as text once per value, not once per row.
+            rows = rows.groupBy(quoted(field.name)).agg(one.alias("n"))
+        parts = key_parts(field.name, field.dataType)
+        values = rows.selectExpr(*(f"{value} AS {p}" for p, value in parts.items()))
+        # With a count Spark groups by its fast map, which it does not use for plain distinct rows.
+        each = values.groupBy(*parts).agg(one.alias("n"))
+        # Not a filter before: Spark would test the text of every row.
+        present = F.expr(f"count_if({' OR '.join(f'{p} IS NOT NULL' for p in parts)}) AS distinct")
+        frames.append(each.agg(present).selectExpr(f"{slot} AS slot", "distinct"))
+    jobs = [frames[i : i + COLUMNS_PER_JOB] for i in range(0, len(frames), COLUMNS_PER_JOB)]
+    return [settle(union_all(job)) for job in jobs]
+
+
 def distinct_counts(
-    tables: Mapping[str, DataFrame], columns: Sequence[tuple[str, str]] | None = None
+    tables: Mapping[str, DataFrame],
+    columns: Sequence[tuple[str, str]] | None = None,
+    rows: Mapping[str, int] | None = None,
 ) -> DataFrame:
     """Distinct non-missing values per column: (table, column, distinct).
 
     All columns of all tables share one shuffle of narrow rows, de-duplicated
     before it, so the cost is linear in the number of columns and a hot value
-    travels at most once per task.
+    travels at most once per task. Tables known by ``rows`` to have ``COLUMN_ROWS``
+    rows or more are scanned once per column instead.
     """
     wanted = [(t, f) for t, df in tables.items() for f in df.schema.fields]
     if columns is not None:
         keep = set(columns)
         wanted = [(t, f) for t, f in wanted if (t, f.name) in keep]
-    frames = []
+    frames, found = [], []
     for name, df in tables.items():
         mine = [(slot, f) for slot, (t, f) in enumerate(wanted) if t == name]
-        if mine:
+        if mine and (rows or {}).get(name, 0) >= COLUMN_ROWS:
+            found += _column_counts(df, [f for _, f in mine], [s for s, _ in mine])
+        elif mine:
             frames.append(_slot_values([f for _, f in mine], [s for s, _ in mine], df))
-    counts = union_all(frames).distinct().groupBy("slot").agg(F.count(F.lit(1)).alias("distinct"))
+    if frames:
+        found.append(union_all(frames).distinct().groupBy("slot").agg(F.count(F.lit(1)).alias("distinct")))
+    counts = union_all(found)
     names = local_table(
         counts.sparkSession,
         {"slot": list(range(len(wanted))), "table": [t for t, _ in wanted], "column": [f.name for _, f in wanted]},
@@ -126,11 +157,11 @@ def profile(tables: Mapping[str, DataFrame], distinct: bool = True) -> DataFrame
 
 def add_distinct(catalog: DataFrame, tables: Mapping[str, DataFrame]) -> DataFrame:
     """The catalogue with its distinct counts (re)computed for its own columns."""
-    listed = [(r.table, r.column) for r in catalog.select("table", "column").collect()]
+    listed = catalog.select("table", "column", "rows").collect()
     catalog = catalog.drop("distinct")
     if not listed:
         return catalog.withColumn("distinct", F.lit(None).cast("bigint"))
-    counts = distinct_counts(tables, listed)
+    counts = distinct_counts(tables, [(r.table, r.column) for r in listed], {r.table: r.rows for r in listed})
     return catalog.join(counts, ["table", "column"], "left")
 
 

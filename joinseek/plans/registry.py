@@ -373,7 +373,11 @@ def key_references(
     keys = unique_keys(t, both.where(F.col("table") == keys_of), min_ratio, scope=scope)
     same = [(c, c) for c in ("left_table", "right_table")]
     found = foreign_keys(keys, both.where(F.col("table") == other), same, side)
-    return report_rows(measure_overlap(t, found, catalog, min_join))
+    rows = both.where(F.col("table") == keys_of).select("table", "rows").distinct()
+    counted = keys.join(rows, "table").selectExpr(
+        "table", "transform(columns, c -> c.name) AS columns", "CAST(rint(percentage * rows) AS BIGINT) AS keys"
+    )
+    return report_rows(measure_overlap(t, found, catalog, min_join, key_counts=counted))
 
 
 def single_references(spark: SparkSession, folder: str) -> DataFrame:

@@ -64,6 +64,15 @@ def test_key_counts_by_home_equal_brute_force(spark, monkeypatch):
     assert found == {(t, c): brute((rows[t], []), (c, c))[0] for t, c in sets}
 
 
+def test_few_sets_are_dealt_out_once_each(spark, monkeypatch):
+    monkeypatch.setattr(keyrows, "HOME_ROWS", 10)
+    monkeypatch.setattr(keyrows, "home_sums", None)
+    rows = made(4, 200)
+    sets = [("t", c) for c in combinations(NAMES, 2)][:4] + [("t", tuple(NAMES[:3]))]
+    found = keyrows.key_counts(spark, {"t": spark.createDataFrame(rows, SCHEMA)}, sets).collect()
+    assert {("t", tuple(r.columns)): r["keys"] for r in found} == {(t, c): brute((rows, []), (c, c))[0] for t, c in sets}
+
+
 def test_rows_are_shuffled_per_home_and_not_per_set(spark, monkeypatch):
     monkeypatch.setattr(homes, "HOT_SHARE", 10)
     rows = [(i, i // 2, "a", i % 3, 0.5) for i in range(300)]

@@ -1,6 +1,7 @@
 import random
 from collections import Counter
-from itertools import combinations
+from decimal import Decimal
+from itertools import combinations, permutations
 from math import isnan
 
 import pytest
@@ -121,3 +122,97 @@ def test_levels_of_one_table_on_both_sides(spark):
     assert len(found) == 3
     for r in found:
         assert (r.n_left, r.n_right, r.common, r.full_common) == brute(tables, r), r
+
+
+PAIRS = "left_table string, right_table string, left array<string>, right array<string>"
+
+
+@pytest.mark.parametrize("other", ["two", "empty"])
+@pytest.mark.parametrize("told", [False, True])
+def test_wide_pairs_over_large_tables_that_share_sets(spark, tables, monkeypatch, other, told):
+    monkeypatch.setattr(keyrows, "MASKED_ROWS", 1)
+    orders = [list(p) for k in (1, 2, 3) for p in permutations(["a", "b c"], k)] + [list(p) for p in permutations(["d", "e"], 2)]
+    listed = [("one", other, x, y) for x in orders for y in orders if len(x) == len(y) and ("d" in x) == ("d" in y)]
+    listed += [("one", other, ["a", "d", "e"], ["b c", *y]) for y in (["d", "e"], ["e", "d"])]
+    pairs = spark.createDataFrame(listed, PAIRS)
+    known = [("one", ["b c", "a"], brute(tables, pairs.where("size(left) = 2 AND left[0] = 'a'").first())[0])]
+    known = spark.createDataFrame(known, "table string, columns array<string>, keys bigint") if told else None
+    found = keyrows.pair_counts(tables, pairs, known).collect()
+    assert len(found) == len(listed)
+    for r in found:
+        assert (r.n_left, r.n_right, r.common, r.full_common) == brute(tables, r), r
+
+
+def test_wide_pairs_of_many_types_that_share_sets(spark, monkeypatch):
+    monkeypatch.setattr(keyrows, "MASKED_ROWS", 1)
+    rng = random.Random(3)
+    names = ["i", "x", "m", "big", "t", "b"]
+
+    def row(low):
+        number = rng.choice([None, low + rng.randint(-3, 3), low + rng.randint(-3, 3), low + 0.5])
+        whole = None if number is None else int(number)
+        exact = None if number is None else Decimal(str(number))
+        word = rng.choice([None, "", "'\\", "\u00e9" * 40, "word" if low else "Word"])
+        return (whole, rng.choice([None if number is None else float(number), float("inf"), -0.0, float("nan")]), exact, whole, word, rng.choice([None, True, low > 0]))
+
+    schema = "i int, x double, m decimal(12, 2), big decimal(30, 0), t string, b boolean"
+    rows = {"one": [row(0) for _ in range(60)], "two": [row(3) for _ in range(40)]}
+    tables = {t: spark.createDataFrame([(*r[:3], None if r[3] is None else Decimal(r[3]), *r[4:]) for r in rs], schema) for t, rs in rows.items()}
+    numbers = [list(p) for p in permutations(names[:4], 2)]
+    listed = [("one", "two", x, y) for x in numbers for y in numbers]
+    listed += [("one", "two", [x, "t", "b"], [y, "t", "b"]) for x in names[:4] for y in names[:4]]
+    found = keyrows.pair_counts(tables, spark.createDataFrame(listed, PAIRS)).collect()
+
+    def plain(value):
+        if value is None or (isinstance(value, float) and isnan(value)):
+            return None
+        return value if isinstance(value, str | bool) else float(value)
+
+    keys = {
+        (t, c): {tuple(plain(r[names.index(n)]) for n in c) for r in rs}
+        for t, rs in rows.items()
+        for c in {tuple(p[k]) for p in listed for k in (2, 3)}
+    }
+    assert len(found) == len(listed)
+    for r in found:
+        left, right = keys["one", tuple(r.left)], keys["two", tuple(r.right)]
+        both = left & right
+        assert (r.n_left, r.n_right, r.common, r.full_common) == (len(left), len(right), len(both), sum(None not in k for k in both)), r
+
+
+def test_rows_that_cannot_match_make_no_keys(spark, monkeypatch):
+    """Nor are the keys of sets counted that are known, hold a unique column, or differ in the order of columns."""
+    monkeypatch.setattr(keyrows, "MASKED_ROWS", 1)
+    tables = {
+        "big": spark.range(2000).selectExpr("id AS k", "900 + id / 100 AS price"),
+        "small": spark.range(50).selectExpr("id AS e", "id % 7 AS u", "id / 4 AS v"),
+    }
+    rights = [list(p) for p in permutations(["e", "u", "v"], 2)]
+    pairs = spark.createDataFrame([("big", "small", ["k", "price"], r) for r in rights], PAIRS)
+    known = spark.createDataFrame([("big", ["k", "price"], 2000), ("small", ["e"], 50), ("small", ["u"], 7)], "table string, columns array<string>, keys bigint")
+    counted, plain_counts, plain_masks = [], keyrows.key_counts, keyrows.key_masks
+
+    def key_counts(spark, tables, sets):
+        counted.extend(sets)
+        return plain_counts(spark, tables, sets)
+
+    made = []
+
+    def key_masks(*arguments):
+        frame = plain_masks(*arguments)
+        made.append(frame.count())
+        return frame
+
+    monkeypatch.setattr(keyrows, "key_counts", key_counts)
+    monkeypatch.setattr(keyrows, "key_masks", key_masks)
+    found = {tuple(r.right): r for r in keyrows.pair_counts(tables, pairs, known).collect()}
+    assert counted == [("small", ("u", "v"))]
+    assert sum(made) == 0  # prices begin above all values of the other side
+    assert {r: (x.n_left, x.n_right, x.common) for r, x in found.items()} == {tuple(r): (2000, 50, 0) for r in rights}
+
+    # Of one whole price in a hundred rows the matching ones are left.
+    near = {"big": spark.range(2000).selectExpr("id AS k", "id / 100 AS price"), "small": tables["small"]}
+    rows = {tuple(r.right): r for r in keyrows.pair_counts(near, pairs, known).collect()}
+    for r in rows.values():
+        assert (r.n_left, r.n_right, r.common, r.full_common) == brute(near, r), r
+    assert 0 < sum(made) < 600

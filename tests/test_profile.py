@@ -2,6 +2,7 @@ from datetime import datetime
 
 import pytest
 
+from joinseek.operators import profile as profiles
 from joinseek.operators.profile import (
     SKETCH_ERROR,
     group_by_category,
@@ -46,6 +47,14 @@ def rows_of(catalog):
     return {r.column: r for r in catalog.collect()}
 
 
+def test_large_tables_are_counted_column_by_column(table, monkeypatch):
+    """The other test of these counts, on this way: no row per value is made."""
+    monkeypatch.setattr(profiles, "COLUMN_ROWS", 4, raising=False)
+    monkeypatch.setattr(profiles, "COLUMNS_PER_JOB", 3, raising=False)
+    monkeypatch.setattr(profiles, "_slot_values", None)
+    test_profile_counts_and_categories(table)
+
+
 def test_profile_counts_and_categories(table):
     found = rows_of(profile({"t": table}))
     expected = {
